@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from signalmill.llm import mixing
+from signalmill.llm import chat, mixing, warc
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat.op1_chat_format,
+        "op4_warc": warc.op4_warc,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
