@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from signalmill.llm import chat, mixing, warc
+from signalmill.llm import chat, html, mixing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op4_warc": warc.op4_warc,
+        "op7_html_text": html.op7_html_text,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
+        "op10_quality": quality.op10_quality,
     }
 
 
