@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from signalmill.llm import chat, html, mixing, quality, toxicity, warc
+from signalmill.llm import chat, html, lattice, mixing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op3_lattice_dedup": lattice.op3_lattice_dedup,
         "op4_warc": warc.op4_warc,
         "op7_html_text": html.op7_html_text,
         "op8_toxicity": toxicity.op8_toxicity,
