@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalmill.llm import chat, html, lattice, mixing, quality, toxicity, warc
+from signalmill.llm import chat, decontam, html, lattice, mixing, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op3_lattice_dedup": lattice.op3_lattice_dedup,
         "op4_warc": warc.op4_warc,
+        "op6_decontam": decontam.op6_decontam,
         "op7_html_text": html.op7_html_text,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op6_decontam": decontam.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
