@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalmill.llm import chat, decontam, html, lattice, mixing, quality, toxicity, warc
+from signalmill.llm import chat, decontam, html, lattice, mixing, quality, sigtree, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op3_lattice_dedup": lattice.op3_lattice_dedup,
         "op4_warc": warc.op4_warc,
+        "op5_ngram_jaccard": sigtree.op5_ngram_jaccard,
         "op6_decontam": decontam.op6_decontam,
         "op7_html_text": html.op7_html_text,
         "op8_toxicity": toxicity.op8_toxicity,
