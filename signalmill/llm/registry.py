@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from signalmill.llm import chat, decontam, html, lattice, mixing, quality, sigtree, toxicity, warc
+from signalmill.llm import chat, decontam, html, lattice, mixing, quality, sigtree, suffix, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_lattice_dedup": lattice.op3_lattice_dedup,
         "op4_warc": warc.op4_warc,
         "op5_ngram_jaccard": sigtree.op5_ngram_jaccard,
