@@ -99,8 +99,8 @@ def anchors(raw: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray,
     return value, start, end - start, roll.of(start, stop), second.of(start, stop), twice
 
 
-def _pieces_marked(pdf: pd.DataFrame, span: int) -> list[np.ndarray]:
-    """Of each piece in whole anchor groups, which windows stand elsewhere among the pieces."""
+def _pieces_marked(pdf: pd.DataFrame, span: int, keep_first: bool) -> list[np.ndarray]:
+    """Of each piece in whole anchor groups, which windows stand elsewhere (keep_first: earlier) among the pieces."""
     lengths, number = pdf["piece"].map(len).to_numpy(), pdf["n"].to_numpy()
     joined = np.frombuffer(b"".join(pdf["piece"]), np.uint8)
     order, rank = suffix_order(joined, span)
@@ -110,7 +110,8 @@ def _pieces_marked(pdf: pd.DataFrame, span: int) -> list[np.ndarray]:
     for a, n in zip(first, number):
         starts[a : a + n] = True
     earlier, later = matches(order[starts[order]], rank, len(joined))
-    return [(earlier | later)[a : a + n] for a, n in zip(first, number)]
+    flags = earlier if keep_first else earlier | later
+    return [flags[a : a + n] for a, n in zip(first, number)]
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -118,11 +119,11 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).tolist()
 
 
-SEGMENT = "_k1 long, _k2 long, a long, start int, n int, c long, d long, twice boolean"
+SEGMENT = "_k1 long, _k2 long, ord long, a long, start int, n int, c long, d long, twice boolean"
 
 
 def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """Segments of rows (_k1, _k2, text) that may hold repeated windows.
+    """Segments of rows (_k1, _k2, ord, text) that may hold repeated windows.
 
     Adds copies (segments of the same content), head (the first of them) and kinds (contents
     of the anchor). Only counts and hashes are shuffled, no text.
@@ -132,54 +133,58 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
         names = ["a", "start", "n", "c", "d", "twice"]
 
         def frame(rows):
-            times = [len(x[2]) for x in rows]
-            out = {"_k1": np.repeat([x[0] for x in rows], times), "_k2": np.repeat([x[1] for x in rows], times)}
-            out |= {name: np.concatenate([x[2 + i] for x in rows]) for i, name in enumerate(names)}
+            times = [len(x[3]) for x in rows]
+            out = {key: np.repeat(np.array([x[i] for x in rows], np.int64), times) for i, key in enumerate(("_k1", "_k2", "ord"))}
+            out |= {name: np.concatenate([x[3 + i] for x in rows]) for i, name in enumerate(names)}
             return pd.DataFrame(out).assign(a=lambda f: f["a"].to_numpy().view(np.int64), c=lambda f: f["c"].to_numpy().view(np.int64), d=lambda f: f["d"].to_numpy().view(np.int64))
 
         for batch in batches:
             rows, held = [], 0
-            for k1, k2, text in zip(batch["_k1"], batch["_k2"], batch["text"]):
+            for k1, k2, order, text in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"]):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 if len(raw) >= span:
-                    rows.append((k1, k2, *anchors(raw, span, k)))
-                    held += len(rows[-1][2])
+                    rows.append((k1, k2, order, *anchors(raw, span, k)))
+                    held += len(rows[-1][3])
                 if held > 100_000:
                     yield frame(rows)
                     rows, held = [], 0
             if rows:
                 yield frame(rows)
 
-    found = docs.select("_k1", "_k2", "text").mapInPandas(cut, SEGMENT)
+    found = docs.select("_k1", "_k2", "ord", "text").mapInPandas(cut, SEGMENT)
     content = Window.partitionBy("a", "c", "d")
-    marked = found.withColumn("copies", F.count("*").over(content)).withColumn("head", F.row_number().over(content.orderBy("_k1", "_k2", "start")) == 1)
+    marked = found.withColumn("copies", F.count("*").over(content)).withColumn("head", F.row_number().over(content.orderBy("ord", "_k1", "_k2", "start")) == 1)
     marked = marked.withColumn("kinds", F.sum(F.col("head").cast("int")).over(Window.partitionBy("a")))
     return stored(marked.where("copies > 1 or kinds > 1 or twice"), "segments")
 
 
-def removed_spans(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, _k1, _k2, text, spans): byte ranges [start, end) covered by a `span`-byte string that stands anywhere else too.
+def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text", keep_first: bool = False) -> DataFrame:
+    """The columns of docs, _k1, _k2, _text and `found`, from which spans_of() gives the byte ranges covered by a
+    `span`-byte string that stands anywhere else too; with keep_first, earlier in the order of ids (nulls last) and places.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross rows, and count within a row
     too. Strings are judged on the input. Rows shorter than `span` have none. A row repeated
     as a whole (same id and text) is its own copy, so all its bytes are covered if it has
     `span` of them.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    last = F.lit(2**63 - 1)
+    full = docs.select("*", *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    keyed = full.select("_k1", "_k2", F.coalesce(F.col(id_col).cast("long"), last).alias("ord"), F.col("_text").alias("text"))
     marked = segments_of(keyed, span, k)
-    whole = marked.where("copies > 1").select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
-    wanted = marked.where("kinds > 1 and (copies = 1 or head) or twice and copies = 1")
-    asked = stored(wanted.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("a", "start", "n", "copies", "kinds")).alias("asks")), "asks")
+    whole = marked.where("copies > 1" + (" and not head" if keep_first else "")).select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
+    wanted = marked.where("kinds > 1 and (copies = 1 or head) or twice and (copies = 1 or head)")
+    asked = stored(wanted.groupBy("_k1", "_k2", "ord").agg(F.collect_list(F.struct("a", "start", "n", "copies", "kinds")).alias("asks")), "asks")
     cut = keyed.select("_k1", "_k2", "text").join(asked, ["_k1", "_k2"])
+    single = not keep_first  # a copied content is covered already, unless its first copy stays
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["_k1", "_k2", "a", "start", "n", "copies", "kinds", "piece"]
+        names = ["_k1", "_k2", "ord", "a", "start", "n", "copies", "kinds", "piece"]
         for batch in batches:
             rows, held = [], 0
-            for k1, k2, text, asks in zip(batch["_k1"], batch["_k2"], batch["text"], batch["asks"]):
+            for k1, k2, order, text, asks in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"], batch["asks"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in asks:
-                    rows.append((k1, k2, x["a"], x["start"], x["n"], x["copies"], x["kinds"], raw[x["start"] : x["start"] + x["n"] - 1 + span]))
+                    rows.append((k1, k2, order, x["a"], x["start"], x["n"], x["copies"], x["kinds"], raw[x["start"] : x["start"] + x["n"] - 1 + span]))
                     held += len(rows[-1][-1])
                 if held > 4_000_000:
                     yield pd.DataFrame(rows, columns=names)
@@ -187,7 +192,7 @@ def removed_spans(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id"
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    cut = cut.mapInPandas(pieces, "_k1 long, _k2 long, a long, start int, n int, copies long, kinds long, piece binary")
+    cut = cut.mapInPandas(pieces, "_k1 long, _k2 long, ord long, a long, start int, n int, copies long, kinds long, piece binary")
     cut = stored(cut, "pieces")
 
     def sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,34 +200,35 @@ def removed_spans(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id"
             # Whole groups, about two million bytes to a suffix array.
             size = batch["piece"].map(len).groupby(batch["a"]).sum().cumsum() // 2_000_000
             for _, part in batch.groupby(batch["a"].map(size), sort=False):
-                runs = [_runs(f) for f in _pieces_marked(part, span)]
-                out = part.loc[part["copies"] == 1, ["_k1", "_k2", "start"]].copy()
-                out["windows"] = part.loc[part["copies"] == 1, "n"]
-                out["runs"] = [r for r, c in zip(runs, part["copies"]) if c == 1]
-                yield out[[bool(r) for r in out["runs"]]]
+                runs = [_runs(f) for f in _pieces_marked(part, span, keep_first)]
+                use = np.array([bool(r) and (c == 1 or not single) for r, c in zip(runs, part["copies"])])
+                out = part[["_k1", "_k2", "start"]].assign(windows=part["n"], runs=runs)
+                yield out[use]
 
     found = "_k1 long, _k2 long, start int, windows int, runs array<int>"
-    small = cut.where(F.col("kinds") <= GROUP).repartition("a").sortWithinPartitions("a").mapInPandas(sorted_groups, found)
+    small = cut.where(F.col("kinds") <= GROUP).repartition("a").sortWithinPartitions("a", "ord", "_k1", "_k2", "start").mapInPandas(sorted_groups, found)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k1, k2, a, start, n, piece, copies in zip(*(batch[c] for c in ("_k1", "_k2", "a", "start", "n", "piece", "copies"))):
+            for k1, k2, order, start, n, piece, copies in zip(*(batch[c] for c in ("_k1", "_k2", "ord", "start", "n", "piece", "copies"))):
                 raw = np.frombuffer(piece, np.uint8)
                 h, g = (Rolling(raw, w).windows(span).view(np.int64) for w in (0, 1))
-                yield pd.DataFrame({"_k1": k1, "_k2": k2, "start": np.int32(start), "at": np.arange(n, dtype=np.int32), "copies": copies, "h": h, "g": g})
+                yield pd.DataFrame({"_k1": k1, "_k2": k2, "ord": order, "start": np.int32(start), "at": np.arange(n, dtype=np.int32), "copies": copies, "h": h, "g": g})
 
-    windows = cut.where(F.col("kinds") > GROUP).mapInPandas(hashed, "_k1 long, _k2 long, start int, at int, copies long, h long, g long")
+    windows = cut.where(F.col("kinds") > GROUP).mapInPandas(hashed, "_k1 long, _k2 long, ord long, start int, at int, copies long, h long, g long")
     windows = stored(windows, "windows")
-    often = stored(windows.groupBy("h", "g").agg(F.count("*").alias("m")).where("m > 1"), "often")
-    large = windows.where("copies = 1").join(often, ["h", "g"]).groupBy("_k1", "_k2", "start").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    place = F.struct("ord", "_k1", "_k2", (F.col("start") + F.col("at")).alias("p"))
+    often = stored(windows.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(place).alias("top")).where("m > 1"), "often")
+    large = windows.join(often, ["h", "g"]).where(place > F.col("top") if keep_first else F.col("copies") == 1)
+    large = large.groupBy("_k1", "_k2", "start").agg(F.array_sort(F.collect_list("at")).alias("ats"))
     each = F.flatten(F.transform("ats", lambda x: F.array(x, x + 1)))
     large = large.select("_k1", "_k2", "start", F.lit(0).alias("windows"), each.alias("runs"))
     every = whole.unionByName(small).unionByName(large)
     spans = stored(every.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("found")), "found")
-    return keyed.join(spans, ["_k1", "_k2"], "left")
+    return full.join(spans, ["_k1", "_k2"], "left")
 
 
-def _spans(found, span: int) -> np.ndarray:
+def spans_of(found, span: int) -> np.ndarray:
     """Merged byte ranges of a row's duplicate windows."""
     ranges = []
     for x in found if found is not None else ():
@@ -239,13 +245,45 @@ def _spans(found, span: int) -> np.ndarray:
     return np.stack([r[new, 0], top[np.r_[np.flatnonzero(new)[1:] - 1, len(r) - 1]]], 1)
 
 
+def without_spans(raw: bytes, spans: np.ndarray) -> str:
+    """The text left when ranges are cut out; they shrink to whole characters."""
+    out, at = [], 0
+    for s, e in spans.tolist():
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(raw[at:s])
+        at = e
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs, with bytes cut from `text_col` that a `span`-byte string covers which stands earlier (in id order, then place).
+
+    n_chars, where there is such a column, follows the text. Rows of which nothing is left are dropped.
+    """
+    found = repeated(docs, span, k, id_col, text_col, keep_first=True)
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
+        cut = lambda t, r: t if r is None else without_spans(t.encode("utf-8", "surrogatepass"), spans_of(r, span))
+        return pd.Series([cut(t, r) for t, r in zip(text, runs)], dtype=object)
+
+    found = found.withColumn("_kept", F.when(F.col("found").isNotNull(), kept("_text", "found")))
+    new = {text_col: F.coalesce("_kept", text_col)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return found.where("_kept is null or _kept <> ''").select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, text, found in zip(batch["doc_id"], batch["text"], batch["found"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                spans, at, digest, gone = _spans(found, SPAN), 0, hashlib.sha256(), 0
+                spans, at, digest, gone = spans_of(found, SPAN), 0, hashlib.sha256(), 0
                 for s, e in spans:
                     digest.update(raw[at:s])
                     gone, at = gone + int(e - s), int(e)
@@ -253,5 +291,5 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((key, len(raw), gone, len(spans), digest.hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = removed_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "found")
+    found = repeated(table(spark, sf_dir, "documents")).select("doc_id", F.col("_text").alias("text"), "found")
     return found.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
