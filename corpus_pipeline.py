@@ -1,10 +1,57 @@
-"""Corpus pipeline (filled in stage by stage)."""
-STAGES = []
+"""Corpus pipeline: five stages over `documents`, each written and read again before the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from signalmill.llm import decontam, mixing, sigtree, suffix, toxicity
+from signalmill.llm.common import stored, table
+
+#: Bytes of a passage that is cut where it stands again, and of its anchors: fifty words of any language here.
+PASSAGE, PASSAGE_ANCHOR = 300, 200
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores below 0.7."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, docs.columns).where("score < 0.7").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of similar ones (five-word shingles, 0.8)."""
+    return sigtree.keep_first(docs, 5, sigtree.Rule(80))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that stand earlier in the corpus."""
+    return suffix.drop_later_copies(docs, PASSAGE, PASSAGE_ANCHOR)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training course: a row per document copy taken, range-sorted by position."""
+    order = mixing.training_order(mixing.mix(docs))
+    return order.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "copy", "words", "position")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_dedup", cut_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+]
+#: SQL cannot express the network's scores; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
