@@ -44,3 +44,10 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for whole texts, unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import row_key, stored, table
+from signalmill.llm.common import row_key, stored, table, text_batches
 from signalmill.llm.lattice import cell_batches
 from signalmill.llm.textbytes import Rolling
 
@@ -68,35 +68,31 @@ def matches(order: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def anchors(raw: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
-    """Segments of a text of `span` bytes or more: anchor hash, first window, windows, two hashes of the content, and
+    """Segments of a text of `span` bytes or more: anchor hash, first window, windows, hash of the content, and
     whether the anchor stands in the segment more than once (only then can its windows repeat each other)."""
     n = len(raw) - span + 1
     roll = Rolling(raw)
     h = roll.windows(k)
     w = span - k + 1
     # Sliding minimum by blocks of w: the smaller of a suffix minimum and a prefix minimum.
-    pad = -len(h) % w
-    full = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, w)
+    full = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max)
+    full[: len(h)] = h
+    full = full.reshape(-1, w)
     ahead = np.minimum.accumulate(full, 1).ravel()
     behind = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1].ravel()
     low = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-    # Runs of equal minima are cut where the anchor moves on to a later equal string.
-    start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    end = np.r_[start[1:], n]
+    # Runs of equal minima; one longer than w spans anchors of equal strings and is cut.
+    start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    end = np.append(start[1:], n)
     long = np.flatnonzero(end - start > w)
     if len(long):
-        starts = [start]
-        for i in long:
-            starts.append(np.arange(start[i] + w, end[i], w))
-        start = np.sort(np.concatenate(starts))
-        end = np.r_[start[1:], n]
+        start = np.sort(np.concatenate([start, *[np.arange(start[i] + w, end[i], w) for i in long]]))
+        end = np.append(start[1:], n)
     value = low[start]
-    second = Rolling(raw, 1)
-    stop = end - 1 + span
-    twice = np.zeros(len(start), bool)
-    if len(np.unique(h)) < len(h):
-        twice[:] = [(h[s : e - 1 + w] == v).sum() > 1 for s, e, v in zip(start, end, value)]
-    return value, start, end - start, roll.of(start, stop), second.of(start, stop), twice
+    views = np.lib.stride_tricks.sliding_window_view(h, w)
+    first = start + (views[start] == value[:, None]).argmax(1)
+    last = end - 1 + w - 1 - (views[end - 1] == value[:, None])[:, ::-1].argmax(1)
+    return value, start, end - start, roll.of(start, end - 1 + span), first != last
 
 
 def _pieces_marked(pdf: pd.DataFrame, span: int, keep_first: bool) -> list[np.ndarray]:
@@ -119,7 +115,7 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).tolist()
 
 
-SEGMENT = "_k1 long, _k2 long, ord long, a long, start int, n int, c long, d long, twice boolean"
+SEGMENT = "_k1 long, _k2 long, ord long, a long, start int, n int, c long, twice boolean"
 
 
 def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -130,13 +126,13 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["a", "start", "n", "c", "d", "twice"]
+        names = ["a", "start", "n", "c", "twice"]
 
         def frame(rows):
             times = [len(x[3]) for x in rows]
             out = {key: np.repeat(np.array([x[i] for x in rows], np.int64), times) for i, key in enumerate(("_k1", "_k2", "ord"))}
             out |= {name: np.concatenate([x[3 + i] for x in rows]) for i, name in enumerate(names)}
-            return pd.DataFrame(out).assign(a=lambda f: f["a"].to_numpy().view(np.int64), c=lambda f: f["c"].to_numpy().view(np.int64), d=lambda f: f["d"].to_numpy().view(np.int64))
+            return pd.DataFrame(out).assign(a=lambda f: f["a"].to_numpy().view(np.int64), c=lambda f: f["c"].to_numpy().view(np.int64))
 
         for batch in batches:
             rows, held = [], 0
@@ -151,8 +147,8 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
             if rows:
                 yield frame(rows)
 
-    found = docs.select("_k1", "_k2", "ord", "text").mapInPandas(cut, SEGMENT)
-    content = Window.partitionBy("a", "c", "d")
+    found = docs.select("_k1", "_k2", "ord", "text").mapInPandas(cut, SEGMENT).repartition("a")  # one exchange serves both windows
+    content = Window.partitionBy("a", "c")
     marked = found.withColumn("copies", F.count("*").over(content)).withColumn("head", F.row_number().over(content.orderBy("ord", "_k1", "_k2", "start")) == 1)
     marked = marked.withColumn("kinds", F.sum(F.col("head").cast("int")).over(Window.partitionBy("a")))
     return stored(marked.where("copies > 1 or kinds > 1 or twice"), "segments")
@@ -167,6 +163,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
     as a whole (same id and text) is its own copy, so all its bytes are covered if it has
     `span` of them.
     """
+    text_batches(docs.sparkSession)
     last = F.lit(2**63 - 1)
     full = docs.select("*", *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keyed = full.select("_k1", "_k2", F.coalesce(F.col(id_col).cast("long"), last).alias("ord"), F.col("_text").alias("text"))

@@ -16,10 +16,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, U(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 to base**n modulo 2**64; kept between calls, grown when longer texts come."""
+    have = _POWERS.get(base)
+    if have is None or len(have) <= n:
+        out = np.full(max(n + 1, 1 << 14) * 5 // 4, U(base))
+        out[0] = 1
+        have = _POWERS[base] = np.multiply.accumulate(out)
+    return have[: n + 1]
 
 
 class Rolling:
@@ -35,8 +42,15 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
     def windows(self, k: int) -> np.ndarray:
+        """Hashes of all k-byte strings; one round of mixing, enough to order them at random."""
         n = len(self.sums) - 1 - k
-        return mixed((self.sums[k:] - self.sums[: n + 1]) * self.back[: n + 1] + U(k)) if n >= 0 else np.zeros(0, np.uint64)
+        if n < 0:
+            return np.zeros(0, np.uint64)
+        h = (self.sums[k:] - self.sums[: n + 1]) * self.back[: n + 1]
+        h ^= h >> U(29)
+        h *= U(0xBF58476D1CE4E5B9)
+        h ^= h >> U(32)
+        return h
 
 
 _SPACE = np.zeros(256, bool)
