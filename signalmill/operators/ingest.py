@@ -148,13 +148,12 @@ def tag_entities(signals: DataFrame, vocab: DataFrame, most: int = 5, words: int
     w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     s = signals.select("signal_id", F.explode(F.array(w)).alias("w"))
     n = F.size("w")
-    grams = [
-        F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i, k=k: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, k), " ").alias("term")))).otherwise(
-            F.expr("cast(array() as array<struct<at:int,term:string>>)")
-        )
-        for k in range(1, words + 1)
-    ]
-    hits = s.select("signal_id", F.inline(F.concat(*grams))).join(vocab.select(F.lower("term").alias("term"), "entity"), "term")
+
+    def grams(k: int) -> Column:
+        some = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, k), " ").alias("term")))
+        return F.when(n >= k, some).otherwise(F.expr("cast(array() as array<struct<at:int,term:string>>)"))
+
+    hits = s.select("signal_id", F.inline(F.concat(*[grams(k) for k in range(1, words + 1)]))).join(vocab.select(F.lower("term").alias("term"), "entity"), "term")
     hits = hits.groupBy("signal_id", "entity").agg(F.min("at").alias("at"))
     n = F.row_number().over(Window.partitionBy("signal_id").orderBy("at", "entity"))
     return hits.withColumn("n", n).where(F.col("n") <= most).select("signal_id", "entity", F.col("n").alias("place"))

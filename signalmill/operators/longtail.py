@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from signalmill.functions.text import well_formed
 
@@ -44,7 +45,7 @@ def _binomial_tail(cur: np.ndarray, base: np.ndarray) -> np.ndarray:
     return np.minimum(out, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def uplift_posterior(cur: pd.Series, base: pd.Series) -> pd.Series:
     """Posterior probability that the rate rose, from two counts; each distinct pair is worked out once per batch."""
     both = pd.DataFrame({"c": cur.fillna(0), "b": base.fillna(0)})

@@ -14,11 +14,11 @@ def avg_rank(df: DataFrame, value: str = "value", by=()) -> DataFrame:
     h = df.groupBy(*by, value).agg(F.count("*").alias("t"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("rank", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
-    cond = [df[c].eqNullSafe(h[c]) for c in [*by, value]]
-    both = cond[0]
-    for c in cond[1:]:
-        both = both & c
-    return df.join(h, both).select(*[df[c] for c in df.columns], h["rank"])
+    named = h.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])], "rank")
+    both = F.lit(True)
+    for i, c in enumerate([*by, value]):
+        both = both & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(named, both).select(*df.columns, "rank")
 
 
 def _erf(x: Column) -> Column:
