@@ -56,7 +56,8 @@ def _stamp(iso: list[str], seconds: list[str]) -> Column:
 def _strings(path: str) -> Column:
     """Array of plain strings, or of objects with a name."""
     plain, named = _get(path, "array<string>"), _get(path, "array<struct<name:string>>")
-    return F.coalesce(F.transform(named, lambda x: x["name"]), plain, F.array().cast("array<string>"))
+    of_objects = F.when(F.exists(named, lambda x: x.isNotNull()), F.transform(named, lambda x: x["name"]))
+    return F.coalesce(of_objects, plain, F.array().cast("array<string>"))
 
 
 #: Field chains of each platform's items, in order of precedence.
@@ -141,7 +142,7 @@ def interest_series(items: DataFrame) -> DataFrame:
     keyed = F.map_filter(F.try_variant_get("p", "$", "map<string,double>"), lambda k, v: ~k.isin("date", "formattedTime", "time", "value", "values", "extractedValue") & v.isNotNull())
     pair = lambda k, v: F.struct(F.trim(k).alias("keyword"), v.alias("v"))
     rows = (
-        F.when(tagged.isNotNull() & (F.size(tagged) > 0), F.transform(tagged, lambda x: pair(F.coalesce(x["keyword"], x["query"], F.col("one")), F.coalesce(x["value"], x["extractedValue"]))))
+        F.when(F.exists(tagged, lambda x: x.isNotNull()), F.transform(tagged, lambda x: pair(F.coalesce(x["keyword"], x["query"], F.col("one")), F.coalesce(x["value"], x["extractedValue"]))))
         .when(several.isNotNull(), F.zip_with(names, several, pair))
         .when(single.isNotNull() & F.col("one").isNotNull(), F.array(pair(F.col("one"), single)))
         .otherwise(F.transform(F.map_entries(keyed), lambda x: pair(x["key"], x["value"])))

@@ -27,7 +27,7 @@ def stream_ingest(spark: SparkSession, folder: str, platform: str, target: str,
 
 def stream_dedupe(sdf: DataFrame, delay: str = "1 day", keys=("tenant", "platform", "source_id"), time: str = "posted_at") -> DataFrame:
     """L2: the first row of a key within the watermark; state of older keys is let go."""
-    return sdf.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return sdf.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def _swap(spark: SparkSession, df: DataFrame, path: str, batch: int) -> str:
