@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import row_key, stored, table
+from signalmill.llm.common import row_key, stored, table, text_batches
 from signalmill.llm.components import connected_components, local_forest
 from signalmill.llm.lattice import cell_batches
 from signalmill.llm.textbytes import U, mixed, shingle_sets
@@ -144,6 +144,30 @@ def tree_forest(size: np.ndarray, bits: np.ndarray, rule: Rule, side: np.ndarray
     return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """64-bit name of a shingle set; equal sets share it."""
+    return int((mixed(shingles).sum() * U(0x9E3779B97F4A7C15) ^ mixed(shingles ^ U(0x5851F42D4C957F2D)).sum() + U(len(shingles))).astype(np.int64))
+
+
+#: Words of the bitset that tells which sets may need signatures: 1 MB, whatever the input.
+BITSET_WORDS = 1 << 17
+
+
+def bitset(nodes: DataFrame) -> np.ndarray:
+    """Bounded set of names: bits by hash. A full one lets all names through, which costs work and loses nothing."""
+    place = F.pmod(F.col("node"), F.lit(BITSET_WORDS * 64))
+    words = nodes.select(F.floor(place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(node, {BITSET_WORDS * 64}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(BITSET_WORDS, np.int64)
+    for w, b in words.collect():  # at most BITSET_WORDS rows
+        out[w] = b
+    return out
+
+
+def in_bitset(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    place = nodes % (BITSET_WORDS * 64)
+    return (words[place // 64].view(np.uint64) >> (place % 64).astype(np.uint64)) & U(1) == U(1)
+
+
 def _chunks(frame: pd.DataFrame, text: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Rows of about so many characters at a time."""
     at = frame[text].str.len().cumsum().to_numpy() // chars
@@ -189,38 +213,40 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
     (same id and text) give one row; rows of one id with different texts are one node. A null
     id gets no links and a null component.
     """
+    text_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sized(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        sums = [(int(mixed(s).sum().astype(np.int64)), int(mixed(s ^ U(0x5851F42D4C957F2D)).sum().astype(np.int64))) if len(s) else (0, 0) for s in sets]
         out = part[["doc_id", "_k1", "_k2"]].copy()
-        out["n"], out["s1"], out["s2"] = [len(s) for s in sets], [x for x, _ in sums], [y for _, y in sums]
+        out["n"], out["node"] = [len(s) for s in sets], [node_of(s) for s in sets]
         return out
 
-    found = stored(shingled(keyed, k, sized, "doc_id long, _k1 long, _k2 long, n long, s1 long, s2 long").distinct(), "sets")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("rep"))
-    classes = stored(classes.select("s1", "s2", "n", F.col("rep.doc_id").alias("node"), F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2")), "classes")
-
-    reps = keyed.join(classes.select("_k1", "_k2", "node"), ["_k1", "_k2"]).select("node", "text")
+    found = stored(shingled(keyed, k, sized, "doc_id long, _k1 long, _k2 long, n long, node long").distinct(), "sets")
+    classes = stored(found.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.min("n").alias("n")), "classes")
 
     def keyed_sets(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        keys = [rule.keys(s) for s in sets]
-        return pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), [len(x) for x in keys]), "key": np.concatenate(keys) if keys else np.zeros(0, np.int64)})
+        nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)  # copies of a batch once
+        keys = [rule.keys(sets[i]) for i in first]
+        return pd.DataFrame({"node": np.repeat(nodes, [len(x) for x in keys]), "key": np.concatenate(keys) if keys else np.zeros(0, np.int64)})
 
-    pairs = shingled(reps, k, keyed_sets, "node long, key long")
+    # Keys that the same sets share are one group: it is named by the sum of its members' hashes.
     by_key = Window.partitionBy("key")
-    met = pairs.withColumn("count", F.count("*").over(by_key)).where("count > 1")
-    met = stored(met, "met")
-
-    signed = keyed.join(classes.select("_k1", "_k2", "node").join(met.select("node").distinct(), "node", "left_semi"), ["_k1", "_k2"])
-    signed = signed.select("node", "text")
+    met = shingled(keyed.where("doc_id is not null"), k, keyed_sets, "node long, key long").withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key))
+    met = met.withColumn("group", F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(by_key)).where("low <> high")
+    met = stored(met.select("node", F.xxhash64("group", "low", "high").alias("key")).distinct(), "met")
+    sizes = met.groupBy("key").agg(F.count("*").alias("count"))
+    wanted = bitset(met.select("node"))
 
     def signatures(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"node": part["node"], "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
-
-    signed = stored(shingled(signed, k, signatures, "node long, n long, bits binary, shingles binary"), "signatures")
-    slices = F.ceil(F.col("count") / GROUP).cast("int")
-    dealt = met.select("node", "key", slices.alias("slices")).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+        nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)
+        use = in_bitset(wanted, nodes)
+        nodes, some = nodes[use], [sets[i] for i in first[use]]
+        return pd.DataFrame({"node": nodes, "n": [len(s) for s in some], "bits": [bitmap(s) for s in some], "shingles": [s.tobytes() for s in some]})
+
+    signed = shingled(keyed, k, signatures, "node long, n long, bits binary, shingles binary")
+    signed = stored(signed.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "signatures")
+    dealt = met.join(stored(sizes, "sizes"), "key").withColumn("slices", F.ceil(F.col("count") / GROUP).cast("int"))
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = dealt.select("node", "key", "slice", F.least("slice", "other").alias("b1"), F.greatest("slice", "other").alias("b2"))
     ready = dealt.join(signed.select("node", "n", "bits"), "node").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
@@ -242,7 +268,7 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
                 yield pd.DataFrame({"a": x, "b": y})
 
     near = connected_components(ready.mapInPandas(traversed, "a long, b long"))
-    near = stored(near.join(signed.select("node", "n").distinct(), "node"), "near")
+    near = stored(near.join(signed.select("node", "n"), "node"), "near")
     # Blocks: members of a component in order of size; sums of counts and shingles cut them.
     order = Window.partitionBy("component").orderBy("n", "node")
     cut = F.greatest(F.floor((F.row_number().over(order) - 1) / BLOCK_DOCS), F.floor((F.sum("n").over(order) - F.col("n")) / BLOCK_SHINGLES))
@@ -278,10 +304,10 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
     cross = cross.join(q, (F.col("c.component") == F.col("q.component")) & (F.col("c.b2") == F.col("q.block")))
     cross = cross.where("p.lo <> p.hi or q.lo <> q.hi or p.lo <> q.lo").select("c.component", "c.b1", "c.b2")
     links = connected_components(own.unionByName(compared(stored(cross, "cross"))))
-    answer = classes.select("s1", "s2", "n", "node").join(stored(links, "links"), "node", "left")
-    answer = stored(answer.select("s1", "s2", F.col("n").alias("m"), F.coalesce("component", "node").alias("component_id")), "answer")
-    same = (found["s1"] == answer["s1"]) & (found["s2"] == answer["s2"]) & (found["n"] == answer["m"])
-    out = found.join(answer, same, "left")
+    answer = classes.select("node", "head").join(stored(links, "links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = stored(answer.groupBy("component").agg(F.min("head").alias("component_id")), "heads")
+    answer = stored(answer.join(heads, "component").select("node", "component_id"), "answer")
+    out = found.join(answer, "node", "left")
     single = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_k1", "_k2", F.col("n").alias("n_shingles"), single.alias("component_id"))
 
