@@ -25,7 +25,7 @@ from signalmill.llm.components import connected_components, local_forest
 from signalmill.llm.lattice import cell_batches
 from signalmill.llm.textbytes import U, mixed, shingle_sets
 
-BITS, LEAF = 2048, 8
+BITS, MOST_BITS, LEAF = 2048, 1 << 17, 8
 #: Classes of a group that one task takes on; larger groups are dealt to tasks of pairs of slices.
 GROUP = 2048
 #: Classes and shingles of a block in the exact comparison.
@@ -87,11 +87,21 @@ class Rule:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(shingles % U(BITS)).astype(np.int64)] = True
+    """Bits of the shingles' hashes: four per shingle or more, a power of two from BITS to MOST_BITS."""
+    n = BITS
+    while n < 4 * len(shingles) and n < MOST_BITS:
+        n *= 2
+    bits = np.zeros(n, bool)
+    bits[(shingles % U(n)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def aligned(bitmaps: list[bytes]) -> np.ndarray:
+    """Rows of uint64 words; longer bitmaps fold to the shortest, as their lengths are powers of two."""
+    least = min(map(len, bitmaps))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in bitmaps])
+
+
 def _ones(a: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a).sum(-1, dtype=np.int64)
 
@@ -253,14 +263,14 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
 
     def traversed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in cell_batches(batches, ["key", "b1", "b2"]):
-            bits = np.frombuffer(b"".join(batch["bits"]), np.uint64).reshape(len(batch), BITS // 64)
+            bits = batch["bits"].tolist()
             size, node, side = batch["n"].to_numpy(), batch["node"].to_numpy(), batch["slice"].to_numpy()
             cell = batch[["key", "b1", "b2"]].to_numpy()
             edges = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1), True])
             a, b = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s > 1:
-                    x, y = tree_forest(size[s:e], bits[s:e], rule, side[s:e] if cell[s, 1] != cell[s, 2] else None)
+                    x, y = tree_forest(size[s:e], aligned(bits[s:e]), rule, side[s:e] if cell[s, 1] != cell[s, 2] else None)
                     a.append(node[s:e][x])
                     b.append(node[s:e][y])
             if a:

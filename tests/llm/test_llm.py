@@ -227,7 +227,8 @@ def test_tree_loses_no_pair():
     rule = sigtree.Rule(80)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[rng.permutation(400)[: rng.integers(330, 400)]], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(60)]
-    bits = np.frombuffer(b"".join(sigtree.bitmap(s) for s in sets), np.uint64).reshape(60, -1)
+    sets += [np.unique(rng.integers(0, 2**63, 600, dtype=np.uint64))]  # a longer bitmap, which folds
+    bits = sigtree.aligned([sigtree.bitmap(s) for s in sets])
     size = np.array([len(s) for s in sets])
     a, b = sigtree.tree_forest(size, bits, rule)
     nodes, low = components.local_forest(a, b)
