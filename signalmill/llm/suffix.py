@@ -155,7 +155,7 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
 
 
 def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text", keep_first: bool = False) -> DataFrame:
-    """The columns of docs, _k1, _k2, _text and `found`, from which spans_of() gives the byte ranges covered by a
+    """The columns of docs, _k1, _k2, _text and `_found`, from which spans_of() gives the byte ranges covered by a
     `span`-byte string that stands anywhere else too; with keep_first, earlier in the order of ids (nulls last) and places.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross rows, and count within a row
@@ -221,7 +221,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
     each = F.flatten(F.transform("ats", lambda x: F.array(x, x + 1)))
     large = large.select("_k1", "_k2", "start", F.lit(0).alias("windows"), each.alias("runs"))
     every = whole.unionByName(small).unionByName(large)
-    spans = stored(every.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("found")), "found")
+    spans = stored(every.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("_found")), "found")
     return full.join(spans, ["_k1", "_k2"], "left")
 
 
@@ -267,7 +267,7 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
         cut = lambda t, r: t if r is None else without_spans(t.encode("utf-8", "surrogatepass"), spans_of(r, span))
         return pd.Series([cut(t, r) for t, r in zip(text, runs)], dtype=object)
 
-    found = found.withColumn("_kept", F.when(F.col("found").isNotNull(), kept("_text", "found")))
+    found = found.withColumn("_kept", F.when(F.col("_found").isNotNull(), kept("_text", "_found")))
     new = {text_col: F.coalesce("_kept", text_col)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
@@ -288,5 +288,5 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((key, len(raw), gone, len(spans), digest.hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeated(table(spark, sf_dir, "documents")).select("doc_id", F.col("_text").alias("text"), "found")
+    found = repeated(table(spark, sf_dir, "documents")).select("doc_id", F.col("_text").alias("text"), F.col("_found").alias("found"))
     return found.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
