@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from signalmill.llm import decontam, mixing, sigtree, suffix, toxicity
 from signalmill.llm.common import stored, table
 
-#: Bytes of a passage that is cut where it stands again, and of its anchors: fifty words of any language here.
-PASSAGE, PASSAGE_ANCHOR = 300, 200
+#: Words of a passage that is cut where it stands again (all of over fifty words), and of its anchors.
+PASSAGE, PASSAGE_ANCHOR = 51, 34
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand earlier in the corpus."""
-    return suffix.drop_later_copies(docs, PASSAGE, PASSAGE_ANCHOR)
+    return suffix.drop_later_copies(docs, PASSAGE, PASSAGE_ANCHOR, words=True)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ equal windows have equal anchors and windows of one anchor form segments. Segmen
 anchor or whole content stands nowhere else are done. The distinct contents left over are
 suffix-sorted in groups of one anchor; previous and next smaller positions in suffix order
 give every suffix its longest earlier match, up to SPAN bytes, and with it which windows
-have an earlier copy and which a later one.
+have an earlier copy and which a later one. Lengths are bytes, or words where a caller asks
+for words: then the string is that of the words' hashes.
 """
 
 from __future__ import annotations
@@ -20,26 +21,33 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.common import row_key, stored, table, text_batches
 from signalmill.llm.lattice import cell_batches
-from signalmill.llm.textbytes import Rolling
+from signalmill.llm.textbytes import Rolling, words_of
 
 SPAN, K = 400, 300
 #: Distinct contents of an anchor that one suffix array takes; windows of larger groups are matched by their hashes.
 GROUP = 4096
 
 
+def symbols(text: str, words: bool) -> np.ndarray:
+    """The string whose windows are compared: the bytes of a text, or the hashes of its words."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return words_of(raw)[0] if words else raw
+
+
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, rank by the first `depth` bytes, at least 8) of a byte array, by prefix doubling.
+    """(suffix order, rank by the first `depth` places, of bytes at least 8) of an array of bytes or word hashes, by prefix doubling.
 
-    Ranks start from eight bytes; ranks of doubled length come from sorting pairs of ranks, and
+    Ranks start from eight bytes or one word; ranks of doubled length come from sorting pairs of ranks, and
     the last pair overlaps, so the order is exact to `depth` bytes and equal prefixes share a
     rank. Suffixes of equal prefixes stand in order of position.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    value = np.zeros(n, np.uint64)
-    for i in range(8):
-        value = (value << np.uint64(8)) | padded[i : n + i]
-    length = 8
+    value, length = text, 1
+    if text.dtype == np.uint8:
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        value, length = np.zeros(n, np.uint64), 8
+        for i in range(8):
+            value = (value << np.uint64(8)) | padded[i : n + i]
     while True:
         order = np.argsort(value)
         rank = np.empty(n, np.int64)
@@ -68,7 +76,7 @@ def matches(order: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def anchors(raw: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
-    """Segments of a text of `span` bytes or more: anchor hash, first window, windows, hash of the content, and
+    """Segments of a string of `span` bytes or words or more: anchor hash, first window, windows, hash of the content, and
     whether the anchor stands in the segment more than once (only then can its windows repeat each other)."""
     n = len(raw) - span + 1
     roll = Rolling(raw)
@@ -95,10 +103,10 @@ def anchors(raw: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray,
     return value, start, end - start, roll.of(start, end - 1 + span), first != last
 
 
-def _pieces_marked(pdf: pd.DataFrame, span: int, keep_first: bool) -> list[np.ndarray]:
+def _pieces_marked(pdf: pd.DataFrame, span: int, keep_first: bool, kind=np.uint8) -> list[np.ndarray]:
     """Of each piece in whole anchor groups, which windows stand elsewhere (keep_first: earlier) among the pieces."""
-    lengths, number = pdf["piece"].map(len).to_numpy(), pdf["n"].to_numpy()
-    joined = np.frombuffer(b"".join(pdf["piece"]), np.uint8)
+    joined = np.frombuffer(b"".join(pdf["piece"]), kind)
+    lengths, number = pdf["piece"].map(len).to_numpy() // joined.itemsize, pdf["n"].to_numpy()
     order, rank = suffix_order(joined, span)
     first = np.cumsum(lengths) - lengths
     # Windows end inside their piece, so only suffixes that start a window count.
@@ -118,7 +126,7 @@ def _runs(flags: np.ndarray) -> list[int]:
 SEGMENT = "_k1 long, _k2 long, ord long, a long, start int, n int, c long, twice boolean"
 
 
-def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+def segments_of(docs: DataFrame, span: int = SPAN, k: int = K, words: bool = False) -> DataFrame:
     """Segments of rows (_k1, _k2, ord, text) that may hold repeated windows.
 
     Adds copies (segments of the same content), head (the first of them) and kinds (contents
@@ -137,7 +145,7 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
         for batch in batches:
             rows, held = [], 0
             for k1, k2, order, text in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"]):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                raw = symbols(text, words)
                 if len(raw) >= span:
                     rows.append((k1, k2, order, *anchors(raw, span, k)))
                     held += len(rows[-1][3])
@@ -154,20 +162,21 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     return stored(marked.where("copies > 1 or kinds > 1 or twice"), "segments")
 
 
-def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text", keep_first: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text", keep_first: bool = False, words: bool = False) -> DataFrame:
     """The columns of docs, _k1, _k2, _text and `_found`, from which spans_of() gives the byte ranges covered by a
     `span`-byte string that stands anywhere else too; with keep_first, earlier in the order of ids (nulls last) and places.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross rows, and count within a row
     too. Strings are judged on the input. Rows shorter than `span` have none. A row repeated
     as a whole (same id and text) is its own copy, so all its bytes are covered if it has
-    `span` of them.
+    `span` of them. With words, span, k and the ranges count the words of words_of().
     """
     text_batches(docs.sparkSession)
     last = F.lit(2**63 - 1)
     full = docs.select("*", *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keyed = full.select("_k1", "_k2", F.coalesce(F.col(id_col).cast("long"), last).alias("ord"), F.col("_text").alias("text"))
-    marked = segments_of(keyed, span, k)
+    marked = segments_of(keyed, span, k, words)
+    kind = np.uint64 if words else np.uint8
     whole = marked.where("copies > 1" + (" and not head" if keep_first else "")).select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
     wanted = marked.where("kinds > 1 and (copies = 1 or head) or twice and (copies = 1 or head)")
     asked = stored(wanted.groupBy("_k1", "_k2", "ord").agg(F.collect_list(F.struct("a", "start", "n", "copies", "kinds")).alias("asks")), "asks")
@@ -179,9 +188,9 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
         for batch in batches:
             rows, held = [], 0
             for k1, k2, order, text, asks in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"], batch["asks"]):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = symbols(text, words)
                 for x in asks:
-                    rows.append((k1, k2, order, x["a"], x["start"], x["n"], x["copies"], x["kinds"], raw[x["start"] : x["start"] + x["n"] - 1 + span]))
+                    rows.append((k1, k2, order, x["a"], x["start"], x["n"], x["copies"], x["kinds"], raw[x["start"] : x["start"] + x["n"] - 1 + span].tobytes()))
                     held += len(rows[-1][-1])
                 if held > 4_000_000:
                     yield pd.DataFrame(rows, columns=names)
@@ -197,7 +206,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
             # Whole groups, about two million bytes to a suffix array.
             size = batch["piece"].map(len).groupby(batch["a"]).sum().cumsum() // 2_000_000
             for _, part in batch.groupby(batch["a"].map(size), sort=False):
-                runs = [_runs(f) for f in _pieces_marked(part, span, keep_first)]
+                runs = [_runs(f) for f in _pieces_marked(part, span, keep_first, kind)]
                 use = np.array([bool(r) and (c == 1 or not single) for r, c in zip(runs, part["copies"])])
                 out = part[["_k1", "_k2", "start"]].assign(windows=part["n"], runs=runs)
                 yield out[use]
@@ -208,7 +217,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k1, k2, order, start, n, piece, copies in zip(*(batch[c] for c in ("_k1", "_k2", "ord", "start", "n", "piece", "copies"))):
-                raw = np.frombuffer(piece, np.uint8)
+                raw = np.frombuffer(piece, kind)
                 h, g = (Rolling(raw, w).windows(span).view(np.int64) for w in (0, 1))
                 yield pd.DataFrame({"_k1": k1, "_k2": k2, "ord": order, "start": np.int32(start), "at": np.arange(n, dtype=np.int32), "copies": copies, "h": h, "g": g})
 
@@ -226,7 +235,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
 
 
 def spans_of(found, span: int) -> np.ndarray:
-    """Merged byte ranges of a row's duplicate windows."""
+    """Merged ranges of a row's duplicate windows, in bytes or words as they were found."""
     ranges = []
     for x in found if found is not None else ():
         if x["runs"] is None:
@@ -255,16 +264,28 @@ def without_spans(raw: bytes, spans: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text") -> DataFrame:
+def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text", words: bool = False) -> DataFrame:
     """The rows of docs, with bytes cut from `text_col` that a `span`-byte string covers which stands earlier (in id order, then place).
 
-    n_chars, where there is such a column, follows the text. Rows of which nothing is left are dropped.
+    With words, span and k count words instead, and what goes is every run of `span` words that
+    stands earlier. n_chars, where there is such a column, follows the text. Rows of which
+    nothing (no word) is left are dropped.
     """
-    found = repeated(docs, span, k, id_col, text_col, keep_first=True)
+    found = repeated(docs, span, k, id_col, text_col, keep_first=True, words=words)
+
+    def cut(text, runs):
+        if runs is None:
+            return text
+        raw, spans = text.encode("utf-8", "surrogatepass"), spans_of(runs, span)
+        if words:
+            _, start, end = words_of(np.frombuffer(raw, np.uint8))
+            if (spans[:, 1] - spans[:, 0]).sum() == len(start):
+                return ""
+            spans = np.stack([start[spans[:, 0]], end[spans[:, 1] - 1]], 1)
+        return without_spans(raw, spans)
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
-        cut = lambda t, r: t if r is None else without_spans(t.encode("utf-8", "surrogatepass"), spans_of(r, span))
         return pd.Series([cut(t, r) for t, r in zip(text, runs)], dtype=object)
 
     found = found.withColumn("_kept", F.when(F.col("_found").isNotNull(), kept("_text", "_found")))

@@ -30,12 +30,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of a string: a random table and a polynomial modulo 2**64 over prefix sums."""
+    """Hashes of any ranges of a string of bytes, or of word hashes: a polynomial modulo 2**64 over prefix sums of random values."""
 
     def __init__(self, raw: np.ndarray, which: int = 0):
         n = len(raw)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[which][raw] * powers(BASE, n)[:n], out=self.sums[1:])
+        value = _BYTES[which][raw] if raw.dtype == np.uint8 else mixed(raw + U(which)) | U(1)
+        np.cumsum(value * powers(BASE, n)[:n], out=self.sums[1:])
         self.back = powers(INVERSE, n)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -59,6 +60,61 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Bytes of an unbroken run from which each of its characters is a word.
+RUN = 300
+
+
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of a UTF-8 text.
+
+    Words stand between white space (Unicode's too) and go without the punctuation at their
+    ends. In scripts without spaces (Han, kana, Thai, Lao, Khmer, Burmese) and in unbroken
+    runs of RUN bytes every character is a word.
+    """
+    n = len(raw)
+    gap, letter, begin = _SPACE[raw], _LETTER[raw], np.zeros(n + 4, bool)
+    at = np.flatnonzero(raw >= 0xC2)
+    if len(at):
+        lead, b, c = raw[at], raw[np.minimum(at + 1, n - 1)], raw[np.minimum(at + 2, n - 1)]
+        wide = (lead == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        wide |= (lead == 0xE3) & (b == 0x80) | (lead == 0xEF) & (b == 0xBC) & ((c <= 0x8F) | (c >= 0x9A) & (c <= 0xA0))
+        for i in (at[(lead == 0xC2) & ((b == 0xA0) | (b == 0x85))], at[wide]):
+            gap[i] = gap[i + 1] = True
+        gap[at[wide] + 2] = True
+        signs = at[(lead == 0xE2) & ((b == 0x80) | (b == 0x81))]
+        letter[signs] = letter[signs + 1] = letter[signs + 2] = False
+        signs = at[lead == 0xC2]
+        letter[signs] = letter[signs + 1] = False
+        alone = (lead == 0xE3) & (b > 0x80) | (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+        alone |= (lead == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F)) | (lead == 0xEF) & (b >= 0xA4) & (b <= 0xAB)
+        begin[at[alone]] = begin[at[alone] + 3] = True
+        alone = at[(lead == 0xF0) & (b >= 0xA0) & (b <= 0xAF)]
+        begin[alone] = begin[alone + 4] = True
+    begin = begin[:n]
+    shut = gap & ~np.concatenate([[True], gap[:-1]])
+    begin = (begin | np.concatenate([[True], gap[:-1]])[:n]) & ~gap
+
+    def cut() -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(begin | shut)
+        first = begin[edge]
+        return edge[first], np.append(edge[1:], n)[: len(edge)][first]
+
+    start, end = cut()
+    long = np.flatnonzero(end - start >= RUN)
+    if len(long):
+        for i in long:
+            begin[start[i] : end[i]] |= raw[start[i] : end[i]] & 0xC0 != 0x80
+        start, end = cut()
+    letters = np.flatnonzero(letter & ~gap)
+    upto = np.concatenate([[0], np.cumsum(letter & ~gap)])
+    a, z = upto[start], upto[end]
+    some = z > a
+    start[some], end[some] = letters[a[some]], letters[z[some] - 1] + 1
+    return Rolling(raw).of(start, end), start, end
+
+
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text, words `[^\\x20\\x09-\\x0D]+` in lower-case A-Z.
 

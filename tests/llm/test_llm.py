@@ -126,6 +126,30 @@ def test_suffix_keep_first(spark):
     assert suffix.drop_later_copies(documents(spark, []), 300, 200).count() == 0
 
 
+def test_words_of_text():
+    said = "(The dog's  bark\u2014is \u201cl\u00f6ud\u201d\u00a0here.) -- \u65e5\u672c\u8a9e\u3002ok " + "z" * 300
+    raw = np.frombuffer(said.encode(), np.uint8)
+    _, start, end = textbytes.words_of(raw)
+    got = [raw[a:b].tobytes().decode() for a, b in zip(start, end)]
+    assert got == ["The", "dog's", "bark\u2014is", "l\u00f6ud", "here", "--", "\u65e5", "\u672c", "\u8a9e", "ok", *"z" * 300]
+    assert all(len(x) == 0 for x in textbytes.words_of(np.zeros(0, np.uint8)))
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_pipeline_cuts_passages_of_51_words(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    rng = np.random.default_rng(8)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(n)]
+    p, han = words(51), "".join(chr(0x4E00 + i) for i in rng.integers(0, 9000, 60))
+    texts = [" ".join(x) for x in (words(30) + p + words(30), words(40) + p + words(9), words(20) + p[:50] + words(20), words(9) + p[1:] + words(70), p)]
+    texts += [han + " tail", "head " + han, "(" + " ".join(p) + ")", " ".join(p[:30] + words(1) + p[31:]), None, ""]
+    assert len(" ".join(p)) < 300
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, documents(spark, texts), "").collect()}
+    assert out[1].split() == [*texts[1].split()[:40], *texts[1].split()[91:]]
+    assert 4 not in out and 7 not in out and out[6] == "head "
+    assert all(out[i] == texts[i] for i in (0, 2, 3, 5, 8, 9, 10))
+
+
 def test_suffix_order_is_exact():
     raw = np.frombuffer(b"banana" * 7 + b"bandana", np.uint8)
     order, _ = suffix.suffix_order(raw, 64)
