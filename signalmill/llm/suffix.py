@@ -129,8 +129,9 @@ SEGMENT = "_k1 long, _k2 long, ord long, a long, start int, n int, c long, twice
 def segments_of(docs: DataFrame, span: int = SPAN, k: int = K, words: bool = False) -> DataFrame:
     """Segments of rows (_k1, _k2, ord, text) that may hold repeated windows.
 
-    Adds copies (segments of the same content), head (the first of them) and kinds (contents
-    of the anchor). Only counts and hashes are shuffled, no text.
+    Adds copies (segments of the same content), head (the first of them), again (whether the
+    segment is that of an equal row before) and kinds (contents of the anchor). Only counts
+    and hashes are shuffled, no text.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +158,10 @@ def segments_of(docs: DataFrame, span: int = SPAN, k: int = K, words: bool = Fal
 
     found = docs.select("_k1", "_k2", "ord", "text").mapInPandas(cut, SEGMENT).repartition("a")  # one exchange serves both windows
     content = Window.partitionBy("a", "c")
-    marked = found.withColumn("copies", F.count("*").over(content)).withColumn("head", F.row_number().over(content.orderBy("ord", "_k1", "_k2", "start")) == 1)
+    places = content.orderBy("ord", "_k1", "_k2", "start")
+    marked = found.withColumn("copies", F.count("*").over(content)).withColumn("head", F.row_number().over(places) == 1)
+    same = [F.lag(c).over(places) == F.col(c) for c in ("_k1", "_k2", "start")]
+    marked = marked.withColumn("again", F.coalesce(same[0] & same[1] & same[2], F.lit(False)))
     marked = marked.withColumn("kinds", F.sum(F.col("head").cast("int")).over(Window.partitionBy("a")))
     return stored(marked.where("copies > 1 or kinds > 1 or twice"), "segments")
 
@@ -169,7 +173,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
     Texts are UTF-8 bytes, null ones empty; matches never cross rows, and count within a row
     too. Strings are judged on the input. Rows shorter than `span` have none. A row repeated
     as a whole (same id and text) is its own copy, so all its bytes are covered if it has
-    `span` of them. With words, span, k and the ranges count the words of words_of().
+    `span` of them; with keep_first equal rows all get the ranges of the first of them. With words, span, k and the ranges count the words of words_of().
     """
     text_batches(docs.sparkSession)
     last = F.lit(2**63 - 1)
@@ -177,7 +181,7 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
     keyed = full.select("_k1", "_k2", F.coalesce(F.col(id_col).cast("long"), last).alias("ord"), F.col("_text").alias("text"))
     marked = segments_of(keyed, span, k, words)
     kind = np.uint64 if words else np.uint8
-    whole = marked.where("copies > 1" + (" and not head" if keep_first else "")).select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
+    whole = marked.where("copies > 1" + (" and not head and not again" if keep_first else "")).select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
     wanted = marked.where("kinds > 1 and (copies = 1 or head) or twice and (copies = 1 or head)")
     asked = stored(wanted.groupBy("_k1", "_k2", "ord").agg(F.collect_list(F.struct("a", "start", "n", "copies", "kinds")).alias("asks")), "asks")
     cut = keyed.select("_k1", "_k2", "text").join(asked, ["_k1", "_k2"])
@@ -201,8 +205,18 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
     cut = cut.mapInPandas(pieces, "_k1 long, _k2 long, ord long, a long, start int, n int, copies long, kinds long, piece binary")
     cut = stored(cut, "pieces")
 
+    def single_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Without the pieces of equal rows but one, which would be earlier copies of themselves."""
+        key, last = ["a", "_k1", "_k2", "start"], None
+        for batch in batches:
+            new = ~batch.duplicated(key).to_numpy()
+            if len(batch):
+                new &= (batch[key] != last).any(axis=1).to_numpy() if last is not None else True
+                last = batch[key].iloc[-1]
+            yield batch[new]
+
     def sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in cell_batches(batches, ["a"]):
+        for batch in cell_batches(single_rows(batches) if keep_first else batches, ["a"]):
             # Whole groups, about two million bytes to a suffix array.
             size = batch["piece"].map(len).groupby(batch["a"]).sum().cumsum() // 2_000_000
             for _, part in batch.groupby(batch["a"].map(size), sort=False):
@@ -269,11 +283,14 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
 
     With words, span and k count words instead, and what goes is every run of `span` words that
     stands earlier. n_chars, where there is such a column, follows the text. Rows of which
-    nothing (no word) is left are dropped.
+    nothing (no word) is left are dropped, so of equal rows of `span` or more one stays.
     """
-    found = repeated(docs, span, k, id_col, text_col, keep_first=True, words=words)
+    found = repeated(docs.withColumn("_row", F.monotonically_increasing_id()), span, k, id_col, text_col, keep_first=True, words=words)
+    found = found.withColumn("_later", F.min("_row").over(Window.partitionBy("_k1", "_k2")) < F.col("_row"))
 
-    def cut(text, runs):
+    def cut(text, runs, later):
+        if later and len(symbols(text, words)) >= span:
+            return ""
         if runs is None:
             return text
         raw, spans = text.encode("utf-8", "surrogatepass"), spans_of(runs, span)
@@ -285,10 +302,11 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
         return without_spans(raw, spans)
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, r) for t, r in zip(text, runs)], dtype=object)
+    def kept(text: pd.Series, runs: pd.Series, later: pd.Series) -> pd.Series:
+        return pd.Series([cut(*x) for x in zip(text, runs, later)], dtype=object)
 
-    found = found.withColumn("_kept", F.when(F.col("_found").isNotNull(), kept("_text", "_found")))
+    # A row that needs no cut keeps its text, a null or empty one too; of equal rows the first stays, as it may be cut.
+    found = found.withColumn("_kept", F.when(F.expr("_found is not null or _later and _text <> ''"), kept("_text", "_found", "_later")))
     new = {text_col: F.coalesce("_kept", text_col)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))

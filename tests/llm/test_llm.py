@@ -150,6 +150,20 @@ def test_pipeline_cuts_passages_of_51_words(spark, monkeypatch, group):
     assert all(out[i] == texts[i] for i in (0, 2, 3, 5, 8, 9, 10))
 
 
+@pytest.mark.parametrize("group", [4096, 1])
+@pytest.mark.parametrize("words", [False, True])
+def test_suffix_keeps_one_of_equal_rows(spark, monkeypatch, group, words):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    a, b, c = prose(90, 31), prose(100, 32), prose(80, 33)
+    rows = [(1, a), (1, a), (1, a), (2, b + " " + a), (2, b + " " + a), (None, c), (None, c), (3, "short"), (3, "short"), (4, None), (4, None), (None, c + " " + c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix.drop_later_copies(docs, *((51, 34) if words else (300, 200)), words=words).collect()
+    texts = lambda i: sorted((r["text"] or "").strip() for r in got if r["doc_id"] == i)
+    assert texts(1) == [a] and texts(2) == [b] and texts(3) == ["short"] * 2 and texts(4) == [""] * 2
+    # Rows of null id stand in the order of their hashes: c stays once, in one of the two.
+    assert sum(t.count(c) for t in texts(None)) == 1
+
+
 def test_suffix_order_is_exact():
     raw = np.frombuffer(b"banana" * 7 + b"bandana", np.uint8)
     order, _ = suffix.suffix_order(raw, 64)
