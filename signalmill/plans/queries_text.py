@@ -99,7 +99,7 @@ def b15(spark, d):
 
 @query("b17_normalize_term", "SELECT doc_id, trim(regexp_replace(replace(strip_accents(replace(lower(left(text, 200)), 'ß', '§')), '§', 'ß'), '^#', '')) AS term FROM documents")
 def b17(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize_term(F.substring("text", 1, 200)).alias("term"))
+    return table(spark, d, "documents").select("doc_id", T.normalize_term(F.col("text")).alias("term"))
 
 
 @query("b18_hashtag_variants", f"""WITH {SEEDS},

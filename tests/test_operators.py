@@ -109,3 +109,13 @@ def test_empty(spark, f):
     b = buckets.day_buckets(k)
     out = {"day_buckets": lambda: b, "daily_series": lambda: buckets.daily_series(b), "deltas": lambda: growth.deltas(b, datetime.date(2024, 1, 1)), "volumes": lambda: growth.volumes(b, datetime.date(2024, 1, 1))}[f]()
     assert out.count() == 0
+
+
+def test_terms_are_normalised_to_their_end(spark, tmp_path):
+    from signalmill.plans import catalog
+
+    catalog.load()
+    said = ["#" + "Ab " * 100 + "\u00c9T\u00c9", " x" * 150 + " Z ", "short \u00d1", None]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["term"] for r in catalog.QUERIES["b17_normalize_term"](spark, str(tmp_path)).collect()}
+    assert got == {0: "ab " * 100 + "ete", 1: "x" + " x" * 149 + " z", 2: "short n", 3: None}
