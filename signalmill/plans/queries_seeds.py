@@ -139,7 +139,7 @@ w AS (SELECT DISTINCT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p
 SELECT d.doc_id AS signal_id, d.lang AS category, v.attribute FROM documents d LEFT JOIN (SELECT w.doc_id, v.* FROM w JOIN v ON w.lang = v.category AND w.w = v.attribute) v ON d.doc_id = v.doc_id""")
 def d22(spark, d):
     docs = table(spark, d, "documents")
-    v = docs.where("doc_id % 7 = 0").select(F.col("lang").alias("category"), F.explode(F.split(F.lower(F.substring("text", 1, 60)), r"[^\p{L}\p{N}]+")).alias("attribute")).where("length(attribute) > 5").distinct()
+    v = docs.select(F.col("lang").alias("category"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("attribute")).where("length(attribute) > 5").distinct()
     s = docs.select(F.col("doc_id").alias("signal_id"), "text")
     return I.tag_attributes(s, docs.select(F.col("doc_id").alias("signal_id"), F.col("lang").alias("category")), v)
 

@@ -431,7 +431,7 @@ def g3(spark, d):
 
 def landed(spark, d, shape: str = "all"):
     """Events and documents as landed JSON items of all platforms."""
-    e = table(spark, d, "events").join(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.substring("text", 1, 80).alias("t")), "event_id", "left")
+    e = table(spark, d, "events").join(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("t")), "event_id", "left")
     k, sec = F.col("event_id"), F.unix_timestamp("ts")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))

@@ -119,3 +119,17 @@ def test_terms_are_normalised_to_their_end(spark, tmp_path):
     spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["term"] for r in catalog.QUERIES["b17_normalize_term"](spark, str(tmp_path)).collect()}
     assert got == {0: "ab " * 100 + "ete", 1: "x" + " x" * 149 + " z", 2: "short n", 3: None}
+
+
+def test_attributes_and_items_are_of_whole_documents(spark, tmp_path):
+    from signalmill.plans import catalog, queries_states
+
+    catalog.load()
+    said = [(1, "en", "a " * 60 + "marigold tiny"), (2, "en", "Marigold"), (3, "de", "marigold? nein"), (7, "de", "keine")]
+    spark.createDataFrame(said, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["d22_tag_attributes"](spark, str(tmp_path)).select("signal_id", "category", "attribute").collect()}
+    assert got == {(1, "en", "marigold"), (2, "en", "marigold"), (3, "de", "marigold"), (7, "de", None)}
+    events = [(1, 5, 2.0, datetime.datetime(2024, 1, 1)), (3, 5, 2.0, datetime.datetime(2024, 1, 1))]
+    spark.createDataFrame(events, "event_id long, user_id long, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    raw = [r["raw"] for r in queries_states.landed(spark, str(tmp_path)).select("raw").collect()]
+    assert any(said[0][2] in x for x in raw)
