@@ -77,15 +77,8 @@ def _inverse(part: Column, schedule: Column) -> Column:
     return F.when(early, root(need, a, b)).otherwise(F.lit(0.5) + root(need - first, b, c))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES, **cols) -> DataFrame:
-    """One row per document and copy taken, with `position` in the course, and one with copy 0 for documents not taken.
-
-    Columns: doc_id, source, size, source_size, target, copy, words, position. Passes over a
-    source repeat its documents in one hash order; a copy is taken when the middle of its
-    words lies within the target, so a source misses its target by half a document at most.
-    Null texts have size 0 and are never taken; a null source is a source; repeated rows are
-    documents of their own; an empty table gives no rows.
-    """
+def counted(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, **cols) -> DataFrame:
+    """One row per input row: sizes(), source_size, place, target, `_copies` taken, and the `_middle` of its words in the source."""
     s = stored(sizes(docs, **cols), "sizes")  # texts are read once; all that follows works on ids and sizes
     slices = s.groupBy("source", "_slice").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,11 +93,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     middle = F.col("_before") + F.col("_start") + F.col("size") / 2
     copies = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
     copies = F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(F.greatest(copies, F.lit(0)), F.floor(F.lit(most)))).otherwise(F.lit(0))
-    s = s.withColumn("_copies", copies.cast("int"))
+    return s.withColumns({"_middle": middle, "_copies": copies.cast("int")})
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES, **cols) -> DataFrame:
+    """One row per document and copy taken, with `position` in the course, and one with copy 0 for documents not taken.
+
+    Columns: doc_id, source, size, source_size, target, copy, words, position. Passes over a
+    source repeat its documents in one hash order; a copy is taken when the middle of its
+    words lies within the target, so a source misses its target by half a document at most.
+    Null texts have size 0 and are never taken; a null source is a source; repeated rows are
+    documents of their own; an empty table gives no rows.
+    """
+    s = counted(docs, weights, share, most, **cols)
     s = s.withColumn("copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array(F.lit(0)))))
     plan = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in schedules])
     schedule = F.element_at(plan, (F.col("place") % len(schedules) + 1).cast("int"))
-    part = F.least((middle + (F.col("copy") - 1) * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    part = F.least((F.col("_middle") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target"), F.lit(1.0))
     return s.select(
         "doc_id", "source", "size", "source_size", "target", "copy",
         F.when(F.col("copy") > 0, F.col("size")).otherwise(F.lit(0)).alias("words"),
@@ -119,10 +124,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(table(spark, sf_dir, "documents"))
-    return m.groupBy("doc_id", "_rank", "source").agg(
-        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"), F.sum("words").alias("taken")
-    ).select("doc_id", "size", "source_size", "target", "taken")
+    m = counted(table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
 
 
 OP9_SQL = r"""

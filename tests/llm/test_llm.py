@@ -378,6 +378,15 @@ def test_toxicity_learns(spark):
 # -- mixing --------------------------------------------------------------------------------------
 
 
+def test_mixing_keeps_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "a", "x y"), (1, "a", "x y"), (1, "a", "p q r"), (None, "a", "k"), (None, "a", "l m"), (None, None, "n"), (2, "b", "u v w"), (3, "b", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op9_mixing(spark, str(tmp_path)).collect()
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["size"]) for r in got), key=key) == sorted(((i, len((t or "").split())) for i, _, t in rows), key=key)
+    assert all(r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 2 * r["size"] for r in got)
+
+
 def test_mixing(spark):
     texts = [prose(20 + i % 30, i) for i in range(300)] + ODD
     docs = documents(spark, texts, lambda i: None if i % 50 == 7 else f"s{min(i % 7, 2)}")
