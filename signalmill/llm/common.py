@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="signalmill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="signalmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
@@ -30,7 +42,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of stored() whose every reader has been stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def boxed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """All columns of docs as one, `_row`, beside own ones, so that no names clash; select("_row.*") opens it."""
+    return docs.select(F.expr("struct(*)").alias("_row"), *extra)
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -46,8 +73,14 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller Arrow batches for whole texts, unless the session has its own setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def map_texts(df: DataFrame, make: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str, rows: int = 500) -> DataFrame:
+    """mapInPandas that sees `rows` rows at a time, whatever the session's Arrow batches hold, so few whole texts are in memory as objects."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                for out in make(batch.slice(at, rows).to_pandas()):
+                    yield pa.RecordBatch.from_pandas(out, kind, preserve_index=False)
+
+    return df.mapInArrow(each, schema)

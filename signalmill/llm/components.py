@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import stored
+from signalmill.llm.common import release, stored
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,23 +33,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and loops are ignored; repeated edges count once; no edges give no rows.
     Every round is a pair of aggregations and joins whose results go to the shared
-    folder, so lineage stays short. Stars are joined with stored minima, which leaves
-    both sides of the join plain exchanges that adaptive execution can split when one
-    centre has very many neighbours.
+    folder, so lineage stays short, and the tables of the round before are deleted. Stars
+    are joined with stored minima, which leaves both sides of the join plain exchanges that
+    adaptive execution can split when one centre has very many neighbours. The rounds end
+    when no edge changes, which makes every component one star.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = stored(e.distinct(), "edges")
-    before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if now == before:
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        changed = new.count() != e.count() or not new.join(e, ["u", "v"], "left_anti").isEmpty()
+        release(low, large, least, e)
+        e = new
+        if not changed:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        before = now

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import row_key, stored, table
+from signalmill.llm.common import boxed, row_key, stored, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SHINGLE, LEAST, RADIUS = 5, 0.8, 20
@@ -112,8 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **params) -> DataFrame:
     """The rows of `docs` that hold no item of the benchmark, all columns as they were."""
     bad = stored(matches(docs, benchmark, id_col=id_col, text_col=text_col, **params).select("_k1", "_k2").distinct(), "leaks")
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    return boxed(docs, *row_key(id_col, text_col)).join(bad, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ Documents with equal shingle sets are one class. Two classes whose similarity re
 threshold differ in a bounded share of their shingles, so when shingles are dealt into more
 parts than that bound, the classes agree on some whole parts: the parts' hashes are the
 groups in which pairs are sought, and no pair is lost. In a group, a signature tree (bitmaps
-of the shingles, nodes with OR-combined bitmaps and size ranges) is traversed against itself;
-node pairs whose largest possible overlap is too small are pruned, and the surviving pairs
-leave the task as a spanning forest. The classes a forest connects are then compared by
-their exact shingle sets, in blocks.
+of the shingles; nodes over nodes, with OR-combined bitmaps and size ranges) is descended
+against itself from the root, or against the tree of another slice of a large group. Node
+pairs whose largest possible overlap is too small are pruned, and the surviving pairs leave
+the task as a spanning forest. The classes a forest connects are then compared by their
+exact shingle sets, in blocks.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import row_key, stored, table, text_batches
+from signalmill.llm.common import boxed, map_texts, release, row_key, stored, table
 from signalmill.llm.components import connected_components, local_forest
 from signalmill.llm.lattice import cell_batches
 from signalmill.llm.textbytes import U, mixed, shingle_sets
 
-BITS, MOST_BITS, LEAF = 2048, 1 << 17, 8
+BITS, MOST_BITS, FAN = 2048, 1 << 17, 8
+#: Node pairs of a tree that are looked at in one go.
+CHUNK = 2048
 #: Classes of a group that one task takes on; larger groups are dealt to tasks of pairs of slices.
 GROUP = 2048
 #: Classes and shingles of a block in the exact comparison.
@@ -106,57 +109,138 @@ def _ones(a: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a).sum(-1, dtype=np.int64)
 
 
-def tree_forest(size: np.ndarray, bits: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the pairs that may link, as indexes. bits: rows of uint64 words.
+class Tree:
+    """Levels of nodes over the members of a group, the members first and the root last.
 
-    Members sort by size into leaves of LEAF; a leaf holds the OR of its bitmaps, its size
-    range and the largest excess of a size over its bits. Shared elements of a pair are at
-    most that excess plus the shared bits. `side` keeps pairs of different sides only.
-    Pairs already connected are not looked at again.
+    FAN nodes that follow each other in order of size have one parent. A node holds the OR
+    of its members' bitmaps, their range of sizes, their most bits and the largest excess
+    of a size over its bits. bits: rows of uint64 words.
     """
-    order = np.lexsort((bits[:, 0], size))
-    size, bits = size[order], bits[order]
-    n = len(size)
-    ones = _ones(bits)
-    starts = np.arange(0, n, LEAF)
-    node_bits = np.bitwise_or.reduceat(bits, starts, axis=0)
-    low, high = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
-    spill = np.maximum.reduceat(size - ones, starts)
-    most = np.maximum.reduceat(ones, starts)
-    label = np.arange(n)
-    out_a, out_b = [], []
-    for x in range(len(starts)):
-        # Nodes from x on: sizes ascend, so the reach in size ends somewhere.
-        reach = np.flatnonzero(rule.p * low[x:] <= rule.q * high[x]) + x
-        shared = _ones(node_bits[reach] & node_bits[x])
-        bound = np.minimum(spill[x] + np.minimum(shared, most[x]), spill[reach] + np.minimum(shared, most[reach]))
-        near = reach[bound >= rule.overlap(low[x], low[reach])]
-        if not len(near):
-            continue
-        rows = np.concatenate([np.arange(starts[y], min(starts[y] + LEAF, n)) for y in near])
-        for i in range(starts[x], min(starts[x] + LEAF, n)):
-            js = rows[(rows > i) & (label[rows] != label[i])]
-            if side is not None:
-                js = js[side[order[js]] != side[order[i]]]
-            if not len(js):
-                continue
-            shared = _ones(bits[js] & bits[i])
-            top = np.minimum(size[i] - ones[i], size[js] - ones[js]) + shared
-            js = js[top >= rule.overlap(size[i], size[js])]
-            if len(js):
-                _, pick = np.unique(label[js], return_index=True)
-                out_a.append(np.full(len(pick), i))
-                out_b.append(js[pick])
-                old = label[js[pick]]
-                label[np.isin(label, old)] = label[i]
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
 
+    def __init__(self, size: np.ndarray, bits: np.ndarray):
+        self.order = np.lexsort((bits[:, 0], size))
+        size, bits = size[self.order], bits[self.order]
+        ones = _ones(bits)
+        self.levels = [(bits, size, size, ones, size - ones)]
+        while len(self.levels[-1][1]) > 1:
+            bits, low, high, most, excess = self.levels[-1]
+            at = np.arange(0, len(low), FAN)
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(most, at), np.maximum.reduceat(excess, at)))
+
+    def node(self, level: int) -> tuple[np.ndarray, ...]:
+        """Nodes of a level; above the root there is the root alone."""
+        return self.levels[min(level, len(self.levels) - 1)]
+
+    def children(self, level: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child of nodes x of a level, and how many there are."""
+        if level >= len(self.levels):
+            return x, np.ones(len(x), np.int64)
+        return x * FAN, np.minimum(len(self.levels[level - 1][1]) - x * FAN, FAN)
+
+
+def _may_link(rule: Rule, a: tuple, b: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether members of nodes x and y can reach the least overlap: at most shared bits and what bits do not show are shared."""
+    (bits_a, low_a, high_a, most_a, over_a), (bits_b, low_b, high_b, most_b, over_b) = a, b
+    shared = _ones(bits_a[x] & bits_b[y])
+    top = np.minimum(over_a[x] + np.minimum(shared, most_a[x]), over_b[y] + np.minimum(shared, most_b[y]))
+    sizes = (rule.p * low_a[x] <= rule.q * high_b[y]) & (rule.p * low_b[y] <= rule.q * high_a[x])
+    return sizes & (top >= rule.overlap(low_a[x], low_b[y]))
+
+
+class _Sets:
+    """Members that are known to be connected, and per level of a tree the label all members of a node share (-1: none)."""
+
+    def __init__(self, n: int):
+        self.label, self.shared = np.arange(n), {}
+
+    def union(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Join pairs; which of them were needed."""
+        need = np.flatnonzero(self.label[x] != self.label[y])
+        _, first = np.unique(np.minimum(self.label[x[need]], self.label[y[need]]) * len(self.label) + np.maximum(self.label[x[need]], self.label[y[need]]), return_index=True)
+        root: dict[int, int] = {}
+
+        def find(i):
+            while root.get(i, i) != i:
+                i = root[i]
+            return i
+
+        used = []
+        for k in need[first].tolist():
+            i, j = find(int(self.label[x[k]])), find(int(self.label[y[k]]))
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                used.append(k)
+        if used:
+            ends = {i: find(i) for i in root}
+            table = np.arange(len(self.label))
+            table[list(ends)] = list(ends.values())
+            self.label, self.shared = table[self.label], {}
+        return np.array(used, np.int64)
+
+    def of(self, side: int, level: int, members: np.ndarray) -> np.ndarray:
+        """members: members of the side's tree in its order."""
+        key = (side, level)
+        if key not in self.shared:
+            at = np.arange(0, len(members), FAN**level)
+            low, high = np.minimum.reduceat(self.label[members], at), np.maximum.reduceat(self.label[members], at)
+            self.shared[key] = np.where(low == high, low, -1)
+        return self.shared[key]
+
+
+def tree_forest(size: np.ndarray, bits: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs that may link, as indexes, by dual traversal. bits: rows of uint64 words.
 
-def node_of(shingles: np.ndarray) -> int:
-    """64-bit name of a shingle set; equal sets share it."""
-    return int((mixed(shingles).sum() * U(0x9E3779B97F4A7C15) ^ mixed(shingles ^ U(0x5851F42D4C957F2D)).sum() + U(len(shingles))).astype(np.int64))
+    Without `side` a tree of all is descended against itself; with it, the trees of the two
+    sides against each other. Node pairs whose members are all connected already are passed
+    over, which keeps groups of near copies from being looked at pair by pair.
+    """
+    parts = [np.arange(len(size))] if side is None else [np.flatnonzero(side == s) for s in np.unique(side)]
+    none = np.zeros(0, np.int64)
+    if side is not None and len(parts) < 2 or len(size) < 2:
+        return none, none
+    trees = [Tree(size[p], bits[p]) for p in parts]
+    a, b = trees[0], trees[-1]
+    members = [p[t.order] for p, t in zip(parts, trees)]
+    sets, same = _Sets(len(size)), a is b
+    top = max(len(a.levels), len(b.levels)) - 1
+    stack, out = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))], []
+    while stack:
+        level, x, y = stack.pop()
+        la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
+        known = sets.of(0, la, members[0])[x]
+        live = np.flatnonzero((known < 0) | (known != sets.of(len(parts) - 1, lb, members[-1])[y]))
+        x, y = x[live], y[live]
+        good = _may_link(rule, a.node(level), b.node(level), x, y)
+        if same and level:
+            good |= x == y
+        x, y = x[good], y[good]
+        if not len(x):
+            continue
+        if level == 0:
+            x, y = members[0][x], members[-1][y]
+            used = sets.union(x, y)
+            out.append((x[used], y[used]))
+            continue
+        (xa, xn), (ya, yn) = a.children(level, x), b.children(level, y)
+        count = xn * yn
+        k = np.repeat(np.arange(len(x)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        x, y = xa[k] + at // yn[k], ya[k] + at % yn[k]
+        if same:
+            use = x < y if level == 1 else x <= y
+            x, y = x[use], y[use]
+        # Pairs of near nodes last, so that they come off the stack first.
+        nearest = np.argsort(-np.abs(x - y), kind="stable")
+        x, y = x[nearest], y[nearest]
+        stack += [(level - 1, x[s : s + CHUNK], y[s : s + CHUNK]) for s in range(0, len(x), CHUNK)]
+    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (none, none)
+
+
+def name_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit name of a shingle set; equal sets share it."""
+    first = mixed(shingles).sum() * U(0x9E3779B97F4A7C15) ^ mixed(shingles ^ U(0x5851F42D4C957F2D)).sum() + U(len(shingles))
+    second = mixed(mixed(shingles + U(0xD6E8FEB86659FD93)) * U(0x9E3779B97F4A7C15)).sum() + U(len(shingles))
+    return int(first.astype(np.int64)), int(second.astype(np.int64))
 
 
 #: Words of the bitset that tells which sets may need signatures: 1 MB, whatever the input.
@@ -178,7 +262,7 @@ def in_bitset(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return (words[place // 64].view(np.uint64) >> (place % 64).astype(np.uint64)) & U(1) == U(1)
 
 
-def _chunks(frame: pd.DataFrame, text: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def _chunks(frame: pd.DataFrame, text: str, chars: int = 400_000) -> Iterator[pd.DataFrame]:
     """Rows of about so many characters at a time."""
     at = frame[text].str.len().cumsum().to_numpy() // chars
     for _, part in frame.groupby(at, sort=False):
@@ -186,20 +270,19 @@ def _chunks(frame: pd.DataFrame, text: str, chars: int = 2_000_000) -> Iterator[
 
 
 def shingled(docs: DataFrame, k: int, make, schema: str) -> DataFrame:
-    """docs (n, text, ...): make(rows, sets) for chunks of rows."""
+    """docs (text, ...): make(rows, sets) for chunks of rows."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _chunks(batch, "text"):
-                yield make(part, shingle_sets(part["text"].tolist(), k))
+    def each(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for part in _chunks(batch, "text"):
+            yield make(part, shingle_sets(part["text"].tolist(), k))
 
-    return docs.mapInPandas(each, schema)
+    return map_texts(docs, each, schema)
 
 
 def _verified(pdf: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """Forest edges (a, b) of the linked classes of one block, or of two."""
+    """Forest edges (a, b) of the linked classes of one block, or between two."""
     sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-    node, size, block = pdf["node"].to_numpy(), np.array([len(s) for s in sets]), pdf["block"].to_numpy()
+    node, size, block = pdf["cid"].to_numpy(), np.array([len(s) for s in sets]), pdf["side"].to_numpy()
     flat = np.concatenate(sets)
     values, at = np.unique(flat, return_inverse=True)
     counts = np.bincount(at)
@@ -209,62 +292,121 @@ def _verified(pdf: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     m[np.repeat(np.arange(len(sets)), size)[shared], rank[at[shared]]] = 1
     same = np.rint(m @ m.T).astype(np.int64)
     i, j = np.nonzero(np.triu(rule.linked(same, size[:, None], size[None, :]), 1))
-    if pdf["b1"].iloc[0] != pdf["b2"].iloc[0]:
+    if (block != block[0]).any():
         cross = block[i] != block[j]
         i, j = i[cross], j[cross]
     a, b = local_forest(node[i], node[j]) if len(i) else (np.zeros(0, np.int64),) * 2
     return pd.DataFrame({"a": a, "b": b})
 
 
+def _compared(cells: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
+    """Forest edges of the linked pairs of cells (cell columns c1 to c4, side, cid), by exact sets."""
+    key = ["c1", "c2", "c3", "c4"]
+    rows = cells.join(signed.select("cid", "shingles"), "cid").repartition(*key).sortWithinPartitions(*key)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in cell_batches(batches, key):
+            for _, same in batch.groupby(key):
+                yield _verified(same, rule)
+
+    return rows.mapInPandas(each, "a long, b long")
+
+
+def _blocks(near: DataFrame, by: list[str]) -> DataFrame:
+    """Adds `block` to rows (cid, n, level, ...): members of a group `by` are dealt to blocks of a bounded number of classes and shingles, by hash."""
+    sizes = near.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    return near.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks"))).drop("blocks")
+
+
+def _links(near: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
+    """(node, component) of classes linked by exact similarity. near: cid, n, component of the candidates.
+
+    First every block of a candidate component is compared in itself, together with one
+    class of the component's size level that all its blocks hold, so that near copies of
+    one text become one label with about as many rows as there are classes. What a
+    component's main label leaves over is then compared, in blocks of one label, with all
+    blocks of other labels that its sizes can reach.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / math.log(rule.q / rule.p) + 1e-9).cast("long").alias("level")
+    near = _blocks(near.select("cid", "n", "component", level), ["component", "level"])
+    spokes = near.groupBy("component", "level").agg(F.min("cid").alias("cid"))
+    held = near.select("component", "level", "block").distinct().join(spokes, ["component", "level"])
+    own = near.select("component", "level", "block", "cid").unionByName(held).distinct()
+    own = own.select(F.col("component").alias("c1"), F.col("level").alias("c2"), F.col("block").alias("c3"), F.lit(0).cast("long").alias("c4"), F.lit(0).cast("long").alias("side"), "cid")
+    own = stored(_compared(own, signed, rule), "within")
+    labels = stored(connected_components(own), "labels")
+    marked = near.drop("block").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left")
+    marked = stored(_blocks(marked.withColumn("label", F.coalesce("label", "cid")), ["component", "label", "level"]), "marked")
+    groups = marked.groupBy("component", "label").agg(F.count("*").alias("m"))
+    main = groups.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    cells = marked.select("component", "label", "level", "block").distinct().join(main.select("component", F.col("top.label").alias("main")), "component")
+    x, y = cells.where("label <> main").alias("x"), cells.alias("y")
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.label") < F.col("y.label")))
+    near_sizes = F.abs(F.col("x.level") - F.col("y.level")) <= 1
+    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & apart & near_sizes)
+    place = lambda t: F.struct(F.col(f"{t}.component").alias("component"), F.col(f"{t}.label").alias("label"), F.col(f"{t}.level").alias("level"), F.col(f"{t}.block").alias("block"))
+    pairs = stored(pairs.select(place("x").alias("p"), place("y").alias("q")), "pairs")
+    names = [F.xxhash64("p"), F.xxhash64("q"), F.xxhash64("p", "q"), F.lit(1).cast("long")]
+    sides = pairs.select(*[c.alias(f"c{i + 1}") for i, c in enumerate(names)], F.posexplode(F.array("p", "q")).alias("side", "at"))
+    cells = sides.select("c1", "c2", "c3", "c4", F.col("side").cast("long").alias("side"), "at.*").join(marked, ["component", "label", "level", "block"])
+    across = stored(_compared(cells.select("c1", "c2", "c3", "c4", "side", "cid"), signed, rule), "across")
+    links = stored(connected_components(own.unionByName(across)), "links")
+    release(own, labels, marked, pairs, across)
+    return links
+
+
 def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, _k1, _k2, n_shingles, component_id) per distinct document row; component_id is the smallest doc_id reachable by links.
 
     Null, empty and word-free texts have no shingles and link with nothing. Repeated rows
     (same id and text) give one row; rows of one id with different texts are one node. A null
-    id gets no links and a null component.
+    id gets no links and a null component. An empty table gives no rows.
     """
-    text_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sized(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        out = part[["doc_id", "_k1", "_k2"]].copy()
-        out["n"], out["node"] = [len(s) for s in sets], [node_of(s) for s in sets]
-        return out
+        names = [name_of(s) for s in sets]
+        return part[["doc_id", "_k1", "_k2"]].assign(n=[len(s) for s in sets], node=[a for a, _ in names], more=[b for _, b in names])
 
-    found = stored(shingled(keyed, k, sized, "doc_id long, _k1 long, _k2 long, n long, node long").distinct(), "sets")
-    classes = stored(found.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.min("n").alias("n")), "classes")
+    # Ids travel as text: a batch with a null would turn them into doubles.
+    found = shingled(keyed.withColumn("doc_id", F.col("doc_id").cast("string")), k, sized, "doc_id string, _k1 long, _k2 long, n long, node long, more long")
+    found = stored(found.withColumn("doc_id", F.col("doc_id").cast("long")).distinct(), "sets")
+    classes = stored(found.where("n > 0 and doc_id is not null").groupBy("node", "more").agg(F.min("doc_id").alias("cid"), F.min("n").alias("n")), "classes")
 
     def keyed_sets(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)  # copies of a batch once
+        nodes, first = np.unique(np.array([name_of(s)[0] for s in sets], np.int64), return_index=True)  # copies of a batch once
         keys = [rule.keys(sets[i]) for i in first]
         return pd.DataFrame({"node": np.repeat(nodes, [len(x) for x in keys]), "key": np.concatenate(keys) if keys else np.zeros(0, np.int64)})
 
     # Keys that the same sets share are one group: it is named by the sum of its members' hashes.
     by_key = Window.partitionBy("key")
-    met = shingled(keyed.where("doc_id is not null"), k, keyed_sets, "node long, key long").withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key))
+    texts = keyed.where("doc_id is not null").select("text")
+    met = shingled(texts, k, keyed_sets, "node long, key long").withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key))
     met = met.withColumn("group", F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(by_key)).where("low <> high")
     met = stored(met.select("node", F.xxhash64("group", "low", "high").alias("key")).distinct(), "met")
-    sizes = met.groupBy("key").agg(F.count("*").alias("count"))
     wanted = bitset(met.select("node"))
 
     def signatures(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)
-        use = in_bitset(wanted, nodes)
-        nodes, some = nodes[use], [sets[i] for i in first[use]]
-        return pd.DataFrame({"node": nodes, "n": [len(s) for s in some], "bits": [bitmap(s) for s in some], "shingles": [s.tobytes() for s in some]})
-
-    signed = shingled(keyed, k, signatures, "node long, n long, bits binary, shingles binary")
-    signed = stored(signed.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "signatures")
-    dealt = met.join(stored(sizes, "sizes"), "key").withColumn("slices", F.ceil(F.col("count") / GROUP).cast("int"))
+        names = [name_of(s) for s in sets]
+        use = np.flatnonzero(in_bitset(wanted, np.array([a for a, _ in names], np.int64)))
+        first = {names[i]: i for i in use[::-1].tolist()}  # copies of a batch once
+        some = [sets[i] for i in first.values()]
+        return pd.DataFrame({"node": [a for a, _ in first], "more": [b for _, b in first], "n": [len(s) for s in some], "bits": [bitmap(s) for s in some], "shingles": [s.tobytes() for s in some]})
+
+    signed = shingled(texts, k, signatures, "node long, more long, n long, bits binary, shingles binary")
+    signed = signed.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "more"])
+    signed = stored(signed.join(classes.select("node", "more", "cid"), ["node", "more"]), "signatures")
+    sizes = stored(met.groupBy("key").agg(F.count("*").alias("count")), "sizes")
+    dealt = met.join(sizes, "key").withColumn("slices", F.ceil(F.col("count") / GROUP).cast("int"))
     dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = dealt.select("node", "key", "slice", F.least("slice", "other").alias("b1"), F.greatest("slice", "other").alias("b2"))
-    ready = dealt.join(signed.select("node", "n", "bits"), "node").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    ready = dealt.join(signed.select("node", "cid", "n", "bits"), "node").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
     def traversed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in cell_batches(batches, ["key", "b1", "b2"]):
             bits = batch["bits"].tolist()
-            size, node, side = batch["n"].to_numpy(), batch["node"].to_numpy(), batch["slice"].to_numpy()
+            size, node, side = batch["n"].to_numpy(), batch["cid"].to_numpy(), batch["slice"].to_numpy()
             cell = batch[["key", "b1", "b2"]].to_numpy()
             edges = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1), True])
             a, b = [], []
@@ -277,47 +419,14 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
                 x, y = local_forest(np.concatenate(a), np.concatenate(b))
                 yield pd.DataFrame({"a": x, "b": y})
 
-    near = connected_components(ready.mapInPandas(traversed, "a long, b long"))
-    near = stored(near.join(signed.select("node", "n"), "node"), "near")
-    # Blocks: members of a component in order of size; sums of counts and shingles cut them.
-    order = Window.partitionBy("component").orderBy("n", "node")
-    cut = F.greatest(F.floor((F.row_number().over(order) - 1) / BLOCK_DOCS), F.floor((F.sum("n").over(order) - F.col("n")) / BLOCK_SHINGLES))
-    blocks = stored(near.withColumn("block", cut.cast("int")), "blocks")
-    nodes = blocks.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-
-    def compared(wanted: DataFrame) -> DataFrame:
-        """wanted: component, b1, b2. Forest edges of the linked pairs of those blocks."""
-        sides = wanted.select("component", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-        rows = sides.join(blocks.select("component", "block", "node"), ["component", "block"]).join(signed.select("node", "shingles"), "node")
-        rows = rows.repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
-
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in cell_batches(batches, ["component", "b1", "b2"]):
-                for _, same in batch.groupby(["component", "b1", "b2"]):
-                    yield _verified(same, rule)
-
-        return rows.mapInPandas(each, "a long, b long")
-
-    own = stored(compared(nodes.select("component", F.col("block").alias("b1"), F.col("block").alias("b2"))), "within")
-    x, y = nodes.alias("x"), nodes.alias("y")
-    size_ok = F.expr(f"{rule.p} * y.low <= {rule.q} * x.high and {rule.p} * x.low <= {rule.q} * y.high")
-    cross = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.block") < F.col("y.block")) & size_ok)
-    cross = cross.select(F.col("x.component").alias("component"), F.col("x.block").alias("b1"), F.col("y.block").alias("b2"))
-    # Blocks that are one component already, both the same, have nothing left to find.
-    labels = stored(connected_components(own), "labels")
-    of = blocks.join(labels.withColumnRenamed("component", "label"), "node", "left").groupBy("component", "block").agg(
-        F.min(F.coalesce("label", "node")).alias("lo"), F.max(F.coalesce("label", "node")).alias("hi")
-    )
-    whole = stored(of, "whole")
-    p, q = whole.alias("p"), whole.alias("q")
-    cross = cross.alias("c").join(p, (F.col("c.component") == F.col("p.component")) & (F.col("c.b1") == F.col("p.block")))
-    cross = cross.join(q, (F.col("c.component") == F.col("q.component")) & (F.col("c.b2") == F.col("q.block")))
-    cross = cross.where("p.lo <> p.hi or q.lo <> q.hi or p.lo <> q.lo").select("c.component", "c.b1", "c.b2")
-    links = connected_components(own.unionByName(compared(stored(cross, "cross"))))
-    answer = classes.select("node", "head").join(stored(links, "links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = stored(answer.groupBy("component").agg(F.min("head").alias("component_id")), "heads")
-    answer = stored(answer.join(heads, "component").select("node", "component_id"), "answer")
-    out = found.join(answer, "node", "left")
+    forest = stored(ready.mapInPandas(traversed, "a long, b long"), "forest")
+    near = connected_components(forest).withColumnRenamed("node", "cid")
+    near = stored(near.join(signed.select("cid", "n"), "cid"), "near")
+    links = _links(near, signed, rule)
+    answer = classes.join(links.withColumnRenamed("node", "cid"), "cid", "left").select("node", "more", F.coalesce("component", "cid").alias("component_id"))
+    answer = stored(answer, "answer")
+    release(met, sizes, signed, classes, forest, near, links)
+    out = found.join(answer, ["node", "more"], "left")
     single = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_k1", "_k2", F.col("n").alias("n_shingles"), single.alias("component_id"))
 
@@ -326,7 +435,7 @@ def keep_first(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="doc_i
     """The rows of `docs` less those of a group that is not headed by their id; all columns as they were. Rows with a null id stay."""
     groups = similar_groups(docs, k, rule, id_col, text_col)
     drop = stored(groups.where("component_id <> doc_id").select("_k1", "_k2").distinct(), "copies")
-    return docs.select("*", *row_key(id_col, text_col)).join(drop, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    return boxed(docs, *row_key(id_col, text_col)).join(drop, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Suffix-array dedup: longest-previous-factor arrays over the places where texts can repeat.
 
 Every window of SPAN bytes owns an anchor, the smallest hash of the K-byte strings in it, so
-equal windows have equal anchors and windows of one anchor form segments. Segments whose
-anchor or whole content stands nowhere else are done. The distinct contents left over are
-suffix-sorted in groups of one anchor; previous and next smaller positions in suffix order
-give every suffix its longest earlier match, up to SPAN bytes, and with it which windows
-have an earlier copy and which a later one. Lengths are bytes, or words where a caller asks
-for words: then the string is that of the words' hashes.
+equal windows have equal anchors and windows of one anchor form segments. Anchors that stand
+in one place only are done. Of the other segments the distinct contents are suffix-sorted in
+groups of one anchor; the nearest smaller positions before and after a suffix in suffix
+order give its longest previous factor, and with it whether its window has an earlier copy
+(the nearest larger positions: a later one). A group too large for one suffix array is dealt
+out by finer anchors, in the end the windows themselves, whose groups hold one content each.
+Lengths are bytes, or words where a caller asks for words: then the string is that of the
+words' hashes.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import row_key, stored, table, text_batches
+from signalmill.llm.common import boxed, map_texts, release, row_key, stored, table
 from signalmill.llm.lattice import cell_batches
 from signalmill.llm.textbytes import Rolling, words_of
 
 SPAN, K = 400, 300
-#: Distinct contents of an anchor that one suffix array takes; windows of larger groups are matched by their hashes.
+#: Distinct contents of an anchor that one suffix array takes; windows of larger groups are anchors of their own.
 GROUP = 4096
+#: Bytes (or words) that one suffix array sorts, but for a group that is larger.
+ARRAY = 500_000
 
 
 def symbols(text: str, words: bool) -> np.ndarray:
@@ -34,12 +39,12 @@ def symbols(text: str, words: bool) -> np.ndarray:
     return words_of(raw)[0] if words else raw
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, rank by the first `depth` places, of bytes at least 8) of an array of bytes or word hashes, by prefix doubling.
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(suffix order, [(length, rank by so many first places)]) of an array of bytes or word hashes, by prefix doubling.
 
-    Ranks start from eight bytes or one word; ranks of doubled length come from sorting pairs of ranks, and
-    the last pair overlaps, so the order is exact to `depth` bytes and equal prefixes share a
-    rank. Suffixes of equal prefixes stand in order of position.
+    Ranks start from eight bytes or one word; ranks of doubled length come from sorting pairs
+    of ranks, and the last pair overlaps, so the order is exact to `depth` places and equal
+    prefixes share a rank. Suffixes of equal prefixes stand in order of position.
     """
     n = len(text)
     value, length = text, 1
@@ -48,31 +53,70 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         value, length = np.zeros(n, np.uint64), 8
         for i in range(8):
             value = (value << np.uint64(8)) | padded[i : n + i]
+    ranks = []
     while True:
         order = np.argsort(value)
         rank = np.empty(n, np.int64)
         moved = value[order]
         rank[order] = np.cumsum(np.concatenate([[1], moved[1:] != moved[:-1]])) if n else order
-        if length >= depth or n == 0 or rank[order[-1]] == n:
-            return np.argsort(rank, kind="stable"), rank
+        ranks.append((length, rank.astype(np.int32)))
+        if length >= depth or n == 0:
+            return np.argsort(rank, kind="stable"), ranks
         step = min(length, depth - length)
         value = rank * (n + 1)
         value[: max(n - step, 0)] += rank[step:]
         length += step
 
 
-def matches(order: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether an earlier and whether a later of the suffixes in `order` shares the first bytes, for each of n positions.
-
-    The longest previous factor of a suffix is its best match among the nearest smaller
-    positions before and after it in suffix order. Where prefixes of the whole sorted depth
-    are equal those are neighbours of equal rank, since equals stand in order of position.
+def common_prefix(ranks: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
+    """Places that the suffixes i and j share, as far as the ranks show it: exact at `depth` or more, where it stops, and a lower bound below."""
+    got = np.zeros(len(i), np.int64)
+    full = ranks[-1][1][i] == ranks[-1][1][j]
+    n = len(ranks[-1][1])
+    for length, rank in reversed(ranks[:-1]):
+        a, b = i + got, j + got
+        inside = (a < n) & (b < n) & ~full
+        same = inside.copy()
+        same[inside] = rank[a[inside]] == rank[b[inside]]
+        got[same] += length
+    return np.where(full, depth, np.minimum(got, depth - 1))
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it that holds a smaller value, -1 for none; by pointer jumping over all places at once."""
+    near = np.arange(-1, len(values) - 1)
+    live = np.flatnonzero(near >= 0)
+    while len(live):
+        live = live[values[near[live]] > values[live]]
+        near[live] = near[near[live]]
+        live = live[near[live] >= 0]
+    return near
+
+
+def previous_factors(order: np.ndarray, ranks: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
+    """Longest previous factor, up to `depth`, of the suffixes in `order`, in that order.
+
+    It is the longer of the matches with the nearest suffixes of smaller position before and
+    after in suffix order.
     """
-    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
-    same = rank[order][1:] == rank[order][:-1]
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
+    before = nearest_smaller(order)
+    after = len(order) - 1 - nearest_smaller(order[::-1])[::-1]
+    best = np.zeros(len(order), np.int64)
+    for near, some in ((before, before >= 0), (after, after < len(order))):
+        at = np.flatnonzero(some)
+        best[at] = np.maximum(best[at], common_prefix(ranks, order[at], order[near[at]], depth))
+    return best
+
+
+def next_factors(order: np.ndarray, ranks: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
+    """The same for matches at larger positions."""
+    before = nearest_smaller(-order)
+    after = len(order) - 1 - nearest_smaller(-order[::-1])[::-1]
+    best = np.zeros(len(order), np.int64)
+    for near, some in ((before, before >= 0), (after, after < len(order))):
+        at = np.flatnonzero(some)
+        best[at] = np.maximum(best[at], common_prefix(ranks, order[at], order[near[at]], depth))
+    return best
 
 
 def anchors(raw: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
@@ -100,21 +144,26 @@ def anchors(raw: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray,
     views = np.lib.stride_tricks.sliding_window_view(h, w)
     first = start + (views[start] == value[:, None]).argmax(1)
     last = end - 1 + w - 1 - (views[end - 1] == value[:, None])[:, ::-1].argmax(1)
-    return value, start, end - start, roll.of(start, end - 1 + span), first != last
+    # The content's hash is of other random values than the anchor's, so the two name it by 128 bits.
+    return value, start, end - start, Rolling(raw, 1).of(start, end - 1 + span), first != last
 
 
 def _pieces_marked(pdf: pd.DataFrame, span: int, keep_first: bool, kind=np.uint8) -> list[np.ndarray]:
     """Of each piece in whole anchor groups, which windows stand elsewhere (keep_first: earlier) among the pieces."""
     joined = np.frombuffer(b"".join(pdf["piece"]), kind)
     lengths, number = pdf["piece"].map(len).to_numpy() // joined.itemsize, pdf["n"].to_numpy()
-    order, rank = suffix_order(joined, span)
+    order, ranks = suffix_order(joined, span)
     first = np.cumsum(lengths) - lengths
     # Windows end inside their piece, so only suffixes that start a window count.
     starts = np.zeros(len(joined), bool)
     for a, n in zip(first, number):
         starts[a : a + n] = True
-    earlier, later = matches(order[starts[order]], rank, len(joined))
-    flags = earlier if keep_first else earlier | later
+    order = order[starts[order]]
+    found = previous_factors(order, ranks, span) >= span
+    if not keep_first:
+        found |= next_factors(order, ranks, span) >= span
+    flags = np.zeros(len(joined), bool)
+    flags[order[found]] = True
     return [flags[a : a + n] for a, n in zip(first, number)]
 
 
@@ -127,82 +176,88 @@ SEGMENT = "_k1 long, _k2 long, ord long, a long, start int, n int, c long, twice
 
 
 def segments_of(docs: DataFrame, span: int = SPAN, k: int = K, words: bool = False) -> DataFrame:
-    """Segments of rows (_k1, _k2, ord, text) that may hold repeated windows.
+    """Segments of rows (_k1, _k2, ord, text) whose anchor stands elsewhere too.
 
-    Adds copies (segments of the same content), head (the first of them), again (whether the
-    segment is that of an equal row before) and kinds (contents of the anchor). Only counts
+    Adds copies (segments of the same content), head (whether it is the first of them; those
+    of equal rows are all first) and kinds (contents of the anchor). Anchors are counted with
+    partial aggregates before any segment moves, and segments meet the counts in joins that
+    adaptive execution can split, so no task takes all segments of one anchor. Only counts
     and hashes are shuffled, no text.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         names = ["a", "start", "n", "c", "twice"]
 
         def frame(rows):
             times = [len(x[3]) for x in rows]
             out = {key: np.repeat(np.array([x[i] for x in rows], np.int64), times) for i, key in enumerate(("_k1", "_k2", "ord"))}
             out |= {name: np.concatenate([x[3 + i] for x in rows]) for i, name in enumerate(names)}
-            return pd.DataFrame(out).assign(a=lambda f: f["a"].to_numpy().view(np.int64), c=lambda f: f["c"].to_numpy().view(np.int64))
-
-        for batch in batches:
-            rows, held = [], 0
-            for k1, k2, order, text in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"]):
-                raw = symbols(text, words)
-                if len(raw) >= span:
-                    rows.append((k1, k2, order, *anchors(raw, span, k)))
-                    held += len(rows[-1][3])
-                if held > 100_000:
-                    yield frame(rows)
-                    rows, held = [], 0
-            if rows:
+            out |= {"a": out["a"].view(np.int64), "c": out["c"].view(np.int64), "start": out["start"].astype(np.int32), "n": out["n"].astype(np.int32)}
+            return pd.DataFrame(out)
+
+        rows, held = [], 0
+        for k1, k2, order, text in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"]):
+            raw = symbols(text, words)
+            if len(raw) >= span:
+                rows.append((k1, k2, order, *anchors(raw, span, k)))
+                held += len(rows[-1][3])
+            if held > 50_000:
                 yield frame(rows)
-
-    found = docs.select("_k1", "_k2", "ord", "text").mapInPandas(cut, SEGMENT).repartition("a")  # one exchange serves both windows
-    content = Window.partitionBy("a", "c")
-    places = content.orderBy("ord", "_k1", "_k2", "start")
-    marked = found.withColumn("copies", F.count("*").over(content)).withColumn("head", F.row_number().over(places) == 1)
-    same = [F.lag(c).over(places) == F.col(c) for c in ("_k1", "_k2", "start")]
-    marked = marked.withColumn("again", F.coalesce(same[0] & same[1] & same[2], F.lit(False)))
-    marked = marked.withColumn("kinds", F.sum(F.col("head").cast("int")).over(Window.partitionBy("a")))
-    return stored(marked.where("copies > 1 or kinds > 1 or twice"), "segments")
+                rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    every = map_texts(docs.select("_k1", "_k2", "ord", "text"), cut, SEGMENT)
+    shared = every.groupBy("a").agg(F.count("*").alias("places"), F.max("twice").alias("again")).where("places > 1 or again")
+    shared = stored(shared.select("a"), "anchors")
+    found = stored(every.join(shared.hint("shuffle_hash"), "a", "left_semi"), "shared")
+    place = F.struct("ord", "_k1", "_k2", "start")
+    contents = found.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min(place).alias("top"))
+    contents = stored(contents, "contents")
+    kinds = stored(contents.groupBy("a").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")), "kinds")
+    counts = contents.join(kinds, "a").where("copies > 1 or kinds > 1")
+    marked = found.join(counts, ["a", "c"], "left").where("twice or copies is not null")
+    marked = marked.withColumns({"copies": F.coalesce("copies", F.lit(1)), "kinds": F.coalesce("kinds", F.lit(1)), "head": F.coalesce(F.col("top") == place, F.lit(True))})
+    out = stored(marked.select("_k1", "_k2", "ord", "a", "start", "n", "twice", "copies", "kinds", "head"), "segments")
+    release(shared, found, contents, kinds)
+    return out
 
 
 def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", text_col="text", keep_first: bool = False, words: bool = False) -> DataFrame:
-    """The columns of docs, _k1, _k2, _text and `_found`, from which spans_of() gives the byte ranges covered by a
+    """Rows (_row, _k1, _k2, _text, _found): _row holds the columns of docs, and spans_of(_found) the byte ranges covered by a
     `span`-byte string that stands anywhere else too; with keep_first, earlier in the order of ids (nulls last) and places.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross rows, and count within a row
     too. Strings are judged on the input. Rows shorter than `span` have none. A row repeated
     as a whole (same id and text) is its own copy, so all its bytes are covered if it has
-    `span` of them; with keep_first equal rows all get the ranges of the first of them. With words, span, k and the ranges count the words of words_of().
+    `span` of them; with keep_first equal rows all get the ranges of the first of them. With
+    words, span, k and the ranges count the words of words_of(). An empty table gives no rows.
     """
-    text_batches(docs.sparkSession)
     last = F.lit(2**63 - 1)
-    full = docs.select("*", *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    keyed = full.select("_k1", "_k2", F.coalesce(F.col(id_col).cast("long"), last).alias("ord"), F.col("_text").alias("text"))
+    full = boxed(docs, *row_key(id_col, text_col), F.coalesce(F.col(id_col).cast("long"), last).alias("_ord"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    keyed = full.select("_k1", "_k2", F.col("_ord").alias("ord"), F.col("_text").alias("text"))
     marked = segments_of(keyed, span, k, words)
     kind = np.uint64 if words else np.uint8
-    whole = marked.where("copies > 1" + (" and not head and not again" if keep_first else "")).select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
-    wanted = marked.where("kinds > 1 and (copies = 1 or head) or twice and (copies = 1 or head)")
-    asked = stored(wanted.groupBy("_k1", "_k2", "ord").agg(F.collect_list(F.struct("a", "start", "n", "copies", "kinds")).alias("asks")), "asks")
-    cut = keyed.select("_k1", "_k2", "text").join(asked, ["_k1", "_k2"])
-    single = not keep_first  # a copied content is covered already, unless its first copy stays
+    whole = marked.where("copies > 1" + (" and not head" if keep_first else "")).select("_k1", "_k2", "start", F.col("n").alias("windows"), F.lit(None).cast("array<int>").alias("runs"))
+    # A copied content is covered already, unless its first copy stays.
+    wanted = marked.where("(kinds > 1 or twice) and (copies = 1 or head)")
+    asked = stored(wanted.groupBy("_k1", "_k2", "ord").agg(F.collect_set(F.struct("a", "start", "n", "copies", "kinds")).alias("asks")), "asks")
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         names = ["_k1", "_k2", "ord", "a", "start", "n", "copies", "kinds", "piece"]
-        for batch in batches:
-            rows, held = [], 0
-            for k1, k2, order, text, asks in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"], batch["asks"]):
-                raw = symbols(text, words)
-                for x in asks:
-                    rows.append((k1, k2, order, x["a"], x["start"], x["n"], x["copies"], x["kinds"], raw[x["start"] : x["start"] + x["n"] - 1 + span].tobytes()))
-                    held += len(rows[-1][-1])
-                if held > 4_000_000:
+        rows, held = [], 0
+        for k1, k2, order, text, asks in zip(batch["_k1"], batch["_k2"], batch["ord"], batch["text"], batch["asks"]):
+            raw = symbols(text, words)
+            for x in asks:
+                rows.append((k1, k2, order, x["a"], x["start"], x["n"], x["copies"], x["kinds"], raw[x["start"] : x["start"] + x["n"] - 1 + span].tobytes()))
+                held += len(rows[-1][-1])
+                if held > 1_000_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    cut = cut.mapInPandas(pieces, "_k1 long, _k2 long, ord long, a long, start int, n int, copies long, kinds long, piece binary")
+    cut = map_texts(keyed.select("_k1", "_k2", "text").join(asked, ["_k1", "_k2"]), pieces, "_k1 long, _k2 long, ord long, a long, start int, n int, copies long, kinds long, piece binary", 100)
     cut = stored(cut, "pieces")
 
     def single_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,36 +271,36 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc_id", tex
             yield batch[new]
 
     def sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in cell_batches(single_rows(batches) if keep_first else batches, ["a"]):
-            # Whole groups, about two million bytes to a suffix array.
-            size = batch["piece"].map(len).groupby(batch["a"]).sum().cumsum() // 2_000_000
+        for batch in cell_batches(single_rows(batches), ["a"]):
+            # Whole groups to a suffix array.
+            size = batch["piece"].map(len).groupby(batch["a"]).sum().cumsum() // ARRAY
             for _, part in batch.groupby(batch["a"].map(size), sort=False):
                 runs = [_runs(f) for f in _pieces_marked(part, span, keep_first, kind)]
-                use = np.array([bool(r) and (c == 1 or not single) for r, c in zip(runs, part["copies"])])
+                use = np.array([bool(r) and (c == 1 or keep_first) for r, c in zip(runs, part["copies"])])
                 out = part[["_k1", "_k2", "start"]].assign(windows=part["n"], runs=runs)
                 yield out[use]
 
     found = "_k1 long, _k2 long, start int, windows int, runs array<int>"
     small = cut.where(F.col("kinds") <= GROUP).repartition("a").sortWithinPartitions("a", "ord", "_k1", "_k2", "start").mapInPandas(sorted_groups, found)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k1, k2, order, start, n, piece, copies in zip(*(batch[c] for c in ("_k1", "_k2", "ord", "start", "n", "piece", "copies"))):
-                raw = np.frombuffer(piece, kind)
-                h, g = (Rolling(raw, w).windows(span).view(np.int64) for w in (0, 1))
-                yield pd.DataFrame({"_k1": k1, "_k2": k2, "ord": order, "start": np.int32(start), "at": np.arange(n, dtype=np.int32), "copies": copies, "h": h, "g": g})
+    def windows_of(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for k1, k2, order, start, n, piece, copies in zip(*(batch[c] for c in ("_k1", "_k2", "ord", "start", "n", "piece", "copies"))):
+            raw = np.frombuffer(piece, kind)
+            h, g = (Rolling(raw, w).windows(span).view(np.int64) for w in (0, 1))
+            yield pd.DataFrame({"_k1": k1, "_k2": k2, "ord": order, "start": np.int32(start), "at": np.arange(n, dtype=np.int32), "copies": copies, "h": h, "g": g})
 
-    windows = cut.where(F.col("kinds") > GROUP).mapInPandas(hashed, "_k1 long, _k2 long, ord long, start int, at int, copies long, h long, g long")
+    windows = map_texts(cut.where(F.col("kinds") > GROUP), windows_of, "_k1 long, _k2 long, ord long, start int, at int, copies long, h long, g long")
     windows = stored(windows, "windows")
     place = F.struct("ord", "_k1", "_k2", (F.col("start") + F.col("at")).alias("p"))
     often = stored(windows.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(place).alias("top")).where("m > 1"), "often")
     large = windows.join(often, ["h", "g"]).where(place > F.col("top") if keep_first else F.col("copies") == 1)
-    large = large.groupBy("_k1", "_k2", "start").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    large = large.groupBy("_k1", "_k2", "start").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     each = F.flatten(F.transform("ats", lambda x: F.array(x, x + 1)))
     large = large.select("_k1", "_k2", "start", F.lit(0).alias("windows"), each.alias("runs"))
     every = whole.unionByName(small).unionByName(large)
     spans = stored(every.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("_found")), "found")
-    return full.join(spans, ["_k1", "_k2"], "left")
+    release(marked, asked, cut, windows, often)
+    return full.join(spans, ["_k1", "_k2"], "left").drop("_ord")
 
 
 def spans_of(found, span: int) -> np.ndarray:
@@ -285,8 +340,9 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
     stands earlier. n_chars, where there is such a column, follows the text. Rows of which
     nothing (no word) is left are dropped, so of equal rows of `span` or more one stays.
     """
-    found = repeated(docs.withColumn("_row", F.monotonically_increasing_id()), span, k, id_col, text_col, keep_first=True, words=words)
-    found = found.withColumn("_later", F.min("_row").over(Window.partitionBy("_k1", "_k2")) < F.col("_row"))
+    found = repeated(docs, span, k, id_col, text_col, keep_first=True, words=words)
+    # Of equal rows the first stays, as it may be cut.
+    found = found.withColumn("_later", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))) > 1)
 
     def cut(text, runs, later):
         if later and len(symbols(text, words)) >= span:
@@ -301,31 +357,32 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
             spans = np.stack([start[spans[:, 0]], end[spans[:, 1] - 1]], 1)
         return without_spans(raw, spans)
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, runs: pd.Series, later: pd.Series) -> pd.Series:
-        return pd.Series([cut(*x) for x in zip(text, runs, later)], dtype=object)
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, runs: pa.Array, later: pa.Array) -> pa.Array:
+        return pa.array([cut(t.as_py(), r.as_py(), x.as_py()) for t, r, x in zip(text, runs, later)], pa.string())
 
-    # A row that needs no cut keeps its text, a null or empty one too; of equal rows the first stays, as it may be cut.
+    # A row that needs no cut keeps its text, a null or empty one too.
     found = found.withColumn("_kept", F.when(F.expr("_found is not null or _later and _text <> ''"), kept("_text", "_found", "_later")))
-    new = {text_col: F.coalesce("_kept", text_col)}
+    text = F.col("_row").getField(text_col)
+    new = {text_col: F.coalesce("_kept", text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return found.where("_kept is null or _kept <> ''").select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("_row").getField("n_chars"))
+    return found.where("_kept is null or _kept <> ''").select([new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, text, found in zip(batch["doc_id"], batch["text"], batch["found"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                spans, at, digest, gone = spans_of(found, SPAN), 0, hashlib.sha256(), 0
-                for s, e in spans:
-                    digest.update(raw[at:s])
-                    gone, at = gone + int(e - s), int(e)
-                digest.update(raw[at:])
-                rows.append((key, len(raw), gone, len(spans), digest.hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    found = repeated(table(spark, sf_dir, "documents")).select("doc_id", F.col("_text").alias("text"), F.col("_found").alias("found"))
-    return found.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def each(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = []
+        for key, text, found in zip(batch["doc_id"], batch["text"], batch["found"]):
+            raw = text.encode("utf-8", "surrogatepass")
+            spans, at, digest, gone = spans_of(found, SPAN), 0, hashlib.sha256(), 0
+            for s, e in spans:
+                digest.update(raw[at:s])
+                gone, at = gone + int(e - s), int(e)
+            digest.update(raw[at:])
+            rows.append((key, len(raw), gone, len(spans), digest.hexdigest()))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    found = repeated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("_row.doc_id").cast("string").alias("doc_id"), F.col("_text").alias("text"), F.col("_found").alias("found"))
+    # Ids travel as text: a batch with a null would turn them into doubles.
+    return map_texts(found, each, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -1,19 +1,18 @@
 """Toxicity: a bidirectional GRU with attention pooling over windows of words.
 
-A word enters as a hashed word vector plus the mean of its hashed character n-gram vectors
-(from word start, so prefixes have n-grams of their own). Windows of WINDOW words overlap by
-half; both directions of the network read a window, attention pools the states, and a
-document's score is the logistic of what its windows say together. The network is
-trained in numpy on a bounded sample of labelled rows.
+A word enters as a hashed word vector plus the mean of the hashed vectors of all its
+character 3- and 4-grams, ends marked. Windows of WINDOW words overlap by half; both
+directions of the network read a window, attention pools the states, and a document's
+score is the logistic of what all its windows say together. The network is trained in numpy
+on whole texts of a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +21,12 @@ from signalmill.llm.common import remainder, table
 WINDOW, STRIDE = 16, 8
 #: Hash buckets of words and of character n-grams, vector and state sizes.
 WORD_BUCKETS, GRAM_BUCKETS, SIZE, STATE = 1 << 15, 1 << 15, 8, 8
-#: Bounds of the training sample: rows of label 0 and of label 1, and the characters read of
-#: each of them in training; scoring reads whole texts.
-SAMPLE, SAMPLE_CHARS = (4500, 1500), 3000
+#: Bounds of the training sample: rows of label 0 and of label 1, whole texts of each.
+SAMPLE = (4500, 1500)
+#: Characters from which an unbroken run is cut into pieces that overlap by half and are words.
+PIECE = 24
+#: Windows whose logit has a smaller gradient than this share of a document's are not traced back in a training step.
+TRACE = 1e-3
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,34 +37,46 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
-def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word bucket, n-gram buckets padded with 0 to 8) of distinct lower-case words.
-
-    The n-grams are the word's first 2 to 5 characters with a start mark, and its next four
-    3-grams, hashed from code points.
-    """
-    n = len(words)
-    width = 9
-    codes = np.zeros((n, width), np.uint64)
-    flat = np.frombuffer("".join(w[:width].ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
-    if n:
-        codes[:] = flat.reshape(n, width)
-    grams = np.zeros((n, 8), np.int64)
-    h = np.full(n, 7, np.uint64)
-    for i in range(5):
-        h = _mixed(h * _MIX + codes[:, i] + np.uint64(1))
-        if i:
-            grams[:, i - 1] = np.where(codes[:, i] > 0, h % np.uint64(GRAM_BUCKETS - 1) + np.uint64(1), 0)
-    for j in range(4):
-        h = np.full(n, 11, np.uint64)
-        for i in range(j + 1, j + 4):
-            h = _mixed(h * _MIX + codes[:, i] + np.uint64(1))
-        grams[:, 4 + j] = np.where(codes[:, j + 3] > 0, h % np.uint64(GRAM_BUCKETS - 1) + np.uint64(1), 0)
-    h = np.full(n, 13, np.uint64)
-    for i in range(width):
-        h = _mixed(h * _MIX + codes[:, i])
-    lengths = np.array([len(w) for w in words], np.uint64)
-    return ((h + lengths) % np.uint64(WORD_BUCKETS)).astype(np.int64), grams
+def words_of(text: str) -> list[str]:
+    """Lower-case words; long runs as overlapping pieces."""
+    out = []
+    for w in _WORD.findall(text.lower()):
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out
+
+
+class Vocabulary:
+    """Buckets of distinct words: one of the whole word each, and the buckets of all n-grams, word after word."""
+
+    def __init__(self, words: list[str]):
+        codes = np.frombuffer("".join(f"\x01{w}\x02" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(words)), sizes)
+        at = (np.arange(len(codes)) - begin[owner]).astype(np.uint64)
+        # The sum of hashes of every character with its place names the whole word.
+        whole = np.add.reduceat(_mixed(_mixed(codes + np.uint64(1)) * _MIX + at), begin) if len(words) else np.zeros(0, np.uint64)
+        self.word = (_mixed(whole) % np.uint64(WORD_BUCKETS)).astype(np.int64)
+        ids, owners = [], []
+        for n in (3, 4):
+            h = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
+            for i in range(n):
+                h = _mixed(h * _MIX + codes[i : len(codes) - n + 1 + i] + np.uint64(1))
+            whole_grams = owner[: len(h)] == owner[n - 1 :][: len(h)]
+            ids.append((h[whole_grams] % np.uint64(GRAM_BUCKETS)).astype(np.int64))
+            owners.append(owner[: len(h)][whole_grams])
+        owners = np.concatenate(owners)
+        self.gram = np.concatenate(ids)[np.argsort(owners, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
+
+    def grams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n-gram buckets of the words `some`, word after word, and how many each has (one or more)."""
+        count = self.first[some + 1] - self.first[some]
+        at = np.arange(count.sum()) + np.repeat(self.first[some] - (np.cumsum(count) - count), count)
+        return self.gram[at], count
 
 
 def windows(n: int) -> np.ndarray:
@@ -93,9 +107,11 @@ class Net:
             self.p["u" + way] = (rng.normal(size=(h, 3 * h)) / np.sqrt(h)).astype(f)
             self.p["c" + way] = np.zeros(3 * h, f)
 
-    def vectors(self, word: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        count = np.maximum((grams > 0).sum(-1, keepdims=True), 1).astype(np.float32)
-        return self.p["word"][word] + (self.p["gram"][grams] * (grams > 0)[..., None]).sum(-2) / count
+    def vectors(self, vocabulary: Vocabulary, some: np.ndarray) -> np.ndarray:
+        """Vectors of the words `some` (one at least)."""
+        ids, count = vocabulary.grams(some)
+        total = np.add.reduceat(self.p["gram"][ids], np.cumsum(count) - count, axis=0)
+        return self.p["word"][vocabulary.word[some]] + total / count[:, None].astype(np.float32)
 
     def _way(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool):
         """States of one direction. x: time, batch, 3h projections; mask: time, batch, 1."""
@@ -172,28 +188,22 @@ class Net:
         return g, dtable
 
 
-def prepared(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Places of each text's words among the distinct words, and those words' buckets."""
+def prepared(texts: list[str]) -> tuple[list[np.ndarray], Vocabulary]:
+    """Places of each text's words among the distinct words, and those words."""
     place: dict[str, int] = {}
-    docs = [np.fromiter((place.setdefault(w, len(place)) for w in _WORD.findall(t.lower())), np.int64) for t in texts]
-    word, grams = encode(list(place))
-    return docs, word, grams
+    docs = [np.fromiter((place.setdefault(w, len(place)) for w in words_of(t)), np.int64) for t in texts]
+    return docs, Vocabulary(list(place))
 
 
 def cut(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(window ids, document of each window); documents without words have one empty window.
-
-    A window equal to the one before it has the same score and says nothing new, so it is left out.
-    """
+    """(window ids, document of each window) of all windows; documents without words have one empty window."""
     ids, owner = [], []
     for k, d in enumerate(docs):
         starts = windows(len(d))
         padded = np.full(starts[-1] + WINDOW, -1, np.int64)
         padded[: len(d)] = d
-        some = padded[starts[:, None] + np.arange(WINDOW)]
-        some = some[np.r_[True, (some[1:] != some[:-1]).any(1)]]
-        ids.append(some)
-        owner.append(np.full(len(some), k))
+        ids.append(padded[starts[:, None] + np.arange(WINDOW)])
+        owner.append(np.full(len(starts), k))
     return np.concatenate(ids), np.concatenate(owner)
 
 
@@ -203,12 +213,19 @@ def doc_logits(window_logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarr
     return np.log(-np.expm1(np.minimum(none, -1e-12))) - none
 
 
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows, first = np.unique(rows[order], return_index=True)
+    return rows, np.add.reduceat(values[order], first, axis=0)
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.02, seed: int = 5) -> Net:
-    """Adam on the cross entropy of the documents' noisy-or scores. Without rows of both labels the untrained net."""
+    """Adam on the cross entropy of the documents' noisy-or scores over all their windows. Without rows of both labels the untrained net."""
     net = Net(seed)
     if len(set(labels.tolist())) < 2:
         return net
-    docs, word, grams = prepared(texts)
+    docs, vocabulary = prepared(texts)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -223,26 +240,21 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32
             used = used[used >= 0]
             if not len(used):
                 continue
-            tab = net.vectors(word[used], grams[used])
-            logit, tape = net.forward(back, tab, keep=True)
+            tab = net.vectors(vocabulary, used)
+            logit = net.forward(back, tab)[0]
             total = doc_logits(logit.astype(np.float64), owner, len(some))
             err = _sigmoid(total) - labels[some]
             # d total / d window logit = sigmoid(window) / P(any)
             dlogit = err[owner] * _sigmoid(logit) / np.maximum(_sigmoid(total), 1e-9)[owner]
-            g, dtab = net.backward(tape, tab, (dlogit / len(some)).astype(np.float32))
-            g["word"] = (word[used], dtab)
-            live = grams[used] > 0
-            share = dtab / np.maximum(live.sum(1, keepdims=True), 1)
-            g["gram"] = (grams[used][live], np.repeat(share, live.sum(1), 0))
+            live = np.flatnonzero(np.abs(dlogit) >= TRACE)
+            if not len(live):
+                continue
+            _, tape = net.forward(back[live], tab, keep=True)
+            g, dtab = net.backward(tape, tab, (dlogit[live] / len(some)).astype(np.float32))
+            grams, count = vocabulary.grams(used)
+            sparse = {"word": _summed(vocabulary.word[used], dtab), "gram": _summed(grams, np.repeat(dtab / count[:, None], count, 0))}
             step += 1
-            for k, grad in g.items():
-                if isinstance(grad, tuple):
-                    rows, back_rows = np.unique(grad[0], return_inverse=True)
-                    full = np.zeros((len(rows), SIZE), np.float32)
-                    np.add.at(full, back_rows, grad[1])
-                    grad = full
-                else:
-                    rows = slice(None)
+            for k, (rows, grad) in ({k: (slice(None), x) for k, x in g.items()} | sparse).items():
                 m[k][rows] = 0.9 * m[k][rows] + 0.1 * grad
                 v2[k][rows] = 0.99 * v2[k][rows] + 0.01 * grad * grad
                 net.p[k][rows] -= rate * (m[k][rows] / (1 - 0.9**step)) / (np.sqrt(v2[k][rows] / (1 - 0.99**step)) + 1e-6)
@@ -251,56 +263,59 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32
 
 def score_texts(net: Net, texts: list[str]) -> np.ndarray:
     """Score of each whole text."""
-    docs, word, grams = prepared(texts)
+    if not texts:
+        return np.zeros(0)
+    docs, vocabulary = prepared(texts)
     ids, owner = cut(docs)
-    tab = net.vectors(word, grams) if len(word) else np.zeros((1, SIZE), np.float32)
+    n = len(vocabulary.word)
+    tab = net.vectors(vocabulary, np.arange(n)) if n else np.zeros((1, SIZE), np.float32)
     logit = np.concatenate([net.forward(ids[s : s + 8192], tab)[0] for s in range(0, len(ids), 8192)])
     return _sigmoid(doc_logits(logit.astype(np.float64), owner, len(docs)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: tuple[int, int], chars: int, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Up to `rows` labelled rows of label 0 and of label 1 outside the held-out fold, chosen by hash, with `chars` characters each.
+def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: tuple[int, int], label_col: str) -> tuple[list[str], np.ndarray]:
+    """Up to `rows` labelled rows of label 0 and of label 1 outside the held-out fold, chosen by hash, with their whole texts.
 
-    The labels are cut down before they meet the texts, so few texts move.
+    The labels are cut down before they meet the texts, so few texts move. An id that is
+    repeated on either side gives a row for each pair; null ids and labels give none.
     """
     known = labels.where((remainder("doc_id", folds) != held) & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("label"))
     pick = F.xxhash64("doc_id", F.lit(17))
     few = [known.where(F.col("label") == k).orderBy(pick).limit(rows[k]) for k in (0, 1)]
-    found = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(few[0].union(few[1]), "doc_id")
-    got = found.select(F.coalesce("text", F.lit("")).alias("text"), "label").orderBy(pick, "text").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few[0].union(few[1]), "doc_id")
+    got = found.orderBy(pick, "text").select("text", "label").collect()
     return [r["text"] for r in got], np.array([r["label"] for r in got], np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, label_col="toxic") -> Net:
-    return train(*sample(docs, labels, folds, held, SAMPLE, SAMPLE_CHARS, label_col))
+    """The network trained on the sample; without labelled rows, or on an empty table, the untrained one."""
+    return train(*sample(docs, labels, folds, held, SAMPLE, label_col))
+
 
+def score(docs: DataFrame, net: Net, name: str = "score", text_col: str = "text") -> DataFrame:
+    """docs with the column `name` (one of that name is replaced), a score from 0 to 1 of every row's whole text.
 
-def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of every row and its `score`; null texts count as empty."""
-    keep = keep or ["doc_id"]
+    Null texts count as empty; equal texts, repeated rows among them, score the same; an
+    empty table gives no rows. Only the text goes through Python.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["_text"].tolist()
-            sizes, start, held, out = [len(t) for t in texts], 0, 0, []
-            for k in range(len(texts) + 1):  # about a million characters at a time
-                if k == len(texts) or held + sizes[k] > 1_000_000 and k > start:
-                    if k > start:
-                        out.append(score_texts(shared.value, texts[start:k]))
-                    start, held = k, 0
-                if k < len(texts):
-                    held += sizes[k]
-            done = batch.drop(columns="_text")
-            done["score"] = np.concatenate(out) if out else np.zeros(0)
-            yield done
-
-    ready = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return ready.mapInPandas(each, schema)
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        # About 300,000 characters at a time.
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t.as_py())
+            size += len(held[-1])
+            if size > 300_000:
+                out.append(score_texts(shared.value, held))
+                held, size = [], 0
+        return pa.array(np.concatenate([*out, score_texts(shared.value, held)] if held or not out else out))
+
+    return docs.withColumn(name, scores(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

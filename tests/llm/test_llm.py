@@ -103,7 +103,7 @@ def passages():
 def test_suffix_spans_match_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(suffix, "GROUP", group)  # 1 sends every group through window hashes
     texts = passages()
-    found = {r["doc_id"]: r["_found"] for r in suffix.repeated(documents(spark, texts)).collect()}
+    found = {r["_row"]["doc_id"]: r["_found"] for r in suffix.repeated(documents(spark, texts)).collect()}
     for i, gone in enumerate(removed(texts, 400)):
         got = np.zeros(len(gone), bool)
         for s, e in suffix.spans_of(found[i], 400):
