@@ -62,60 +62,62 @@ def source_targets(stats: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return s.select("source", "source_size", "place", "weight", target.cast("double").alias("target"))
 
 
-def _inverse(part: Column, schedule: Column) -> Column:
-    """Time at which a two-piece linear schedule has given `part` of its whole integral."""
-    a, b, c = schedule[0], schedule[1], schedule[2]
+def _time(offset: Column, demand: Column, a: Column, b: Column, c: Column) -> Column:
+    """Time of the course at which a source's cumulative demand reaches `offset` words, null beyond its whole demand.
+
+    The demand follows the integral of the weight, linear from a to b and on to c, scaled to
+    `demand` words at time 1.
+    """
     first, second = (a + b) / 4, (b + c) / 4
-    need = part * (first + second)
-    early = need <= first
+    need = F.least(offset / F.nullif(demand, F.lit(0.0)), F.lit(1.0)) * (first + second)
 
     def root(area: Column, lo: Column, hi: Column) -> Column:
         # lo*x + (hi-lo)*x*x = area on a piece of length 1/2
-        slope = hi - lo
-        return 2 * area / (lo + F.sqrt(F.greatest(lo * lo + 4 * slope * area, F.lit(0.0))))
+        below = lo + F.sqrt(F.greatest(lo * lo + 4 * (hi - lo) * area, F.lit(0.0)))
+        return F.coalesce(2 * area / F.nullif(below, F.lit(0.0)), F.lit(0.0))
 
-    return F.when(early, root(need, a, b)).otherwise(F.lit(0.5) + root(need - first, b, c))
+    return F.when(offset <= demand, F.when(need <= first, root(need, a, b)).otherwise(F.lit(0.5) + root(need - first, b, c)))
 
 
-def counted(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, **cols) -> DataFrame:
-    """One row per input row: sizes(), source_size, place, target, `_copies` taken, and the `_middle` of its words in the source."""
+def positioned(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES, **cols) -> DataFrame:
+    """One row per input row: sizes(), source_size, target and `positions`, the times at which the course takes the row.
+
+    Passes over a source repeat its documents in one hash order, `most` passes at most. A
+    pass takes a document where the source's inverted cumulative demand gives the middle of
+    its words a time; beyond the demand there is none, so a source misses its target by half
+    a document at most. Null texts have size 0 and are never taken; a null source is a
+    source; repeated rows are documents of their own; an empty table gives no rows.
+    """
+    if not all(min(p) >= 0 < sum(p) for p in schedules):
+        raise ValueError("weights of a schedule are not negative, and not all zero")
     s = stored(sizes(docs, **cols), "sizes")  # texts are read once; all that follows works on ids and sizes
     slices = s.groupBy("source", "_slice").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     targets = source_targets(s.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    plan = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in schedules])
     head = slices.join(targets, slices["source"].eqNullSafe(targets["source"])).select(
-        slices["source"].alias("_s"), F.col("_slice").alias("_t"), "_before", "source_size", "place", "target"
+        slices["source"].alias("_s"), F.col("_slice").alias("_t"), "_before", "source_size", "target", F.element_at(plan, (F.col("place") % len(schedules) + 1).cast("int")).alias("_plan")
     )
     within = Window.partitionBy("source", "_slice").orderBy("_rank", "size").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     s = s.join(head, s["source"].eqNullSafe(head["_s"]) & (s["_slice"] == head["_t"]))
     middle = F.col("_before") + F.col("_start") + F.col("size") / 2
-    copies = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
-    copies = F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(F.greatest(copies, F.lit(0)), F.floor(F.lit(most)))).otherwise(F.lit(0))
-    return s.withColumns({"_middle": middle, "_copies": copies.cast("int")})
+    times = [_time(middle + k * F.col("source_size"), F.col("target"), *(F.col("_plan")[i] for i in range(3))) for k in range(int(most))]
+    taken = F.when(F.col("size") > 0, F.array_compact(F.array(*times))).otherwise(F.array().cast("array<double>"))
+    return s.select("doc_id", "source", "size", "source_size", "target", taken.alias("positions"), "_rank")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES, **cols) -> DataFrame:
+def mix(docs: DataFrame, **params) -> DataFrame:
     """One row per document and copy taken, with `position` in the course, and one with copy 0 for documents not taken.
 
-    Columns: doc_id, source, size, source_size, target, copy, words, position. Passes over a
-    source repeat its documents in one hash order; a copy is taken when the middle of its
-    words lies within the target, so a source misses its target by half a document at most.
-    Null texts have size 0 and are never taken; a null source is a source; repeated rows are
-    documents of their own; an empty table gives no rows.
+    Columns: doc_id, source, size, source_size, target, copy, words, position; rows as in positioned().
     """
-    s = counted(docs, weights, share, most, **cols)
-    s = s.withColumn("copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array(F.lit(0)))))
-    plan = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in schedules])
-    schedule = F.element_at(plan, (F.col("place") % len(schedules) + 1).cast("int"))
-    part = F.least((F.col("_middle") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    s = positioned(docs, **params).select("*", F.posexplode_outer("positions").alias("_at", "position"))
+    copy = F.coalesce(F.col("_at") + 1, F.lit(0))
     return s.select(
-        "doc_id", "source", "size", "source_size", "target", "copy",
-        F.when(F.col("copy") > 0, F.col("size")).otherwise(F.lit(0)).alias("words"),
-        F.when(F.col("copy") > 0, _inverse(part, schedule)).alias("position"),
-        "_rank",
-    )
+        "doc_id", "source", "size", "source_size", "target", copy.alias("copy"), F.when(copy > 0, F.col("size")).otherwise(F.lit(0)).alias("words"), "position", "_rank"
+    )
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -124,8 +126,9 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = counted(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+    m = positioned(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0))).orderBy("position", "_rank")
+    taken = F.col("size") * F.size("positions")
+    return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.alias("taken"), F.round("position", 6).alias("position"))
 
 
 OP9_SQL = r"""
@@ -142,12 +145,16 @@ f(step, level) AS (
   SELECT step + 1, (SELECT (1.5 * sum(ss) - sum(CASE WHEN f.level * weight > 2 * ss THEN 2 * ss ELSE 0 END))
                     / nullif(sum(CASE WHEN f.level * weight > 2 * ss THEN 0 ELSE weight END), 0) FROM w)
   FROM f WHERE step < (SELECT count(*) FROM w)),
-t AS (SELECT source, ss, least((SELECT level FROM f ORDER BY step DESC LIMIT 1) * weight, 2 * ss) AS target FROM w),
-c AS (SELECT s.*, t.ss, t.target,
+t AS (SELECT source, ss, place, least((SELECT level FROM f ORDER BY step DESC LIMIT 1) * weight, 2 * ss) AS target FROM w),
+c AS (SELECT s.*, t.ss, t.target, t.place,
              coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY rk, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2 AS middle
-      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE place % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS a, 1.0::DOUBLE AS b,
+             CASE place % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END AS c FROM c),
+q AS (SELECT *, (a + b) / 4 AS f, least(middle / nullif(target, 0), 1) * ((a + b) / 4 + (b + c) / 4) AS need FROM p)
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, round(target, 6) AS target,
-       CAST(CASE WHEN size = 0 OR target <= 0 THEN 0
-            ELSE size * least(greatest(floor((target - middle) / ss) + 1, 0), 2) END AS BIGINT) AS taken
-FROM c
+       CAST(CASE WHEN size = 0 THEN 0 WHEN middle + ss <= target THEN 2 * size WHEN middle <= target THEN size ELSE 0 END AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND middle <= target THEN round(CASE WHEN need <= f THEN 2 * need / (a + sqrt(greatest(a * a + 4 * (b - a) * need, 0)))
+            ELSE 0.5 + 2 * (need - f) / (b + sqrt(greatest(b * b + 4 * (c - b) * (need - f), 0))) END, 6) END AS position
+FROM q
 """
