@@ -1,15 +1,16 @@
 """HTML extraction: parser events, text-to-tag ratios, smoothing and clustering.
 
 The standard library's streaming parser turns a page into lines, one per block, each with
-its text, its number of tags and its open containers. Ratios of text to tags are smoothed
-with a Gaussian; runs of lines above a threshold are content clusters. The container that
-holds the most clustered text is the content region, and every line of it that stands in no
-menu, notice, advert, form, comment list or the like is kept whole.
+its text, its tags and its innermost container. Ratios of text to tags, zero for lines in
+marked boilerplate, are smoothed with a Gaussian, and lines above a threshold are content.
+The smallest container of all of them is the content region; lines in it that fall short of
+the threshold count where they stand among content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,9 +27,12 @@ BLOCKS = frozenset(
 )
 #: Opened and closed on the stack; other tags only count.
 HOLDERS = frozenset("article aside blockquote body button dialog div dl fieldset figure footer form head header iframe main menu nav noscript ol script section select span style svg table template textarea title ul".split())
-NEVER = frozenset("aside button dialog footer form head iframe menu nav noscript script select style svg template textarea title".split())
+#: Tags whose text is no part of a page's prose.
+NEVER = frozenset("button head iframe noscript script select style svg template textarea title".split())
+#: Tags that mark boilerplate; what a form holds may turn out to be the page.
+MARKS = frozenset("aside dialog footer menu nav".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id and role attributes that name boilerplate; the second set only outside an article.
+#: Words of class, id and role attributes that mark boilerplate; the second set only outside an article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "comment comments disqus reply replies respond share sharing social related recommended recommendations promo promotion popup modal newsletter subscribe signup login search "
@@ -37,40 +41,47 @@ NAMES = frozenset(
 OUTSIDE = frozenset("header masthead top topbar site-header logo skip".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 SIGMA, RADIUS = 1.0, 2
+#: A mark by name is taken back where less than this share of the page's text stands outside marks; nested marks at most so often.
+OUTSIDE_SHARE, LIFTS = 0.05, 8
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, containers) lines of a page; text in boilerplate is not collected."""
+    """Collects the lines of a page: text, tags, characters of links, container, and whether a marked block without a container holds it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []  # tag of each container by number
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, skipped
-        self.path: tuple[int, ...] = ()
-        self.skip = 0
-        self.loose = ""  # a skipped <p> or <li>, which the next block ends
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        # Containers by number: tag, number of the parent, mark ("" none, "tag" or "name").
+        self.kinds, self.parents, self.marks = [""], [-1], [""]
+        self.stack: list[int] = [0]
+        self.open: Counter = Counter()
+        self.never = 0
+        self.loose = ""  # a marked <p> or <li>, which the next block ends
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.anchors = 0
 
     def end_line(self):
         text = " ".join("".join(self.text).split()) if self.text else ""
         if text:
-            self.lines.append((text, self.tags, self.path))
+            self.lines.append((text, self.tags, self.links, self.stack[-1], bool(self.loose)))
             self.tags = 0
-        self.text = []
-
-    def _named(self, tag: str, attrs: list) -> bool:
+        self.text, self.links = [], 0
+
+    def _mark(self, tag: str, attrs: list) -> str:
+        inside = self.open["article"] + self.open["main"] > 0
+        if tag in MARKS:
+            return "tag"
+        if tag == "form" or tag == "header" and not inside:
+            return "name"
+        if not attrs or tag in ("body", "main", "html"):
+            return ""
         said = {k: (v or "").lower() for k, v in attrs}
         if "hidden" in said or "display:none" in said.get("style", "").replace(" ", ""):
-            return True
+            return "tag"
         words = {w for k in ("class", "id", "role") if k in said for w in _SPLIT.split(said[k])}
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        if tag in ("body", "main", "html"):
-            return False
         if tag == "article":
-            return bool(words & {"comment", "comments", "reply", "ad", "advert", "related"})
-        return bool(words & NAMES) or not inside and bool(words & OUTSIDE)
+            return "name" if words & {"comment", "comments", "reply", "ad", "advert", "related"} else ""
+        return "name" if words & NAMES or not inside and words & OUTSIDE else ""
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -78,16 +89,18 @@ class Lines(HTMLParser):
             self.end_line()
             if self.loose and tag != "br":
                 self.loose = ""
+        self.anchors += tag == "a"
         if tag in VOID:
             return
-        skipped = tag in NEVER or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack)
-        skipped = skipped or bool(attrs) and self._named(tag, attrs)
+        mark = self._mark(tag, attrs)
         if tag in HOLDERS:
-            self.stack.append((tag, len(self.kinds), skipped))
             self.kinds.append(tag)
-            self.skip += skipped
-            self.path = (*self.path, len(self.kinds) - 1)
-        elif skipped and tag in BLOCKS:
+            self.parents.append(self.stack[-1])
+            self.marks.append(mark)
+            self.stack.append(len(self.kinds) - 1)
+            self.open[tag] += 1
+            self.never += tag in NEVER
+        elif mark and tag in BLOCKS:
             self.loose = tag
 
     def handle_startendtag(self, tag, attrs):
@@ -99,59 +112,92 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        if tag == "a":
+            self.anchors = max(self.anchors - 1, 0)
         if tag == self.loose:
             self.loose = ""
-        if tag in HOLDERS and any(t == tag for t, _, _ in self.stack):
+        if self.open[tag] > 0:
             while True:
-                name, _, skipped = self.stack.pop()
-                self.skip -= skipped
-                self.path = self.path[:-1]
+                name = self.kinds[self.stack.pop()]
+                self.open[name] -= 1
+                self.never -= name in NEVER
                 if name == tag:
                     break
 
     def handle_data(self, data):
-        if not self.skip and not self.loose:
+        if not self.never:
             self.text.append(data)
+            self.links += len(data) if self.anchors else 0
 
 
-def lines_of(html: str) -> tuple[list, list[str]]:
+def lines_of(html: str) -> Lines:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.lines, parser.kinds
+    return parser
 
 
-def clustered(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Which lines belong to content clusters: smoothed ratios at or above their deviation, or all where that is none."""
-    ratio = lengths / np.maximum(tags, 1)
+def clustered(ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which lines are content: the smoothed ratios that reach their deviation. Lines of weight 0 never are."""
     x = np.arange(-RADIUS, RADIUS + 1)
     kernel = np.exp(-x * x / (2 * SIGMA**2))
-    padded = np.convolve(ratio, kernel / kernel.sum(), "full")[RADIUS : RADIUS + len(ratio)]
-    found = padded >= padded.std()
-    return found if found.any() else np.ones(len(ratio), bool)
+    smooth = np.convolve(ratio * weight, kernel / kernel.sum(), "full")[RADIUS : RADIUS + len(ratio)] * weight
+    return (smooth > 0) & (smooth >= smooth.std())
+
+
+def _under(parents: list[int], marked: list[bool]) -> np.ndarray:
+    """The outermost marked container over each container, itself included; -1 for none."""
+    top = []
+    for i, p in enumerate(parents):
+        above = top[p] if p >= 0 else -1
+        top.append(above if above >= 0 or not marked[i] else i)
+    return np.array(top)
+
+
+def weights(page: Lines, length: np.ndarray, at: np.ndarray, loose: np.ndarray) -> np.ndarray:
+    """1 for lines outside boilerplate marks, 0 for those in them.
+
+    Where hardly any text stands outside, the name that marks the container of most text
+    names the page, not its boilerplate, and is taken back.
+    """
+    marked = [bool(m) for m in page.marks]
+    for _ in range(LIFTS):
+        top = _under(page.parents, marked)
+        held = np.bincount(top[at] + 1, length * ~loose, len(marked) + 1)
+        best = int(held[1:].argmax())
+        if held[0] >= OUTSIDE_SHARE * held.sum() or not held[1 + best] or page.marks[best] != "name":
+            break
+        marked[best] = False
+    return ((_under(page.parents, marked)[at] < 0) & ~loose).astype(float)
 
 
 def extract(html: str | None) -> str:
-    """Main text of a page. Null, empty or text-free pages give the empty string."""
-    lines, kinds = lines_of(html or "")
-    if not lines:
+    """Main text of a page. Null, empty or text-free pages, and pages of boilerplate alone, give the empty string."""
+    page = lines_of(html or "")
+    if not page.lines:
         return ""
-    content = clustered(np.array([len(t) for t, _, _ in lines], float), np.array([n for _, n, _ in lines]))
-    mass: dict[int, int] = {}
-    for (text, _, path), good in zip(lines, content):
-        for c in path if good else ():
-            mass[c] = mass.get(c, 0) + len(text)
-    for wanted in (("article",), ("main",)):
-        named = [c for c in mass if kinds[c] in wanted]
-        if named:
-            best = max(named, key=lambda c: (mass[c], -c))
-            break
-    else:
-        most = max(mass.values(), default=0)
-        whole = [c for c in mass if mass[c] >= 0.8 * most]  # the innermost container of nearly all clustered text
-        best = max(whole, default=None)
-    return " ".join(text for text, _, path in lines if best is None or best in path)
+    text, tags, links, at, loose = zip(*page.lines)
+    at, loose = np.array(at), np.array(loose)
+    length = np.array([len(t) for t in text], float)
+    weight = weights(page, length, at, loose)
+    content = clustered(length / np.maximum(tags, 1), weight)
+    if not content.any():
+        return ""
+    # The smallest container of all content lines: numbers ascend from parent to child.
+    held = np.bincount(at[content], minlength=len(page.kinds)).tolist()
+    direct = np.array(held) > 0
+    for i in range(len(held) - 1, 0, -1):
+        if held[i]:
+            held[page.parents[i]] += held[i]
+    region = max(i for i, n in enumerate(held) if n == held[0])
+    inside = _under(page.parents, [i == region for i in range(len(held))]) >= 0
+    # Short lines of the region: all but lists of links in a container of its own, else those beside or between content lines.
+    where = np.flatnonzero(content)
+    prose = (np.array(links) < 0.5 * length) & (page.kinds[region] not in ("", "html", "body"))
+    among = (np.arange(len(text)) > where[0]) & (np.arange(len(text)) < where[-1]) & (np.array(links) < 0.5 * length)
+    keep = content | inside[at] & (weight > 0) & (prose | direct[at] | among)
+    return " ".join(t for t, k in zip(text, keep) if k)
 
 
 def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
