@@ -52,8 +52,9 @@ def fingerprint(paths) -> str:
     return hashlib.sha1("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-#: Declarative mappings. list: turns at a path with role and text fields; pairs: a list of
-#: two-item lists before the fields; fields: (field, role) in order, empty ones skipped.
+#: Declarative mappings, by the paths they need. list: turns at a path with role and text
+#: fields; pairs: a list of two-item lists before the fields; before and fields: (field, role)
+#: in order, empty ones skipped.
 LAYOUTS = (
     ({"messages[].role", "messages[].content"}, {"list": "messages", "role": "role", "text": "content"}),
     ({"messages[].role", "messages[].content", "system"}, {"before": [("system", "system")], "list": "messages", "role": "role", "text": "content"}),
@@ -68,62 +69,104 @@ LAYOUTS = (
     ({"question", "answer"}, {"fields": [("question", "user"), ("answer", "assistant")]}),
     ({"history[][]", "prompt", "response"}, {"pairs": "history", "fields": [("prompt", "user"), ("response", "assistant")]}),
 )
-MAPPINGS = {fingerprint(paths): mapping for paths, mapping in LAYOUTS}
-#: A table with one row per turn is named by its own schema.
-ROW_LAYOUTS = {fingerprint({"conv_id", "turn", "role", "text"}): {"key": "conv_id", "order": "turn", "role": "role", "text": "text"}}
+#: Tables with a row per turn: their columns, and which of them is what.
+ROW_LAYOUTS = (
+    ({"conv_id", "turn", "role", "text"}, {"key": "conv_id", "order": "turn", "role": "role", "text": "text"}),
+    ({"conversation_id", "turn", "role", "content"}, {"key": "conversation_id", "order": "turn", "role": "role", "text": "content"}),
+    ({"conversation_id", "turn", "from", "value"}, {"key": "conversation_id", "order": "turn", "role": "from", "text": "value"}),
+)
+
+
+class Mappings:
+    """The mapping that a layout's fingerprint selects.
+
+    Only paths that some layout declares are hashed, so identifiers and metadata beside them
+    change no fingerprint. A fingerprint that is not a layout's own takes the layout of most
+    paths that the record holds all of (the first of equals); an empty list or a list of
+    parts at a path holds it too.
+    """
+
+    def __init__(self, layouts=LAYOUTS):
+        self.layouts = sorted(layouts, key=lambda x: -len(x[0]))
+        self.declared = set().union(*(paths for paths, _ in layouts))
+        self.known = {fingerprint(paths): mapping for paths, mapping in layouts}
+
+    def _holds(self, paths: set[str], path: str) -> bool:
+        return any(p == path or p.startswith((path + "[", path + ".")) or p.endswith("[]") and path.startswith(p + ".") for p in paths)
+
+    def select(self, paths: set[str]) -> tuple[str, dict | None]:
+        """(fingerprint, mapping or None) of a record's paths."""
+        held = {d for d in self.declared if self._holds(paths, d)}
+        mark = fingerprint(held)
+        if mark not in self.known:
+            self.known[mark] = next((m for need, m in self.layouts if need <= held), None)
+        return mark, self.known[mark]
+
+
+def _said(x) -> str:
+    """A value as text: lists of parts give their texts, other structures their JSON."""
+    if x is None:
+        return ""
+    if isinstance(x, list) and x and all(isinstance(p, dict) and isinstance(p.get("text"), str) or isinstance(p, str) for p in x):
+        return "\n".join(p if isinstance(p, str) else p["text"] for p in x)
+    return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
 def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
-    said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    """(role, text) of each turn; a turn without text says the tools it calls, items that are no objects say themselves without a role."""
 
     def field(name: str) -> str:
-        return "\n\n".join(x for x in (said(record.get(n)) for n in name.split("+")) if x)
+        return "\n\n".join(x for x in (_said(record.get(n)) for n in name.split("+")) if x)
 
     out = [(role, field(name)) for name, role in mapping.get("before", []) if field(name)]
     for pair in record.get(mapping.get("pairs"), None) or []:
-        out += zip(("user", "assistant"), map(said, pair))
+        out += zip(("user", "assistant"), map(_said, pair))
     for item in record.get(mapping.get("list"), None) or []:
-        role = said(item.get(mapping["role"]))
-        out.append((ROLES.get(role, role), said(item.get(mapping["text"]))))
+        if not isinstance(item, dict):
+            out.append(("", _said(item)))
+            continue
+        role = _said(item.get(mapping["role"]))
+        out.append((ROLES.get(role, role), _said(item.get(mapping["text"])) or _said(item.get("tool_calls"))))
     out += [(role, field(name)) for name, role in mapping.get("fields", []) if field(name)]
     return out
 
 
-TURNS = "conv_id long, turn long, role string, text string, fingerprint string"
+TURNS = "conv_id string, turn long, role string, text string, fingerprint string"
 
 
-def turns_from_json(df: DataFrame, id_col: str, json_col: str, mappings: dict | None = None) -> DataFrame:
-    """Canonical turns of JSON records. Unknown layouts and broken JSON give one turn with a null role and text."""
-    known = mappings or MAPPINGS
+def turns_from_json(df: DataFrame, id_col: str, json_col: str, layouts=LAYOUTS) -> DataFrame:
+    """Canonical turns of JSON records. Unknown layouts and broken JSON give one turn with a null role and text; a known layout with an empty list gives none."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mappings = Mappings(layouts)
         for batch in batches:
             rows = []
             for key, raw in zip(batch["i"], batch["j"]):
-                key = None if pd.isna(key) else int(key)
                 try:
                     record = json.loads(raw)
                 except (TypeError, ValueError):
                     record = None
-                mark = fingerprint(value_paths(record)) if isinstance(record, dict) else None
-                turns = turns_of(record, known[mark]) if mark in known else [(None, None)]
+                mark, mapping = mappings.select(value_paths(record)) if isinstance(record, dict) else (None, None)
+                turns = turns_of(record, mapping) if mapping else [(None, None)]
                 rows += [(key, n, role, text, mark) for n, (role, text) in enumerate(turns)]
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "fingerprint"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "fingerprint"]).astype({"turn": "int64"})
 
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(json_col).cast("string").alias("j")).mapInPandas(each, TURNS)
+    # Ids travel as text: a batch with a null would turn them into doubles.
+    found = df.select(F.col(id_col).cast("long").cast("string").alias("i"), F.col(json_col).cast("string").alias("j")).mapInPandas(each, TURNS)
+    return found.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
-def turns_from_rows(df: DataFrame, layouts: dict | None = None) -> DataFrame:
-    """Canonical turns of a table with a row per turn; its schema, less unmapped columns, selects the mapping."""
-    for mark, m in (layouts or ROW_LAYOUTS).items():
-        named = [m["key"], m["order"], m["role"], m["text"]]
-        if set(named) <= set(df.columns) and fingerprint(type_paths(df.select(*named).schema)) == mark:
-            return df.select(
-                F.col(m["key"]).cast("long").alias("conv_id"), F.col(m["order"]).cast("long").alias("turn"),
-                F.col(m["role"]).alias("role"), F.col(m["text"]).alias("text"), F.lit(mark).alias("fingerprint"),
-            )
-    raise ValueError(f"no mapping for the layout {sorted(type_paths(df.schema))}")
+def turns_from_rows(df: DataFrame, layouts=ROW_LAYOUTS) -> DataFrame:
+    """Canonical turns of a table with a row per turn; the fingerprint of its schema selects the mapping, other columns are left."""
+    mark, m = Mappings(layouts).select(type_paths(df.schema))
+    if not m:
+        raise ValueError(f"no mapping for the layout {sorted(type_paths(df.schema))}")
+    role = F.col(m["role"])
+    for name, canonical in ROLES.items():
+        role = F.when(F.col(m["role"]) == name, canonical).otherwise(role)
+    return df.select(
+        F.col(m["key"]).cast("long").alias("conv_id"), F.col(m["order"]).cast("long").alias("turn"), role.alias("role"), F.col(m["text"]).alias("text"), F.lit(mark).alias("fingerprint")
+    )
 
 
 # -- template -------------------------------------------------------------------------------
@@ -161,7 +204,7 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         at = end + len(CLOSE) + 1
 
 
-FORMATTED = "conv_id long, part int, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
+FORMATTED = "conv_id string, part int, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
 
 
 def format_turns(turns: DataFrame, loss_roles=("assistant",), part: int = PART) -> DataFrame:
@@ -189,7 +232,6 @@ def format_turns(turns: DataFrame, loss_roles=("assistant",), part: int = PART)
 
         for batch in batches:
             for key, role, text in zip(batch["conv_id"], batch["role"], batch["text"]):
-                key = None if pd.isna(key) else int(key)
                 if key != state["key"]:
                     flush()
                     state.update(key=key, part=0)
@@ -201,17 +243,17 @@ def format_turns(turns: DataFrame, loss_roles=("assistant",), part: int = PART)
                 if length > part:
                     flush()
             if rows:
-                yield pd.DataFrame(rows, columns=["conv_id", "part", "n_turns", "formatted", "loss"]).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["conv_id", "part", "n_turns", "formatted", "loss"])
                 rows.clear()
         flush()
         if rows:
-            yield pd.DataFrame(rows, columns=["conv_id", "part", "n_turns", "formatted", "loss"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["conv_id", "part", "n_turns", "formatted", "loss"])
 
-    ready = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(each, FORMATTED)
+    ready = turns.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(each, FORMATTED).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -227,7 +269,6 @@ def digests(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, number, text, spans in zip(batch["conv_id"], batch["part"], batch["formatted"], batch["loss"]):
-                key = None if pd.isna(key) else int(key)
                 if number == 0:
                     if now:
                         rows.append(done(now))
@@ -241,11 +282,12 @@ def digests(formatted: DataFrame) -> DataFrame:
                     now["loss"].update(said.encode("utf-8", "surrogatepass"))
                 now["all"] += len(text)
             if rows:
-                yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
         if now:
-            yield pd.DataFrame([done(now)], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([done(now)], columns=names)
 
-    return formatted.mapInPandas(each, DIGEST)
+    read = formatted.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(each, DIGEST)
+    return read.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
