@@ -55,7 +55,7 @@ class Lattice:
     """tables: hash tables; groups: lattice points per cell; width: lattice spacing in standard
     deviations of a projected unit difference. More groups suit more vectors, more tables raise recall."""
 
-    tables: int = 8
+    tables: int = 14
     groups: int = 2
     width: float = 2.0
     seed: int = 11
@@ -159,8 +159,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, lattice: Lattice = Lattic
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)
-    fine = F.col("e").isNotNull() & ~bad & (norm > 0) & (norm < float("inf")) & F.col("vec_id").isNotNull()
+    fine = F.col("e").isNotNull() & ~bad & F.exists("e", lambda x: x != 0) & F.col("vec_id").isNotNull()
     rows = stored(rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), F.col("e")).alias("e")), "vectors").withColumn("k", F.when(F.col("e").isNotNull(), F.xxhash64("e")))
     classes = rows.where("e is not null").groupBy("k", "e").agg(F.min("vec_id").alias("cid"), F.count("*").alias("cnt"))
 
@@ -168,6 +167,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, lattice: Lattice = Lattic
         for batch in batches:
             for _, same in batch.groupby(batch["e"].map(len)):
                 v = np.array(same["e"].tolist(), np.float64)
+                v /= np.abs(v).max(1, keepdims=True)  # squares of what is left neither overflow nor vanish
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 home, probe = lattice.keys(v)
                 yield pd.DataFrame({"k": same["k"], "cid": same["cid"], "cnt": same["cnt"], "unit": list(v), "home": list(home), "probe": list(probe.reshape(len(v), -1))})
