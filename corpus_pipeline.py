@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm import decontam, mixing, sigtree, suffix, toxicity
-from signalmill.llm.common import stored, table
+from signalmill.llm.common import boxed, stored, table
 
 #: Words of a passage that is cut where it stands again (all of over fifty words), and of its anchors.
 PASSAGE, PASSAGE_ANCHOR = 51, 34
@@ -15,7 +15,7 @@ PASSAGE, PASSAGE_ANCHOR = 51, 34
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores below 0.7."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, docs.columns).where("score < 0.7").select(docs.columns)
+    return toxicity.score(boxed(docs, F.col("text")), net).where("score < 0.7").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
