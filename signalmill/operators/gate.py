@@ -86,18 +86,18 @@ def gate_verdict(df: DataFrame, enabled: bool = True, require_significance: bool
     return df.withColumn("decision", F.when(ok, "pass").otherwise("hold")).withColumn("reasons", F.array(said, F.when(broad, "broad").otherwise("concentrated")))
 
 
-def gate(buckets: DataFrame, permutations: int = PERMUTATIONS, max_days: int = 180, least_bits: float = BITS, least_authors: int = AUTHORS, **rules) -> DataFrame:
-    """E9 to E13 on buckets."""
+def gate(buckets: DataFrame, permutations: int = PERMUTATIONS, max_days: int = 180, least_bits: float = BITS, least_authors: int = AUTHORS, test=permutation_test, **rules) -> DataFrame:
+    """E9 to E13 on buckets; `test` is either form of E12."""
     from signalmill.operators.buckets import daily_series
 
-    test = permutation_test(daily_series(buckets, max_days), permutations)
-    return gate_verdict(test.join(source_breadth(buckets, least_bits, least_authors), "entity", "left"), **rules)
+    tested = test(daily_series(buckets, max_days), permutations)
+    return gate_verdict(tested.join(source_breadth(buckets, least_bits, least_authors), "entity", "left"), **rules)
 
 
-def gate_cases(cases: DataFrame, permutations: int = PERMUTATIONS, least_bits: float = BITS, least_authors: int = AUTHORS) -> DataFrame:
+def gate_cases(cases: DataFrame, permutations: int = PERMUTATIONS, least_bits: float = BITS, least_authors: int = AUTHORS, test=permutation_test) -> DataFrame:
     """Labelled cases (name, expected, daily array, sources array of struct(platform, unique_authors)) against their decisions."""
     series = cases.select(F.col("name").alias("entity"), F.posexplode("daily").alias("i", "mentions"))
     series = series.select("entity", F.date_add(F.lit("2000-01-01").cast("date"), F.col("i")).alias("bucket_date"), "mentions")
     sources = cases.select(F.col("name").alias("entity"), F.inline("sources"))
-    v = gate_verdict(permutation_test(series, permutations).join(source_breadth(sources, least_bits, least_authors), "entity", "left"))
+    v = gate_verdict(test(series, permutations).join(source_breadth(sources, least_bits, least_authors), "entity", "left"))
     return cases.select(F.col("name").alias("entity"), "expected").join(v, "entity").select("entity", "expected", "decision", (F.col("expected") == F.col("decision")).alias("match"))

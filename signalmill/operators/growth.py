@@ -50,16 +50,24 @@ def _weeks(days: Column) -> Column:
     return F.aggregate(days, start, step, lambda s: F.when(s["first"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["sum"]))))
 
 
+def _active_days(buckets: DataFrame, dates: list[datetime.date], days: int = 90) -> DataFrame:
+    """(entity, geography, as_of, days): for each of a few dates the sorted day sums of the `days` days up to it, in one pass over the buckets."""
+    near = F.filter(F.array(*[F.lit(d) for d in sorted(dates)]), lambda d: F.datediff(d, F.col("bucket_date")).between(0, days))
+    span = (F.col("bucket_date") >= F.lit(min(dates) - datetime.timedelta(days=days))) & (F.col("bucket_date") <= F.lit(max(dates)))
+    d = buckets.where(span).groupBy("entity", "geography", "bucket_date").agg(F.sum("mentions").alias("m"))
+    d = d.select("entity", "geography", F.struct(F.col("bucket_date").alias("d"), "m").alias("x"), F.explode(near).alias("as_of"))
+    return d.groupBy("entity", "geography", "as_of").agg(F.array_sort(F.collect_list("x")).alias("days"))
+
+
 def week_buckets(buckets: DataFrame, as_of: datetime.date, days: int = 90) -> DataFrame:
     """Array of greedy weeks per entity and geography, over a bounded number of days."""
-    d = buckets.where(_ago(as_of).between(0, days)).groupBy("entity", "geography", "bucket_date").agg(F.sum("mentions").alias("m"))
-    d = d.groupBy("entity", "geography").agg(F.array_sort(F.collect_list(F.struct(F.col("bucket_date").alias("d"), "m"))).alias("days"))
-    return d.select("entity", "geography", _weeks(F.col("days")).alias("weeks"))
+    return _active_days(buckets, [as_of], days).select("entity", "geography", _weeks(F.col("days")).alias("weeks"))
 
 
-def state_metrics(buckets: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Volumes, velocity, growth and volatility per entity and geography active in the last 90 days."""
-    m = volumes(buckets, as_of).join(week_buckets(buckets, as_of), ["entity", "geography"])
+def state_metrics_at(buckets: DataFrame, dates: list[datetime.date]) -> DataFrame:
+    """E3 to E6 at each of a few dates (column as_of): volumes, velocity, growth and volatility per entity and geography active in the 90 days before."""
+    v = lambda n: F.aggregate(F.filter("days", lambda x: F.datediff("as_of", x["d"]) <= n), F.lit(0).cast("long"), lambda s, x: s + x["m"]).alias(f"volume_{n}d")
+    m = _active_days(buckets, dates).select("entity", "geography", "as_of", v(7), v(30), v(90), _weeks(F.col("days")).alias("weeks"))
     n = F.size("weeks")
     this = F.when(n >= 1, F.element_at("weeks", -1)).otherwise(0)
     prev = F.when(n >= 2, F.try_element_at("weeks", F.lit(-2))).otherwise(0)
@@ -68,12 +76,17 @@ def state_metrics(buckets: DataFrame, as_of: datetime.date) -> DataFrame:
     mean = F.aggregate(last, F.lit(0.0), lambda s, x: s + x) / F.size(last)
     spread = F.aggregate(last, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
     return m.select(
-        "entity", "geography", "volume_7d", "volume_30d", "volume_90d", "velocity", "weeks",
+        "entity", "geography", "as_of", "volume_7d", "volume_30d", "volume_90d", (F.col("volume_7d") / 7).alias("velocity"), "weeks",
         growth_rate(prev, this).alias("growth_wow"), growth_rate(month, F.col("volume_30d")).alias("growth_mom"),
         F.when(n >= 2, F.sqrt(spread / (F.size(last) - 1))).otherwise(0.0).alias("volatility"),
     )
 
 
+def state_metrics(buckets: DataFrame, as_of: datetime.date) -> DataFrame:
+    """E3 to E6 at one date."""
+    return state_metrics_at(buckets, [as_of]).drop("as_of")
+
+
 def rank_attributes(buckets: DataFrame, days: int, as_of: datetime.date) -> DataFrame:
     """Mentions of attributes in the last `days` days and the same span before."""
     ago = _ago(as_of)

@@ -142,9 +142,11 @@ def attach_verdicts(terms: DataFrame, verdicts: DataFrame) -> DataFrame:
 def tag_entities(signals: DataFrame, vocab: DataFrame, most: int = 5, words: int = 3) -> DataFrame:
     """(signal_id, entity) for the first `most` labels or aliases in the text, by place, then label.
 
-    signals (signal_id, text), vocab (term, entity). N-grams of up to `words` words meet the
-    vocabulary in an equality join.
+    signals (signal_id, text), vocab (term, entity). N-grams of up to `words` words, and no
+    longer than the vocabulary's terms, meet the vocabulary in an equality join.
     """
+    longest = vocab.agg(F.max(F.size(F.split(F.trim("term"), " +")))).first()[0] or 1  # of a dimension table
+    words = min(words, longest)
     w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     s = signals.select("signal_id", F.explode(F.array(w)).alias("w"))
     n = F.size("w")
@@ -160,10 +162,16 @@ def tag_entities(signals: DataFrame, vocab: DataFrame, most: int = 5, words: int
 
 
 def tag_attributes(signals: DataFrame, pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(signal_id, category, attribute) by words of the text among the category's own attributes; pairs without a match have null."""
-    w = signals.select("signal_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
-    found = pairs.join(w, "signal_id").join(vocab.select("category", F.lower("attribute").alias("word"), "attribute"), ["category", "word"])
-    return pairs.join(found.select("signal_id", "category", "attribute").distinct(), ["signal_id", "category"], "left").select("signal_id", "category", "attribute")
+    """(signal_id, category, attribute) by words of the text among the category's own attributes; pairs without a match have null.
+
+    signals hold an id once. Words meet the vocabulary in one join, and only pairs, no words,
+    in the one that finds pairs without a match.
+    """
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    w = pairs.join(signals.select("signal_id", "text"), "signal_id").select("signal_id", "category", F.explode(words).alias("word"))
+    found = w.join(vocab.select("category", F.lower("attribute").alias("word"), "attribute").distinct(), ["category", "word"]).select("signal_id", "category", "attribute")
+    bare = pairs.select("signal_id", "category").join(found.select("signal_id", "category").distinct(), ["signal_id", "category"], "left_anti")
+    return found.unionByName(bare.withColumn("attribute", F.lit(None).cast("string")))
 
 
 def _trigrams() -> Column:

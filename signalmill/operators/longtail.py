@@ -32,17 +32,30 @@ def volume_ceiling(df: DataFrame, pct: float = 50, floor: int = 5) -> DataFrame:
     return h.where(F.col("upto") > index).groupBy("tenant").agg(F.min("current").alias("ceiling"))
 
 
-def _binomial_tail(cur: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """1 - I(2/3; 1 + cur, 1 + base) = P(Binomial(cur + base + 1, 2/3) <= cur), summed in logs."""
-    from math import lgamma, log
-
-    out = np.empty(len(cur))
-    for i, (c, b) in enumerate(zip(cur.astype(int), base.astype(int))):
-        n, k = c + b + 1, np.arange(c + 1)
-        logs = lgamma(n + 1) - np.array([lgamma(x + 1) + lgamma(n - x + 1) for x in k]) + k * log(2 / 3) + (n - k) * log(1 / 3)
-        top = logs.max()
-        out[i] = np.exp(top) * np.exp(logs - top).sum()
-    return np.minimum(out, 1.0)
+def _upper_beta(cur: np.ndarray, base: np.ndarray, x: float = 2 / 3) -> np.ndarray:
+    """1 - I(x; 1 + cur, 1 + base) of a whole batch, by the continued fraction of the regularised incomplete beta function."""
+    from math import lgamma
+
+    a, b = cur.astype(float) + 1, base.astype(float) + 1
+    gamma = np.frompyfunc(lgamma, 1, 1)
+    front = np.exp((gamma(a + b) - gamma(a) - gamma(b)).astype(float) + a * np.log(x) + b * np.log1p(-x))
+    # The fraction converges fast on one side of the mean; the other side is its complement.
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    tiny = 1e-300
+    c, d = np.ones_like(p), 1 / np.where(np.abs(1 - (p + q) * z / (p + 1)) < tiny, tiny, 1 - (p + q) * z / (p + 1))
+    h = d.copy()
+    for m in range(1, 10_000):
+        moved = np.zeros(len(p), bool)
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+            moved |= np.abs(d * c - 1) > 1e-15
+        if not moved.any():
+            break
+    part = front * h / p
+    return np.clip(np.where(flip, part, 1 - part), 0.0, 1.0)
 
 
 @F.pandas_udf(DoubleType())
@@ -50,7 +63,7 @@ def uplift_posterior(cur: pd.Series, base: pd.Series) -> pd.Series:
     """Posterior probability that the rate rose, from two counts; each distinct pair is worked out once per batch."""
     both = pd.DataFrame({"c": cur.fillna(0), "b": base.fillna(0)})
     once = both.drop_duplicates()
-    return both.merge(once.assign(p=_binomial_tail(once["c"].to_numpy(), once["b"].to_numpy())), on=["c", "b"], how="left")["p"]
+    return both.merge(once.assign(p=_upper_beta(once["c"].to_numpy(), once["b"].to_numpy())), on=["c", "b"], how="left")["p"]
 
 
 def posterior_column(cur: Column, base: Column) -> Column:

@@ -21,14 +21,17 @@ def run_summary(runs: DataFrame, since: datetime.date | None = None) -> DataFram
 
 
 def run_rollups(runs: DataFrame) -> dict[str, DataFrame]:
-    """By platform and status, by batch and platform, and platform counts per query."""
-    platforms = [r[0] for r in runs.select("platform").distinct().orderBy("platform").limit(100).collect()]
+    """By platform and status, by batch and platform, and platform counts per query, as columns and as rows.
+
+    The columns are all platforms there are; Spark raises an error beyond spark.sql.pivotMaxValues of them.
+    """
     return {
         "status": runs.groupBy("platform", "status").agg(
             F.count("*").alias("runs"), F.count_distinct("batch_id").alias("batches"), F.count_distinct("query_id").alias("queries"), F.min("started_on").alias("first_on"), F.max("started_on").alias("last_on")
         ),
         "batch": runs.groupBy("batch_id", "platform").agg(F.count("*").alias("runs")),
-        "query": runs.groupBy("query_id").pivot("platform", platforms).count().na.fill(0),
+        "query": runs.groupBy("query_id").pivot("platform").count().na.fill(0),
+        "query_rows": runs.groupBy("query_id", "platform").agg(F.count("*").alias("runs")),
     }
 
 

@@ -9,34 +9,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import well_formed
-from signalmill.operators.growth import deltas, state_metrics
+from signalmill.operators.growth import deltas, state_metrics, state_metrics_at
 
 SURFACING = ("emerging", "sustained", "peaking", "resurgent")
 MIN_WOW, MIN_VOLUME = 0.3, 9
 
 
-def next_state(current: Column, v7: Column, v30: Column, wow: Column, mom: Column, min_wow: float = MIN_WOW, min_volume: int = MIN_VOLUME) -> Column:
-    """H1: struct(state, reason); the first rule that holds decides."""
+def _rules(current, v7, v30, wow, mom, min_wow: float, min_volume: int) -> list[tuple]:
+    """H1's rules in order: condition, state, reason; over columns or plain values."""
     third, half = max(1, min_volume // 3), math.ceil(min_volume / 2)
     fall = -min_wow * 0.8
     back = (current == "declining") & (mom > min_wow) & (v30 >= half)
-    rules = [
+    return [
         ((v7 <= 0) & (v30 < third), "dormant", "no recent activity"),
         ((current == "dormant") & (wow > min_wow) & (v7 >= math.ceil(min_volume / 3)), "resurgent", "active after dormancy"),
         (v30 < third, "candidate", "little volume"),
         ((wow < fall) & (mom < fall) & (v30 >= half), "declining", "weekly and monthly fall"),
         (back & (wow >= 0) & (v30 >= min_volume), "sustained", "no longer declining"),
         (back, "emerging", "no longer declining"),
-        (current.isin("sustained", "peaking") & (wow < min_wow * 0.2) & (mom > min_wow * 0.3), "peaking", "growth slows"),
+        (((current == "sustained") | (current == "peaking")) & (wow < min_wow * 0.2) & (mom > min_wow * 0.3), "peaking", "growth slows"),
         ((mom > min_wow) & (v30 >= min_volume) & (wow >= 0), "sustained", "monthly growth"),
         ((wow > min_wow * 0.35) & (v30 >= third), "emerging", "weekly growth"),
     ]
+
+
+def next_state(current: Column, v7: Column, v30: Column, wow: Column, mom: Column, min_wow: float = MIN_WOW, min_volume: int = MIN_VOLUME) -> Column:
+    """H1: struct(state, reason); the first rule that holds decides."""
     out = F.struct(current.alias("state"), F.lit("unchanged").alias("reason"))
-    for rule, state, reason in reversed(rules):
+    for rule, state, reason in reversed(_rules(current, v7, v30, wow, mom, min_wow, min_volume)):
         out = F.when(rule, F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))).otherwise(out)
     return out
 
 
+def next_state_of(current: str, v7: int, v30: int, wow: float, mom: float, min_wow: float = MIN_WOW, min_volume: int = MIN_VOLUME) -> str:
+    """H1's state of plain values, for stateful streaming."""
+    return next((state for rule, state, _ in _rules(current, v7, v30, wow, mom, min_wow, min_volume) if rule), current)
+
+
 def run_states(buckets: DataFrame, prior: DataFrame, as_of: datetime.date, **params) -> DataFrame:
     """H2: a row per entity and geography active in 90 days; entered_on moves only on a change of state.
 
@@ -102,12 +111,9 @@ def rename_state(df: DataFrame, old: str, new: str) -> DataFrame:
 def replay_states(buckets: DataFrame, dates: list[datetime.date], **params) -> DataFrame:
     """H8: states at each of a few dates, each from the one before; one fold per entity and geography.
 
-    Metrics of all dates come from one union of scans; dates without activity in 90 days keep no row.
+    Metrics of all dates come from one pass over the buckets; dates without activity in 90 days keep no row.
     """
-    per = None
-    for d in sorted(dates):
-        m = state_metrics(buckets, d).select("entity", "geography", F.lit(d).alias("as_of"), "volume_7d", "volume_30d", "growth_wow", "growth_mom")
-        per = m if per is None else per.unionByName(m)
+    per = state_metrics_at(buckets, dates)
     steps = per.groupBy("entity", "geography").agg(F.array_sort(F.collect_list(F.struct("as_of", "volume_7d", "volume_30d", "growth_wow", "growth_mom"))).alias("steps"))
     kind = "array<struct<as_of:date,state:string>>"
     start = F.struct(F.lit("candidate").alias("state"), F.array().cast(kind).alias("out"))

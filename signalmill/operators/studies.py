@@ -166,9 +166,17 @@ def dominant_language(links: DataFrame, signals: DataFrame) -> DataFrame:
     return c.groupBy("entity").agg(F.min_by("language", F.struct(-F.col("n"), F.col("language"))).alias("language"))
 
 
-def match_controls(cases: DataFrame, pool: DataFrame, bands=(1, 5)) -> DataFrame:
-    """A control of nearly the same volume for each case, none used twice: rank to rank at equal volume, then in bands."""
+def match_controls(cases: DataFrame, pool: DataFrame, widen: int = 5) -> DataFrame:
+    """A control of nearly the same volume for each case, none used twice, while cases and controls last.
+
+    Rank meets rank at equal volume, then in bands `widen` times as wide as those before,
+    until one band holds all volumes.
+    """
     left, free, out = cases.select("entity", "volume"), pool.select(F.col("entity").alias("control"), F.col("volume").alias("control_volume")), None
+    top = left.select("volume").union(free.select("control_volume")).agg(F.max("volume")).first()[0] or 0
+    bands = [1]
+    while bands[-1] <= top:
+        bands.append(bands[-1] * widen)
     for band in bands:
         a = left.withColumn("g", F.floor(F.col("volume") / band))
         a = a.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("volume", "entity")))
@@ -194,16 +202,27 @@ def bottom_k_overlap(df: DataFrame, flags: DataFrame, k: int = 3) -> DataFrame:
     return df.withColumn("n", n).where(F.col("n") <= k).join(flags, "label", "left_semi").select("grp", "label", "breadth")
 
 
-def match_benchmark(bench: DataFrame, entities: DataFrame) -> DataFrame:
-    """Bench (name) with the entity of equal canonical form, else, for names of several words, one that contains it or is contained.
+def _contained(short: DataFrame, long: DataFrame, most: int = 5) -> DataFrame:
+    """(s, l) of strings of `short` (s) that stand in strings of `long` (l).
 
-    The containment branch compares names that found no equal, broadcast if Spark finds them small.
+    What stands in a string begins with one of its character n-grams, so the pairs meet in
+    an equality join on the first `most` characters before they are compared.
     """
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.length("l") >= n, F.transform(F.sequence(F.lit(1), F.length("l") - n + 1), lambda i: F.substring(F.col("l"), i, n))).otherwise(F.array().cast("array<string>"))))
+    have = long.select("l", F.explode(F.array_distinct(grams)).alias("_g"))
+    return short.select("s", F.substring("s", 1, most).alias("_g")).where("s <> ''").join(have, "_g").where(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
+def match_benchmark(bench: DataFrame, entities: DataFrame) -> DataFrame:
+    """Bench (name) with the entity of equal canonical form, else, for names of several words, one that contains it or is contained."""
     e = entities.select(F.col("entity"), canonical_label(F.col("entity")).alias("_c"))
     b = bench.withColumn("_k", canonical_label(F.col("name")))
     exact = b.join(e.groupBy("_c").agg(F.min("entity").alias("_e")), F.col("_k") == F.col("_c"), "left").drop("_c")
     rest = exact.where("_e is null").where(F.col("_k").contains(" ")).select("name", "_k").distinct()
-    loose = rest.join(e, F.col("_c").contains(F.col("_k")) | F.col("_k").contains(F.col("_c"))).groupBy("name").agg(F.min("entity").alias("_l"))
+    names, labels = rest.select("_k").distinct(), e.select("_c").distinct()
+    within = _contained(names.select(F.col("_k").alias("s")), labels.select(F.col("_c").alias("l"))).select(F.col("s").alias("_k"), F.col("l").alias("_c"))
+    around = _contained(labels.select(F.col("_c").alias("s")), names.select(F.col("_k").alias("l"))).select(F.col("l").alias("_k"), F.col("s").alias("_c"))
+    loose = rest.join(within.union(around), "_k").join(e, "_c").groupBy("name").agg(F.min("entity").alias("_l"))
     return exact.join(loose, "name", "left").withColumn("entity", F.coalesce("_e", "_l")).drop("_k", "_e", "_l")
 
 

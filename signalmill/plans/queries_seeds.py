@@ -114,7 +114,9 @@ def d18(spark, d):
     return I.attach_verdicts(terms, named)
 
 
-@query("d20_recover_topics")
+@query("d20_recover_topics", """WITH t AS (SELECT p_partkey AS item_id, p_name || ' (' || p_type || ')' AS title, lower(p_name || ' ' || p_type) AS k, p_brand, p_size, DATE '2001-01-01' + CAST(p_partkey % 300 AS INT) AS day FROM part),
+p AS (SELECT title, max((day, p_brand)) AS m FROM t WHERE p_size > 25 GROUP BY title), s AS (SELECT k, min(lower(p_brand)) AS topic FROM t GROUP BY k)
+SELECT item_id, t.title, coalesce(m[2], s.topic) AS topic FROM t LEFT JOIN p ON t.title = p.title LEFT JOIN s ON t.k = s.k""")
 def d20(spark, d):
     p = table(spark, d, "part")
     items = p.select(F.col("p_partkey").alias("item_id"), F.concat(F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")")).alias("title"))
@@ -134,7 +136,7 @@ def d21(spark, d):
     return I.tag_entities(table(spark, d, "documents").select(F.col("doc_id").alias("signal_id"), "text"), v)
 
 
-@query("d22_tag_attributes", r"""WITH v AS (SELECT DISTINCT lang AS category, w AS attribute FROM (SELECT lang, unnest(string_split_regex(lower(left(text, 60)), '[^\p{L}\p{N}]+')) AS w FROM documents WHERE doc_id % 7 = 0) WHERE length(w) > 5),
+@query("d22_tag_attributes", r"""WITH v AS (SELECT DISTINCT lang AS category, w AS attribute FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE length(w) > 5),
 w AS (SELECT DISTINCT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents)
 SELECT d.doc_id AS signal_id, d.lang AS category, v.attribute FROM documents d LEFT JOIN (SELECT w.doc_id, v.* FROM w JOIN v ON w.lang = v.category AND w.w = v.attribute) v ON d.doc_id = v.doc_id""")
 def d22(spark, d):
@@ -288,6 +290,11 @@ def e31c(spark, d):
     return L.run_rollups(runs(spark, d))["query"]
 
 
+@query("e31_runs_by_query_rows", f"WITH {RUNS} SELECT query_id, platform, count(*) AS runs FROM runs GROUP BY ALL")
+def e31d(spark, d):
+    return L.run_rollups(runs(spark, d))["query_rows"]
+
+
 @query("e32_batch_complete", f"""WITH {RUNS}, r AS (SELECT query_id AS batch_id, count(*) AS n, bool_and(coalesce(status IN ('succeeded', 'failed', 'aborted') AND (status <> 'succeeded' OR ingestion_status = 'done'), false)) AS ok FROM runs GROUP BY ALL),
 b AS (SELECT c_custkey AS batch_id, 1 + c_custkey % 12 AS expected FROM customer) SELECT b.batch_id, expected, coalesce(n, 0) AS runs, coalesce(n, 0) = expected AND coalesce(ok, false) AS complete FROM b LEFT JOIN r ON b.batch_id = r.batch_id""")
 def e32(spark, d):

@@ -12,11 +12,17 @@ from signalmill.operators import growth as W
 from signalmill.operators import longtail as LT
 from signalmill.operators import pairs as P
 from signalmill.plans.catalog import ENTITIES, INTEREST, VOCAB, buckets, core_vocab, entities, interest, links, query, rounded
+from signalmill.plans.lifecycle_sql import metrics_sql, weeks_sql
 from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, EVENT_LINKS_SQL, event_links, links_sql, table, with_links
 
 X = "DATE '2001-08-01'"
 
 
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+
 @query("d1_entity_signals", f"WITH {links_sql('p_name')}, {ENTITIES} SELECT signal_id, entity, platform FROM links WHERE entity IN (SELECT entity FROM entities WHERE deleted_at IS NULL)")
 def d1(spark, d):
     k = links(spark, d, "p_name")
@@ -45,12 +51,13 @@ def e3(spark, d):
     return rounded(W.volumes(buckets(spark, d), AS_OF), "velocity")
 
 
-@query("e4_week_buckets")
+@query("e4_week_buckets", recursive(f"{with_links()}, {weeks_sql(X)} SELECT * FROM weeks"))
 def e4(spark, d):
     return W.week_buckets(buckets(spark, d), AS_OF)
 
 
-@query("e5_e6_state_metrics")
+@query("e5_e6_state_metrics", recursive(f"""{with_links()}, {metrics_sql(X)} SELECT entity, geography, v7 AS volume_7d, v30 AS volume_30d, v90 AS volume_90d, round(v7 / 7, 6) AS velocity, weeks,
+round(wow, 6) AS growth_wow, round(mom, 6) AS growth_mom, round(vol, 6) AS volatility FROM met"""))
 def e56(spark, d):
     return rounded(W.state_metrics(buckets(spark, d), AS_OF), "growth_wow", "growth_mom", "volatility", "velocity")
 
@@ -108,13 +115,16 @@ def e11(spark, d):
     return rounded(G.surge_stat(B.daily_series(buckets(spark, d, "p_name"))), "surge")
 
 
-@query("e12_permutation_hashed", f"""{with_links()}, {_SERIES.format(n=59)}, s AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY bucket_date) AS i, count(*) OVER (PARTITION BY entity) AS n FROM series),
+_HASHED = """s AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY bucket_date) AS i, count(*) OVER (PARTITION BY entity) AS n FROM series),
 r AS (SELECT entity, mentions, i, unnest(range(0, 21)) AS k FROM s WHERE n >= 14),
 o AS (SELECT *, CASE WHEN k = 0 THEN lpad(CAST(i AS VARCHAR), 6, '0') ELSE md5(entity || '|' || k || '|' || i) END AS key FROM r),
 w AS (SELECT entity, k, sum(mentions) OVER f AS s, row_number() OVER (PARTITION BY entity, k ORDER BY key, i) AS p FROM o WINDOW f AS (PARTITION BY entity, k ORDER BY key, i ROWS 6 PRECEDING)),
 u AS (SELECT entity, k, arg_max(s, p) - avg(s) AS surge FROM w WHERE p >= 7 GROUP BY ALL),
-z AS (SELECT a.entity, (count(*) FILTER (a.surge >= b.surge - 1e-9) + 1) / 21 AS p, max(b.surge) AS surge FROM u a JOIN u b ON a.entity = b.entity AND b.k = 0 WHERE a.k > 0 GROUP BY a.entity)
-SELECT entity, round(surge, 6) AS surge, round(p, 6) AS p_value, p <= 0.05 AS significance_pass FROM z""")
+z AS (SELECT a.entity, (count(*) FILTER (a.surge >= b.surge - 1e-9) + 1) / 21 AS p, max(b.surge) AS surge FROM u a JOIN u b ON a.entity = b.entity AND b.k = 0 WHERE a.k > 0 GROUP BY a.entity),
+hashed AS (SELECT e.entity, coalesce(surge, 0) AS surge, coalesce(p, 1) AS p_value, coalesce(p, 1) <= 0.05 AS significance_pass FROM (SELECT DISTINCT entity FROM series) e LEFT JOIN z ON e.entity = z.entity)"""
+
+
+@query("e12_permutation_hashed", f"{with_links()}, {_SERIES.format(n=59)}, {_HASHED} SELECT entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass FROM hashed")
 def e12(spark, d):
     return rounded(G.permutation_test_sql(B.daily_series(buckets(spark, d), 60), 20), "surge", "p_value")
 
@@ -129,6 +139,13 @@ def e13(spark, d):
     return G.gate(buckets(spark, d, "p_name"), 200)
 
 
+@query("e13_gate_hashed", f"""{with_links('p_name')}, {_SERIES.format(n=179)}, {_HASHED}, {_BREADTH}, b AS (SELECT *, round(entropy_bits, 9) >= 1.0 AND total_authors >= 10 AS breadth_pass FROM breadth)
+SELECT h.entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass, round(entropy_bits, 6) AS entropy_bits, total_authors, breadth_pass, CASE WHEN significance_pass AND coalesce(breadth_pass, false) THEN 'pass' ELSE 'hold' END AS decision,
+[CASE WHEN significance_pass THEN 'significant' ELSE 'within own noise' END, CASE WHEN breadth_pass THEN 'broad' ELSE 'concentrated' END] AS reasons FROM hashed h LEFT JOIN b ON h.entity = b.entity""")
+def e13h(spark, d):
+    return rounded(G.gate(buckets(spark, d, "p_name"), 20, test=G.permutation_test_sql), "surge", "p_value", "entropy_bits")
+
+
 @query("e13_gate_breadth_only", f"{with_links()}, {_BREADTH} SELECT entity, CASE WHEN round(entropy_bits, 9) >= 2.32 AND total_authors >= 10 THEN 'pass' ELSE 'hold' END AS decision FROM breadth")
 def e13b(spark, d):
     b = G.source_breadth(buckets(spark, d), 2.32).withColumn("significance_pass", F.lit(False))

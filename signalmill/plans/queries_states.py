@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,21 +17,18 @@ from signalmill.operators import studies as Y
 from signalmill.plans import readmodels as J
 from signalmill.plans.catalog import ENTITIES, INTEREST, RUNS, SEEDS, VOCAB, buckets, core_vocab, entities, interest, links, query, rounded, runs, seed_queries
 from signalmill.plans.queries_seeds import _SEEDVOC
-from signalmill.plans.queries_series import _BREADTH, _VOLUMES, X, sov_sql, stages, windows
+from signalmill.plans.lifecycle_sql import REASON, STATE, growth, metrics_sql
+from signalmill.plans.queries_series import _BREADTH, _HASHED, _SERIES, _VOLUMES, X, recursive, sov_sql, stages, windows
 from signalmill.plans.queries_text import _SINGULAR
 from signalmill.sources import items as A
 from signalmill.sources import sinks as K
-from signalmill.sources.fixtures import AS_OF, event_links, links_sql, table, with_links
+from signalmill.sources.fixtures import AS_OF, EVENT_LINKS_SQL, event_links, links_sql, table, with_links
+from signalmill.sources.scratch import scratch_path as _shared
 from signalmill.streaming import jobs
 
 # -- states ------------------------------------------------------------------------------------
 
-_H1 = """CASE WHEN v7 <= 0 AND v30 < 3 THEN 'dormant' WHEN cur = 'dormant' AND wow > 0.3 AND v7 >= 3 THEN 'resurgent' WHEN v30 < 3 THEN 'candidate' WHEN wow < -0.24 AND mom < -0.24 AND v30 >= 5 THEN 'declining'
-WHEN cur = 'declining' AND mom > 0.3 AND v30 >= 5 THEN CASE WHEN wow >= 0 AND v30 >= 9 THEN 'sustained' ELSE 'emerging' END WHEN cur IN ('sustained', 'peaking') AND wow < 0.06 AND mom > 0.09 THEN 'peaking'
-WHEN mom > 0.3 AND v30 >= 9 AND wow >= 0 THEN 'sustained' WHEN wow > 0.105 AND v30 >= 3 THEN 'emerging' ELSE cur END"""
-
-
-@query("h1_next_state", f"WITH m AS (SELECT o_orderkey AS id, ['candidate', 'emerging', 'sustained', 'peaking', 'declining', 'dormant'][o_orderkey % 6 + 1] AS cur, o_orderkey % 7 AS v7, o_custkey % 23 AS v30, (o_orderkey % 40 - 20) / 20 AS wow, (o_custkey % 40 - 20) / 20 AS mom FROM orders) SELECT id, {_H1} AS state FROM m")
+@query("h1_next_state", f"WITH m AS (SELECT o_orderkey AS id, ['candidate', 'emerging', 'sustained', 'peaking', 'declining', 'dormant'][o_orderkey % 6 + 1] AS cur, o_orderkey % 7 AS v7, o_custkey % 23 AS v30, (o_orderkey % 40 - 20) / 20 AS wow, (o_custkey % 40 - 20) / 20 AS mom FROM orders) SELECT id, {STATE} AS state FROM m")
 def h1(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     names = F.array(*[F.lit(x) for x in ("candidate", "emerging", "sustained", "peaking", "declining", "dormant")])
@@ -50,7 +46,15 @@ def states(spark, d):
     return H.run_states(buckets(spark, d), prior(spark, d), AS_OF)
 
 
-@query("h2_run_states")
+_RUN = f"""pb AS (SELECT * FROM buckets WHERE bucket_date <= DATE '2001-07-01'), {metrics_sql("DATE '2001-07-01'", '0', 'pb')}, pr AS (SELECT *, {STATE} AS state FROM (SELECT *, 'candidate' AS cur FROM met0)), {metrics_sql(X, '1')},
+dt AS (SELECT entity, coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 0 AND 29), 0) AS a, coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 30 AND 59), 0) AS b, coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 0 AND 89), 0) AS q,
+coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 365 AND 454), 0) AS y, count(DISTINCT bucket_date) FILTER ({X} - bucket_date BETWEEN 0 AND 59) AS days FROM buckets GROUP BY entity),
+cu AS (SELECT m.*, pr.state AS old, coalesce(pr.state, 'candidate') AS cur, CASE WHEN b > 0 AND days >= 30 THEN (a - b) / b END AS delta_mom, CASE WHEN y > 0 THEN (q - y) / y END AS delta_yoy
+FROM met1 m JOIN dt ON m.entity = dt.entity LEFT JOIN pr ON m.entity = pr.entity AND m.geography = pr.geography), st AS (SELECT *, {STATE} AS state, {REASON} AS reason FROM cu)"""
+
+
+@query("h2_run_states", recursive(f"""{with_links()}, {_RUN} SELECT entity, geography, state, reason, cur AS previous, v7 AS volume_7d, v30 AS volume_30d, v90 AS volume_90d, round(v7 / 7, 6) AS velocity, round(wow, 6) AS growth_wow, round(mom, 6) AS growth_mom,
+round(vol, 6) AS volatility, round(delta_mom, 6) AS delta_mom, round(delta_yoy, 6) AS delta_yoy, CASE WHEN old IS NULL OR state <> cur THEN {X} ELSE DATE '2001-07-01' END AS entered_on, state <> cur AS transitioned FROM st"""))
 def h2(spark, d):
     return rounded(states(spark, d), "velocity", "growth_wow", "growth_mom", "volatility", "delta_mom", "delta_yoy")
 
@@ -61,7 +65,9 @@ def gated(spark, d):
     return H.apply_gate(states(spark, d), v, keep)
 
 
-@query("h3_apply_gate")
+@query("h3_apply_gate", recursive(f"""{with_links()}, {_RUN}, {_BREADTH}, kp AS (SELECT p_brand AS entity, max(p_size) % 2 = 0 AS keep FROM part GROUP BY ALL)
+SELECT st.entity, geography, state, CASE WHEN state IN ('emerging', 'sustained', 'peaking', 'resurgent') THEN CASE WHEN round(entropy_bits, 9) >= 2.32 AND total_authors >= 10 AND coalesce(keep, true) THEN 'pass' ELSE 'hold' END END AS decision
+FROM st LEFT JOIN breadth b ON st.entity = b.entity LEFT JOIN kp ON st.entity = kp.entity"""))
 def h3(spark, d):
     return gated(spark, d).select("entity", "geography", "state", "decision")
 
@@ -99,9 +105,22 @@ def h7(spark, d):
     return H.rename_state(runs(spark, d).select("run_id", F.col("status").alias("state")), "succeeded", "sustained")
 
 
-@query("h8_replay_states")
+def _replay_sql(dates: list[str]) -> str:
+    """CTEs r1 ... rn: the state after each date, from the one after the date before."""
+    out = []
+    for n, day in enumerate(dates, 1):
+        cur = f"SELECT m.*, coalesce({', '.join(f's{k}.state' for k in range(n - 1, 0, -1))}, 'candidate') AS cur FROM met{n} m " if n > 1 else f"SELECT *, 'candidate' AS cur FROM met{n}"
+        cur += " ".join(f"LEFT JOIN r{k} s{k} ON m.entity = s{k}.entity AND m.geography = s{k}.geography" for k in range(1, n))
+        out.append(f"{metrics_sql(f"DATE '{day}'", str(n))}, r{n} AS (SELECT entity, geography, DATE '{day}' AS as_of, {STATE} AS state FROM ({cur}))")
+    return ", ".join(out)
+
+
+_DATES = ["2001-02-01", "2001-04-01", "2001-06-01", "2001-08-01"]
+
+
+@query("h8_replay_states", recursive(f"{with_links()}, {_replay_sql(_DATES)} " + " UNION ALL ".join(f"SELECT * FROM r{n}" for n in range(1, 5))))
 def h8(spark, d):
-    return H.replay_states(buckets(spark, d), [datetime.date(2001, m, 1) for m in (2, 4, 6, 8)])
+    return H.replay_states(buckets(spark, d), [datetime.date.fromisoformat(x) for x in _DATES])
 
 
 # -- read models -------------------------------------------------------------------------------
@@ -143,11 +162,17 @@ def j1(spark, d):
     return rounded(trend_rows(spark, d).select("entity", "geography", "state", "volume_30d", "entity_type", "sov_growth", "percentile", "seed_term", "discovered"), "sov_growth")
 
 
-@query("j2_trend_detail")
+@query("j2_trend_detail", f"""{_J1}, mt AS (SELECT {', '.join(f"coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 0 AND {n}), 0) AS mentions_{n}d" for n in (7, 30, 90))} FROM buckets WHERE entity = 'small ring'),
+sg AS (SELECT signal_id, max(posted_on) AS posted_on, max(captured_on) AS captured_on FROM links GROUP BY ALL), ev AS (SELECT signal_id, posted_on, row_number() OVER (ORDER BY posted_on DESC NULLS LAST, captured_on DESC, signal_id) AS rn, count(*) OVER () AS total
+FROM (SELECT DISTINCT signal_id FROM links WHERE entity = 'small ring') JOIN sg USING (signal_id)),
+ea AS (SELECT max(total) AS evidence_total, list(signal_id ORDER BY rn) AS evidence, list(CAST(posted_on AS VARCHAR) ORDER BY rn) AS evidence_days FROM ev WHERE rn <= 20)
+SELECT entity, geography, state, mt.*, ea.* FROM j1, mt, ea WHERE entity = 'small ring'""")
 def j2(spark, d):
     k = links(spark, d, "p_name")
     s = k.groupBy("signal_id").agg(F.max("posted_on").alias("posted_on"), F.max("captured_on").alias("captured_on"))
-    return J.trend_detail(trend_rows(spark, d).select("entity", "geography", "state"), "small ring", buckets(spark, d, "p_name"), k.select("signal_id", "entity"), s, AS_OF)
+    t = J.trend_detail(trend_rows(spark, d).select("entity", "geography", "state"), "small ring", buckets(spark, d, "p_name"), k.select("signal_id", "entity"), s, AS_OF)
+    days = F.transform("evidence", lambda x: x["posted_on"].cast("string")).alias("evidence_days")
+    return t.select(*[c for c in t.columns if c != "evidence"], F.transform("evidence", lambda x: x["signal_id"]).alias("evidence"), days)
 
 
 @query("j3_trend_timeseries", f"""{with_links('p_name')}, {INTEREST}, {ENTITIES}, m AS (SELECT entity, bucket_date, sum(mentions) AS mentions FROM buckets WHERE bucket_date >= DATE '2001-05-03' GROUP BY ALL),
@@ -277,20 +302,36 @@ def k4(spark, d):
     return rounded(Y.compare_in_bands(h.withColumn("pre", F.col("post")), "flag").select("band", "growth_yes", "growth_no", "n1", "n2", "p"), "growth_yes", "growth_no", "p")
 
 
-@query("k5_predictor_study")
+_PAST = "pc0 AS (SELECT max(bucket_date) - 56 AS cut FROM buckets), past AS (SELECT b.* FROM buckets b, pc0 WHERE bucket_date <= cut)"
+
+
+@query("k5_predictor_study", f"""{with_links('p_name')}, {_HOLD}, {_PAST}, la AS (SELECT max(bucket_date) AS l FROM past),
+wn AS (SELECT entity, {', '.join(f"coalesce(sum(mentions) FILTER (la.l - bucket_date BETWEEN {a} AND {b}), 0) AS {n}" for n, a, b in (('w0', 0, 6), ('w1', 7, 13), ('m0', 0, 29), ('m1', 30, 59)))} FROM past, la GROUP BY entity),
+{sov_sql().replace("FROM buckets", "FROM past")}, jn AS (SELECT ho.entity, ratio, CASE WHEN w1 > 0 THEN (w0 - w1) / w1 END AS wow, CASE WHEN m1 > 0 THEN (m0 - m1) / m1 END AS mom, CAST(m0 AS DOUBLE) AS volume, sov_growth FROM ho JOIN wn ON ho.entity = wn.entity LEFT JOIN sov ON ho.entity = sov.entity),
+lg AS (SELECT 'wow' AS predictor, ratio, wow AS x FROM jn UNION ALL SELECT 'mom', ratio, mom FROM jn UNION ALL SELECT 'volume', ratio, volume FROM jn UNION ALL SELECT 'sov_growth', ratio, sov_growth FROM jn),
+md AS (SELECT predictor, median(x) AS mid FROM lg WHERE x IS NOT NULL GROUP BY predictor), v AS (SELECT lg.predictor, ratio AS value, CASE WHEN x > mid THEN 0 ELSE 1 END AS grp FROM lg JOIN md ON lg.predictor = md.predictor WHERE x IS NOT NULL),
+ra AS (SELECT predictor, avg(CASE WHEN grp = 0 THEN 1 ELSE 0 END) AS pass_rate FROM v GROUP BY predictor), {mw_sql('v', 'predictor')}
+SELECT mw.predictor, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, round(pass_rate, 6) AS pass_rate FROM mw JOIN ra ON mw.predictor = ra.predictor""")
 def k5(spark, d):
     return rounded(Y.predictor_study(buckets(spark, d, "p_name")), "u", "z", "p", "pass_rate")
 
 
 def cases(spark, d):
     past = Y.before_cut(buckets(spark, d, "p_name"))
-    t = G.permutation_test(B.daily_series(past), 200)
+    t = G.permutation_test_sql(B.daily_series(past), 20)
     return holdout(spark, d).join(t, "entity").join(G.source_breadth(past), "entity")
 
 
-@query("k6_variant_sweep")
+_SWEEP = ", ".join(f"('{n}', {b}, {a}, {p}, {str(s).lower()}, {str(r).lower()})" for n, b, a, p, s, r in Y.VARIANTS)
+
+
+@query("k6_variant_sweep", f"""{with_links('p_name')}, {_HOLD}, {_PAST}, {_SERIES.format(n=179).replace("FROM buckets", "FROM past")}, {_HASHED}, {_BREADTH.replace("FROM buckets", "FROM past")}, vr(variant, bits, authors, alpha, use_sig, use_breadth) AS (VALUES {_SWEEP}),
+cs AS (SELECT ratio, p_value, entropy_bits, total_authors FROM ho JOIN hashed h ON ho.entity = h.entity JOIN breadth b ON ho.entity = b.entity),
+v AS (SELECT variant, ratio AS value, CASE WHEN (NOT use_sig OR p_value <= alpha) AND (NOT use_breadth OR (entropy_bits >= bits AND total_authors >= authors)) THEN 0 ELSE 1 END AS grp FROM cs, vr),
+eg AS (SELECT variant, median(value) FILTER (grp = 0) / median(value) FILTER (grp = 1) AS edge FROM v GROUP BY variant), {mw_sql('v', 'variant')}
+SELECT mw.variant, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, round(edge, 6) AS edge FROM mw JOIN eg ON mw.variant = eg.variant""")
 def k6(spark, d):
-    return Y.variant_sweep(cases(spark, d))
+    return rounded(Y.variant_sweep(cases(spark, d)), "u", "z", "p", "edge")
 
 
 @query("k7_significance_diagnostics", f"""{with_links('p_name')}, {_HOLD} SELECT flag AS breadth_pass, count(*) AS n, round(avg(CASE WHEN post % 2 = 0 THEN 1 ELSE 0 END), 6) AS pass_rate, round(median(ratio) FILTER (post % 2 = 0), 6) AS growth_pass, round(median(ratio) FILTER (post % 2 <> 0), 6) AS growth_fail FROM ho GROUP BY flag""")
@@ -311,7 +352,12 @@ def k9(spark, d):
     return rounded(Y.pre_post_ratio(s, datetime.date(2001, 6, 1), 56), "before", "after", "ratio")
 
 
-@query("k10_interest_crosscheck")
+@query("k10_interest_crosscheck", f"""WITH {links_sql('p_name')}, {INTEREST}, {ENTITIES}, sp AS (SELECT keyword AS entity, count(*) FILTER (bucket_date - DATE '2001-06-01' BETWEEN -55 AND 0) AS na, count(*) FILTER (bucket_date - DATE '2001-06-01' BETWEEN 1 AND 56) AS nb,
+avg(interest_value) FILTER (bucket_date - DATE '2001-06-01' BETWEEN -55 AND 0) AS before, avg(interest_value) FILTER (bucket_date - DATE '2001-06-01' BETWEEN 1 AND 56) AS after FROM interest GROUP BY ALL),
+tj AS (SELECT CAST(id % 2 AS INT) AS grp, id % 5 = 0 AS calendar, CASE WHEN na >= 4 AND nb >= 4 AND before > 0 THEN after / before END AS value FROM entities e LEFT JOIN sp ON e.entity = sp.entity),
+v AS (SELECT 'all' AS arm, grp, value FROM tj UNION ALL SELECT 'no_calendar', grp, value FROM tj WHERE NOT calendar), {mw_sql('v', 'arm')},
+md AS (SELECT arm, median(value) FILTER (grp = 0) AS surfaced, median(value) FILTER (grp = 1) AS controls, count(*) FILTER (value IS NULL AND grp = 0) AS missing_surfaced, count(*) FILTER (value IS NULL AND grp = 1) AS missing_controls FROM v GROUP BY arm)
+SELECT md.arm, round(surfaced, 6) AS surfaced, round(controls, 6) AS controls, missing_surfaced, missing_controls, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, n1 < 8 OR n2 < 8 AS underpowered FROM md JOIN mw ON md.arm = mw.arm""")
 def k10(spark, d):
     s = interest(spark, d).select(F.col("keyword").alias("entity"), F.lit(datetime.date(2001, 8, 2)).alias("fetched_at"), F.col("bucket_date").alias("at"), F.col("interest_value").alias("value"))
     t = entities(spark, d).select("entity", (F.col("id") % 2).cast("int").alias("grp"), F.lit("en").alias("language"), F.lit(True).alias("ok"), (F.col("id") % 5 == 0).alias("calendar"))
@@ -383,13 +429,14 @@ def k14g(spark, d):
     return rounded(Y.half_rate_gate(Y.bucket_rates(arms(spark, d))), "old_rate", "new_rate")
 
 
-@query("k15_gate_cases")
+@query("k15_gate_cases", f"""{with_links()}, {_SERIES.format(n=59)}, {_HASHED}, {_BREADTH}, g AS (SELECT h.entity, CASE WHEN significance_pass AND round(entropy_bits, 9) >= 1.0 AND total_authors >= 10 THEN 'pass' ELSE 'hold' END AS decision FROM hashed h LEFT JOIN breadth b ON h.entity = b.entity)
+SELECT entity, 'hold' AS expected, decision, decision = 'hold' AS match FROM g""")
 def k15(spark, d):
     b = buckets(spark, d)
     s = B.daily_series(b, 60).groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket_date", "mentions"))), lambda x: x["mentions"]).alias("daily"))
     src = b.groupBy("entity", "platform").agg(F.sum("unique_authors").alias("unique_authors"), F.sum("mentions").alias("mentions")).groupBy("entity").agg(F.collect_list(F.struct("platform", "unique_authors", "mentions")).alias("sources"))
     c = s.join(src, "entity").select(F.col("entity").alias("name"), F.lit("hold").alias("expected"), "daily", "sources")
-    return G.gate_cases(c, 200)
+    return G.gate_cases(c, 20, test=G.permutation_test_sql)
 
 
 @query("e27_dominant_language", "WITH c AS (SELECT source AS entity, lang AS language, count(*) AS n FROM documents GROUP BY ALL) SELECT entity, arg_min(language, (-n, language)) AS language FROM c GROUP BY entity")
@@ -405,13 +452,21 @@ def volume(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.count("*").alias("volume"))
 
 
-@query("d12_match_controls", f"""WITH {_VOL}, c AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY entity) AS n FROM vo WHERE entity % 3 = 0), p AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY entity) AS n FROM vo WHERE entity % 3 = 1),
-h AS (SELECT c.entity, c.volume, p.entity AS control, p.volume AS control_volume FROM c JOIN p ON c.volume = p.volume AND c.n = p.n),
-c2 AS (SELECT *, floor(volume / 5) AS g, row_number() OVER (PARTITION BY floor(volume / 5) ORDER BY volume, entity) AS n2 FROM c WHERE entity NOT IN (SELECT entity FROM h)), p2 AS (SELECT *, floor(volume / 5) AS g, row_number() OVER (PARTITION BY floor(volume / 5) ORDER BY volume, entity) AS n2 FROM p WHERE entity NOT IN (SELECT control FROM h))
-SELECT * FROM h UNION ALL SELECT c2.entity, c2.volume, p2.entity, p2.volume FROM c2 JOIN p2 ON c2.g = p2.g AND c2.n2 = p2.n2""")
+def _bands_sql(bands=(1, 5, 25, 125, 625)) -> str:
+    """CTEs h1 ... hn: controls matched rank to rank in ever wider bands of volume."""
+    out, cases, pool = [], "cs", "po"
+    for n, band in enumerate(bands, 1):
+        rank = f"floor(volume / {band}) AS g, row_number() OVER (PARTITION BY floor(volume / {band}) ORDER BY volume, entity) AS n"
+        out.append(f"h{n} AS (SELECT c.entity, c.volume, p.entity AS control, p.volume AS control_volume FROM (SELECT *, {rank} FROM {cases}) c JOIN (SELECT *, {rank} FROM {pool}) p ON c.g = p.g AND c.n = p.n)")
+        out.append(f"c{n} AS (SELECT * FROM {cases} WHERE entity NOT IN (SELECT entity FROM h{n})), p{n} AS (SELECT * FROM {pool} WHERE entity NOT IN (SELECT control FROM h{n}))")
+        cases, pool = f"c{n}", f"p{n}"
+    return ", ".join(out)
+
+
+@query("d12_match_controls", f"WITH {_VOL}, cs AS (SELECT * FROM vo WHERE entity % 3 = 0), po AS (SELECT * FROM vo WHERE entity % 3 = 1 AND entity % 2 = 0), {_bands_sql()} " + " UNION ALL ".join(f"SELECT * FROM h{n}" for n in range(1, 6)))
 def d12(spark, d):
     v = volume(spark, d)
-    return Y.match_controls(v.where("entity % 3 = 0"), v.where("entity % 3 = 1"))
+    return Y.match_controls(v.where("entity % 3 = 0"), v.where("entity % 3 = 1 and entity % 2 = 0"))  # fewer controls than cases
 
 
 @query("f8_systematic_sample", f"WITH {_VOL}, r AS (SELECT *, row_number() OVER (ORDER BY volume, entity) - 1 AS i, greatest(count(*) OVER () // 40, 1) AS s FROM vo) SELECT entity, volume FROM r WHERE i % s = 0 AND i // s < 40")
@@ -484,7 +539,7 @@ def interest_items(spark, d):
     """Interest items in the shapes that scrapers give, from daily values."""
     i = interest(spark, d)
     g = i.groupBy("keyword", F.trunc("bucket_date", "month").alias("m")).agg(F.array_sort(F.collect_list(F.struct(F.date_format("bucket_date", "yyyy-MM-dd").alias("date"), F.col("interest_value").alias("v")))).alias("p"))
-    g = g.withColumn("h", F.pmod(F.crc32(F.concat("keyword", F.col("m").cast("string"))), F.lit(5)))
+    g = g.withColumn("h", F.pmod(F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.concat("keyword", F.col("m").cast("string"))), 1, 1)), F.lit(5)))
     one = lambda f: F.transform("p", f)
     shapes = [
         F.struct(F.lit("US").alias("geo"), one(lambda x: F.struct(x["date"].alias("date"), F.array(F.struct(F.col("keyword").alias("keyword"), x["v"].alias("value"))).alias("values"))).alias("interestOverTime")),
@@ -499,15 +554,16 @@ def interest_items(spark, d):
     return A.parse_items(g.select(F.concat("keyword", F.col("m").cast("string")).alias("item_id"), "h", raw.alias("raw"), F.lit("trends").alias("platform")))
 
 
-_II = f"WITH {links_sql('p_name')}, {INTEREST}, g AS (SELECT keyword, bucket_date, interest_value, keyword || CAST(date_trunc('month', bucket_date) AS DATE) AS item_id, row_number() OVER (PARTITION BY keyword, date_trunc('month', bucket_date) ORDER BY bucket_date) AS rn FROM interest)"
+_II = f"""WITH {links_sql('p_name')}, {INTEREST}, i AS (SELECT keyword, bucket_date, interest_value, keyword || CAST(date_trunc('month', bucket_date) AS DATE) AS item_id, row_number() OVER (PARTITION BY keyword, date_trunc('month', bucket_date) ORDER BY bucket_date) AS rn FROM interest),
+g AS (SELECT *, strpos('0123456789abcdef', substr(md5(item_id), 1, 1)) % 5 AS h FROM i)"""
 
 
-@query("b11_interest_flat")
+@query("b11_interest_flat", f"{_II} SELECT item_id, keyword, '' AS geo, bucket_date, interest_value FROM g WHERE h = 4 AND rn = 1")
 def b11(spark, d):
     return A.interest_flat(interest_items(spark, d))
 
 
-@query("b12_interest_series")
+@query("b12_interest_series", f"{_II} SELECT item_id, keyword, CASE WHEN h = 0 THEN 'US' ELSE '' END AS geo, bucket_date, interest_value FROM g WHERE h < 4")
 def b12(spark, d):
     return A.interest_series(interest_items(spark, d))
 
@@ -519,31 +575,21 @@ def b1112(spark, d):
     return rows.groupBy("keyword").agg(F.count_distinct("item_id").alias("items"))
 
 
-@query("a13_explode_payload", "SELECT c_custkey AS candidate_id, lang AS language FROM customer, (SELECT unnest(['en', 'fr']) AS lang) WHERE c_custkey % 3 <> 0")
+@query("a13_explode_payload", "SELECT c_custkey AS candidate_id, 0 AS place, c_mktsegment AS topic, lang AS language, [c_name] AS keywords FROM customer, (SELECT unnest(['en', 'fr']) AS lang) WHERE c_custkey % 3 <> 0")
 def a13(spark, d):
     q = lambda lang: F.struct(F.lit(lang).alias("language"), F.array("c_name").alias("keywords"))
     t = F.struct(F.col("c_mktsegment").alias("topic"), F.when(F.col("c_custkey") % 3 == 0, "killed").alias("status"), F.array(q("en"), q("fr")).alias("queries"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), F.to_json(F.array(t)).alias("payload"))
-    return A.explode_payload(c).select("candidate_id", "language")
-
+    return A.explode_payload(c)
 
-def _shared(spark, name):
-    import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="signalmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/signalmill/{name}-{uuid.uuid4().hex}"
-
-
-@query("a2_read_benchmark", "SELECT p_name AS name, 'pass' AS expected, count(*) AS n FROM part GROUP BY p_name")
+@query("a2_read_benchmark", "SELECT p_name AS name, p_type AS description, 'pass' AS expected, [p_brand] AS sheets, count(*) AS n FROM part GROUP BY p_name, p_type, p_brand")
 def a2(spark, d):
     path = _shared(spark, "benchmark")
-    entry = F.struct(F.col("p_name").alias("name"), F.lit("pass").alias("expected"), F.array("p_brand").alias("sheets"))
+    entry = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.lit("pass").alias("expected"), F.array("p_brand").alias("sheets"))
     p = table(spark, d, "part").groupBy(F.col("p_brand").alias("sheet")).agg(F.to_json(F.collect_list(entry)).alias("value"))
     p.write.partitionBy("sheet").text(path)  # one array per file
-    return A.read_benchmark(spark, path).groupBy("name", "expected").agg(F.count("*").alias("n"))
+    return A.read_benchmark(spark, path).groupBy("name", "description", "expected", "sheets").agg(F.count("*").alias("n"))
 
 
 @query("a6_replace_snapshot", f"{with_links()} SELECT platform, CASE WHEN platform = '5-LOW' THEN 0 ELSE count(*) END AS n FROM buckets WHERE platform <> '5-LOW' GROUP BY platform UNION ALL SELECT '5-LOW', count(*) FROM buckets WHERE platform = '5-LOW' AND mentions > 1")
@@ -585,23 +631,32 @@ def l2(spark, d):
 
 @query("l3_stream_day_buckets", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS entity, CAST(ts AS DATE) AS bucket_date, event_type AS platform, count(*) AS mentions, count(DISTINCT user_id) AS unique_authors FROM events GROUP BY ALL")
 def l3(spark, d):
-    e = event_links(spark, d).withColumnRenamed("entity_id", "entity").select("signal_id", "entity", "platform", "geography", "posted_on", "author", "engagement")
-    src = _shared(spark, "links")
-    e.repartition(2, "posted_on").write.parquet(src)
-    out = _shared(spark, "buckets")
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    jobs.stream_day_buckets(s, lambda x: x.read.parquet(src), out, _shared(spark, "ck")).awaitTermination()
-    versions = spark.read.parquet(f"{out}/v*").select(F.regexp_extract(F.input_file_name(), r"/v(\d+)/", 1).cast("int").alias("v")).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{out}/v{versions}").select("entity", "bucket_date", "platform", "mentions", "unique_authors")
-
-
-@query("l4_stream_states", "SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS entity, CAST(ts AS DATE) AS bucket_date FROM events GROUP BY ALL")
+    e = event_links(spark, d).withColumnRenamed("entity_id", "entity").select("signal_id", "entity", "platform", "geography", "author", "engagement", "posted_on")
+    src, out = _shared(spark, "links"), _shared(spark, "buckets")
+    e.repartition("posted_on").write.partitionBy("posted_on").parquet(src)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 10).parquet(src)
+    jobs.stream_day_buckets(s, lambda x: x.read.schema(e.schema).parquet(src), out, _shared(spark, "ck")).awaitTermination()
+    return spark.read.parquet(out).select("entity", "bucket_date", "platform", "mentions", "unique_authors")
+
+
+_DAILY = """dd AS (SELECT CAST(entity_id AS VARCHAR) AS entity, posted_on AS day, CAST(count(*) AS BIGINT) AS m, row_number() OVER (PARTITION BY entity_id ORDER BY posted_on) AS i FROM elinks GROUP BY entity_id, posted_on),
+nx AS (SELECT a.entity, a.day, min(b.day) AS nxt FROM dd a LEFT JOIN dd b ON a.entity = b.entity AND b.day >= a.day + 7 GROUP BY ALL),
+wk AS (SELECT entity, min(day) AS first, 1 AS n FROM dd GROUP BY ALL UNION ALL SELECT nx.entity, nx.nxt, wk.n + 1 FROM wk JOIN nx ON wk.entity = nx.entity AND wk.first = nx.day WHERE nx.nxt IS NOT NULL),
+aw AS (SELECT dd.entity, dd.day, dd.i, max(wk.n) AS n FROM dd JOIN wk ON dd.entity = wk.entity AND wk.first <= dd.day GROUP BY ALL),
+mt AS (SELECT a.entity, a.day, a.i, sum(b.m) FILTER (a.day - b.day <= 7) AS v7, sum(b.m) FILTER (a.day - b.day <= 30) AS v30, sum(b.m) AS v90, sum(b.m) FILTER (y.n = a.n) AS this, coalesce(sum(b.m) FILTER (y.n = a.n - 1), 0) AS prev
+  FROM aw a JOIN dd b ON a.entity = b.entity AND b.day <= a.day AND a.day - b.day <= 90 JOIN aw y ON y.entity = b.entity AND y.day = b.day GROUP BY ALL),
+"""
+
+
+@query("l4_stream_states", f"""WITH RECURSIVE {EVENT_LINKS_SQL}, {_DAILY}me AS (SELECT *, {growth('prev', 'this')} AS wow, {growth('(CASE WHEN v30 > 0 THEN (v90 - v30) / 2 ELSE 0 END)', 'v30')} AS mom FROM mt),
+ls(entity, day, i, state) AS (SELECT entity, day, i, {STATE} FROM (SELECT *, 'candidate' AS cur FROM me WHERE i = 1) UNION ALL SELECT entity, day, i, {STATE} FROM (SELECT me.*, ls.state AS cur FROM ls JOIN me ON ls.entity = me.entity AND me.i = ls.i + 1))
+SELECT entity, day AS bucket_date, state FROM ls""")
 def l4(spark, d):
     e = event_links(spark, d).groupBy(F.col("entity_id").cast("string").alias("entity"), F.col("posted_on").alias("bucket_date")).agg(F.count("*").alias("mentions"))
     src, out = _staged(e, "daily"), _shared(spark, "states")
     s = jobs.stream_states(jobs.read_stream(spark, src, e.schema))
     s.writeStream.format("parquet").option("path", out).option("checkpointLocation", _shared(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("entity", "bucket_date")
+    return spark.read.parquet(out).select("entity", "bucket_date", "state")
 
 
 @query("l5_stream_refresh", f"WITH {RUNS} SELECT DISTINCT tenant FROM runs WHERE status = 'succeeded'")

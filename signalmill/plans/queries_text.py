@@ -97,7 +97,7 @@ def b15(spark, d):
     return raw_labels(spark, d).select("id", T.canonical_label(F.col("label")).alias("canonical"))
 
 
-@query("b17_normalize_term", "SELECT doc_id, trim(regexp_replace(replace(strip_accents(replace(lower(left(text, 200)), 'ß', '§')), '§', 'ß'), '^#', '')) AS term FROM documents")
+@query("b17_normalize_term", "SELECT doc_id, trim(regexp_replace(replace(strip_accents(replace(lower(text), 'ß', '§')), '§', 'ß'), '^#', '')) AS term FROM documents")
 def b17(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize_term(F.col("text")).alias("term"))
 

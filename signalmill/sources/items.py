@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +77,8 @@ FIELDS = {
 }
 
 
-def normalize_platform(items: DataFrame, platform: str) -> DataFrame:
-    """Signals of one platform; items without an id are dropped."""
+def _signal(platform: str) -> list[Column]:
+    """The columns of a platform's signal."""
     f = FIELDS[platform]
     empty = lambda c: F.when(c != "", c)
     if "join" in f:
@@ -95,18 +93,30 @@ def normalize_platform(items: DataFrame, platform: str) -> DataFrame:
     e = engagement(F.lit(platform), counts)
     zero = lambda c: F.nullif(c, F.lit(0.0))
     followers = zero(_first(f.get("followers", []), "double")).cast("long")
-    return items.where(F.col("platform") == platform).select(
+    return [
         F.lit(platform).alias("platform"), empty(_first(f["id"], "string")).alias("source_id"), url.alias("source_url"), _stamp(f.get("iso", []), f.get("seconds", [])).alias("posted_at"),
         empty(_first(f["author"], "string")).alias("author"), followers.alias("followers"), (author_tier(followers) if f.get("tier") else F.lit("nano")).alias("author_tier"),
         F.coalesce(_first(f.get("verified", []), "boolean"), F.lit(False)).alias("verified"), empty(text).alias("text"),
         (_strings(f["tags"]) if "tags" in f else F.array().cast("array<string>")).alias("hashtags"), F.lit(f.get("geography")).cast("string").alias("geography"),
         *[zero(c).cast("long").alias(k) for k, c in counts.items()], e["score"].alias("score"), e["composite"].alias("composite"),
-    ).where("source_id is not null")
+    ]
+
+
+def normalize_platform(items: DataFrame, platform: str) -> DataFrame:
+    """Signals of one platform; items without an id are dropped."""
+    return items.where(F.col("platform") == platform).select(*_signal(platform)).where("source_id is not null")
 
 
 def normalize(items: DataFrame) -> DataFrame:
-    """Signals of all known platforms; others are dropped."""
-    return reduce(DataFrame.unionByName, [normalize_platform(items, p) for p in FIELDS])
+    """Signals of all known platforms, in one pass over the items; others, and items without an id, are dropped."""
+    rows = {p: _signal(p) for p in FIELDS}
+    columns = None
+    for p, row in rows.items():
+        at = F.col("platform") == p
+        columns = [F.when(at, c) for c in row] if columns is None else [w.when(at, c) for w, c in zip(columns, row)]
+    names = items.select(*rows["x"]).columns
+    known = items.where(F.col("platform").isin(*FIELDS))
+    return known.select(*[c.alias(n) for c, n in zip(columns, names)]).where("source_id is not null")
 
 
 def interest_flat(items: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from signalmill.operators.buckets import day_buckets
+from signalmill.operators.states import next_state_of
 from signalmill.sources.items import normalize, parse_items
-from signalmill.sources.sinks import upsert_buckets
 
 
 def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -30,58 +30,70 @@ def stream_dedupe(sdf: DataFrame, delay: str = "1 day", keys=("tenant", "platfor
     return sdf.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _swap(spark: SparkSession, df: DataFrame, path: str, batch: int) -> str:
-    """Write a table version of its own for each batch; a repeated batch overwrites its own version."""
-    out = f"{path}/v{batch}"
-    df.write.mode("overwrite").parquet(out)
-    return out
-
-
 def stream_day_buckets(links: DataFrame, all_links: Callable[[SparkSession], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """L3: days touched by a batch are recomputed as a whole and upserted, so late posts re-open their day.
+    """L3: days touched by a batch are recomputed as a whole and overwritten, so late posts re-open their day.
 
-    all_links gives the landed links a batch is part of. Versions under `path` are tables;
-    the highest is current.
+    all_links gives the landed links a batch is part of; laid out by posted_on, only the
+    touched days of it are read. The table under `path` is partitioned by bucket_date, and
+    a batch replaces the partitions of its days only; a repeated batch writes the same rows.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select("entity", "posted_on").distinct()
-        new = day_buckets(all_links(spark).join(touched, ["entity", "posted_on"], "left_semi"))
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else new.where("false")
-        _swap(spark, upsert_buckets(old, new.select(old.columns)), path, number)
+        days = [r[0] for r in batch.select("posted_on").distinct().collect()]  # the days of one batch
+        new = day_buckets(all_links(batch.sparkSession).where(F.col("posted_on").isin(days)))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_date").parquet(path)
 
     return links.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "state string, since date"
 STATE_OUT = "entity string, bucket_date date, state string"
+#: Days of history that the lifecycle rules look at.
+HISTORY = 90
 
 
-def _step(state: str, v: int, before: int) -> str:
-    """Small form of the lifecycle rules for one day's volume against the last one."""
-    if v == 0:
-        return "dormant"
-    if state == "dormant":
-        return "resurgent"
-    growth = (v - before) / before if before else 1.0
-    return "emerging" if growth > 0.3 else "declining" if growth < -0.24 else "sustained" if growth >= 0 else state
+def _metrics(days: list[int], mentions: list[int]) -> tuple[int, int, float, float]:
+    """Volumes of 7 and 30 days, weekly and monthly growth at the last of the sorted days."""
+    last = days[-1]
+    v7, v30, v90 = (sum(m for d, m in zip(days, mentions) if last - d <= n) for n in (7, 30, 90))
+    weeks: list[int] = []
+    first = None
+    for d, m in zip(days, mentions):
+        if first is None or d - first >= 7:
+            first = d
+            weeks.append(0)
+        weeks[-1] += m
+    rate = lambda a, b: (1.0 if b > 0 else 0.0) if a == 0 else (b - a) / a
+    return v7, v30, rate(weeks[-2] if len(weeks) > 1 else 0, weeks[-1]), rate((v90 - v30) / 2 if v30 > 0 else 0, v30)
 
 
 def stream_states(daily: DataFrame) -> DataFrame:
-    """L4: keyed state carried between batches; rows (entity, bucket_date, mentions) in, a state per row out."""
+    """L4: lifecycle state carried between batches; rows (entity, bucket_date, mentions) in, the state after each day out.
+
+    A key's state is its lifecycle state and the day sums of the last 90 days, which give
+    E3 to E6 at each new day, and H1 the next state. Rows of a day not after the last one
+    are late: they count in the history and give no row. Rows without a day or key are left out.
+    """
 
     def each(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, before = (state.get if state.exists else ("candidate", 0))
-        rows = pd.concat(list(batches)).sort_values("bucket_date")
-        out = []
-        for day, v in zip(rows["bucket_date"], rows["mentions"]):
-            now, before = _step(now, int(v), int(before)), int(v)
+        now, days, sums = state.get if state.exists else ("candidate", [], [])
+        history, out = dict(zip(days, sums)), []
+        rows = pd.concat(list(batches)).groupby("bucket_date")["mentions"].sum().sort_index()
+        for day, v in rows.items():
+            number = day.toordinal()
+            late = bool(history) and number <= max(history)
+            history[number] = history.get(number, 0) + int(v)
+            if late:
+                continue
+            history = {d: m for d, m in sorted(history.items()) if number - d <= HISTORY}
+            now = next_state_of(now, *_metrics(list(history), list(history.values())))
             out.append((key[0], day, now))
-        state.update((now, before))
+        history = dict(sorted(history.items()))
+        state.update((now, list(history), list(history.values())))
         yield pd.DataFrame(out, columns=["entity", "bucket_date", "state"])
 
-    return daily.groupBy("entity").applyInPandasWithState(each, STATE_OUT, "state string, before long", "append", "NoTimeout")
+    kind = "state string, days array<int>, mentions array<long>"
+    good = daily.where("entity is not null and bucket_date is not null and mentions is not null")
+    return good.groupBy("entity").applyInPandasWithState(each, STATE_OUT, kind, "append", "NoTimeout")
 
 
 def stream_refresh(runs: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
