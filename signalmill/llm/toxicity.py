@@ -51,26 +51,32 @@ def words_of(text: str) -> list[str]:
 class Vocabulary:
     """Buckets of distinct words: one of the whole word each, and the buckets of all n-grams, word after word."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], chunk: int = 10_000):
+        parts = [self._part(words[s : s + chunk]) for s in range(0, len(words), chunk)] or [self._part([])]
+        self.word, self.gram = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))])
+
+    @staticmethod
+    def _part(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word buckets, n-gram buckets, n-grams of each word), in small integers."""
         codes = np.frombuffer("".join(f"\x01{w}\x02" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         sizes = np.array([len(w) + 2 for w in words], np.int64)
         begin = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(words)), sizes)
         at = (np.arange(len(codes)) - begin[owner]).astype(np.uint64)
         # The sum of hashes of every character with its place names the whole word.
-        whole = np.add.reduceat(_mixed(_mixed(codes + np.uint64(1)) * _MIX + at), begin) if len(words) else np.zeros(0, np.uint64)
-        self.word = (_mixed(whole) % np.uint64(WORD_BUCKETS)).astype(np.int64)
+        whole = np.add.reduceat(_mixed(_mixed(codes + np.uint64(1)) * _MIX + at), begin) if words else np.zeros(0, np.uint64)
         ids, owners = [], []
         for n in (3, 4):
             h = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
             for i in range(n):
                 h = _mixed(h * _MIX + codes[i : len(codes) - n + 1 + i] + np.uint64(1))
-            whole_grams = owner[: len(h)] == owner[n - 1 :][: len(h)]
-            ids.append((h[whole_grams] % np.uint64(GRAM_BUCKETS)).astype(np.int64))
-            owners.append(owner[: len(h)][whole_grams])
+            inside = owner[: len(h)] == owner[n - 1 :][: len(h)]
+            ids.append((h[inside] % np.uint64(GRAM_BUCKETS)).astype(np.uint16))
+            owners.append(owner[: len(h)][inside])
         owners = np.concatenate(owners)
-        self.gram = np.concatenate(ids)[np.argsort(owners, kind="stable")]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
+        grams = np.concatenate(ids)[np.argsort(owners, kind="stable")]
+        return (_mixed(whole) % np.uint64(WORD_BUCKETS)).astype(np.uint16), grams, np.bincount(owners, minlength=len(words))
 
     def grams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-gram buckets of the words `some`, word after word, and how many each has (one or more)."""
@@ -191,7 +197,7 @@ class Net:
 def prepared(texts: list[str]) -> tuple[list[np.ndarray], Vocabulary]:
     """Places of each text's words among the distinct words, and those words."""
     place: dict[str, int] = {}
-    docs = [np.fromiter((place.setdefault(w, len(place)) for w in words_of(t)), np.int64) for t in texts]
+    docs = [np.fromiter((place.setdefault(w, len(place)) for w in words_of(t)), np.int32) for t in texts]
     return docs, Vocabulary(list(place))
 
 
