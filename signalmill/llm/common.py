@@ -55,6 +55,11 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of few narrow columns, marked for a broadcast if it is counted at no more than `rows` rows; beyond, joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def boxed(docs: DataFrame, *extra: Column) -> DataFrame:
     """All columns of docs as one, `_row`, beside own ones, so that no names clash; select("_row.*") opens it."""
     return docs.select(F.expr("struct(*)").alias("_row"), *extra)

@@ -36,10 +36,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     folder, so lineage stays short, and the tables of the round before are deleted. Stars
     are joined with stored minima, which leaves both sides of the join plain exchanges that
     adaptive execution can split when one centre has very many neighbours. The rounds end
-    when no edge changes, which makes every component one star.
+    when no edge changes, which makes every component one star; sets of edges are compared
+    by their number and two 64-bit hashes of every edge, summed without overflow.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = stored(e.distinct(), "edges")
+    e, before = stored(e.distinct(), "edges"), None
+    sums = [F.sum(F.xxhash64(*c).cast("decimal(20,0)")) for c in (("u", "v"), ("v", "u"))]
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
@@ -47,10 +49,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        changed = new.count() != e.count() or not new.join(e, ["u", "v"], "left_anti").isEmpty()
         release(low, large, least, e)
-        e = new
-        if not changed:
+        e, now = new, tuple(new.agg(F.count("*"), *sums).first())
+        if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
+        before = now

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import boxed, map_texts, release, row_key, stored, table
+from signalmill.llm.common import boxed, broadcast_if_small, map_texts, release, row_key, stored, table
 from signalmill.llm.components import connected_components, local_forest
 from signalmill.llm.lattice import cell_batches
 from signalmill.llm.textbytes import U, mixed, shingle_sets
@@ -238,9 +238,10 @@ def tree_forest(size: np.ndarray, bits: np.ndarray, rule: Rule, side: np.ndarray
 
 def name_of(shingles: np.ndarray) -> tuple[int, int]:
     """128-bit name of a shingle set; equal sets share it."""
-    first = mixed(shingles).sum() * U(0x9E3779B97F4A7C15) ^ mixed(shingles ^ U(0x5851F42D4C957F2D)).sum() + U(len(shingles))
-    second = mixed(mixed(shingles + U(0xD6E8FEB86659FD93)) * U(0x9E3779B97F4A7C15)).sum() + U(len(shingles))
-    return int(first.astype(np.int64)), int(second.astype(np.int64))
+    total = lambda h: h.sum(keepdims=True)
+    first = total(mixed(shingles)) * U(0x9E3779B97F4A7C15) ^ total(mixed(shingles ^ U(0x5851F42D4C957F2D))) + U(len(shingles))
+    second = total(mixed(mixed(shingles + U(0xD6E8FEB86659FD93)) * U(0x9E3779B97F4A7C15))) + U(len(shingles))
+    return int(first.view(np.int64)[0]), int(second.view(np.int64)[0])
 
 
 #: Words of the bitset that tells which sets may need signatures: 1 MB, whatever the input.
@@ -346,6 +347,9 @@ def _links(near: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & apart & near_sizes)
     place = lambda t: F.struct(F.col(f"{t}.component").alias("component"), F.col(f"{t}.label").alias("label"), F.col(f"{t}.level").alias("level"), F.col(f"{t}.block").alias("block"))
     pairs = stored(pairs.select(place("x").alias("p"), place("y").alias("q")), "pairs")
+    if pairs.isEmpty():  # every component is one label
+        release(own, marked, pairs)
+        return labels
     names = [F.xxhash64("p"), F.xxhash64("q"), F.xxhash64("p", "q"), F.lit(1).cast("long")]
     sides = pairs.select(*[c.alias(f"c{i + 1}") for i, c in enumerate(names)], F.posexplode(F.array("p", "q")).alias("side", "at"))
     cells = sides.select("c1", "c2", "c3", "c4", F.col("side").cast("long").alias("side"), "at.*").join(marked, ["component", "label", "level", "block"])
@@ -384,17 +388,20 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
     met = shingled(texts, k, keyed_sets, "node long, key long").withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key))
     met = met.withColumn("group", F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(by_key)).where("low <> high")
     met = stored(met.select("node", F.xxhash64("group", "low", "high").alias("key")).distinct(), "met")
-    wanted = bitset(met.select("node"))
 
-    def signatures(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        names = [name_of(s) for s in sets]
-        use = np.flatnonzero(in_bitset(wanted, np.array([a for a, _ in names], np.int64)))
-        first = {names[i]: i for i in use[::-1].tolist()}  # copies of a batch once
-        some = [sets[i] for i in first.values()]
-        return pd.DataFrame({"node": [a for a, _ in first], "more": [b for _, b in first], "n": [len(s) for s in some], "bits": [bitmap(s) for s in some], "shingles": [s.tobytes() for s in some]})
+    def of_classes(nodes: DataFrame, make, schema: str) -> DataFrame:
+        """One row (node, more, ...) per class that `nodes` may hold: make(sets) gives the other columns."""
+        wanted = bitset(nodes)
+
+        def each(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
+            names = [name_of(s) for s in sets]
+            use = np.flatnonzero(in_bitset(wanted, np.array([a for a, _ in names], np.int64)))
+            first = {names[i]: i for i in use[::-1].tolist()}  # copies of a batch once
+            return pd.DataFrame({"node": [a for a, _ in first], "more": [b for _, b in first], **make([sets[i] for i in first.values()])})
+
+        return shingled(texts, k, each, f"node long, more long, {schema}").dropDuplicates(["node", "more"])
 
-    signed = shingled(texts, k, signatures, "node long, more long, n long, bits binary, shingles binary")
-    signed = signed.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "more"])
+    signed = of_classes(met.select("node"), lambda sets: {"n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}, "n long, bits binary")
     signed = stored(signed.join(classes.select("node", "more", "cid"), ["node", "more"]), "signatures")
     sizes = stored(met.groupBy("key").agg(F.count("*").alias("count")), "sizes")
     dealt = met.join(sizes, "key").withColumn("slices", F.ceil(F.col("count") / GROUP).cast("int"))
@@ -421,11 +428,14 @@ def similar_groups(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="d
 
     forest = stored(ready.mapInPandas(traversed, "a long, b long"), "forest")
     near = connected_components(forest).withColumnRenamed("node", "cid")
-    near = stored(near.join(signed.select("cid", "n"), "cid"), "near")
-    links = _links(near, signed, rule)
+    near = stored(near.join(signed.select("cid", "node", "more", "n"), "cid"), "near")
+    # Only classes that the trees connect are compared, so their sets alone are gathered.
+    exact = of_classes(near.select("node"), lambda sets: {"shingles": [s.tobytes() for s in sets]}, "shingles binary")
+    exact = stored(exact.join(near.select("node", "more", "cid"), ["node", "more"]).select("cid", "shingles"), "exact")
+    links = _links(near.select("cid", "n", "component"), exact, rule)
     answer = classes.join(links.withColumnRenamed("node", "cid"), "cid", "left").select("node", "more", F.coalesce("component", "cid").alias("component_id"))
     answer = stored(answer, "answer")
-    release(met, sizes, signed, classes, forest, near, links)
+    release(met, sizes, signed, classes, forest, near, exact, links)
     out = found.join(answer, ["node", "more"], "left")
     single = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_k1", "_k2", F.col("n").alias("n_shingles"), single.alias("component_id"))
@@ -435,7 +445,7 @@ def keep_first(docs: DataFrame, k: int = 5, rule: Rule = Rule(80), id_col="doc_i
     """The rows of `docs` less those of a group that is not headed by their id; all columns as they were. Rows with a null id stay."""
     groups = similar_groups(docs, k, rule, id_col, text_col)
     drop = stored(groups.where("component_id <> doc_id").select("_k1", "_k2").distinct(), "copies")
-    return boxed(docs, *row_key(id_col, text_col)).join(drop, ["_k1", "_k2"], "left_anti").select("_row.*")
+    return boxed(docs, *row_key(id_col, text_col)).join(broadcast_if_small(drop), ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
