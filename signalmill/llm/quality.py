@@ -2,8 +2,8 @@
 
 Class means and covariances come from all labelled training rows, gathered as sums and outer
 products per task. Covariances shrink towards the pooled diagonal; a score is the logistic of
-the difference of Mahalanobis log densities, with the Cholesky factors computed once and
-shipped with the model.
+the difference of Mahalanobis log densities, softened by a temperature that fits the training
+rows best. The Cholesky factors are inverted once and shipped with the model.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from signalmill.llm.common import remainder, stored, table
 #: Order of the statistics that statistics() gives.
 NAMES = ("log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "bang", "bar", "stop", "comma", "line", "high", "types", "line_types", "long_words", "case_words")
 SHRINK, FLOOR = 0.1, 1e-3
+#: Temperatures to choose from.
+TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0)
 
 
 def _classes() -> np.ndarray:
@@ -50,34 +53,37 @@ def statistics(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Class means, Cholesky factors of the shrunk covariances, their log determinants, and the log prior odds."""
+    """Class means, inverted Cholesky factors of the shrunk covariances, their log determinants, and the log prior odds."""
 
     means: np.ndarray
-    factors: list
+    inverses: list
     logdets: list
     odds: float
     center: np.ndarray
     scale: np.ndarray
-    temperature: float = 4.0
+    temperature: float = 1.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Log density of class 1 less that of class 0."""
         z = np.clip((x - self.center) / self.scale, -8, 8)
         density = []
-        for mean, factor, logdet in zip(self.means, self.factors, self.logdets):
-            y = np.linalg.solve(factor, (z - mean).T)
+        for mean, inverse, logdet in zip(self.means, self.inverses, self.logdets):
+            y = inverse @ (z - mean).T
             density.append(-0.5 * (y * y).sum(0) - 0.5 * logdet)
-        return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / self.temperature + self.odds, -40, 40)))
+        return density[1] - density[0]
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins(x) / self.temperature + self.odds, -40, 40)))
 
-def statistics_of(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, x) for every row, repeated and null rows included."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["i"], "x": [statistics(t).tolist() for t in batch["t"]]})
+def with_statistics(docs: DataFrame, text_col="text") -> DataFrame:
+    """docs with `x`, the statistics of each row's text; only the text goes through Python."""
+
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(each, f"doc_id {kind}, x array<double>")
+    return docs.withColumn("x", measured(text_col))
 
 
 def fit(rows: DataFrame, shrink: float = SHRINK) -> Model:
@@ -107,7 +113,7 @@ def fit(rows: DataFrame, shrink: float = SHRINK) -> Model:
     spread = every[1 + p :].reshape(p, p) / max(every[0], 1) - np.outer(center, center)
     scale = np.sqrt(np.maximum(np.diag(spread), 1e-8))
     pooled = spread / np.outer(scale, scale)
-    means, factors, logdets = [], [], []
+    means, inverses, logdets = [], [], []
     for k in (0, 1):
         if n[k] < 2:
             mean, cov = np.zeros(p), pooled
@@ -115,34 +121,44 @@ def fit(rows: DataFrame, shrink: float = SHRINK) -> Model:
             m = total[k, 1 : 1 + p] / n[k]
             mean = (m - center) / scale
             cov = (total[k, 1 + p :].reshape(p, p) / n[k] - np.outer(m, m)) / np.outer(scale, scale)
-        cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + FLOOR * np.eye(p)
+        cov = (1 - shrink) * cov + shrink * np.diag(np.diag(pooled)) + FLOOR * np.eye(p)
         factor = np.linalg.cholesky(cov)
         means.append(mean)
-        factors.append(factor)
+        inverses.append(np.linalg.inv(factor))
         logdets.append(2 * np.log(np.diag(factor)).sum())
     odds = float(np.log((n[1] + 1) / (n[0] + 1)))
-    return Model(np.array(means), factors, logdets, odds, center, scale)
+    model = Model(np.array(means), inverses, logdets, odds, center, scale)
+
+    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(TEMPERATURES))
+        for batch in batches:
+            margin, sign = model.margins(np.array(batch["x"].tolist()).reshape(-1, p)), 2 * batch["label"].to_numpy() - 1
+            total += [np.logaddexp(0, -sign * (margin / t + odds)).sum() for t in TEMPERATURES]
+        yield pd.DataFrame({"k": range(len(TEMPERATURES)), "s": total})
+
+    loss = rows.where("label in (0, 1)").select("label", "x").mapInPandas(losses, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+    model.temperature = TEMPERATURES[min((round(s, 6), k) for k, s in loss)[1]] if loss else TEMPERATURES[0]
+    return model
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """Add `score` to rows (doc_id, x)."""
+    """Add `score` to rows with statistics `x`."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array(batch["x"].tolist()).reshape(-1, len(NAMES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.scores(x)})
+    @F.arrow_udf("double")
+    def scores(x: pa.Array) -> pa.Array:
+        return pa.array(model.scores(np.asarray(x.flatten()).reshape(-1, len(NAMES))))
 
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInPandas(each, f"doc_id {kind}, score double")
+    return stats.withColumn("score", scores("x"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3, label_col="quality") -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Labels of rows whose crc32(doc_id) mod `folds` is `held` are never read. Texts are read
-    once; the statistics are stored. An empty table gives no rows.
+    once; the statistics are stored. Null texts count as empty, equal texts score the same,
+    repeated rows and null ids are kept, and an empty table gives no rows.
     """
-    stats = stored(statistics_of(docs), "statistics")
+    stats = stored(with_statistics(docs.select("doc_id", "text")).select("doc_id", "x"), "statistics")
     known = labels.where(remainder("doc_id", folds) != held).select("doc_id", F.col(label_col).alias("label"))
     model = fit(stats.join(known, "doc_id"))
     return score(stats, model).select(
