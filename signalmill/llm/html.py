@@ -1,8 +1,9 @@
 """HTML extraction: parser events, text-to-tag ratios, smoothing and clustering.
 
 The standard library's streaming parser turns a page into lines, one per block, each with
-its text, its tags and its innermost container. Ratios of text to tags, zero for lines in
-marked boilerplate, are smoothed with a Gaussian, and lines above a threshold are content.
+its text, its tags, its links and its innermost container. Ratios of text to tags, less the
+share of links and zero in marked boilerplate, are smoothed with a Gaussian, and lines above
+a threshold are content.
 The smallest container of all of them is the content region; lines in it that fall short of
 the threshold count where they stand among content.
 """
@@ -181,7 +182,8 @@ def extract(html: str | None) -> str:
     at, loose = np.array(at), np.array(loose)
     length = np.array([len(t) for t in text], float)
     weight = weights(page, length, at, loose)
-    content = clustered(length / np.maximum(tags, 1), weight)
+    prose = 1 - np.minimum(np.array(links) / length, 1)
+    content = clustered(length / np.maximum(tags, 1), weight * prose)
     if not content.any():
         return ""
     # The smallest container of all content lines: numbers ascend from parent to child.
@@ -194,9 +196,9 @@ def extract(html: str | None) -> str:
     inside = _under(page.parents, [i == region for i in range(len(held))]) >= 0
     # Short lines of the region: all but lists of links in a container of its own, else those beside or between content lines.
     where = np.flatnonzero(content)
-    prose = (np.array(links) < 0.5 * length) & (page.kinds[region] not in ("", "html", "body"))
-    among = (np.arange(len(text)) > where[0]) & (np.arange(len(text)) < where[-1]) & (np.array(links) < 0.5 * length)
-    keep = content | inside[at] & (weight > 0) & (prose | direct[at] | among)
+    own = page.kinds[region] not in ("", "html", "body")
+    among = (np.arange(len(text)) > where[0]) & (np.arange(len(text)) < where[-1])
+    keep = content | inside[at] & (weight > 0) & (direct[at] | (prose > 0.5) & (own | among))
     return " ".join(t for t, k in zip(text, keep) if k)
 
 
