@@ -133,3 +133,71 @@ def test_attributes_and_items_are_of_whole_documents(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
     raw = [r["raw"] for r in queries_states.landed(spark, str(tmp_path)).select("raw").collect()]
     assert any(said[0][2] in x for x in raw)
+
+
+def test_uplift_posterior_is_the_binomial_tail():
+    from math import comb
+
+    import numpy as np
+
+    from signalmill.operators.longtail import _upper_beta
+
+    pairs = [(0, 0), (1, 0), (0, 5), (7, 3), (40, 41), (200, 90), (90, 200)]
+    got = _upper_beta(np.array([c for c, _ in pairs]), np.array([b for _, b in pairs]))
+    for p, (c, b) in zip(got, pairs):
+        n = c + b + 1
+        assert abs(p - sum(comb(n, k) * 2**k for k in range(c + 1)) / 3**n) < 1e-9
+
+
+def test_controls_far_away_and_many_platforms(spark):
+    from signalmill.operators.runlog import run_rollups
+    from signalmill.operators.studies import match_controls
+
+    cases = spark.createDataFrame([(1, 100), (2, 7)], "entity long, volume long")
+    pool = spark.createDataFrame([(10, 130), (11, 7)], "entity long, volume long")
+    assert {tuple(r) for r in match_controls(cases, pool).collect()} == {(1, 100, 10, 130), (2, 7, 11, 7)}
+    assert match_controls(cases.where("false"), pool).count() == 0
+    runs = spark.createDataFrame([(1, f"p{i}", "x", 1, None) for i in range(130)], "query_id long, platform string, status string, batch_id long, started_on date")
+    assert len(run_rollups(runs)["query"].columns) == 131 and run_rollups(runs)["query_rows"].count() == 130
+
+
+def test_benchmark_names_inside_words(spark):
+    from signalmill.operators.studies import match_benchmark
+
+    e = spark.createDataFrame([("rod",), ("spring settle",), ("plate",)], "entity string")
+    b = spark.createDataFrame([("ring set",), ("small rod deluxe",), ("plate",), ("no match",), ("x",)], "name string")
+    got = {r["name"]: r["entity"] for r in match_benchmark(b, e).collect()}
+    assert got == {"ring set": "spring settle", "small rod deluxe": "rod", "plate": "plate", "no match": None, "x": None}
+
+
+def test_plain_rules_are_the_column_rules(spark):
+    from pyspark.sql import functions as F
+
+    from signalmill.operators.states import next_state, next_state_of
+
+    cases = [(s, v7, v30, w, m) for s in ("candidate", "declining", "dormant", "peaking") for v7 in (0, 4) for v30 in (0, 4, 6, 20) for w in (-0.5, 0.05, 0.2, 0.6) for m in (-0.5, 0.1, 0.6)]
+    df = spark.createDataFrame(cases, "s string, v7 long, v30 long, w double, m double")
+    for r in df.withColumn("n", next_state(*(F.col(c) for c in df.columns))["state"]).collect():
+        assert r["n"] == next_state_of(*r[:5])
+
+
+def test_states_carried_between_batches(spark, tmp_path):
+    import datetime
+
+    from signalmill.streaming.jobs import read_stream, stream_states
+
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [("a", day(n), 2 + n % 5) for n in range(0, 40, 2)] + [("b", day(3), 1)]
+    kind = "entity string, bucket_date date, mentions long"
+
+    def run(name, parts):
+        for part in parts:
+            spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            s = stream_states(read_stream(spark, f"{tmp_path}/{name}", kind))
+            s.writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-ck").trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}-out").collect()))
+
+    whole = run("whole", [rows])
+    assert run("split", [rows[:9], rows[9:]]) == whole and len(whole) == len(rows)
+    late = run("late", [rows, [("a", day(1), 5)]])
+    assert late == whole  # a late day gives no state of its own
