@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import canonical_label
+from signalmill.operators.ordinal import with_ordinals, with_prefix_sums
 
 
 def avg_rank(df: DataFrame, value: str = "value", by=()) -> DataFrame:
-    """average rank over ties, from a histogram of values per group."""
+    """average rank over ties, from a histogram of values per group; its prefix sums come from range partitions."""
     by = list(by)
-    h = df.groupBy(*by, value).agg(F.count("*").alias("t"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("rank", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
+    h = with_prefix_sums(df.groupBy(*by, value).agg(F.count("*").alias("t")), [*by, value], {"_before": "t"})
+    # Sums run over all groups in turn, so a group's ranks start at its own least sum.
+    start = h.groupBy(*by).agg(F.min("_before").alias("_start")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "_start")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    h = h.join(start, same) if by else h.withColumn("_start", F.lit(0))
+    h = h.withColumn("rank", F.col("_before") - F.col("_start") + (F.col("t") + 1) / 2)
     named = h.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])], "rank")
     both = F.lit(True)
     for i, c in enumerate([*by, value]):
@@ -33,14 +39,17 @@ def _erf(x: Column) -> Column:
 def mann_whitney(df: DataFrame, value: str = "value", group: str = "grp", by=()) -> DataFrame:
     """K2: n1, n2, u, z and two-sided p of group 0 against group 1, with tie correction; a missing side gives p = 1.
 
-    Works on the histogram of values, so ranks need no sort of the rows.
+    Works on the histogram of values; its prefix sums come from range partitions over all
+    groups, and a group's ranks start at its own least sum.
     """
     by = list(by)
     h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(group) == 0).cast("long")).alias("a"), F.sum((F.col(group) == 1).cast("long")).alias("b"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("a") + F.col("b")
-    h = h.withColumn("rank", F.coalesce(F.sum(t).over(w), F.lit(0)) + (t + 1) / 2)
-    g = h.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
+    h = with_prefix_sums(h.withColumn("t", t), [*by, value], {"_before": "t"})
+    g = h.groupBy(*by).agg(
+        F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("_before") + (t + 1) / 2)).alias("_r"), F.min("_before").alias("_start"), F.sum(t * t * t - t).alias("ties")
+    )
+    g = g.withColumn("r1", F.col("_r") - F.col("n1") * F.col("_start"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
@@ -189,11 +198,9 @@ def match_controls(cases: DataFrame, pool: DataFrame, widen: int = 5) -> DataFra
 
 
 def systematic_sample(df: DataFrame, k: int, order=("volume", "entity")) -> DataFrame:
-    """F8: every step-th row of a ranked list, step = floor(n / k), k rows at most."""
-    w = Window.partitionBy(F.lit(0))
-    step = F.greatest(F.floor(F.count("*").over(w) / k), F.lit(1))
-    s = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_s", step)
-    return s.where((F.col("_i") % F.col("_s") == 0) & (F.col("_i") / F.col("_s") < k)).drop("_i", "_s")
+    """F8: every step-th row of a ranked list, step = floor(n / k), k rows at most; places come from range partitions."""
+    s = with_ordinals(df, list(order), "_i", "_n").withColumn("_s", F.greatest(F.floor(F.col("_n") / k), F.lit(1)))
+    return s.where((F.col("_i") % F.col("_s") == 0) & (F.col("_i") / F.col("_s") < k)).drop("_i", "_s", "_n")
 
 
 def bottom_k_overlap(df: DataFrame, flags: DataFrame, k: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalmill.operators.buckets import daily_totals, interest_for_entity, total_mentions, trend_series
 from signalmill.operators.growth import share_of_voice
+from signalmill.operators.ordinal import with_prefix_sums
 from signalmill.operators.pairs import label_pairs, order_pairs
 from signalmill.operators.seeds import match_seeds
 
@@ -45,13 +46,12 @@ def page(df: DataFrame, by: str, key: str, descending: bool = True, limit: int =
 def signal_percentile(states: DataFrame, items: DataFrame) -> DataFrame:
     """Percent of the surfaced population with a strictly lower evidence score.
 
-    Scores go to a histogram first, so the window holds distinct scores.
+    Scores go to a histogram, whose prefix sums come from range partitions.
     """
     s = states.join(items.where("not archived").select("item_id", "evidence_count"), "item_id")
     s = s.withColumn("score", F.greatest(F.lit(0), F.coalesce("evidence_count", F.lit(0))) * F.greatest(F.lit(1), F.size(F.coalesce("platforms", F.array().cast("array<string>")))))
-    h = s.groupBy("score").agg(F.count("*").alias("c"))
-    below = Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
+    h = with_prefix_sums(s.groupBy("score").agg(F.count("*").alias("c")), ["score"], {"below": "c"})
+    h = h.crossJoin(F.broadcast(h.agg(F.sum("c").alias("n"))))  # a single row
     return s.join(h, "score").select("entity", "geography", "score", F.floor(F.col("below") / F.col("n") * 100 + 0.5).cast("int").alias("percentile"))
 
 
