@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalmill.llm import chat, decontam, html, importance, lattice, linedup, mixing, quality, sigtree, suffix, toxicity, warc
+from signalmill.llm import chat, collocation, decontam, html, importance, lattice, linedup, mixing, quality, sigtree, suffix, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_quality": quality.op10_quality,
         "op11_importance": importance.op11_importance,
         "op12_line_dedup": linedup.op12_line_dedup,
+        "op13_collocations": collocation.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op6_decontam": decontam.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op11_importance": importance.OP11_SQL, "op12_line_dedup": linedup.OP12_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op6_decontam": decontam.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op11_importance": importance.OP11_SQL, "op12_line_dedup": linedup.OP12_SQL, "op13_collocations": collocation.OP13_SQL}
