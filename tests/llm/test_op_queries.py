@@ -38,7 +38,7 @@ def same_rows(df, rows):
 
 
 def test_registry_is_complete():
-    assert len(registry.queries()) == 10 and set(registry.oracle_sql()) <= set(registry.queries())
+    assert len(registry.queries()) == 13 and set(registry.oracle_sql()) <= set(registry.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "suffix_dedup", "decontamination", "mixing"]
 
 
