@@ -21,14 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import release, stored, table
+from signalmill.llm.textbytes import mixed
 
 #: Words of an edge, counts of a candidate at least, percent of its count at which a longer candidate drops it, rows of a language.
 ORDER, LEAST, INSIDE, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 #: Bytes of texts that a task counts at a time; a longer text is counted alone.
-SLICE = 1 << 22
+SLICE = 3 << 20
 #: Share of documents whose edges show which words and pairs begin so many edges that their edges are dealt by more words. It steers the shuffle; no result depends on it.
 LOOK = 0.01
+#: Routes that edges are dealt by, for each shuffle partition.
+ROUTES = 2
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -48,10 +51,12 @@ def _pairs(a: np.ndarray, b: np.ndarray, nb: int) -> tuple[np.ndarray, int]:
     return code.astype(np.int64), len(found)
 
 
-def edge_counts(texts: list[bytes | None], langs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """(language, edge, words, count) of the runs of `order` words, or fewer where a piece ends, that start at each word; words are joined by a space.
+def edge_codes(texts: list[bytes | None], langs: np.ndarray, order: int = ORDER) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, language, codes, count) of the distinct runs of `order` words, or fewer where a piece ends, that start at each word.
 
-    langs has a number for each text. Every word starts one run, so counts add up to the words.
+    codes has a row for each place of a run: the number of its word in names, from 1, and 0
+    beyond its end. langs has a number for each text. Every word starts one run, so counts
+    add up to the words.
     """
     raw, at = _joined(texts)
     word = ~(_PIECE[raw] | _GAP[raw])
@@ -59,32 +64,29 @@ def edge_counts(texts: list[bytes | None], langs: np.ndarray, order: int = ORDER
     start, end = change[::2], change[1::2]
     n = len(start)
     if not n:
-        return np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros((order, 0), np.int64), np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(end - start)])
-    packed = raw[word]
-    names = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(packed)]).dictionary_encode()
-    ids, names = names.indices.to_numpy().astype(np.int64), names.dictionary
+    names = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[word])]).dictionary_encode()
+    ids, names = names.indices.to_numpy().astype(np.int64) + 1, names.dictionary
     piece = np.cumsum(_PIECE[raw])[start]
     lang = langs[np.searchsorted(at, start, "right") - 1].astype(np.int64)
-    size = len(names) + 1
-    columns, length = [ids + 1], np.ones(n, np.int64)
+    columns = [ids]
     for k in range(1, order):
-        same = np.zeros(n, bool)
-        same[: n - k] = piece[k:] == piece[: n - k]
         nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = ids[k:] + 1
-        columns.append(np.where(same, nxt, 0))
-        length += same
-    code, many = columns[0], size
-    for c in columns[1:]:
-        code, many = _pairs(code, c, size)
-    code, many = _pairs(code, lang, int(lang.max()) + 1)
-    count = np.bincount(code, minlength=many)
+        nxt[: n - k] = np.where(piece[k:] == piece[: n - k], ids[k:], 0)
+        columns.append(nxt)
+    code, many = lang, int(lang.max()) + 1
+    for c in columns:
+        code, many = _pairs(code, c, len(names) + 1)
     first = np.full(many, n, np.int64)
     first[code[::-1]] = np.arange(n - 1, -1, -1)
-    parts = [pc.take(names, pa.array(c[first] - 1, mask=c[first] == 0)) for c in columns]
-    edge = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()), null_handling="skip") if order > 1 else parts[0]
-    return lang[first], edge, length[first], count
+    return names, lang[first], np.stack([c[first] for c in columns]), np.bincount(code, minlength=many)
+
+
+def _phrases(names: pa.Array, codes: np.ndarray) -> pa.Array:
+    """Words of codes, joined by a space; 0 is no word."""
+    parts = [pc.take(names, pa.array(c - 1, mask=c == 0)) for c in codes]
+    return pc.binary_join_element_wise(*parts, pa.scalar(b" ", names.type), null_handling="skip").cast(pa.large_string())
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -100,71 +102,157 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
         yield first, some
 
 
-_EDGE = "lang string, edge string, words int, n bigint"
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
 
-def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
-    """(lang, edge, words, n): weighted edges and ends of pieces, not yet added up over tasks, and a row of 0 words with all word occurrences.
+def _coded(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple]:
+    """(languages, names, language, codes, count) of edges, slice by slice of the texts."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        numbers = langs.indices.to_numpy()
+        for first, texts in _slices(batch.column(1)):
+            yield langs.dictionary, *edge_codes(texts, numbers[first : first + len(texts)], order)
 
-    A null language is `und`; null texts have no words.
-    """
+
+def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+    """(lang, edge, words, n): weighted edges and ends of pieces, not yet added up over tasks. A null language is `und`; null texts have no words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = batch.column(0).dictionary_encode()
-            numbers = codes.indices.to_numpy()
-            for first, texts in _slices(batch.column(1)):
-                lang, edge, words, n = edge_counts(texts, numbers[first : first + len(texts)], order)
-                some, at = np.unique(lang, return_inverse=True)
-                whole = np.bincount(at, weights=n, minlength=len(some)).astype(np.int64)
-                edge = pa.concat_arrays([edge.cast(pa.string()), pa.array([""] * len(some), pa.string())])
-                lang, words, n = np.concatenate([lang, some]), np.concatenate([words, np.zeros(len(some), np.int64)]), np.concatenate([n, whole])
-                yield pa.RecordBatch.from_arrays([pc.take(codes.dictionary, pa.array(lang)), edge, pa.array(words.astype(np.int32)), pa.array(n)], ["lang", "edge", "words", "n"])
+        for langs, names, lang, codes, n in _coded(batches, order):
+            yield pa.RecordBatch.from_arrays([pc.take(langs, pa.array(lang)), _phrases(names, codes).cast(pa.string()), pa.array((codes > 0).sum(0).astype(np.int32)), pa.array(n)], ["lang", "edge", "words", "n"])
 
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(each, _EDGE)
+    return _texts(docs, text_col, lang_col).mapInArrow(each, "lang string, edge string, words int, n bigint")
 
 
 def _prefix(column: str, words: int | str) -> Column:
     return F.expr(f"substring_index({column}, ' ', {words})")
 
 
-def _busy(look: DataFrame, words: int, share: float) -> DataFrame:
-    """(lang, head): first words of more than `share` of the edges; at most 1 / share rows."""
+def busy_heads(look: DataFrame, words: int, share: float) -> set[tuple[str, str]]:
+    """(lang, first words) that more than `share` of the edges begin with; at most 1 / share of them."""
     heads = look.where(F.col("words") >= words).groupBy("lang", _prefix("edge", words).alias("head")).agg(F.count("*").alias("c"))
     total = F.broadcast(look.agg((F.count("*") * share).alias("least")))
-    return heads.crossJoin(total).where("c > least").select("lang", "head")
+    return {(r["lang"], r["head"]) for r in heads.crossJoin(total).where("c > least").select("lang", "head").collect()}
+
+
+def _hash(texts: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(texts.to_numpy(zero_copy_only=False).astype(object), categorize=False)
 
 
-def _dealt(found: DataFrame, look: DataFrame, order: int, parts: int) -> DataFrame:
-    """Edges with `depth` and `route`: the number of first words that they are dealt by (one; two after a frequent word, all after a frequent pair), and their hash."""
-    share = 1 / (4 * parts)
-    one, two = (F.broadcast(_busy(look, k, share).select("lang", F.col("head").alias(f"_b{k}"), F.lit(True).alias(f"_f{k}"))) for k in (1, 2))  # 1 / share rows at most
-    d = found.select("*", _prefix("edge", 1).alias("_b1"), _prefix("edge", 2).alias("_b2")).join(one, ["lang", "_b1"], "left").join(two, ["lang", "_b2"], "left")
-    depth = F.when(F.col("_f2"), order).when(F.col("_f1"), 2).otherwise(1)
-    return d.select("lang", "edge", "words", "n", depth.alias("depth")).withColumn("route", F.xxhash64("lang", _prefix("edge", "depth")))
+def edge_depths(langs: pa.Array, names: pa.Array, lang: np.ndarray, codes: np.ndarray, one: set, two: set) -> tuple[np.ndarray, np.ndarray]:
+    """(depth, hash) of edges: the number of first words that they are dealt by (one; two after a frequent word, all after a frequent pair), and the hash of those and the language."""
+    order, size = len(codes), len(names) + 1
+    by_lang = _hash(langs)[lang]
+    words = _hash(names.cast(pa.large_string()))
+    depth = np.ones(len(lang), np.int64)
+    code = words[codes[0] - 1]
+    places = {w.decode(): i + 1 for i, w in enumerate(names.to_pylist())} if one else {}
+    number = {x: i for i, x in enumerate(langs.to_pylist())}
+    often = [number[g] * size + places[w] for g, w in one if g in number and w in places]
+    deep = np.flatnonzero(np.isin(lang * size + codes[0], often))
+    if len(deep):
+        depth[deep] = 2
+        pairs = [(number[g], *(places.get(w) for w in p.split(" "))) for g, p in two if g in number]
+        often = [(g * size + a) * size + b for g, a, b in pairs if a and b]
+        depth[deep[np.isin((lang[deep] * size + codes[0][deep]) * size + codes[1][deep], often)]] = order
+        for k in range(1, order):
+            on = deep[depth[deep] > k]
+            code[on] = mixed(code[on] * np.uint64(31) + np.where(codes[k][on] > 0, words[codes[k][on] - 1], np.uint64(k)))
+    return depth, mixed(code ^ by_lang)
+
+
+_BLOCK = "route int, langs array<string>, size int, edges binary, length int, names binary"
+
+
+def packed_edges(docs: DataFrame, text_col: str, lang_col: str, order: int, routes: int, one: set, two: set) -> DataFrame:
+    """Edges as one row for each route and slice of texts: its languages, the numbers of language, depth, count and words of its edges, and the words' names, both packed."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, names, lang, codes, n in _coded(batches, order):
+            depth, code = edge_depths(langs, names, lang, codes, one, two)
+            route = (code % np.uint64(routes)).astype(np.int64)
+            by = np.argsort(route * (len(names) + 1) + codes[0], kind="stable")
+            cuts = np.flatnonzero(np.diff(np.concatenate([[-1], route[by], [routes]])))
+            columns = [[] for _ in range(5)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = by[a:b]
+                used, small = np.unique(codes[:, part], return_inverse=True)
+                numbers = np.concatenate([[lang[part], depth[part], n[part]], small.reshape(order, -1) + (used[0] > 0)]).astype("<i4")
+                words = names.take(pa.array(used[used > 0] - 1))
+                words = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", names.type))[0].as_py()
+                for column, x in zip(columns, (int(route[part[0]]), b - a, pa.compress(numbers.tobytes(), "zstd", asbytes=True), len(words), pa.compress(words, "zstd", asbytes=True))):
+                    column.append(x)
+            at, size, packed, length, words = (pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())))
+            every = pa.array([langs.to_pylist()] * len(at), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([at, every, size, packed, length, words], ["route", "langs", "size", "edges", "length", "names"])
+
+    return _texts(docs, text_col, lang_col).mapInArrow(each, _BLOCK)
+
+
+def _flows(blocks: list[tuple], order: int, least: int) -> pa.RecordBatch:
+    """Sums over all edges of a route: (lang, phrase, words, n) of phrases that occur `least` times, and of all that edges elsewhere may begin with as well, (lang, '', 0, all words) among them."""
+    langs = pa.concat_arrays([x[0].cast(pa.large_binary()) for x in blocks]).dictionary_encode()
+    words = [pa.array(pa.decompress(x[4], x[3], "zstd", asbytes=True).split(b" "), pa.large_binary()) for x in blocks]
+    names = pa.concat_arrays(words).dictionary_encode()
+    lang_at, name_at = (np.concatenate([[0], np.cumsum([len(x) for x in y])]) for y in ([x[0] for x in blocks], words))
+    lang_of, name_of = langs.indices.to_numpy(), np.concatenate([np.zeros(1, np.int32), names.indices.to_numpy() + np.int32(1)])
+    edges = sum(x[1] for x in blocks)
+    lang, depth, n, codes = np.empty(edges, np.int64), np.empty(edges, np.int8), np.empty(edges, np.int64), np.empty((order, edges), np.int32)
+    at = 0
+    for i, x in enumerate(blocks):
+        part = np.frombuffer(pa.decompress(x[2], (3 + order) * 4 * x[1], "zstd"), "<i4").reshape(3 + order, -1)
+        here = slice(at, at + x[1])
+        lang[here], depth[here], n[here] = lang_of[lang_at[i] + part[0]], part[1], part[2]
+        codes[:, here] = name_of[np.where(part[3:] > 0, part[3:] + name_at[i], 0)]
+        at += x[1]
+    del words
+    names, langs = names.dictionary, langs.dictionary
+    out, code, many, left = [], lang, len(langs), np.arange(len(lang))
+    for k in range(order + 1):
+        if k:  # the flow out of a phrase of k words, and the pieces that end in it: all runs that begin with it
+            on = codes[k - 1][left] > 0
+            left = left[on]
+            code, many = _pairs(code[on], codes[k - 1][left], len(names) + 1)
+        total = np.bincount(code, n[left], many).astype(np.int64)
+        first = np.zeros(many, np.int64)
+        first[code] = left
+        keep = np.flatnonzero((total > 0) & ((total >= least) | (depth[first] > k)))
+        phrase = _phrases(names, codes[:k, first[keep]]) if k else pa.array([""] * len(keep), pa.large_string())
+        out.append([pc.take(langs, pa.array(lang[first[keep]])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(keep), k, np.int32)), pa.array(total[keep])])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], ["lang", "phrase", "words", "n"])
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n) of all phrases of 1 to `order` words that occur `least` times, and (lang, '', 0, all words).
 
     Edges are dealt by their first word, so all edges that leave a node, and all nodes that
-    begin with a pair, meet in one partition and their flows add up there. What frequent
-    words and pairs begin is dealt by more words, and only those sums are added up again.
+    begin with a pair, meet in one route and their flows add up there. What frequent words
+    and pairs begin is dealt by more words, and only those sums are added up again. A task
+    holds one route at a time, one of ROUTES for each shuffle partition.
     """
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routes = ROUTES * parts
     look = stored(edges(docs.sample(LOOK, 7), text_col, lang_col, order), "edges-look")
-    dealt = _dealt(edges(docs, text_col, lang_col, order), look, order, parts).repartition(parts, "route")
-    flows = F.when(F.col("words") == 0, F.array(F.lit(""))).otherwise(F.slice(F.array(*[_prefix("edge", k) for k in range(1, order)], F.col("edge")), F.lit(1), F.col("words")))
-    # A run's first k words are a k-word phrase at its start: sums over runs are the flow out of the phrase and the pieces that end in it.
-    runs = dealt.select("route", "lang", "depth", "n", "words", F.posexplode(flows).alias("_at", "phrase"))
-    level = F.when(F.col("words") == 0, 0).otherwise(F.col("_at") + 1).cast("int")
-    here = runs.select("route", "lang", "phrase", level.alias("level"), "depth", "n").groupBy("route", "lang", "phrase", "level").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
-    here = here.where((F.col("level") < F.col("depth")) | (F.col("n") >= least))
-    whole = here.groupBy("lang", "phrase", "level").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("level") == 0))
-    out = stored(whole.select("lang", "phrase", F.col("level").alias("words"), "n"), "phrases")
+    one, two = (busy_heads(look, k, 1 / (4 * routes)) for k in (1, 2))
     release(look)
-    return out
+    blocks = packed_edges(docs, text_col, lang_col, order, routes, one, two).repartition(parts, "route").sortWithinPartitions("route")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for i, route in enumerate(batch.column(0).to_pylist()):
+                if held and route != at:
+                    yield _flows(held, order, least)
+                    held = []
+                at = route
+                held.append((batch.column(1)[i].values, *[batch.column(c)[i].as_py() for c in range(2, 6)]))
+        if held:
+            yield _flows(held, order, least)
+
+    here = blocks.mapInArrow(each, "lang string, phrase string, words int, n bigint")
+    whole = here.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+    return stored(whole, "phrases")
 
 
 def _after_first(column: str) -> Column:
