@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,8 +199,13 @@ def test_frequent_words_and_pairs_are_dealt_by_more_words(spark, monkeypatch):
     docs = [("of the w%d x%d, the end of the day" % (i % 50, i % 7), "en") for i in range(300)] + prose()
     df = spark.createDataFrame(docs, "text string, lang string")
     look = collocation.edges(df)
-    dealt = collocation._dealt(look, look, 4, 8)
-    assert {r[0] for r in dealt.select("depth").distinct().collect()} == {1, 2, 4}
+    one, two = (collocation.busy_heads(look, k, 1 / 32) for k in (1, 2))
+    assert ("en", "of") in one and ("en", "of the") in two and len(one) <= 32
+    names = [b"of", b"the", b"sea"]
+    codes = np.array([[1, 1, 3, 1], [2, 2, 1, 0], [3, 1, 2, 0], [0, 0, 0, 0]])
+    depth, code = collocation.edge_depths(pa.array(["en"]), pa.array(names, pa.large_binary()), np.zeros(4, np.int64), codes, one, two)
+    assert list(depth) == [4, 4, 1, 2] and code[0] != code[1]
+    monkeypatch.setattr(collocation, "ROUTES", 1)
     got = sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in collocation.collocations(df, least=5).collect())
     assert got == mined(docs, 5)
 
