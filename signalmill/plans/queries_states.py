@@ -639,24 +639,33 @@ def l3(spark, d):
     return spark.read.parquet(out).select("entity", "bucket_date", "platform", "mentions", "unique_authors")
 
 
-_DAILY = """dd AS (SELECT CAST(entity_id AS VARCHAR) AS entity, posted_on AS day, CAST(count(*) AS BIGINT) AS m, row_number() OVER (PARTITION BY entity_id ORDER BY posted_on) AS i FROM elinks GROUP BY entity_id, posted_on),
-nx AS (SELECT a.entity, a.day, min(b.day) AS nxt FROM dd a LEFT JOIN dd b ON a.entity = b.entity AND b.day >= a.day + 7 GROUP BY ALL),
-wk AS (SELECT entity, min(day) AS first, 1 AS n FROM dd GROUP BY ALL UNION ALL SELECT nx.entity, nx.nxt, wk.n + 1 FROM wk JOIN nx ON wk.entity = nx.entity AND wk.first = nx.day WHERE nx.nxt IS NOT NULL),
-aw AS (SELECT dd.entity, dd.day, dd.i, max(wk.n) AS n FROM dd JOIN wk ON dd.entity = wk.entity AND wk.first <= dd.day GROUP BY ALL),
-mt AS (SELECT a.entity, a.day, a.i, sum(b.m) FILTER (a.day - b.day <= 7) AS v7, sum(b.m) FILTER (a.day - b.day <= 30) AS v30, sum(b.m) AS v90, sum(b.m) FILTER (y.n = a.n) AS this, coalesce(sum(b.m) FILTER (y.n = a.n - 1), 0) AS prev
-  FROM aw a JOIN dd b ON a.entity = b.entity AND b.day <= a.day AND a.day - b.day <= 90 JOIN aw y ON y.entity = b.entity AND y.day = b.day GROUP BY ALL),
+#: Every day of an entity from a mention to the day before the next, or for 90 days, or to the last day but one of all; the 90 days before it as a sorted list, folded to greedy weeks.
+_DAILY = """dd AS (SELECT n_name || '/' || c_mktsegment AS entity, CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS BIGINT) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+ed AS (SELECT max(day) - 1 AS as_of FROM dd),
+nx AS (SELECT *, lag(day) OVER (PARTITION BY entity ORDER BY day) AS bef, lead(day) OVER (PARTITION BY entity ORDER BY day) AS nxt FROM dd),
+ev AS (SELECT entity, day AS last, bef, CAST(unnest(generate_series(day, greatest(day, least(coalesce(nxt - 1, as_of), CAST(day + 90 AS DATE))), INTERVAL 1 DAY)) AS DATE) AS day FROM nx, ed),
+hs AS (SELECT ev.entity, ev.day, ev.last, ev.bef, sum(b.m) FILTER (ev.day - b.day <= 7) AS v7, sum(b.m) FILTER (ev.day - b.day <= 30) AS v30, sum(b.m) AS v90, list({'first': b.day, 'prev': CAST(0 AS BIGINT), 'this': b.m} ORDER BY b.day) AS ds
+  FROM ev JOIN dd b ON ev.entity = b.entity AND b.day <= ev.day AND ev.day - b.day <= 90 GROUP BY ALL),
+gw AS (SELECT *, list_reduce(ds, lambda a, x: CASE WHEN x.first - a.first >= 7 THEN {'first': x.first, 'prev': a.this, 'this': x.this} ELSE {'first': a.first, 'prev': a.prev, 'this': a.this + x.this} END) AS w FROM hs),
+mt AS (SELECT entity, day, day = last AS active, day = last AND (bef IS NULL OR day - bef > 90) AS fresh, coalesce(v7, 0) AS v7, coalesce(v30, 0) AS v30, v90, w.prev AS prev, w.this AS this FROM gw),
 """
 
 
-@query("l4_stream_states", f"""WITH RECURSIVE {EVENT_LINKS_SQL}, {_DAILY}me AS (SELECT *, {growth('prev', 'this')} AS wow, {growth('(CASE WHEN v30 > 0 THEN (v90 - v30) / 2 ELSE 0 END)', 'v30')} AS mom FROM mt),
-ls(entity, day, i, state) AS (SELECT entity, day, i, {STATE} FROM (SELECT *, 'candidate' AS cur FROM me WHERE i = 1) UNION ALL SELECT entity, day, i, {STATE} FROM (SELECT me.*, ls.state AS cur FROM ls JOIN me ON ls.entity = me.entity AND me.i = ls.i + 1))
-SELECT entity, day AS bucket_date, state FROM ls""")
+@query("l4_stream_states", f"""WITH RECURSIVE {_DAILY}me AS (SELECT *, {growth('prev', 'this')} AS wow, {growth('(CASE WHEN v30 > 0 THEN (v90 - v30) / 2 ELSE 0 END)', 'v30')} AS mom FROM mt),
+ls(entity, day, active, was, state) AS (SELECT entity, day, active, cur, {STATE} FROM (SELECT *, 'candidate' AS cur FROM me WHERE fresh) UNION ALL
+  SELECT entity, day, active, cur, {STATE} FROM (SELECT me.*, ls.state AS cur FROM ls JOIN me ON ls.entity = me.entity AND me.day = ls.day + 1 AND NOT me.fresh))
+SELECT entity, day AS bucket_date, state, active FROM ls WHERE active OR state <> was""")
 def l4(spark, d):
-    e = event_links(spark, d).groupBy(F.col("entity_id").cast("string").alias("entity"), F.col("posted_on").alias("bucket_date")).agg(F.count("*").alias("mentions"))
-    src, out = _staged(e, "daily"), _shared(spark, "states")
-    s = jobs.stream_states(jobs.read_stream(spark, src, e.schema))
-    s.writeStream.format("parquet").option("path", out).option("checkpointLocation", _shared(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("entity", "bucket_date", "state")
+    """Order lines a day by nation and segment of the customer; the first half of the days is a batch, the second another, with the stream stopped between them."""
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    j = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    e = j.groupBy(F.concat_ws("/", "n_name", "c_mktsegment").alias("entity"), F.to_date("o_orderdate").alias("bucket_date")).agg(F.count("*").alias("mentions"))
+    src, out, ck = (_shared(spark, x) for x in ("daily", "states", "ck"))
+    for half in ("bucket_date < '1998-05-01'", "bucket_date >= '1998-05-01'"):
+        e.where(half).write.mode("append").parquet(src)
+        s = jobs.stream_states(jobs.read_stream(spark, src, e.schema))
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query("l5_stream_refresh", f"WITH {RUNS} SELECT DISTINCT tenant FROM runs WHERE status = 'succeeded'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,15 +47,16 @@ def stream_day_buckets(links: DataFrame, all_links: Callable[[SparkSession], Dat
     return links.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE_OUT = "entity string, bucket_date date, state string"
-#: Days of history that the lifecycle rules look at.
+STATE_OUT = "entity string, bucket_date date, state string, active boolean"
+#: Days of history that the lifecycle rules look at; a key without a mention in them is let go.
 HISTORY = 90
+_DAY_MS = 86_400_000
+_EPOCH = datetime.date(1970, 1, 1).toordinal()
 
 
-def _metrics(days: list[int], mentions: list[int]) -> tuple[int, int, float, float]:
-    """Volumes of 7 and 30 days, weekly and monthly growth at the last of the sorted days."""
-    last = days[-1]
-    v7, v30, v90 = (sum(m for d, m in zip(days, mentions) if last - d <= n) for n in (7, 30, 90))
+def _metrics(days: list[int], mentions: list[int], at: int) -> tuple[int, int, float, float]:
+    """Volumes of 7 and 30 days, weekly and monthly growth at day `at`, from the sorted days of its history."""
+    v7, v30, v90 = (sum(m for d, m in zip(days, mentions) if at - d <= n) for n in (7, 30, 90))
     weeks: list[int] = []
     first = None
     for d, m in zip(days, mentions):
@@ -66,34 +68,76 @@ def _metrics(days: list[int], mentions: list[int]) -> tuple[int, int, float, flo
     return v7, v30, rate(weeks[-2] if len(weeks) > 1 else 0, weeks[-1]), rate((v90 - v30) / 2 if v30 > 0 else 0, v30)
 
 
-def stream_states(daily: DataFrame) -> DataFrame:
-    """L4: lifecycle state carried between batches; rows (entity, bucket_date, mentions) in, the state after each day out.
-
-    A key's state is its lifecycle state and the day sums of the last 90 days, which give
-    E3 to E6 at each new day, and H1 the next state. Rows of a day not after the last one
-    are late: they count in the history and give no row. Rows without a day or key are left out.
+class _Life:
+    """Lifecycle of one key: its state, the day sums of its history and the last day it was judged on."""
+
+    def __init__(self, now: str, days, sums, upto: int):
+        self.now, self.history, self.upto, self.out = now, dict(zip(days, sums)), upto, []
+
+    def judged(self, day: int, active: bool) -> None:
+        self.history = {d: m for d, m in sorted(self.history.items()) if day - d <= HISTORY}
+        was, self.upto = self.now, day
+        self.now = next_state_of(was, *_metrics(list(self.history), list(self.history.values()), day))
+        if active or self.now != was:
+            self.out.append((datetime.date.fromordinal(day), self.now, active))
+
+    def silent_to(self, day: int) -> None:
+        """Every day without mentions up to `day`; a key that has been silent for all of its history starts over."""
+        while self.history and self.upto < day:
+            if not self.over(self.upto + 1):
+                self.judged(self.upto + 1, False)
+
+    def over(self, day: int) -> bool:
+        """Does the key start over on this day?"""
+        if day - max(self.history) > HISTORY:
+            self.now, self.history = "candidate", {}
+        return not self.history
+
+    def mentioned(self, day: int, n: int) -> None:
+        if self.history and day <= self.upto:  # late: it counts in the history and gives no row
+            self.history[day] = self.history.get(day, 0) + n
+            return
+        self.silent_to(day - 1)
+        if self.history:
+            self.over(day)
+        self.history[day] = n
+        self.judged(day, True)
+
+
+def stream_states(daily: DataFrame, delay: str = "1 day") -> DataFrame:
+    """L4: lifecycle state carried between batches; rows (entity, bucket_date, mentions) in.
+
+    Out come the state after each day with mentions (active) and after each silent day that
+    changes it. Silent days are judged up to the watermark, the latest day seen less `delay`,
+    by a timer on each key's next day, so a key that is never mentioned again turns dormant
+    on its day; a key with no mention in 90 days is let go and would start as a candidate.
+    A key's state is its lifecycle state and the day sums of 90 days, which give E3 to E6 on
+    each day, and H1 the next state. A day not after the last one judged is late: it counts
+    in the history and gives no row; days before the watermark are dropped. Rows without a
+    day, a key or mentions are left out.
     """
 
     def each(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, days, sums = state.get if state.exists else ("candidate", [], [])
-        history, out = dict(zip(days, sums)), []
-        rows = pd.concat(list(batches)).groupby("bucket_date")["mentions"].sum().sort_index()
-        for day, v in rows.items():
-            number = day.toordinal()
-            late = bool(history) and number <= max(history)
-            history[number] = history.get(number, 0) + int(v)
-            if late:
-                continue
-            history = {d: m for d, m in sorted(history.items()) if number - d <= HISTORY}
-            now = next_state_of(now, *_metrics(list(history), list(history.values())))
-            out.append((key[0], day, now))
-        history = dict(sorted(history.items()))
-        state.update((now, list(history), list(history.values())))
-        yield pd.DataFrame(out, columns=["entity", "bucket_date", "state"])
-
-    kind = "state string, days array<int>, mentions array<long>"
-    good = daily.where("entity is not null and bucket_date is not null and mentions is not null")
-    return good.groupBy("entity").applyInPandasWithState(each, STATE_OUT, kind, "append", "NoTimeout")
+        life = _Life(*(state.get if state.exists else ("candidate", [], [], 0)))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).groupby("bucket_date")["mentions"].sum().sort_index()
+            for day, n in rows.items():
+                life.mentioned(day.toordinal(), int(n))
+        mark = state.getCurrentWatermarkMs()
+        seen = mark // _DAY_MS + _EPOCH  # midnight of this day is not after the watermark
+        life.silent_to(seen)
+        if life.history:
+            history = dict(sorted(life.history.items()))
+            state.update((life.now, list(history), list(history.values()), life.upto))
+            # Timers before the watermark go off, so one just before midnight goes off when the watermark reaches the day.
+            state.setTimeoutTimestamp(max((max(life.upto, seen) + 1 - _EPOCH) * _DAY_MS - 1, mark + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame([(key[0], *r) for r in life.out], columns=["entity", "bucket_date", "state", "active"])
+
+    kind = "state string, days array<int>, mentions array<long>, upto int"
+    good = daily.where("entity is not null and bucket_date is not null and mentions is not null").select("entity", "bucket_date", "mentions", F.col("bucket_date").cast("timestamp").alias("_at"))
+    return good.withWatermark("_at", delay).groupBy("entity").applyInPandasWithState(each, STATE_OUT, kind, "append", "EventTimeTimeout")
 
 
 def stream_refresh(runs: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -190,14 +190,40 @@ def test_states_carried_between_batches(spark, tmp_path):
     rows = [("a", day(n), 2 + n % 5) for n in range(0, 40, 2)] + [("b", day(3), 1)]
     kind = "entity string, bucket_date date, mentions long"
 
-    def run(name, parts):
+    def run(name, parts, delay="60 days"):
         for part in parts:
             spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
-            s = stream_states(read_stream(spark, f"{tmp_path}/{name}", kind))
+            s = stream_states(read_stream(spark, f"{tmp_path}/{name}", kind), delay)
             s.writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-ck").trigger(availableNow=True).start().awaitTermination()
         return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}-out").collect()))
 
     whole = run("whole", [rows])
-    assert run("split", [rows[:9], rows[9:]]) == whole and len(whole) == len(rows)
+    assert run("split", [rows[:9], rows[9:]]) == whole and sum(r[3] for r in whole) == len(rows)
     late = run("late", [rows, [("a", day(1), 5)]])
     assert late == whole  # a late day gives no state of its own
+
+    # Silence: `a` turns dormant on the first day without 3 mentions in 30 days, comes back, falls silent for good; `tick` moves the watermark on.
+    tick = lambda *days: [("tick", day(n), 5) for n in days]
+    burst = [("a", day(n), 2) for n in (0, 1)]
+    parts = [burst + tick(*range(0, 10)), tick(*range(10, 40)), [("a", day(41), 9), *tick(40, 41)], tick(*range(42, 150)), [("a", day(151), 1), *tick(150, 151)]]
+    got = [r for r in run("silent", parts, "1 day") if r[0] == "a"]
+    assert [r[1:] for r in got] == [
+        (day(0), "candidate", True), (day(1), "emerging", True), (day(31), "dormant", False), (day(41), "resurgent", True), (day(42), "sustained", False), (day(72), "dormant", False), (day(151), "candidate", True)
+    ]
+    assert [r for r in run("once", [sum(parts, [])], "1 day") if r[0] == "a"] == got
+
+
+def test_states_of_silent_keys_are_let_go(spark, tmp_path):
+    import datetime
+
+    from signalmill.streaming.jobs import read_stream, stream_states
+
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    kind, kept = "entity string, bucket_date date, mentions long", []
+    for part in ([(f"e{i}", day(0), 4) for i in range(20)], [("tick", day(n), 1) for n in range(80)], [("tick", day(95), 1)], [("tick", day(96), 1)]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = stream_states(read_stream(spark, f"{tmp_path}/in", kind)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+        s.trigger(availableNow=True).start().awaitTermination()
+        kept.append(spark.read.format("statestore").load(f"{tmp_path}/ck").count())
+    assert kept[1] == 21 and kept[-1] == 1
+    assert spark.read.parquet(f"{tmp_path}/out").where("state = 'dormant' and entity like 'e%'").count() == 20
