@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import canonical_label, is_dangling
+from signalmill.sources.versions import TableSet
 
 
 def duplicate_groups(entities: DataFrame) -> DataFrame:
@@ -50,13 +51,22 @@ def compound_parent(entities: DataFrame) -> DataFrame:
     return j.where(F.col("weight") <= -F.col("b.w")).select("entity", F.col("b.parent").alias("parent"))
 
 
-def fold_modifiers(entities: DataFrame) -> dict[str, DataFrame]:
-    """Dangling modifiers with a compound: synonym rows and the entities with deleted_at set on the folded ones."""
+def fold_modifiers(entities: DataFrame, states: DataFrame | None = None, items: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Dangling modifiers with a compound: synonym rows, the entities with `removed` set on the folded ones, and the items that their states point at, archived."""
     folded = compound_parent(entities).where(is_dangling(F.col("entity")))
     synonyms = folded.select(F.col("entity").alias("alias"), F.col("parent").alias("canonical_label"))
     gone = folded.select("entity").withColumn("_gone", F.lit(True))
     marked = entities.join(gone, "entity", "left").withColumn("removed", F.coalesce("_gone", F.lit(False))).drop("_gone")
-    return {"synonyms": synonyms, "entities": marked}
+    out = {"synonyms": synonyms, "entities": marked}
+    return out if items is None else out | {"items": archive_items(items, states, folded)}
+
+
+def fold_modifiers_in(tables: TableSet) -> int:
+    """I5 over the tables `entities`, `states` and `items` of a set: synonyms, entities and items change in one step. Returns the version."""
+    change = tables.change()
+    for name, df in fold_modifiers(tables.read("entities"), tables.read("states"), tables.read("items")).items():
+        change.replace(name, df)
+    return change.commit()
 
 
 def archive_items(items: DataFrame, states: DataFrame, removed: DataFrame) -> DataFrame:

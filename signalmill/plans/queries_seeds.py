@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from signalmill.plans.catalog import ENTITIES, RUNS, SEEDS, SIGNALS, buckets, en
 from signalmill.plans.queries_text import _SINGULAR
 from signalmill.sources import sinks as K
 from signalmill.sources.fixtures import links_sql, table, with_links
+from signalmill.sources.scratch import scratch_path
+from signalmill.sources.versions import TableSet
 
 _NORM = "trim(regexp_replace(lower({t}), '^#', ''))"
 _SEEDVOC = f"""sv0 AS (SELECT query_id, watch_topic, unnest(list_concat(list_concat(keywords, hashtags), [topic_label])) AS search_term FROM seed_queries),
@@ -243,14 +246,33 @@ def d9(spark, d):
     return R.compound_parent(modifiers(spark, d))
 
 
+def folded(spark, d):
+    """The tables after the fold; orders are states and items, an order's state points at the entity of its customer's number."""
+    tables, me = TableSet(spark, scratch_path(spark, "folded")), modifiers(spark, d)
+    w = me.select("entity", F.pmod(F.crc32(F.col("entity").cast("binary")), F.lit(16)).alias("_h"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.pmod("o_custkey", F.lit(16)).alias("_h"), (F.col("o_orderstatus") == "P").alias("archived"))
+    tables.change().replace("entities", me).replace("states", o.join(w, "_h").select("item_id", "entity")).replace("items", o.select("item_id", "archived")).commit()
+    R.fold_modifiers_in(tables)
+    return tables
+
+
 @query("i5_fold_modifiers", f"WITH {_MOD}, {_PARENT} SELECT me.entity, total_mentions, parent.entity IS NOT NULL AS removed FROM me LEFT JOIN parent ON me.entity = parent.entity AND me.entity IN ('vegan', 'organic')")
 def i5(spark, d):
-    return R.fold_modifiers(modifiers(spark, d))["entities"]
+    return folded(spark, d).read("entities")
 
 
 @query("i5_fold_synonyms", f"WITH {_MOD}, {_PARENT} SELECT entity AS alias, parent AS canonical_label FROM parent WHERE entity IN ('vegan', 'organic')")
 def i5s(spark, d):
-    return R.fold_modifiers(modifiers(spark, d))["synonyms"]
+    return folded(spark, d).read("synonyms")
+
+
+#: crc32 of the two folded words, modulo 16.
+_FOLDED = {w: zlib.crc32(w.encode()) % 16 for w in ("vegan", "organic")}
+
+
+@query("i5_fold_items", f"WITH {_MOD}, {_PARENT}, h AS (SELECT CASE entity WHEN 'vegan' THEN {_FOLDED['vegan']} ELSE {_FOLDED['organic']} END AS h FROM parent WHERE entity IN ('vegan', 'organic')) SELECT o_orderkey AS item_id, o_orderstatus = 'P' OR o_custkey % 16 IN (SELECT h FROM h) AS archived FROM orders")
+def i5i(spark, d):
+    return folded(spark, d).read("items")
 
 
 @query("i6_repair_labels", f"WITH {ENTITIES} SELECT entity, CASE WHEN id % 2 = 0 THEN replace(entity, 'red', 'blue') ELSE entity || 's' END AS fixed, CASE WHEN id % 2 = 0 THEN replace(entity, 'red', 'blue') ELSE entity || 's' END IN (SELECT entity FROM entities) AS collides FROM entities WHERE entity LIKE 'red%'")
@@ -389,6 +411,20 @@ def a11(spark, d):
     return K.with_config(c, cfg, {"noise_floor": 3, "min_wow": 0.3})
 
 
+def purged(spark, d):
+    """Signals laid out by tenant and runs that are not, with tenant 1 removed; and the report."""
+    tables = TableSet(spark, scratch_path(spark, "purged"))
+    tables.change().replace("signals", events_as_signals(spark, d), "tenant").replace("runs", runs(spark, d)).commit()
+    return tables, K.purge_tenant(tables, ["signals", "runs"], 1)
+
+
 @query("a12_purge_tenant", f"WITH {SIGNALS}, {RUNS} SELECT 'signals' AS name, count(*) AS removed FROM signals WHERE tenant = 1 UNION ALL SELECT 'runs', count(*) FROM runs WHERE tenant = 1")
 def a12(spark, d):
-    return K.purge_tenant({"signals": events_as_signals(spark, d), "runs": runs(spark, d)}, 1)[1]
+    return purged(spark, d)[1]
+
+
+@query("a12_purged_tables", f"WITH {SIGNALS}, {RUNS} SELECT 'signals' AS name, tenant, count(*) AS n FROM signals WHERE tenant <> 1 GROUP BY tenant UNION ALL SELECT 'runs', tenant, count(*) FROM runs WHERE tenant <> 1 GROUP BY tenant")
+def a12t(spark, d):
+    tables, _ = purged(spark, d)
+    left = [tables.read(n).groupBy(F.lit(n).alias("name"), "tenant").agg(F.count("*").alias("n")) for n in ("signals", "runs")]
+    return left[0].union(left[1])

@@ -24,6 +24,7 @@ from signalmill.sources import items as A
 from signalmill.sources import sinks as K
 from signalmill.sources.fixtures import AS_OF, EVENT_LINKS_SQL, event_links, links_sql, table, with_links
 from signalmill.sources.scratch import scratch_path as _shared
+from signalmill.sources.versions import TableSet
 from signalmill.streaming import jobs
 
 # -- states ------------------------------------------------------------------------------------
@@ -592,13 +593,13 @@ def a2(spark, d):
     return A.read_benchmark(spark, path).groupBy("name", "description", "expected", "sheets").agg(F.count("*").alias("n"))
 
 
-@query("a6_replace_snapshot", f"{with_links()} SELECT platform, CASE WHEN platform = '5-LOW' THEN 0 ELSE count(*) END AS n FROM buckets WHERE platform <> '5-LOW' GROUP BY platform UNION ALL SELECT '5-LOW', count(*) FROM buckets WHERE platform = '5-LOW' AND mentions > 1")
+@query("a6_replace_snapshot", f"""{with_links()} SELECT platform, CAST(count(*) AS BIGINT) AS n, CAST(sum(mentions) AS BIGINT) AS mentions FROM buckets WHERE platform NOT IN ('5-LOW', '2-HIGH') OR platform = '5-LOW' AND mentions > 1 GROUP BY platform""")
 def a6(spark, d):
-    path = _shared(spark, "snapshot")
-    b = buckets(spark, d)
-    K.replace_snapshot(b, path, ["platform"])
-    K.replace_snapshot(b.where("platform = '5-LOW' and mentions > 1"), path, ["platform"])
-    return spark.read.parquet(path).groupBy("platform").agg(F.count("*").alias("n"))
+    """Two platforms are replaced; one of them has no rows any more."""
+    tables, b = TableSet(spark, _shared(spark, "snapshot")), buckets(spark, d)
+    K.replace_snapshot(tables, "buckets", b, by="platform")
+    K.replace_snapshot(tables, "buckets", b.where("platform = '5-LOW' and mentions > 1"), ["5-LOW", "2-HIGH"])
+    return tables.read("buckets").groupBy("platform").agg(F.count("*").alias("n"), F.sum("mentions").alias("mentions"))
 
 
 # -- streams ---------------------------------------------------------------------------------------

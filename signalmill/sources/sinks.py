@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalmill.sources.versions import TableSet
+
 
 def append_new(df: DataFrame, target: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """A3: the rows to insert: one per key, none whose key is in the target. The first by `order` wins."""
@@ -31,12 +33,10 @@ def upsert_buckets(target: DataFrame, df: DataFrame, keys=("entity", "platform",
     return j.select(*keys, *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in measures])
 
 
-def replace_snapshot(df: DataFrame, path: str, scope: list[str] | None = None) -> None:
-    """Overwrite a snapshot; with a scope (partition columns) only the partitions that df holds."""
-    w = df.write.mode("overwrite")
-    if scope:
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*scope)
-    w.parquet(path)
+def replace_snapshot(tables: TableSet, name: str, df: DataFrame, scope: list | None = None, by: str | None = None) -> int:
+    """Delete a snapshot and insert another, in one step; with a scope (values of the table's scope column) only the rows of those values, which end up empty where df has none. Returns the version."""
+    change = tables.change()
+    return (change.replace(name, df, by) if scope is None else change.replace_scope(name, df, scope)).commit()
 
 
 def upsert_entities(entities: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -83,10 +83,21 @@ def with_config(tenants: DataFrame, config: DataFrame, defaults: dict | None = N
     return j.select("tenant", *[F.coalesce(F.col(c), F.lit(v)).alias(c) if c in have else F.lit(v).alias(c) for c, v in d.items()])
 
 
-def purge_tenant(tables: dict[str, DataFrame], tenant) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables without a tenant's rows, and (name, removed) counts."""
-    from functools import reduce
-
-    kept = {n: t.where(~(F.col("tenant") == tenant) | F.col("tenant").isNull()) for n, t in tables.items()}
-    counts = [t.where(F.col("tenant") == tenant).agg(F.lit(n).alias("name"), F.count("*").alias("removed")) for n, t in tables.items()]
-    return kept, reduce(DataFrame.union, counts)
+def purge_tenant(tables: TableSet, names: list[str], tenant) -> DataFrame:
+    """Remove a tenant's rows from the named tables, all at once; returns (name, removed). Tables that are not named, such as settings, stay.
+
+    Tables laid out by tenant lose a folder of their version, others are written without the rows.
+    """
+    before, change = tables.version(), tables.change()
+    counts = None
+    for n in names:
+        t = tables.read(n, before)
+        removed = t.where(F.col("tenant") == tenant).agg(F.lit(n).alias("name"), F.count("*").alias("removed"))
+        counts = removed if counts is None else counts.union(removed)
+        if change.new[n]["by"] == "tenant":
+            change.drop_scope(n, [tenant])
+        else:
+            change.replace(n, t.where(~F.col("tenant").eqNullSafe(tenant)), change.new[n]["by"])
+    report = tables.spark.createDataFrame(counts.collect(), counts.schema)  # one row a table
+    change.commit()
+    return report
