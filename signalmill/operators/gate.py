@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,24 +38,42 @@ def _surge(a: np.ndarray) -> np.ndarray:
     return sums[:, -1] - sums.mean(1)
 
 
-def permutation_test(series: DataFrame, permutations: int = PERMUTATIONS, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+#: Fixed values of the shuffle: a prime p with p % 3 = 2, so that x -> x^3 is a bijection modulo p, steps of replicates and places, and what each round adds.
+PRIME, STEPS, ADDED = 2147483579, (1000003, 69069), (12345, 67890, 424242)
+
+
+def shuffle_keys(entity: str, replicates: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sort keys of the places (from 1) in each replicate: integers that any engine computes, no generator to replay."""
+    seed = int(hashlib.md5(entity.encode()).hexdigest()[:8], 16)
+    x = (seed + replicates[:, None] * STEPS[0] + places[None, :] * STEPS[1]) % PRIME
+    for r in ADDED:
+        x = (x * x % PRIME * x % PRIME + r) % PRIME
+    return x
+
+
+def permutation_test(series: DataFrame, permutations: int = PERMUTATIONS, alpha: float = ALPHA) -> DataFrame:
     """Share of shuffles of an entity's own days whose surge reaches the observed one; under 14 days p is 1.
 
-    A series is bounded by the days of E10, so one entity is one small batch.
+    A series is bounded by the days of E10 and becomes one array, so a task works through
+    many entities a batch. Days are ordered by shuffle_keys, equal keys by place.
     """
 
-    def each(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("bucket_date")["mentions"].to_numpy(np.float64)
-        p, seen = 1.0, 0.0
-        if len(x) >= 14:
-            rng = np.random.default_rng([seed, *str(key[0]).encode()])
-            seen = float(_surge(x[None])[0])
-            shuffled = rng.permuted(np.broadcast_to(x, (permutations, len(x))), axis=1)
-            p = float(((_surge(shuffled) >= seen - 1e-9).sum() + 1) / (permutations + 1))
-        return pd.DataFrame({"entity": [key[0]], "surge": [seen], "p_value": [p], "significance_pass": [p <= alpha]})
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for entity, x in zip(batch["entity"], batch["x"]):
+                x, p, seen = np.asarray(x, np.float64), 1.0, 0.0
+                if len(x) >= 14:
+                    seen = float(_surge(x[None])[0])
+                    order = np.argsort(shuffle_keys(str(entity), np.arange(1, permutations + 1), np.arange(1, len(x) + 1)), axis=1, kind="stable")
+                    p = float(((_surge(x[order]) >= seen - 1e-9).sum() + 1) / (permutations + 1))
+                out.append((entity, seen, p, p <= alpha))
+            yield pd.DataFrame(out, columns=["entity", "surge", "p_value", "significance_pass"])
 
     kind = series.schema["entity"].dataType.simpleString()
-    return series.groupBy("entity").applyInPandas(each, f"entity {kind}, surge double, p_value double, significance_pass boolean")
+    days = F.array_sort(F.collect_list(F.struct("bucket_date", F.col("mentions").cast("double").alias("m"))))
+    packed = series.groupBy("entity").agg(F.transform(days, lambda d: d["m"]).alias("x"))
+    return packed.mapInPandas(each, f"entity {kind}, surge double, p_value double, significance_pass boolean")
 
 
 def permutation_test_sql(series: DataFrame, permutations: int = 20, alpha: float = ALPHA) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
@@ -129,19 +130,35 @@ def e12(spark, d):
     return rounded(G.permutation_test_sql(B.daily_series(buckets(spark, d), 60), 20), "surge", "p_value")
 
 
-@query("e12_permutation_test")
+def _rounds() -> str:
+    x = f"(CAST('0x' || substr(md5(entity), 1, 8) AS BIGINT) + k * {G.STEPS[0]} + i * {G.STEPS[1]}) % {G.PRIME}"
+    ctes = [f"x0 AS (SELECT entity, mentions, i, k, {x} AS x FROM r)"]
+    for n, add in enumerate(G.ADDED):
+        ctes.append(f"x{n + 1} AS (SELECT entity, mentions, i, k, (((x * x) % {G.PRIME}) * x % {G.PRIME} + {add}) % {G.PRIME} AS x FROM x{n})")
+    return ", ".join(ctes) + f", o AS (SELECT entity, mentions, i, k, CASE WHEN k = 0 THEN i ELSE x END AS key FROM x{len(G.ADDED)})"
+
+
+#: _HASHED at 1,000 replicates, with the integer keys of gate.shuffle_keys.
+_COUNTED = re.sub(r"o AS \(SELECT \*.*?FROM r\)", lambda m: _rounds(), _HASHED, flags=re.S).replace("range(0, 21)", "range(0, 1001)").replace("/ 21 AS p", "/ 1001 AS p")
+
+
+@query("e12_permutation_test", f"{with_links()}, {_SERIES.format(n=179)}, {_COUNTED} SELECT entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass FROM hashed")
 def e12_fast(spark, d):
-    return G.permutation_test(B.daily_series(buckets(spark, d, "p_name")))
+    return rounded(G.permutation_test(B.daily_series(buckets(spark, d))), "surge", "p_value")
 
 
-@query("e13_gate")
+def _gate_sql(entity: str, test: str) -> str:
+    return f"""{with_links(entity)}, {_SERIES.format(n=179)}, {test}, {_BREADTH}, b AS (SELECT *, round(entropy_bits, 9) >= 1.0 AND total_authors >= 10 AS breadth_pass FROM breadth)
+SELECT h.entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass, round(entropy_bits, 6) AS entropy_bits, total_authors, breadth_pass, CASE WHEN significance_pass AND coalesce(breadth_pass, false) THEN 'pass' ELSE 'hold' END AS decision,
+[CASE WHEN significance_pass THEN 'significant' ELSE 'within own noise' END, CASE WHEN breadth_pass THEN 'broad' ELSE 'concentrated' END] AS reasons FROM hashed h LEFT JOIN b ON h.entity = b.entity"""
+
+
+@query("e13_gate", _gate_sql("p_brand", _COUNTED))
 def e13(spark, d):
-    return G.gate(buckets(spark, d, "p_name"), 200)
+    return rounded(G.gate(buckets(spark, d)), "surge", "p_value", "entropy_bits")
 
 
-@query("e13_gate_hashed", f"""{with_links('p_name')}, {_SERIES.format(n=179)}, {_HASHED}, {_BREADTH}, b AS (SELECT *, round(entropy_bits, 9) >= 1.0 AND total_authors >= 10 AS breadth_pass FROM breadth)
-SELECT h.entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass, round(entropy_bits, 6) AS entropy_bits, total_authors, breadth_pass, CASE WHEN significance_pass AND coalesce(breadth_pass, false) THEN 'pass' ELSE 'hold' END AS decision,
-[CASE WHEN significance_pass THEN 'significant' ELSE 'within own noise' END, CASE WHEN breadth_pass THEN 'broad' ELSE 'concentrated' END] AS reasons FROM hashed h LEFT JOIN b ON h.entity = b.entity""")
+@query("e13_gate_hashed", _gate_sql("p_name", _HASHED))
 def e13h(spark, d):
     return rounded(G.gate(buckets(spark, d, "p_name"), 20, test=G.permutation_test_sql), "surge", "p_value", "entropy_bits")
 

@@ -227,3 +227,30 @@ def test_states_of_silent_keys_are_let_go(spark, tmp_path):
         kept.append(spark.read.format("statestore").load(f"{tmp_path}/ck").count())
     assert kept[1] == 21 and kept[-1] == 1
     assert spark.read.parquet(f"{tmp_path}/out").where("state = 'dormant' and entity like 'e%'").count() == 20
+
+
+def test_counted_shuffles_are_fair_and_replayable(spark):
+    """Keys order places like random permutations do, and p agrees with a generator's shuffles."""
+    import datetime
+
+    import numpy as np
+
+    from signalmill.operators.gate import PRIME, _surge, permutation_test, shuffle_keys
+
+    n, times = 20, 4000
+    keys = shuffle_keys("NATION_1/x", np.arange(1, times + 1), np.arange(1, n + 1))
+    assert keys.min() >= 0 and keys.max() < PRIME
+    places = np.argsort(keys, 1, kind="stable")
+    seen = np.stack([np.bincount(places[:, j], minlength=n) for j in range(n)])
+    assert abs((seen - times / n) ** 2 / (times / n)).sum() < 1.25 * n * n  # chi-square of every place against every day
+    assert abs(np.corrcoef(places[:-1, 0], places[1:, 0])[0, 1]) < 0.06  # replicates follow each other without a trend
+
+    rng = np.random.default_rng(3)
+    series = {e: rng.poisson(3, 60) + np.where(np.arange(60) >= 53, lift, 0) for e, lift in (("flat", 0), ("some", 1), ("rise", 9))} | {"short": np.ones(13)}
+    rows = [(e, datetime.date(2024, 1, 1) + datetime.timedelta(days=i), int(v)) for e, x in series.items() for i, v in enumerate(x)]
+    got = {r["entity"]: r for r in permutation_test(spark.createDataFrame(rows, "entity string, bucket_date date, mentions long")).collect()}
+    assert got["short"]["p_value"] == 1.0 and got["rise"]["significance_pass"]
+    for e in ("flat", "some", "rise"):
+        x = series[e].astype(float)
+        p = (_surge(rng.permuted(np.tile(x, (20000, 1)), axis=1)) >= _surge(x[None])[0] - 1e-9).mean()
+        assert abs(got[e]["p_value"] - p) < 0.05
