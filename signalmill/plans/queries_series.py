@@ -142,9 +142,9 @@ def _rounds() -> str:
 _COUNTED = re.sub(r"o AS \(SELECT \*.*?FROM r\)", lambda m: _rounds(), _HASHED, flags=re.S).replace("range(0, 21)", "range(0, 1001)").replace("/ 21 AS p", "/ 1001 AS p")
 
 
-@query("e12_permutation_test", f"{with_links()}, {_SERIES.format(n=179)}, {_COUNTED} SELECT entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass FROM hashed")
+@query("e12_permutation_test", f"{with_links('p_name')}, {_SERIES.format(n=179)}, {_COUNTED} SELECT entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, significance_pass FROM hashed")
 def e12_fast(spark, d):
-    return rounded(G.permutation_test(B.daily_series(buckets(spark, d))), "surge", "p_value")
+    return rounded(G.permutation_test(B.daily_series(buckets(spark, d, "p_name"))), "surge", "p_value")
 
 
 def _gate_sql(entity: str, test: str) -> str:
@@ -153,9 +153,9 @@ SELECT h.entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, signifi
 [CASE WHEN significance_pass THEN 'significant' ELSE 'within own noise' END, CASE WHEN breadth_pass THEN 'broad' ELSE 'concentrated' END] AS reasons FROM hashed h LEFT JOIN b ON h.entity = b.entity"""
 
 
-@query("e13_gate", _gate_sql("p_brand", _COUNTED))
+@query("e13_gate", _gate_sql("p_name", _COUNTED))
 def e13(spark, d):
-    return rounded(G.gate(buckets(spark, d)), "surge", "p_value", "entropy_bits")
+    return rounded(G.gate(buckets(spark, d, "p_name")), "surge", "p_value", "entropy_bits")
 
 
 @query("e13_gate_hashed", _gate_sql("p_name", _HASHED))
