@@ -20,8 +20,8 @@ def entity_signals(signals: DataFrame, links: DataFrame, entities: DataFrame) ->
     return signals.join(links, "signal_id").join(live_entities(entities).select("entity"), "entity")
 
 
-def day_buckets(links: DataFrame, distinct_signals: bool = False) -> DataFrame:
-    """Per entity, platform, geography and day: mentions, authors, sum and median of positive engagement, first flag."""
+def day_buckets(links: DataFrame, distinct_signals: bool = False, by: tuple = ()) -> DataFrame:
+    """Per entity, platform, geography and day: mentions, authors, sum and median of positive engagement, first flag. `by` names keys beside these."""
     positive = F.when(F.col("engagement") > 0, F.col("engagement"))
     aggs = [
         (F.countDistinct("signal_id") if distinct_signals else F.count("*")).alias("mentions"),
@@ -31,7 +31,33 @@ def day_buckets(links: DataFrame, distinct_signals: bool = False) -> DataFrame:
     ]
     if "backfill_derived" in links.columns:
         aggs.append(F.min_by("backfill_derived", "signal_id").alias("backfill_derived"))
-    return links.withColumn("bucket_date", F.col("posted_on")).groupBy(*KEY).agg(*aggs)
+    return links.withColumn("bucket_date", F.col("posted_on")).groupBy(*by, *KEY).agg(*aggs)
+
+
+def bucket_parts(links: DataFrame) -> DataFrame:
+    """What buckets add up from: per bucket a row for each author (item null), and one for each positive engagement (author null), with how often it came."""
+    keyed = links.withColumn("bucket_date", F.col("posted_on"))
+    none = F.lit(None)
+    authors = keyed.groupBy(*KEY, F.coalesce("author", F.lit("")).alias("author")).agg(F.count("*").alias("n")).withColumn("value", none.cast("double"))
+    values = keyed.where("engagement > 0").groupBy(*KEY, F.col("engagement").cast("double").alias("value")).agg(F.count("*").alias("n")).withColumn("author", none.cast("string"))
+    return authors.select(*KEY, "author", "value", "n").unionByName(values.select(*KEY, "author", "value", "n"))
+
+
+def add_parts(*parts: DataFrame) -> DataFrame:
+    """Parts of the union of the links that each was made of."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy(*KEY, "author", "value").agg(F.sum("n").alias("n"))
+
+
+def buckets_of(parts: DataFrame) -> DataFrame:
+    """E1's measures from parts: authors are an exact set, and the median comes from the histogram."""
+    seen = F.col("author").isNotNull()
+    return parts.groupBy(*KEY).agg(
+        F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("mentions"), F.count_if(seen & (F.col("author") != "")).alias("unique_authors"),
+        F.coalesce(F.sum(F.col("value") * F.col("n")), F.lit(0.0)).alias("engagement_sum"), F.coalesce(F.percentile("value", F.lit(0.5), F.coalesce(F.when(~seen, F.col("n")), F.lit(0))), F.lit(0.0)).alias("engagement_median"),
+    )
 
 
 def platforms_seen(buckets: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from signalmill.plans.queries_series import _BREADTH, _HASHED, _SERIES, _VOLUMES
 from signalmill.plans.queries_text import _SINGULAR
 from signalmill.sources import items as A
 from signalmill.sources import sinks as K
-from signalmill.sources.fixtures import AS_OF, EVENT_LINKS_SQL, event_links, links_sql, table, with_links
+from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, event_links, links_sql, table, with_links
 from signalmill.sources.scratch import scratch_path as _shared
 from signalmill.sources.versions import TableSet
 from signalmill.streaming import jobs
@@ -514,15 +514,20 @@ def a1(spark, d):
     return A.item_stats(landed(spark, d))
 
 
-_NORMAL = """n AS (SELECT event_id, ['instagram', 'tiktok', 'reddit', 'x', 'youtube', 'xiaohongshu'][event_id % 7 + 1] AS platform, 'u' || user_id AS author, CAST(round(value) AS BIGINT) AS l, event_id % 7 AS c, date_trunc('second', ts) AS posted_at FROM events WHERE event_id % 7 < 6)
+_NORMAL = """n AS (SELECT event_id, ['instagram', 'tiktok', 'reddit', 'x', 'youtube', 'xiaohongshu'][event_id % 7 + 1] AS platform, 'u' || user_id AS author, CAST(round(value) AS BIGINT) AS l, event_id % 7 AS c, date_trunc('second', ts) AS posted_at, d.text AS t FROM events LEFT JOIN documents d ON doc_id = event_id WHERE event_id % 7 < 6)
 SELECT platform, CAST(event_id AS VARCHAR) AS source_id, author, posted_at, CAST(l + c * CASE platform WHEN 'instagram' THEN 3 WHEN 'tiktok' THEN 5 WHEN 'reddit' THEN 2 WHEN 'x' THEN 0 WHEN 'youtube' THEN 2 ELSE 7 END AS BIGINT) AS score,
-CASE WHEN platform NOT IN ('instagram', 'tiktok', 'xiaohongshu') THEN 'nano' ELSE CASE WHEN f < 1000 THEN 'nano' WHEN f < 10000 THEN 'micro' WHEN f < 100000 THEN 'mid' WHEN f < 1000000 THEN 'macro' ELSE 'mega' END END AS author_tier
+CASE WHEN platform NOT IN ('instagram', 'tiktok', 'xiaohongshu') THEN 'nano' ELSE CASE WHEN f < 1000 THEN 'nano' WHEN f < 10000 THEN 'micro' WHEN f < 100000 THEN 'mid' WHEN f < 1000000 THEN 'macro' ELSE 'mega' END END AS author_tier,
+md5(nullif(CASE platform WHEN 'reddit' THEN concat_ws(' ', 'Title', nullif(t, '')) WHEN 'youtube' THEN concat_ws(' ', 'Video', nullif(t, '')) ELSE t END, '')) AS text_md5, CASE platform WHEN 'tiktok' THEN ['a'] ELSE [] END AS hashtags, false AS verified
 FROM (SELECT *, event_id * CASE platform WHEN 'instagram' THEN 37 WHEN 'tiktok' THEN 11 ELSE 1 END AS f FROM n)"""
 
 
+def _told(signals):
+    return signals.select("platform", "source_id", "author", "posted_at", "score", "author_tier", F.md5(F.col("text").cast("binary")).alias("text_md5"), "hashtags", "verified")
+
+
 def _normal(platform: str):
     def run(spark, d):
-        return A.normalize_platform(landed(spark, d), platform).select("platform", "source_id", "author", "posted_at", "score", "author_tier")
+        return _told(A.normalize_platform(landed(spark, d), platform))
 
     return run
 
@@ -533,7 +538,7 @@ for _id, _platform in (("b1", "instagram"), ("b2", "tiktok"), ("b3", "reddit"),
 
 @query("b7_normalize", f"WITH {_NORMAL}")
 def b7(spark, d):
-    return A.normalize(landed(spark, d)).select("platform", "source_id", "author", "posted_at", "score", "author_tier")
+    return _told(A.normalize(landed(spark, d)))
 
 
 def interest_items(spark, d):
@@ -611,13 +616,28 @@ def _staged(df, name):
     return path
 
 
-@query("l1_stream_ingest", f"WITH {_NORMAL} WHERE platform = 'x'")
+def ingested(spark, d):
+    """Landed items in runs of one platform, as text files by run; the runs come in two halves, and the first half comes twice."""
+    src, come, ck = (_shared(spark, n) for n in ("landed", "runs", "ck"))
+    run = (F.col("event_id") % 7 * 100 + F.col("event_id") % 5).cast("int").alias("run_id")
+    items = landed(spark, d).select(run, "platform", "raw")
+    items.select("run_id", "raw").write.partitionBy("run_id").text(src)
+    runs, tables = items.select(F.lit(1).alias("tenant"), "run_id", "platform").distinct(), TableSet(spark, _shared(spark, "signals"))
+    read = lambda s, ids: s.read.text(src).where(F.col("run_id").isin(ids)).select("run_id", F.col("value").alias("raw"))
+    for half in ("run_id % 2 = 0", "run_id % 2 = 1 or run_id = 0", "run_id % 2 = 0"):
+        runs.where(half).coalesce(1).write.mode("append").parquet(come)
+        jobs.stream_ingest(jobs.read_stream(spark, come, runs.schema), read, tables, ck).awaitTermination()
+    return tables
+
+
+@query("l1_stream_ingest", f"WITH {_NORMAL}")
 def l1(spark, d):
-    src, out, ck = (_shared(spark, n) for n in ("landed", "signals", "ck"))
-    landed(spark, d).where("platform = 'x'").select("raw").write.text(src)
-    for _ in range(2):  # the second run finds nothing new
-        jobs.stream_ingest(spark, src, "x", out, ck).awaitTermination()
-    return spark.read.parquet(out).select("platform", "source_id", "author", "posted_at", "score", "author_tier")
+    return _told(ingested(spark, d).read("signals"))
+
+
+@query("l1_run_ledger", "SELECT CAST(event_id % 7 * 100 + event_id % 5 AS INT) AS run_id, count(*) AS items, count(*) FILTER (event_id % 7 = 6) AS malformed, count(*) FILTER (event_id % 7 < 6) AS inserted FROM events GROUP BY ALL")
+def l1_ledger(spark, d):
+    return ingested(spark, d).read("ledger").select("run_id", "items", "malformed", "inserted")
 
 
 @query("l2_stream_dedupe", "SELECT DISTINCT event_id % 2000 AS source_id FROM events")
@@ -630,14 +650,17 @@ def l2(spark, d):
     return spark.read.parquet(out).select("source_id")
 
 
-@query("l3_stream_day_buckets", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS entity, CAST(ts AS DATE) AS bucket_date, event_type AS platform, count(*) AS mentions, count(DISTINCT user_id) AS unique_authors FROM events GROUP BY ALL")
+@query("l3_stream_day_buckets", """SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS entity, CAST(ts AS DATE) AS bucket_date, event_type AS platform, count(*) AS mentions, count(DISTINCT user_id) AS unique_authors,
+round(coalesce(sum(value) FILTER (value > 0), 0), 4) AS engagement_sum, round(coalesce(median(value) FILTER (value > 0), 0), 6) AS engagement_median FROM events GROUP BY ALL""")
 def l3(spark, d):
+    """Files hold events of all days, so every batch re-opens the days of those before."""
     e = event_links(spark, d).withColumnRenamed("entity_id", "entity").select("signal_id", "entity", "platform", "geography", "author", "engagement", "posted_on")
-    src, out = _shared(spark, "links"), _shared(spark, "buckets")
-    e.repartition("posted_on").write.partitionBy("posted_on").parquet(src)
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 10).parquet(src)
-    jobs.stream_day_buckets(s, lambda x: x.read.schema(e.schema).parquet(src), out, _shared(spark, "ck")).awaitTermination()
-    return spark.read.parquet(out).select("entity", "bucket_date", "platform", "mentions", "unique_authors")
+    src, tables = _shared(spark, "links"), TableSet(spark, _shared(spark, "buckets"))
+    e.repartition(4, "signal_id").write.parquet(src)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    jobs.stream_day_buckets(s, tables, _shared(spark, "ck")).awaitTermination()
+    b = tables.read("buckets").select("entity", "bucket_date", "platform", "mentions", "unique_authors", "engagement_sum", "engagement_median")
+    return rounded(rounded(b, "engagement_sum", n=4), "engagement_median")
 
 
 #: Every day of an entity from a mention to the day before the next, or for 90 days, or to the last day but one of all; the 90 days before it as a sorted list, folded to greedy weeks.
@@ -669,9 +692,36 @@ def l4(spark, d):
     return spark.read.parquet(out)
 
 
-@query("l5_stream_refresh", f"WITH {RUNS} SELECT DISTINCT tenant FROM runs WHERE status = 'succeeded'")
+def run_links(spark, d):
+    """Links of succeeded runs (orders of status F), with the run's tenant; a tenant's brands are entities of its own."""
+    done = runs(spark, d).where("status = 'succeeded'").select(F.col("run_id").alias("signal_id"), F.col("tenant").alias("_t"))
+    j = links(spark, d).join(done, "signal_id")
+    return j.withColumn("tenant", F.col("_t")).withColumn("run_id", F.col("signal_id")).withColumn("entity", F.concat_ws("|", F.col("_t").cast("string"), "entity")).drop("_t")
+
+
+def refreshed(spark, d):
+    """Tables after a stream of runs in two halves, each a batch of its own, from the states of a month before."""
+    every, r = run_links(spark, d), runs(spark, d).select("tenant", "run_id", "status")
+    was = B.day_buckets(every.where("posted_on <= '2001-07-01'"), by=("tenant",))
+    none = was.where("false").select("entity", "geography", F.lit("").alias("state"), F.col("bucket_date").alias("entered_on"))
+    before = H.run_states(was, none, datetime.date(2001, 7, 1)).select(F.substring_index("entity", "|", 1).cast("int").alias("tenant"), "entity", "geography", "state", "entered_on")
+    tables, src, ck = TableSet(spark, _shared(spark, "refreshed")), _shared(spark, "runs"), _shared(spark, "ck")
+    tables.change().replace("prior", before, "tenant").commit()
+    for half in ("run_id % 2 = 0", "run_id % 2 = 1"):
+        r.where(half).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_refresh(jobs.read_stream(spark, src, r.schema), lambda s: every, tables, AS_OF, ck).awaitTermination()
+    return tables
+
+
+_REFRESH = f"""{links_sql(name='ln0')}, links AS (SELECT * REPLACE (CAST(signal_id % 3 AS VARCHAR) || '|' || entity AS entity) FROM ln0 WHERE signal_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')), {BUCKETS_SQL}"""
+
+
+@query("l5_stream_refresh", f"""WITH RECURSIVE {_REFRESH}, {_RUN} SELECT CAST(split_part(entity, '|', 1) AS INT) AS tenant, entity, geography, state, reason, cur AS previous, v7 AS volume_7d, v30 AS volume_30d, v90 AS volume_90d, round(wow, 6) AS growth_wow, round(mom, 6) AS growth_mom,
+CASE WHEN old IS NULL OR state <> cur THEN {X} ELSE DATE '2001-07-01' END AS entered_on, state <> cur AS transitioned FROM st""")
 def l5(spark, d):
-    r = runs(spark, d)
-    src, out = _staged(r, "runs"), _shared(spark, "refreshed")
-    jobs.stream_refresh(jobs.read_stream(spark, src, r.schema), lambda t, n: t.write.mode("overwrite").parquet(f"{out}/b{n}"), _shared(spark, "ck")).awaitTermination()
-    return spark.read.parquet(f"{out}/b*").distinct()
+    return rounded(refreshed(spark, d).read("states"), "growth_wow", "growth_mom")
+
+
+@query("l5_refreshed_buckets", f"WITH {_REFRESH} SELECT CAST(split_part(entity, '|', 1) AS INT) AS tenant, entity, platform, geography, bucket_date, mentions, unique_authors, round(engagement_sum, 2) AS engagement_sum, round(engagement_median, 4) AS engagement_median FROM buckets")
+def l5_buckets(spark, d):
+    return rounded(rounded(refreshed(spark, d).read("buckets"), "engagement_sum", n=2), "engagement_median", n=4)

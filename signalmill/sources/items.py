@@ -104,19 +104,19 @@ def _signal(platform: str) -> list[Column]:
     ]
 
 
-def normalize_platform(items: DataFrame, platform: str) -> DataFrame:
-    """Signals of one platform; items without an id are dropped."""
-    return items.where(F.col("platform") == platform).select(*_signal(platform)).where("source_id is not null")
+def normalize_platform(items: DataFrame, platform: str, carry: tuple = ()) -> DataFrame:
+    """Signals of one platform; items without an id are dropped. `carry` names columns of items that signals keep."""
+    return items.where(F.col("platform") == platform).select(*carry, *_signal(platform)).where("source_id is not null")
 
 
-def normalize(items: DataFrame) -> DataFrame:
+def normalize(items: DataFrame, carry: tuple = ()) -> DataFrame:
     """Signals of all known platforms; others, and items without an id, are dropped.
 
     Each branch filters its platform before the JSON is parsed, so an item is parsed once;
     landed by platform, its files are read once too. One CASE over all platforms would be
     one pass, but more code than Spark compiles for a stage.
     """
-    return reduce(DataFrame.unionByName, [normalize_platform(items, p) for p in FIELDS])
+    return reduce(DataFrame.unionByName, [normalize_platform(items, p, carry) for p in FIELDS])
 
 
 def interest_flat(items: DataFrame) -> DataFrame:

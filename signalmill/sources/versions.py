@@ -37,23 +37,35 @@ class TableSet:
         """The current version, 0 before the first change."""
         return max([0, *(int(n[9:-5]) for n in self._names(self.root) if n.startswith("manifest-") and n.endswith(".json"))])
 
-    def manifest(self, version: int | None = None) -> dict:
-        """Table name -> its schema, scope column and parts (folders under the table, by scope value) at a version."""
+    def _stored(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {}
+            return {"tables": {}, "note": {}}
         rows = self.spark.read.text(f"{self.root}/manifest-{version:09d}.json", wholetext=True).collect()  # one small file
         return json.loads(rows[0][0])
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        t = self.manifest(version)[name]
+    def manifest(self, version: int | None = None) -> dict:
+        """Table name -> its schema, scope column and parts (folders under the table, by scope value) at a version."""
+        return self._stored(version)["tables"]
+
+    def note(self, key: str, default=None):
+        """What the changes so far noted under a key, such as the last batch of a stream."""
+        return self._stored()["note"].get(key, default)
+
+    def _read(self, name: str, t: dict, scope: list | None) -> DataFrame:
         kind = StructType.fromJson(t["schema"])
-        if not t["parts"]:
+        wanted = None if scope is None else {None if v is None else str(v) for v in scope}
+        parts = [p for v, p in t["parts"] if wanted is None or v in wanted]
+        if not parts:
             return self.spark.createDataFrame([], kind)
         base = f"{self.root}/{name}"
-        df = self.spark.read.schema(StructType([*kind.fields]).add("_v", "string")).option("basePath", base).parquet(*[f"{base}/{p}" for _, p in t["parts"]])
+        df = self.spark.read.schema(StructType([*kind.fields]).add("_v", "string")).option("basePath", base).parquet(*[f"{base}/{p}" for p in parts])
         return df.select(*kind.names)
 
+    def read(self, name: str, version: int | None = None, scope: list | None = None) -> DataFrame:
+        """A table at a version; with a scope, only the folders of those values are read."""
+        return self._read(name, self.manifest(version)[name], scope)
+
     def change(self) -> Change:
         return Change(self)
 
@@ -78,7 +90,8 @@ class Change:
 
     def __init__(self, tables: TableSet):
         self.tables, self.base = tables, tables.version()
-        self.new = tables.manifest(self.base)
+        was = tables._stored(self.base)
+        self.new, self.note = was["tables"], was["note"]
 
     def _write(self, name: str, df: DataFrame, by: str | None) -> list[list]:
         folder = f"_v={self.base + 1}-{uuid.uuid4().hex[:8]}"
@@ -111,12 +124,16 @@ class Change:
         self.new[name] = self.new[name] | {"parts": [p for p in self.new[name]["parts"] if p[0] not in names]}
         return self
 
-    def commit(self) -> int:
-        """Show the change; returns its version."""
+    def read(self, name: str, scope: list | None = None) -> DataFrame:
+        """A table as this change has it so far."""
+        return self.tables._read(name, self.new[name], scope)
+
+    def commit(self, **note) -> int:
+        """Show the change, with notes beside it; returns its version."""
         v, t = self.base + 1, self.tables
         fs, draft = t._fs(f"{t.root}/.draft-{uuid.uuid4().hex}.json")
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(self.new).encode()))
+        out.write(bytearray(json.dumps({"tables": self.new, "note": self.note | note}).encode()))
         out.close()
         target = t._fs(f"{t.root}/manifest-{v:09d}.json")[1]
         if fs.exists(target) or not fs.rename(draft, target):

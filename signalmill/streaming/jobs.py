@@ -10,20 +10,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from signalmill.operators.buckets import day_buckets
-from signalmill.operators.states import next_state_of
+from signalmill.operators.buckets import add_parts, bucket_parts, buckets_of, day_buckets
+from signalmill.operators.growth import share_of_voice
+from signalmill.operators.states import SURFACING, next_state_of, run_states
 from signalmill.sources.items import normalize, parse_items
+from signalmill.sources.scratch import scratch_path
+from signalmill.sources.sinks import append_new
+from signalmill.sources.versions import Change, TableSet
+
+STATES = ("entity", "geography", "state", "reason", "previous", "volume_7d", "volume_30d", "volume_90d", "growth_wow", "growth_mom", "entered_on", "transitioned")
 
 
 def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def stream_ingest(spark: SparkSession, folder: str, platform: str, target: str, checkpoint: str) -> StreamingQuery:
-    """L1: landed JSON lines to signals, each file once; the checkpoint takes the place of a claim lock."""
-    raw = spark.readStream.text(folder).select(F.lit(platform).alias("platform"), F.col("value").alias("raw"))
-    out = normalize(parse_items(raw).where("item is not null"))
-    return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _batches(stream: DataFrame, tables: TableSet, name: str, take: Callable[[DataFrame, Change], None], checkpoint: str) -> StreamingQuery:
+    """foreachBatch over a set of tables: a batch changes all its tables and notes its number in one commit, so one that comes again after a failure changes nothing twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number > tables.note(name, -1):
+            change = tables.change()
+            take(batch, change)
+            change.commit(**{name: number})
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SIGNAL_KEY = ("tenant", "platform", "source_id")
+
+
+def stream_ingest(runs: DataFrame, landed: Callable[[SparkSession, list], DataFrame], tables: TableSet, checkpoint: str) -> StreamingQuery:
+    """L1, A3: signals of finished runs, each run whole and once.
+
+    runs (tenant, run_id, platform) is a stream of runs whose items have all landed; landed
+    gives the items (run_id, raw) of some runs. A batch reads the items of its runs that the
+    ledger does not hold, inserts the signals whose (tenant, platform, source_id) is not
+    there yet (of a batch the lowest run wins), and enters the runs with their numbers of
+    items, malformed items and new signals, all in one change of `signals` and `ledger`.
+    """
+
+    def take(batch: DataFrame, change: Change) -> None:
+        spark = batch.sparkSession
+        fresh = batch.where("run_id is not null").dropDuplicates(["run_id"])
+        if "ledger" in change.new:
+            fresh = fresh.join(change.read("ledger").select("run_id"), "run_id", "left_anti")
+        claimed = [tuple(r) for r in fresh.select("tenant", "run_id", "platform").collect()]  # the runs of one batch
+        if not claimed:
+            return
+        runs = spark.createDataFrame(claimed, fresh.select("tenant", "run_id", "platform").schema)
+        ids = [r[1] for r in claimed]
+        parsed = parse_items(landed(spark, ids).join(F.broadcast(runs), "run_id"))
+        new = normalize(parsed.where("item is not null"), carry=("tenant", "run_id"))
+        new = append_new(new, change.read("signals"), list(SIGNAL_KEY), "run_id") if "signals" in change.new else append_new(new, new.where("false"), list(SIGNAL_KEY), "run_id")
+        if "signals" in change.new:
+            change.replace_scope("signals", new, ids)
+        else:
+            change.replace("signals", new, "run_id")
+        kept = change.read("signals", ids).groupBy("run_id").agg(F.count("*").alias("inserted"))
+        items = parsed.groupBy("run_id").agg(F.count("*").alias("items"), F.count_if(F.col("item").isNull()).alias("malformed"))
+        entry = runs.join(items, "run_id", "left").join(kept, "run_id", "left").na.fill(0, ["items", "malformed", "inserted"]).select("tenant", "run_id", "platform", "items", "malformed", "inserted")
+        if "ledger" in change.new:
+            change.replace_scope("ledger", entry, ids)
+        else:
+            change.replace("ledger", entry, "run_id")
+
+    return _batches(runs, tables, "ingest", take, checkpoint)
 
 
 def stream_dedupe(sdf: DataFrame, delay: str = "1 day", keys=("tenant", "platform", "source_id"), time: str = "posted_at") -> DataFrame:
@@ -31,20 +83,27 @@ def stream_dedupe(sdf: DataFrame, delay: str = "1 day", keys=("tenant", "platfor
     return sdf.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_day_buckets(links: DataFrame, all_links: Callable[[SparkSession], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """L3: days touched by a batch are recomputed as a whole and overwritten, so late posts re-open their day.
+def stream_day_buckets(links: DataFrame, tables: TableSet, checkpoint: str) -> StreamingQuery:
+    """L3: day buckets that a batch adds to, so late posts re-open their day.
 
-    all_links gives the landed links a batch is part of; laid out by posted_on, only the
-    touched days of it are read. The table under `path` is partitioned by bucket_date, and
-    a batch replaces the partitions of its days only; a repeated batch writes the same rows.
+    `parts` holds what buckets add up from (exact author sets and value histograms) and
+    `buckets` the measures, both laid out by day. A batch reads its own rows and the parts of
+    its days, never the links of earlier batches; both tables change in one step. Links
+    without a day are left out.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        days = [r[0] for r in batch.select("posted_on").distinct().collect()]  # the days of one batch
-        new = day_buckets(all_links(batch.sparkSession).where(F.col("posted_on").isin(days)))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_date").parquet(path)
+    def take(batch: DataFrame, change: Change) -> None:
+        new = bucket_parts(batch.where("posted_on is not null"))
+        days = [r[0] for r in new.select("bucket_date").distinct().collect()]  # the days of one batch
+        if not days:
+            return
+        if "parts" not in change.new:
+            change.replace("parts", new, "bucket_date").replace("buckets", buckets_of(change.read("parts")), "bucket_date")
+        else:
+            change.replace_scope("parts", add_parts(change.read("parts", days), new), days)
+            change.replace_scope("buckets", buckets_of(change.read("parts", days)), days)
 
-    return links.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _batches(links, tables, "day_buckets", take, checkpoint)
 
 
 STATE_OUT = "entity string, bucket_date date, state string, active boolean"
@@ -140,11 +199,48 @@ def stream_states(daily: DataFrame, delay: str = "1 day") -> DataFrame:
     return good.withWatermark("_at", delay).groupBy("entity").applyInPandasWithState(each, STATE_OUT, kind, "append", "EventTimeTimeout")
 
 
-def stream_refresh(runs: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Calls `refresh` with the tenants that have fresh succeeded runs in a batch."""
+def stream_refresh(runs: DataFrame, links: Callable[[SparkSession], DataFrame], tables: TableSet, as_of: datetime.date, checkpoint: str) -> StreamingQuery:
+    """What fresh succeeded runs touch, carried from signals to buckets, states and trends; the rest stays as it is.
 
-    def each(batch: DataFrame, number: int) -> None:
-        fresh = batch.where("status = 'succeeded'").select("tenant").distinct()
-        refresh(fresh, number)
+    runs (tenant, run_id, status); links gives all landed links with tenant and run_id, and
+    the set holds `prior` (tenant, entity, geography, state, entered_on), the states of the
+    evening before. Touched buckets (entity and day) are counted again from their links, touched
+    entities get states and share-of-voice anew, and the tables of other tenants keep their
+    files. Entities belong to one tenant. All of a batch changes in one step, and, as states
+    start from `prior`, refreshing an entity twice gives what one refresh gives.
+    """
 
-    return runs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def take(batch: DataFrame, change: Change) -> None:
+        spark = batch.sparkSession
+        fresh = batch.where("status = 'succeeded'").select("tenant", "run_id").distinct()
+        tenants = [r[0] for r in fresh.select("tenant").distinct().collect()]  # the tenants of one batch
+        if not tenants:
+            return
+        every = links(spark)
+        path = scratch_path(spark, "touched")
+        every.join(fresh, ["tenant", "run_id"], "left_semi").select("tenant", "entity", F.col("posted_on").alias("bucket_date")).distinct().write.parquet(path)
+        touched = spark.read.parquet(path)
+        names = touched.select("tenant", "entity").distinct()
+        keys = touched.withColumnRenamed("bucket_date", "posted_on")
+        again = day_buckets(every.join(keys, ["tenant", "entity", "posted_on"], "left_semi"), by=("tenant",))
+
+        def put(name: str, new: DataFrame, same: list[str], gone: DataFrame) -> None:
+            if name not in change.new:
+                change.replace(name, new, "tenant")
+            else:
+                old = change.read(name, tenants)
+                change.replace_scope(name, old.join(gone, same, "left_anti").select(*old.columns).unionByName(new), tenants)
+
+        put("buckets", again, ["tenant", "entity", "bucket_date"], touched)
+        now = change.read("buckets", tenants)
+        mine = now.join(names, ["tenant", "entity"], "left_semi")
+        before = change.read("prior", tenants).join(names, ["tenant", "entity"], "left_semi")
+        states = run_states(mine, before, as_of).join(names, "entity").select("tenant", *STATES)
+        put("states", states, ["tenant", "entity"], names)
+        # Shares are of a tenant's totals, so they move for every entity of a touched tenant.
+        share = share_of_voice(now).select("tenant", "entity", "sov_growth")
+        trends = change.read("states", tenants).where(F.col("state").isin(*SURFACING)).join(share, ["tenant", "entity"], "left")
+        trends = trends.select("tenant", "entity", "geography", "state", "volume_30d", "growth_wow", "sov_growth")
+        change.replace("trends", trends, "tenant") if "trends" not in change.new else change.replace_scope("trends", trends, tenants)
+
+    return _batches(runs, tables, "refresh", take, checkpoint)
