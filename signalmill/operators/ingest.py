@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import canonical_label
+from signalmill.sources.scratch import scratch_path
 
 
 def noise_floor(df: DataFrame, floor: float = 3) -> DataFrame:
@@ -139,23 +140,44 @@ def attach_verdicts(terms: DataFrame, verdicts: DataFrame) -> DataFrame:
     return t.join(placed, ["batch", "place"], "left").select("batch", "place", "term", F.coalesce("_named", "_placed", F.lit(True)).alias("keep"))
 
 
-def tag_entities(signals: DataFrame, vocab: DataFrame, most: int = 5, words: int = 3) -> DataFrame:
-    """(signal_id, entity) for the first `most` labels or aliases in the text, by place, then label.
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
-    signals (signal_id, text), vocab (term, entity). N-grams of up to `words` words, and no
-    longer than the vocabulary's terms, meet the vocabulary in an equality join.
-    """
-    longest = vocab.agg(F.max(F.size(F.split(F.trim("term"), " +")))).first()[0] or 1  # of a dimension table
-    words = min(words, longest)
-    w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    s = signals.select("signal_id", F.explode(F.array(w)).alias("w"))
-    n = F.size("w")
 
-    def grams(k: int) -> Column:
-        some = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, k), " ").alias("term")))
-        return F.when(n >= k, some).otherwise(F.expr("cast(array() as array<struct<at:int,term:string>>)"))
+def term_trie(vocab: DataFrame) -> DataFrame:
+    """(node, word, child) of the terms' words: a node is the words so far, the root is the empty string."""
+    w = vocab.select(_words("term").alias("w")).where(F.size("w") > 0).distinct()
+    steps = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
+    upto = lambda k: F.concat_ws(" ", F.slice("w", F.lit(1), k))
+    return steps.select(upto(F.col("k") - 1).alias("node"), F.element_at("w", F.col("k")).alias("word"), upto(F.col("k")).alias("child")).distinct()
+
 
-    hits = s.select("signal_id", F.inline(F.concat(*[grams(k) for k in range(1, words + 1)]))).join(vocab.select(F.lower("term").alias("term"), "entity"), "term")
+def tag_entities(signals: DataFrame, vocab: DataFrame, most: int = 5) -> DataFrame:
+    """(signal_id, entity) for the first `most` labels or aliases in the text, by place, then label.
+
+    signals (signal_id, text), vocab (term, entity); terms may have any number of words.
+    Words that stand in terms, with their places, go down the trie of the terms one word a
+    round: a round keeps the places whose words so far begin a longer term, so rounds end
+    with the longest term, and what no term begins with never becomes a gram.
+    """
+    spark = signals.sparkSession
+    trie = term_trie(vocab)
+    longest = vocab.agg(F.max(F.size(_words("term")))).first()[0] or 0  # of a dimension table
+    names = vocab.select(F.concat_ws(" ", _words("term")).alias("node"), "entity").where("node <> ''").distinct()
+    # One row of the array, so that the text is cut once.
+    w = signals.select("signal_id", F.explode(F.array(_words("text"))).alias("w")).select("signal_id", F.posexplode("w").alias("at", "word"))
+    if longest > 1:
+        path = scratch_path(spark, "words")
+        w.join(trie.select("word").distinct(), "word", "left_semi").write.parquet(path)
+        w = spark.read.parquet(path)
+    live = w.join(trie.where("node = ''").select("word", F.col("child").alias("node")), "word").select("signal_id", "at", (F.col("at") + 1).alias("next"), "node")
+    hits = live.join(names, "node").select("signal_id", "entity", "at")
+    for _ in range(1, longest):
+        live = live.join(w.select("signal_id", F.col("at").alias("next"), "word"), ["signal_id", "next"]).join(trie, ["node", "word"])
+        path = scratch_path(spark, "live")
+        live.select("signal_id", "at", (F.col("next") + 1).alias("next"), F.col("child").alias("node")).write.parquet(path)
+        live = spark.read.parquet(path)
+        hits = hits.unionByName(live.join(names, "node").select("signal_id", "entity", "at"))
     hits = hits.groupBy("signal_id", "entity").agg(F.min("at").alias("at"))
     n = F.row_number().over(Window.partitionBy("signal_id").orderBy("at", "entity"))
     return hits.withColumn("n", n).where(F.col("n") <= most).select("signal_id", "entity", F.col("n").alias("place"))

@@ -139,6 +139,22 @@ def d21(spark, d):
     return I.tag_entities(table(spark, d, "documents").select(F.col("doc_id").alias("signal_id"), "text"), v)
 
 
+#: First word and number of words of the terms taken from each benchmark item.
+_LONG_TERMS = ((1, 1), (3, 3), (1, 6))
+
+
+@query("d21_tag_long_terms", r"""WITH bw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+v AS (SELECT DISTINCT array_to_string(w[f:f + k - 1], ' ') AS term, item_id || '/' || k AS entity, k FROM bw, (VALUES (1, 1), (3, 3), (1, 6)) AS t(f, k) WHERE len(w) >= f + k - 1),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, k, unnest(list_transform(range(0, len(w) - k + 1), lambda i: {'p': i, 'term': array_to_string(w[i + 1:i + k], ' ')}), recursive := true) FROM w, (VALUES (1), (3), (6)) AS t(k) WHERE len(w) >= k),
+h AS (SELECT doc_id, entity, min(p) AS p FROM g JOIN v ON g.term = v.term AND g.k = v.k GROUP BY ALL)
+SELECT signal_id, entity, place FROM (SELECT doc_id AS signal_id, entity, row_number() OVER (PARTITION BY doc_id ORDER BY p, entity) AS place FROM h) WHERE place <= 5""")
+def d21_long(spark, d):
+    w = table(spark, d, "benchmark").select("item_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("w"))
+    some = [w.where(F.size("w") >= f + k - 1).select(F.concat_ws(" ", F.slice("w", f, k)).alias("term"), F.concat(F.col("item_id").cast("string"), F.lit(f"/{k}")).alias("entity")) for f, k in _LONG_TERMS]
+    return I.tag_entities(table(spark, d, "documents").select(F.col("doc_id").alias("signal_id"), "text"), some[0].unionByName(some[1]).unionByName(some[2]))
+
+
 @query("d22_tag_attributes", r"""WITH v AS (SELECT DISTINCT lang AS category, w AS attribute FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE length(w) > 5),
 w AS (SELECT DISTINCT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents)
 SELECT d.doc_id AS signal_id, d.lang AS category, v.attribute FROM documents d LEFT JOIN (SELECT w.doc_id, v.* FROM w JOIN v ON w.lang = v.category AND w.w = v.attribute) v ON d.doc_id = v.doc_id""")

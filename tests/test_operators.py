@@ -254,3 +254,41 @@ def test_counted_shuffles_are_fair_and_replayable(spark):
         x = series[e].astype(float)
         p = (_surge(rng.permuted(np.tile(x, (20000, 1)), axis=1)) >= _surge(x[None])[0] - 1e-9).mean()
         assert abs(got[e]["p_value"] - p) < 0.05
+
+
+def test_terms_of_any_length_tag(spark):
+    import random
+    import re
+
+    from signalmill.operators.ingest import tag_entities
+
+    rng = random.Random(6)
+    words = ["extra", "virgin", "olive", "oil", "a", "Öl", "of"]
+    terms = [("extra virgin olive oil", "evoo"), ("olive oil", "oil"), ("Oil", "oil"), ("of a of a of a", "loop"), ("of a", "pair"), ("öl-extra", "dash"), ("", "none"), (None, "none"), ("virgin olive", "vo")]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(99, None), (100, "Extra, virgin; OLIVE oil!"), (101, "of a of a of a of a")]
+    got = {tuple(r) for r in tag_entities(spark.createDataFrame(texts, "signal_id long, text string"), spark.createDataFrame(terms, "term string, entity string"), most=3).collect()}
+    cut = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    want = set()
+    for i, text in texts:
+        w, first = cut(text), {}
+        for t, e in terms:
+            k = cut(t)
+            at = [j for j in range(len(w) - len(k) + 1) if k and w[j : j + len(k)] == k]
+            if at:
+                first[e] = min(at[0], first.get(e, at[0]))
+        want |= {(i, e, n + 1) for n, (_, e) in enumerate(sorted((p, e) for e, p in first.items())[:3])}
+    assert got == want and (100, "evoo", 1) in got
+
+
+def test_labelled_gate_cases(spark):
+    """The three labelled cases: one author's spike holds, a broad rise passes, flat noise holds."""
+    from signalmill.operators.gate import gate_cases
+
+    flat, spike = [4 + i % 2 for i in range(60)], [2] * 53 + [40] * 7
+    cases = [
+        ("single-author-spike", "hold", spike, [("tiktok", 1, 40)]), ("broad-organic-rise", "pass", spike, [("tiktok", 9, 30), ("youtube", 7, 22), ("googletrends", 5, 10)]),
+        ("flat-noise", "hold", flat, [("tiktok", 6, 20), ("youtube", 5, 18)]),
+    ]
+    df = spark.createDataFrame(cases, "name string, expected string, daily array<long>, sources array<struct<platform:string,unique_authors:long,mentions:long>>")
+    got = {r["entity"]: r for r in gate_cases(df).collect()}
+    assert len(got) == 3 and all(r["match"] for r in got.values())
