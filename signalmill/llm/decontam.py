@@ -7,8 +7,8 @@ away, half of them probed from either side, a join on (length, block, value) fin
 Candidates are verified by the exact weighted Jaccard similarity of their shingles, weights
 being counts.
 
-A window that shares no shingle with an item has similarity 0, so windows are laid only
-where a shingle of an item of that length stands in the document, aligned with it.
+A window reaches a similarity only if it holds so many shingles of the item, so windows
+are laid at every start from which that many lie within the item's length, and nowhere else.
 """
 
 from __future__ import annotations
@@ -107,11 +107,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
         found = _placed(keyed, k).join(small(held.where(F.col("k") == k)), "gram")
         hits = found if hits is None else hits.unionByName(found)
     hits = hits.select("doc_id", "_k1", "_k2", "words", "item_id", "n", "k", "at", "pos", "gram")
-    # A window can reach the similarity only if the document holds that share of the item's shingles.
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("words") - F.col("n")), F.lit(0))
-    per = hits.groupBy("doc_id", "_k1", "_k2", "item_id", "n", "k").agg(F.countDistinct("at").alias("held"), F.collect_set(start).alias("starts"))
-    spots = per.where(F.col("held") >= F.lit(least) * (F.col("n") - F.col("k") + 1) - 1e-9)
-    spots = stored(spots.select("_k1", "_k2", "n", "k", F.explode("starts").alias("start")).distinct().groupBy("_k1", "_k2").agg(F.collect_list(F.struct("n", "k", "start")).alias("spots")), "spots")
+    # Equal shingles of two texts of a and b shingles are least * (a + b) / (1 + least) or more. Counted by the places
+    # of the document that hold a shingle of the item: with `need` places p1 <= p2 ... in a window, it starts
+    # between the last place less its length and the first.
+    reach = F.least("n", "words") - F.col("k")
+    need = F.ceil(F.lit(least) * (reach + 1 + F.col("n") - F.col("k") + 1) / (1 + least) - 1e-9).cast("int")
+    places = hits.groupBy("doc_id", "_k1", "_k2", "words", "item_id", "n", "k", "pos").agg(F.count("*").alias("_c")).drop("_c").withColumn("reach", reach).withColumn("need", need)
+    some = places.groupBy("_k1", "_k2", "item_id", "n", "k", "words", "reach", "need").agg(F.sort_array(F.collect_list("pos")).alias("p")).where(F.size("p") >= F.col("need"))  # places of one item in one text
+    spans = some.select("_k1", "_k2", "n", "k", "words", "reach", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - F.col("need") + 1).alias("a"), F.slice("p", F.col("need"), F.size("p") - F.col("need") + 1).alias("b"))).alias("x"))
+    low, high = F.greatest(F.col("x.b") - F.col("reach"), F.lit(0)), F.least(F.col("x.a"), F.greatest(F.col("words") - F.col("n"), F.lit(0)))
+    starts = spans.where(low <= high).select("_k1", "_k2", "n", "k", F.explode(F.sequence(low, high)).alias("start"))
+    spots = stored(starts.distinct().groupBy("_k1", "_k2").agg(F.collect_list(F.struct("n", "k", "start")).alias("spots")), "spots")
     near = keyed.join(spots, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("doc_id", "_k1", "_k2", "text", F.explode("spots").alias("at"))
     prints = f"CASE WHEN g IS NOT NULL THEN struct(g, {_SIMHASH.format(g='g')} AS fp) END"
     prints = _let("v", f"slice({_WORD_LIST.format(text='text')}, at.start + 1, at.n)", _let("g", _grams("v", "least(at.k, size(v))"), prints))
@@ -150,14 +156,13 @@ dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
 dg AS (SELECT doc_id, k, len(w) AS words, unnest(list_transform(range(0, len(w) - k + 1), lambda p: array_to_string(w[p + 1:p + k], ' '))) AS gram,
               unnest(range(0, len(w) - k + 1)) AS pos
        FROM dw, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
-hit AS (SELECT doc_id, words, item_id, n, ig.k, ig.pos AS ip, dg.pos FROM dg JOIN ig ON dg.gram = ig.gram AND dg.k = ig.k),
-ok AS (SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, n, k HAVING count(DISTINCT ip) >= 0.8 * (n - k + 1) - 1e-9),
-spot AS (SELECT DISTINCT doc_id, words, n, k, greatest(least(pos - ip, words - n), 0) AS start FROM hit SEMI JOIN ok USING (doc_id, item_id)),
-wg AS (SELECT s.doc_id, s.n, s.start, least(s.words, s.n) - s.k + 1 AS size, g.gram, count(*) AS c
-       FROM spot s JOIN dg g ON g.doc_id = s.doc_id AND g.k = s.k AND g.pos BETWEEN s.start AND s.start + s.n - s.k GROUP BY ALL),
+hit AS (SELECT doc_id, words, item_id, n, ig.k, dg.pos, dg.gram FROM dg JOIN ig ON dg.gram = ig.gram AND dg.k = ig.k),
+wg AS (SELECT doc_id, item_id, n, k, least(words, n) - k + 1 AS size, gram, unnest(range(greatest(pos - (least(words, n) - k), 0), least(pos, greatest(words - n, 0)) + 1)) AS start
+       FROM (SELECT DISTINCT doc_id, words, item_id, n, hit.k, pos, gram FROM hit)),
+wc AS (SELECT doc_id, item_id, n, start, size, gram, count(*) AS c FROM wg GROUP BY ALL),
 t AS (SELECT item_id, n, n - k + 1 AS total, gram, count(*) AS d FROM ig GROUP BY ALL),
-b AS (SELECT doc_id, item_id, start, CAST(sum(least(c, d)) AS DOUBLE) AS same, size, total
-      FROM wg JOIN t ON wg.gram = t.gram AND wg.n = t.n GROUP BY ALL),
+b AS (SELECT doc_id, wc.item_id, start, CAST(sum(least(c, d)) AS DOUBLE) AS same, size, total
+      FROM wc JOIN t ON wc.gram = t.gram AND wc.item_id = t.item_id GROUP BY ALL),
 r AS (SELECT *, same / (size + total - same) AS sim FROM b)
 SELECT doc_id, item_id, arg_min(start, (-sim, start)) AS start, round(max(sim), 6) AS similarity
 FROM r WHERE sim >= 0.8 - 1e-12 GROUP BY doc_id, item_id

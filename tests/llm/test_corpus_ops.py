@@ -245,3 +245,60 @@ def test_queries_equal_the_operators(spark):
     got = sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in collocation.op13_collocations(spark, d).collect())
     assert got == mined([x[1:] for x in docs], 30) and got
     assert collocation.op13_collocations(spark, d).where(F.col("rank") > 2000).count() == 0
+
+
+# -- decontamination: every window --------------------------------------------------------------
+
+
+def best_window(item, doc, k=5):
+    """(similarity, start) of the best window of a document, over all windows of the item's length."""
+    n, k = len(item), min(k, len(item))
+    grams = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    t, out = grams(item), (0.0, 0)
+    for s in range(max(len(doc) - n, 0) + 1):
+        g = grams(doc[s : s + n])
+        same = sum((g & t).values())
+        if g and same / (sum(g.values()) + sum(t.values()) - same) > out[0] + 1e-12:
+            out = (same / (sum(g.values()) + sum(t.values()) - same), s)
+    return out
+
+
+def edited(rng, item, edits):
+    w = list(item)
+    for _ in range(edits):
+        i = rng.randrange(len(w))
+        what = rng.random()
+        w[i : i + (what < 0.7)] = [f"new{rng.random()}"] * (what > 0.3)
+    return w
+
+
+def test_decontamination_finds_the_best_of_all_windows(spark):
+    from signalmill.llm import decontam
+
+    rng = random.Random(11)
+    items = [[f"i{j}w{x}" for x in range(rng.choice([30, 60, 100]))] for j in range(8)] + [["a", "b"] * 20, ["one"], ["x", "y", "z", "x", "y"]]
+    docs = [[f"f{i}{x}" for x in range(rng.randint(0, 40))] + edited(rng, rng.choice(items[:8]), rng.randint(0, 4)) + [f"g{i}{x}" for x in range(rng.randint(0, 40))] for i in range(300)]
+    whole = items[0][:50] + [f"in{x}" for x in range(5)] + items[0][50:]
+    docs += [["q", "q"] + whole[2:-3] + ["r"] * 3, items[8][3:] + ["a"], ["one"], items[1][:28], items[2] + ["z"] * 50 + items[2][:55], items[3][30:] + items[3][:30], ["x", "y", "z", "x"]]
+    b = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontam.matches(d, b).collect()}
+    want = {(i, j): best_window(w, x) for i, x in enumerate(docs) for j, w in enumerate(items)}
+    want = {p: (round(s, 6), at) for p, (s, at) in want.items() if s >= 0.8 - 1e-12}
+    assert len(want) > 60 and set(got) <= set(want)
+    for low, high, least in ((0.8, 0.85, 0.95), (0.85, 0.9, 0.99), (0.9, 1.01, 1.0)):
+        near = [p for p, (s, _) in want.items() if low <= s < high]
+        assert len(near) > 5 and sum(p in got for p in near) >= least * len(near), (low, len(near))
+    assert len(got) >= 0.98 * len(want) and sum(got[p] == want[p] for p in got) >= 0.98 * len(got)
+
+
+def test_decontamination_of_a_window_no_shingle_is_aligned_with(spark):
+    """The first two words replaced, five put in the middle, the last three replaced: three windows reach 0.8, none of them at an aligned start."""
+    from signalmill.llm import decontam
+
+    item = [f"w{i}" for i in range(100)]
+    doc = ["q", "q"] + item[2:50] + [f"in{x}" for x in range(5)] + item[50:97] + ["r"] * 3
+    assert best_window(item, doc)[0] >= 0.8
+    b, d = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), spark.createDataFrame([(7, " ".join(doc))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.matches(d, b).collect()] == [(7, 1)]
+    assert decontam.decontaminate(d, b).count() == 0
