@@ -345,6 +345,8 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
     found = found.withColumn("_later", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))) > 1)
 
     def cut(text, runs, later):
+        if text is None:
+            return None
         if later and len(symbols(text, words)) >= span:
             return ""
         if runs is None:
@@ -359,11 +361,16 @@ def drop_later_copies(docs: DataFrame, span: int = SPAN, k: int = K, id_col="doc
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, runs: pa.Array, later: pa.Array) -> pa.Array:
-        return pa.array([cut(t.as_py(), r.as_py(), x.as_py()) for t, r, x in zip(text, runs, later)], pa.string())
+        def part(at: int) -> pa.Array:
+            rows = zip(text.slice(at, 100), runs.slice(at, 100), later.slice(at, 100))
+            return pa.array([cut(t.as_py(), r.as_py(), x.as_py()) for t, r, x in rows], pa.string())
 
-    # A row that needs no cut keeps its text, a null or empty one too.
-    found = found.withColumn("_kept", F.when(F.expr("_found is not null or _later and _text <> ''"), kept("_text", "_found", "_later")))
+        return pa.concat_arrays([part(at) for at in range(0, max(len(text), 1), 100)])
+
+    # Only texts that may be cut travel to Python, and the row carries its text once; one that needs no cut stays as it is, null or empty.
     text = F.col("_row").getField(text_col)
+    may = F.expr("_found is not null or _later") & (text != "")
+    found = found.withColumn("_kept", kept(F.when(may, text), F.when(may, F.col("_found")), F.col("_later")))
     new = {text_col: F.coalesce("_kept", text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("_row").getField("n_chars"))
