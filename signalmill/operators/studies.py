@@ -175,26 +175,36 @@ def dominant_language(links: DataFrame, signals: DataFrame) -> DataFrame:
     return c.groupBy("entity").agg(F.min_by("language", F.struct(-F.col("n"), F.col("language"))).alias("language"))
 
 
-def match_controls(cases: DataFrame, pool: DataFrame, widen: int = 5) -> DataFrame:
-    """A control of nearly the same volume for each case, none used twice, while cases and controls last.
-
-    Rank meets rank at equal volume, then in bands `widen` times as wide as those before,
-    until one band holds all volumes.
+def match_controls(cases: DataFrame, pool: DataFrame) -> DataFrame:
+    """A control for each case, none used twice, as many pairs as the smaller side has rows, and no other choice has a smaller sum of differences.
+
+    Equal volumes pair rank to rank by entity. What is left at a volume is of one side; read
+    as steps up (cases) and down (controls) along the volumes, best pairs lie on one level, in
+    turn, and on a level with an odd number of steps the one is left out that costs least
+    (ties: the smallest volume). A level holds a volume once, so its window is bounded by the
+    distinct volumes. Rows without a volume find no partner; entities are unique on a side.
     """
-    left, free, out = cases.select("entity", "volume"), pool.select(F.col("entity").alias("control"), F.col("volume").alias("control_volume")), None
-    top = left.select("volume").union(free.select("control_volume")).agg(F.max("volume")).first()[0] or 0
-    bands = [1]
-    while bands[-1] <= top:
-        bands.append(bands[-1] * widen)
-    for band in bands:
-        a = left.withColumn("g", F.floor(F.col("volume") / band))
-        a = a.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("volume", "entity")))
-        b = free.withColumn("g", F.floor(F.col("control_volume") / band))
-        b = b.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("control_volume", "control")))
-        hit = a.join(b, ["g", "n"]).select("entity", "volume", "control", "control_volume")
-        out = hit if out is None else out.unionByName(hit)
-        left, free = left.join(hit.select("entity"), "entity", "left_anti"), free.join(hit.select("control"), "control", "left_anti")
-    return out
+    rows = cases.select(F.lit(0).alias("side"), "entity", "volume").unionByName(pool.select(F.lit(1).alias("side"), "entity", "volume")).where("volume is not null")
+    h = rows.groupBy("volume").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    h = with_prefix_sums(h, ["volume"], {"a_before": "a", "b_before": "b"})
+    placed = with_ordinals(rows, ["volume", "side", "entity"], "_at").join(h, "volume")
+    n = F.col("_at") - F.col("a_before") - F.col("b_before") - F.when(F.col("side") == 1, F.col("a")).otherwise(0)
+    spare = n - F.least("a", "b")
+    start = F.col("a_before") - F.col("b_before")
+    level = F.when(F.col("side") == 0, start + spare).otherwise(start - spare - 1)
+    steps = placed.select("side", "entity", "volume", n.alias("n"), (spare >= 0).alias("spare"), level.alias("level"))
+    equal = steps.where("not spare").select("side", "entity", "volume", F.lit(None).cast("long").alias("level"), F.col("volume").alias("v"), "n")
+    chain = Window.partitionBy("level").orderBy("volume")
+    odd = F.col("i") % 2 == 1
+    left = steps.where("spare").withColumn("i", F.row_number().over(chain)).withColumn("m", F.count("*").over(Window.partitionBy("level")))
+    left = left.withColumn("upto", F.sum(F.when(odd, -F.col("volume")).otherwise(F.col("volume"))).over(chain))
+    cost = F.when(odd & (F.col("m") % 2 == 1), F.struct((2 * F.col("upto") + F.col("volume")).alias("c"), "i"))
+    left = left.withColumn("out", F.min(cost).over(Window.partitionBy("level"))["i"]).where("out is null or i <> out")
+    place = F.floor((F.col("i") - F.when(F.col("i") > F.col("out"), 2).otherwise(1)) / 2)
+    left = left.select("side", "entity", "volume", "level", F.lit(None).cast("long").alias("v"), place.alias("n"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    pairs = equal.unionByName(left).groupBy("level", "v", "n").agg(of(0, "entity").alias("entity"), of(0, "volume").alias("volume"), of(1, "entity").alias("control"), of(1, "volume").alias("control_volume"))
+    return pairs.drop("level", "v", "n")
 
 
 def systematic_sample(df: DataFrame, k: int, order=("volume", "entity")) -> DataFrame:

@@ -453,18 +453,20 @@ def volume(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.count("*").alias("volume"))
 
 
-def _bands_sql(bands=(1, 5, 25, 125, 625)) -> str:
-    """CTEs h1 ... hn: controls matched rank to rank in ever wider bands of volume."""
-    out, cases, pool = [], "cs", "po"
-    for n, band in enumerate(bands, 1):
-        rank = f"floor(volume / {band}) AS g, row_number() OVER (PARTITION BY floor(volume / {band}) ORDER BY volume, entity) AS n"
-        out.append(f"h{n} AS (SELECT c.entity, c.volume, p.entity AS control, p.volume AS control_volume FROM (SELECT *, {rank} FROM {cases}) c JOIN (SELECT *, {rank} FROM {pool}) p ON c.g = p.g AND c.n = p.n)")
-        out.append(f"c{n} AS (SELECT * FROM {cases} WHERE entity NOT IN (SELECT entity FROM h{n})), p{n} AS (SELECT * FROM {pool} WHERE entity NOT IN (SELECT control FROM h{n}))")
-        cases, pool = f"c{n}", f"p{n}"
-    return ", ".join(out)
-
-
-@query("d12_match_controls", f"WITH {_VOL}, cs AS (SELECT * FROM vo WHERE entity % 3 = 0), po AS (SELECT * FROM vo WHERE entity % 3 = 1 AND entity % 2 = 0), {_bands_sql()} " + " UNION ALL ".join(f"SELECT * FROM h{n}" for n in range(1, 6)))
+_NEAREST = """vs AS (SELECT 0 AS side, entity, volume FROM vo WHERE entity % 3 = 0 UNION ALL SELECT 1, entity, volume FROM vo WHERE entity % 3 = 1 AND entity % 2 = 0),
+hv AS (SELECT volume, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM vs GROUP BY volume),
+hs AS (SELECT *, coalesce(sum(a - b) OVER (ORDER BY volume ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM hv),
+rk AS (SELECT vs.*, a, b, s, row_number() OVER (PARTITION BY vs.volume, side ORDER BY entity) - 1 AS n FROM vs JOIN hs ON vs.volume = hs.volume),
+eq AS (SELECT c.entity, c.volume, p.entity AS control, p.volume AS control_volume FROM rk c JOIN rk p ON c.volume = p.volume AND c.n = p.n WHERE c.side = 0 AND p.side = 1),
+lv AS (SELECT side, entity, volume, CASE WHEN side = 0 THEN s + n - least(a, b) ELSE s - (n - least(a, b)) - 1 END AS level FROM rk WHERE n >= least(a, b)),
+ch AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY volume) AS i, count(*) OVER (PARTITION BY level) AS m FROM lv),
+cost AS (SELECT x.level, x.i, sum(CASE WHEN y.i < x.i THEN (CASE WHEN y.i % 2 = 0 THEN y.volume ELSE -y.volume END) WHEN y.i > x.i THEN (CASE WHEN y.i % 2 = 1 THEN y.volume ELSE -y.volume END) ELSE 0 END) AS c
+  FROM ch x JOIN ch y ON x.level = y.level WHERE x.m % 2 = 1 AND x.i % 2 = 1 GROUP BY x.level, x.i),
+gone AS (SELECT level, arg_min(i, (c, i)) AS o FROM cost GROUP BY level),
+pr AS (SELECT side, entity, volume, ch.level, (i - CASE WHEN o IS NOT NULL AND i > o THEN 2 ELSE 1 END) // 2 AS k FROM ch LEFT JOIN gone ON ch.level = gone.level WHERE o IS NULL OR i <> o)"""
+
+
+@query("d12_match_controls", f"WITH {_VOL}, {_NEAREST} SELECT * FROM eq UNION ALL SELECT c.entity, c.volume, p.entity, p.volume FROM pr c JOIN pr p ON c.level = p.level AND c.k = p.k WHERE c.side = 0 AND p.side = 1")
 def d12(spark, d):
     v = volume(spark, d)
     return Y.match_controls(v.where("entity % 3 = 0"), v.where("entity % 3 = 1 and entity % 2 = 0"))  # fewer controls than cases

@@ -292,3 +292,30 @@ def test_labelled_gate_cases(spark):
     df = spark.createDataFrame(cases, "name string, expected string, daily array<long>, sources array<struct<platform:string,unique_authors:long,mentions:long>>")
     got = {r["entity"]: r for r in gate_cases(df).collect()}
     assert len(got) == 3 and all(r["match"] for r in got.values())
+
+
+def test_controls_have_the_least_sum_of_differences(spark):
+    """Against the best assignment, by a table over both sides in order, on random tables with ties, either side larger, and nulls."""
+    import random
+
+    from signalmill.operators.studies import match_controls
+
+    def best(small, large):
+        cost = [0] * (len(large) + 1)
+        for v in small:
+            new = [float("inf")]
+            for j, w in enumerate(large):
+                new.append(min(new[-1], cost[j] + abs(v - w)))
+            cost = new
+        return cost[-1]
+
+    rng = random.Random(5)
+    for n, m, top in ((9, 14, 30), (14, 6, 12), (20, 20, 400)):
+        a, b = ([rng.randrange(top) for _ in range(k)] for k in (n, m))
+        cases = spark.createDataFrame([*enumerate(a), (900, None)], "entity long, volume long")
+        pool = spark.createDataFrame([(1000 + i, v) for i, v in enumerate(b)], "entity long, volume long")
+        got = match_controls(cases, pool).collect()
+        assert len(got) == len({r["entity"] for r in got}) == len({r["control"] for r in got}) == min(n, m)
+        assert all(a[r["entity"]] == r["volume"] and b[r["control"] - 1000] == r["control_volume"] for r in got)
+        small, large = sorted((sorted(a), sorted(b)), key=len)
+        assert sum(abs(r["volume"] - r["control_volume"]) for r in got) == best(small, large)
