@@ -91,7 +91,8 @@ def rank_attributes(buckets: DataFrame, days: int, as_of: datetime.date) -> Data
     """Mentions of attributes in the last `days` days and the same span before."""
     ago = _ago(as_of)
     total = lambda a, b: F.coalesce(F.sum(F.when(ago.between(a, b), F.col("mentions"))), F.lit(0))
-    r = buckets.groupBy("category", "attribute").agg(total(0, days - 1).alias("current"), total(days, 2 * days - 1).alias("prior")).where("current > 0 or prior > 0")
+    near = buckets.where(F.col("bucket_date").between(F.lit(as_of - datetime.timedelta(days=2 * days - 1)), F.lit(as_of)))
+    r = near.groupBy("category", "attribute").agg(total(0, days - 1).alias("current"), total(days, 2 * days - 1).alias("prior")).where("current > 0 or prior > 0")
     return r.withColumn("delta", F.when(F.col("prior") > 0, (F.col("current") - F.col("prior")) / F.col("prior")))
 
 
@@ -108,7 +109,7 @@ def share_of_voice(buckets: DataFrame, days: int = 60, least_prior: int = 3, lea
     Windows are (start, end] and end on the tenant's last day. Platforms count with
     `least_prior` mentions of the entity before; fewer than `least_platforms` give null.
     """
-    b = with_bounds(buckets, days)
+    b = with_bounds(buckets, days).where("bucket_date > first_day")  # older days count in neither window
     recent = (F.col("bucket_date") > F.col("mid_day")) & (F.col("bucket_date") <= F.col("last_day"))
     prior = (F.col("bucket_date") > F.col("first_day")) & (F.col("bucket_date") <= F.col("mid_day"))
     per = b.groupBy("tenant", "entity", "platform").agg(

@@ -319,3 +319,30 @@ def test_controls_have_the_least_sum_of_differences(spark):
         assert all(a[r["entity"]] == r["volume"] and b[r["control"] - 1000] == r["control_volume"] for r in got)
         small, large = sorted((sorted(a), sorted(b)), key=len)
         assert sum(abs(r["volume"] - r["control_volume"]) for r in got) == best(small, large)
+
+
+def test_ranked_attributes_read_their_windows_only(spark, tmp_path):
+    import datetime
+
+    from signalmill.operators.growth import rank_attributes
+
+    day = datetime.date(2024, 5, 31)
+    rows = [("c", "a", day - datetime.timedelta(days=i), 1) for i in (0, 29, 30, 59, 60, 400)] + [("c", "old", day - datetime.timedelta(days=70), 5)]
+    spark.createDataFrame(rows, "category string, attribute string, bucket_date date, mentions long").write.partitionBy("bucket_date").parquet(f"{tmp_path}/b")
+    got = rank_attributes(spark.read.parquet(f"{tmp_path}/b"), 30, day)
+    assert [tuple(r)[:4] for r in got.collect()] == [("c", "a", 2, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket_date" in plan and "bucket_date#" in plan.split("PartitionFilters: ")[1].split("]")[0] and ">=" in plan
+
+
+def test_authors_meet_before_a_bucket_is_counted(spark):
+    """The plan of day_buckets deals by bucket and author first, so that no task takes all links of a busy bucket, and merges histograms after."""
+    import re
+
+    from signalmill.operators.buckets import day_buckets
+
+    links = spark.createDataFrame([("e", "p", "g", None, 1, "a", 2.0)], "entity string, platform string, geography string, posted_on date, signal_id long, author string, engagement double")
+    plan = day_buckets(links)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
+    assert len(dealt) == 2  # the last exchange is printed first
+    assert "author" not in dealt[0] and "author" in dealt[1]
