@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pandas as pd
@@ -44,6 +45,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _MADE:
+        _MADE[-1][path] = out
     return out
 
 
@@ -55,6 +58,20 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of the open cleared() blocks, the innermost last.
+_MADE: list[dict[str, DataFrame]] = []
+
+
+@contextmanager
+def cleared() -> Iterator[dict[str, DataFrame]]:
+    """The tables that stored() writes in the block, by path; those still in the dict at its end, or when it fails, are deleted."""
+    _MADE.append({})
+    try:
+        yield _MADE[-1]
+    finally:
+        release(*_MADE.pop().values())
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A table of few narrow columns, marked for a broadcast if it is counted at no more than `rows` rows; beyond, joins shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -25,8 +25,8 @@ WORD_BUCKETS, GRAM_BUCKETS, SIZE, STATE = 1 << 15, 1 << 15, 8, 8
 SAMPLE = (4500, 1500)
 #: Characters from which an unbroken run is cut into pieces that overlap by half and are words.
 PIECE = 24
-#: Windows whose logit has a smaller gradient than this share of a document's are not traced back in a training step.
-TRACE = 1e-3
+#: Windows that are traced back at a time; the gradients of a step are added up over all its windows.
+TRACED = 4096
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -247,16 +247,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32
             if not len(used):
                 continue
             tab = net.vectors(vocabulary, used)
-            logit = net.forward(back, tab)[0]
+            slices = [slice(at, at + TRACED) for at in range(0, len(owner), TRACED)]
+            logit = np.concatenate([net.forward(back[x], tab)[0] for x in slices])
             total = doc_logits(logit.astype(np.float64), owner, len(some))
             err = _sigmoid(total) - labels[some]
             # d total / d window logit = sigmoid(window) / P(any)
             dlogit = err[owner] * _sigmoid(logit) / np.maximum(_sigmoid(total), 1e-9)[owner]
-            live = np.flatnonzero(np.abs(dlogit) >= TRACE)
-            if not len(live):
-                continue
-            _, tape = net.forward(back[live], tab, keep=True)
-            g, dtab = net.backward(tape, tab, (dlogit[live] / len(some)).astype(np.float32))
+            g, dtab = {}, np.zeros_like(tab)
+            for x in slices:
+                _, tape = net.forward(back[x], tab, keep=True)
+                part, more = net.backward(tape, tab, (dlogit[x] / len(some)).astype(np.float32))
+                g = {k: g[k] + v if g else v for k, v in part.items()}
+                dtab += more
             grams, count = vocabulary.grams(used)
             sparse = {"word": _summed(vocabulary.word[used], dtab), "gram": _summed(grams, np.repeat(dtab / count[:, None], count, 0))}
             step += 1
@@ -301,8 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, label
 def score(docs: DataFrame, net: Net, name: str = "score", text_col: str = "text") -> DataFrame:
     """docs with the column `name` (one of that name is replaced), a score from 0 to 1 of every row's whole text.
 
-    Null texts count as empty; equal texts, repeated rows among them, score the same; an
-    empty table gives no rows. Only the text goes through Python.
+    Null texts count as empty; equal texts, repeated rows among them, score the same but for
+    the rounding of single precision, which depends on the texts worked on together; an empty
+    table gives no rows. Only the text goes through Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import time
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from test_llm import DOCS, ODD, auc, documents, passages, prose, removed, shingles
 
 import corpus_pipeline
-from signalmill.llm import chat, decontam, html, lattice, mixing, registry, sigtree, suffix, toxicity, warc
+from signalmill.llm import chat, common, decontam, html, lattice, mixing, quality, registry, sigtree, suffix, toxicity, warc
 
 BIG = 2**53 + 1
 #: Names the operators use inside; as columns of documents they must not clash.
@@ -318,6 +319,82 @@ def test_toxicity_reads_whole_texts_and_words():
     assert len(toxicity.words_of("字" * 100)) > 5 and len(toxicity.cut([np.zeros(64, int)])[0]) == 7
 
 
+def plain_logit(p, vectors):
+    """Logit of a window of word vectors, one number at a time."""
+    size, h, states = toxicity.SIZE, toxicity.STATE, {}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for way in "fb":
+        w, u, c, state, seen = p["w" + way], p["u" + way], p["c" + way], [0.0] * h, []
+        for x in vectors if way == "f" else vectors[::-1]:
+            own = [c[j] + sum(x[i] * w[i][j] for i in range(size)) for j in range(3 * h)]
+            old = [sum(state[i] * u[i][j] for i in range(h)) for j in range(3 * h)]
+            z, r = ([sig(own[k * h + j] + old[k * h + j]) for j in range(h)] for k in (0, 1))
+            state = [(1 - z[j]) * state[j] + z[j] * math.tanh(own[2 * h + j] + r[j] * old[2 * h + j]) for j in range(h)]
+            seen.append(state)
+        states[way] = seen if way == "f" else seen[::-1]
+    both = [f + b for f, b in zip(states["f"], states["b"])]
+    weight = [math.exp(sum(a * math.tanh(v) for a, v in zip(p["att"], s))) for s in both]
+    pooled = [sum(a * s[j] for a, s in zip(weight, both)) / sum(weight) for j in range(2 * h)]
+    return p["bias"][0] + sum(o * v for o, v in zip(p["out"], pooled))
+
+
+def test_toxicity_scores_are_those_of_a_scalar_pass(monkeypatch):
+    texts, y = toxic_rows(60, 6)
+    net = toxicity.train(texts, y, epochs=2)
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    some = [*texts[:4], " ".join(toxicity.words_of(texts[5])[:45]), "one"]
+    got = toxicity.score_texts(net, some)
+    for text, s in zip(some, got):
+        words, clean = toxicity.words_of(text), 1.0
+        for at in range(0, max(len(words) - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE):
+            part = words[at : at + toxicity.WINDOW]
+            if at and len(words) <= at - toxicity.STRIDE + toxicity.WINDOW:
+                break
+            vectors = []
+            for w in part:
+                v = toxicity.Vocabulary([w])
+                grams = [p["gram"][g] for g in v.gram]
+                vectors.append([a + sum(g[i] for g in grams) / len(grams) for i, a in enumerate(p["word"][v.word[0]])])
+            clean *= 1 - 1 / (1 + math.exp(-plain_logit(p, vectors)))
+        assert s == pytest.approx(1 - clean, rel=1e-3, abs=1e-5)
+    # A step's gradients are those of all its windows, however many are traced at a time.
+    monkeypatch.setattr(toxicity, "TRACED", 7)
+    again = toxicity.train(texts[:30], y[:30], epochs=1)
+    monkeypatch.setattr(toxicity, "TRACED", 10**6)
+    whole = toxicity.train(texts[:30], y[:30], epochs=1)
+    assert np.allclose(toxicity.score_texts(again, texts), toxicity.score_texts(whole, texts), atol=1e-2)
+
+
+def test_quality_margins_are_differences_of_dense_log_densities(spark):
+    r, k = np.random.default_rng(3), len(quality.NAMES)
+    y = np.arange(400) % 2
+    x = r.normal(size=(400, k)) * (1 + y[:, None]) + y[:, None] * r.normal(size=k)
+    model = quality.fit(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(y, x)], "label int, x array<double>"))
+    center, scale = x.mean(0), x.std(0)
+    z = (x - center) / scale
+    every, density = np.cov(z.T, bias=True), []
+    for label in (0, 1):
+        own = z[y == label]
+        cov = (1 - quality.SHRINK) * np.cov(own.T, bias=True) + quality.SHRINK * np.diag(np.diag(every)) + quality.FLOOR * np.eye(k)
+        d = np.clip(z, -8, 8) - own.mean(0)
+        density.append(-0.5 * (d @ np.linalg.inv(cov) * d).sum(1) - 0.5 * np.log(np.linalg.det(cov)))
+    assert np.allclose(model.margins(x), density[1] - density[0], rtol=1e-6, atol=1e-6)
+
+
+def test_op8_and_op10_of_repeated_rows_and_null_ids(spark, tmp_path):
+    texts, y = toxic_rows(60, 3)
+    rows = [*enumerate(texts), (0, texts[0]), (0, texts[0]), (1, texts[2]), (None, texts[0]), (None, texts[0]), (None, None), (BIG, "")]
+    save(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS), tmp_path, "documents")
+    known = [(i, int(v), int(1 - v)) for i, v in enumerate(y)] + [(0, 1, 1), (None, 1, 0), (5, None, None)]
+    save(spark.createDataFrame(known, "doc_id long, toxic int, quality int"), tmp_path, "labels")
+    for name in ("op8_toxicity", "op10_quality"):
+        got = [(r["doc_id"], r["score"], r["held_out"]) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted((x[0] for x in got), key=repr) == sorted((i for i, _ in rows), key=repr)
+        of = lambda i: sorted(round(s, 6) for d, s, _ in got if d == i)
+        assert len(set(of(0))) == 1 and len(of(None)) == 3 and of(None).count(of(0)[0]) == 2
+        assert of(2)[0] in of(1) and all(0 <= s <= 1 and h is not None for _, s, h in got)
+
+
 def test_op8_and_op10_rows(spark, tmp_path):
     texts, y = toxic_rows(60, 3)
     save(documents(spark, texts + ODD).withColumns({c: F.lit(1) for c in ("score", "_text", "label")}), tmp_path, "documents")
@@ -405,3 +482,21 @@ def test_run_chains_the_stages(spark, tmp_path, monkeypatch):
     step = lambda n: (f"s{n}", lambda spark, docs, sf_dir: docs.where(f"doc_id <> {n}"))
     monkeypatch.setattr(corpus_pipeline, "STAGES", [step(0), step(2), step(3)])
     assert sorted(r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 4]
+
+
+def test_run_deletes_what_finished_stages_stored(spark, tmp_path, monkeypatch):
+    save(spark.range(5).withColumnRenamed("id", "doc_id"), tmp_path, "documents")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/scratch")
+    step = lambda n: (f"s{n}", lambda spark, docs, sf_dir: common.stored(docs.where(f"doc_id <> {n}"), f"own{n}"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [step(0), step(2), step(3)])
+    left = lambda: sorted(p.name.split("-")[0] for p in (tmp_path / "scratch" / "signalmill").iterdir())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2 and left() == ["own3", "s2"]
+
+    def broken(spark, docs, sf_dir):
+        common.stored(docs, "half")
+        raise ValueError
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("bad", broken), step(3)])
+    with pytest.raises(ValueError):
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert left() == ["own3", "s2"]
