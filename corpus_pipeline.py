@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm import decontam, mixing, sigtree, suffix, toxicity
-from signalmill.llm.common import boxed, stored, table
+from signalmill.llm.common import boxed, cleared, release, stored, table
 
 #: Words of a passage that is cut where it stands again (all of over fifty words), and of its anchors.
 PASSAGE, PASSAGE_ANCHOR = 51, 34
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn. What a stage stored for itself, and its input, are deleted once its result is written; the last one's stay for the reader."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with cleared() as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            del made[docs._stored_at]
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
