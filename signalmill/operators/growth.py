@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +16,28 @@ def _ago(as_of: datetime.date) -> Column:
     return F.datediff(F.lit(as_of), F.col("bucket_date"))
 
 
-def deltas(buckets: DataFrame, as_of: datetime.date, least_days: int = 30) -> DataFrame:
-    """Month and year over year per entity in one pass over the four windows."""
+def in_windows(buckets: DataFrame, as_of: datetime.date, *spans: tuple[int, int]) -> DataFrame:
+    """The rows from some spans of days ago, ends included. The filter is on days, so that of a table laid out by day other folders are not read."""
+    day = lambda n: F.lit(as_of - datetime.timedelta(days=n))
+    return buckets.where(reduce(or_, [F.col("bucket_date").between(day(last), day(first)) for first, last in spans]))
+
+
+def deltas(buckets: DataFrame, as_of: datetime.date, least_days: int = 30, entities: DataFrame | None = None) -> DataFrame:
+    """Month and year over year per entity in one pass over the four windows.
+
+    With `entities` (a row per entity) only the days of the windows are read, and an entity
+    without one of them has zeros; without, all days are read for the entities they name.
+    """
     ago = _ago(as_of)
+    if entities is not None:
+        buckets = in_windows(buckets, as_of, (0, 89), (365, 454))
     total = lambda a, b: F.coalesce(F.sum(F.when(ago.between(a, b), F.col("mentions"))), F.lit(0))
     d = buckets.groupBy("entity").agg(
         total(0, 29).alias("month"), total(30, 59).alias("prior_month"), total(0, 89).alias("quarter"), total(365, 454).alias("prior_year"),
         F.count_distinct(F.when(ago.between(0, 59), F.col("bucket_date"))).alias("covered_days"),
     )
+    if entities is not None:
+        d = entities.select("entity").join(d, "entity", "left").fillna(0, ["month", "prior_month", "quarter", "prior_year", "covered_days"])
     mom = F.when((F.col("prior_month") > 0) & (F.col("covered_days") >= least_days), (F.col("month") - F.col("prior_month")) / F.col("prior_month"))
     yoy = F.when(F.col("prior_year") > 0, (F.col("quarter") - F.col("prior_year")) / F.col("prior_year"))
     return d.select("*", mom.alias("delta_mom"), yoy.alias("delta_yoy"))

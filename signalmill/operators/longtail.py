@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from signalmill.functions.text import well_formed
+from signalmill.operators.growth import in_windows
 
 
-def uplift_windows(buckets: DataFrame, as_of: datetime.date) -> DataFrame:
-    """Mentions in the last 30 days, the 30 before, and the same days a year back."""
+def uplift_windows(buckets: DataFrame, as_of: datetime.date, entities: DataFrame | None = None) -> DataFrame:
+    """Mentions in the last 30 days, the 30 before, and the same days a year back.
+
+    With `entities` (a row per tenant and entity) only the days of the windows are read, and
+    an entity without one of them has zeros; without, all days are read for the entities they name.
+    """
     ago = F.datediff(F.lit(as_of), F.col("bucket_date"))
     total = lambda a, b: F.coalesce(F.sum(F.when(ago.between(a, b), F.col("mentions"))), F.lit(0))
-    return buckets.groupBy("tenant", "entity").agg(total(0, 29).alias("current"), total(30, 59).alias("prior"), total(365, 394).alias("yoy"))
+    if entities is not None:
+        buckets = in_windows(buckets, as_of, (0, 59), (365, 394))
+    w = buckets.groupBy("tenant", "entity").agg(total(0, 29).alias("current"), total(30, 59).alias("prior"), total(365, 394).alias("yoy"))
+    if entities is None:
+        return w
+    return entities.select("tenant", "entity").join(w, ["tenant", "entity"], "left").fillna(0, ["current", "prior", "yoy"])
 
 
 def volume_ceiling(df: DataFrame, pct: float = 50, floor: int = 5) -> DataFrame:

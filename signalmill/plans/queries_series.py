@@ -12,9 +12,12 @@ from signalmill.operators import gate as G
 from signalmill.operators import growth as W
 from signalmill.operators import longtail as LT
 from signalmill.operators import pairs as P
-from signalmill.plans.catalog import ENTITIES, INTEREST, VOCAB, buckets, core_vocab, entities, interest, links, query, rounded
+from signalmill.plans.catalog import ENTITIES, INTEREST, SQL, VOCAB, buckets, core_vocab, entities, interest, links, query, rounded
 from signalmill.plans.lifecycle_sql import metrics_sql, weeks_sql
+from signalmill.sources import daystore as S
 from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, EVENT_LINKS_SQL, event_links, links_sql, table, with_links
+from signalmill.sources.scratch import scratch_path
+from signalmill.sources.versions import TableSet
 
 X = "DATE '2001-08-01'"
 
@@ -43,6 +46,19 @@ def e2(spark, d):
     return rounded(W.deltas(buckets(spark, d, "p_name"), AS_OF), "delta_mom", "delta_yoy")
 
 
+def day_store(spark, d):
+    """Buckets of part names laid out by day, and the names."""
+    tables = TableSet(spark, scratch_path(spark, "days"))
+    S.store_days(tables.change(), buckets(spark, d, "p_name").select("tenant", "entity", "bucket_date", "mentions")).commit()
+    return tables.read(S.DAYS), tables.read(S.KEYS)
+
+
+@query("e2_deltas_day_store", SQL["e2_deltas"])
+def e2_stored(spark, d):
+    days, names = day_store(spark, d)
+    return rounded(W.deltas(days, AS_OF, entities=names), "delta_mom", "delta_yoy")
+
+
 _VOLUMES = f"""volumes AS (SELECT entity, geography, coalesce(sum(mentions) FILTER ({X} - bucket_date <= 7), 0) AS volume_7d, coalesce(sum(mentions) FILTER ({X} - bucket_date <= 30), 0) AS volume_30d,
 coalesce(sum(mentions) FILTER ({X} - bucket_date <= 90), 0) AS volume_90d FROM buckets WHERE {X} - bucket_date BETWEEN 0 AND 90 GROUP BY ALL)"""
 
@@ -244,6 +260,12 @@ def e17(spark, d):
     return windows(spark, d)
 
 
+@query("e17_uplift_day_store", SQL["e17_uplift_windows"])
+def e17_stored(spark, d):
+    days, names = day_store(spark, d)
+    return LT.uplift_windows(days, AS_OF, names)
+
+
 @query("e18_volume_ceiling", f"{with_links('p_name')}, {_WINDOWS}, {_CEIL} SELECT 1 AS tenant, ceiling FROM ceil")
 def e18(spark, d):
     return LT.volume_ceiling(windows(spark, d))

@@ -346,3 +346,37 @@ def test_authors_meet_before_a_bucket_is_counted(spark):
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
     assert len(dealt) == 2  # the last exchange is printed first
     assert "author" not in dealt[0] and "author" in dealt[1]
+
+
+def test_windows_of_a_day_store_read_their_days_only(spark, tmp_path):
+    import datetime
+
+    from signalmill.operators.growth import deltas
+    from signalmill.operators.longtail import uplift_windows
+    from signalmill.sources import daystore
+    from signalmill.sources.versions import TableSet
+
+    as_of = datetime.date(2024, 5, 31)
+    day = lambda n: as_of - datetime.timedelta(days=n)
+    kind = "tenant int, entity string, bucket_date date, mentions long"
+    rows = [(1, f"e{n % 7}", day(n), 1 + n % 5) for n in range(-3, 500)] + [(1, "silent", day(200), 9), (1, "old", day(454), 2), (2, "silent2", day(600), 1)]
+    tables = TableSet(spark, f"{tmp_path}/set")
+    all_days = spark.createDataFrame(rows, kind)
+    daystore.store_days(tables.change(), all_days, slices=2).commit()
+    days, names = tables.read("days"), tables.read("entities")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+    assert same(deltas(days, as_of, entities=names), deltas(all_days, as_of))
+    assert same(uplift_windows(days, as_of, names), uplift_windows(all_days, as_of))
+    for got in (deltas(days, as_of, entities=names), uplift_windows(days, as_of, names)):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert any("bucket_date" in p.split("]")[0] and " OR " in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
+    # Another content of one day, a day that loses its rows, and a new entity; files of other days stay.
+    change = tables.change()
+    kept = {tuple(p) for p in tables.manifest()["days"]["parts"] if p[0] not in (str(day(0)), str(day(1)))}
+    daystore.renew_days(change, spark.createDataFrame([(1, "new", day(0), 50)], kind), [day(0), day(1)]).commit()
+    now = spark.createDataFrame([r for r in rows if r[2] not in (day(0), day(1))] + [(1, "new", day(0), 50)], kind)
+    assert same(uplift_windows(tables.read("days"), as_of, tables.read("entities")), uplift_windows(now, as_of))
+    assert {tuple(p) for p in tables.manifest()["days"]["parts"]} - kept == {tuple(p) for p in tables.manifest()["days"]["parts"] if p[0] == str(day(0))}
+    daystore.store_days(tables.change(), all_days.where("false")).commit()
+    assert deltas(tables.read("days"), as_of, entities=tables.read("entities")).count() == 0
