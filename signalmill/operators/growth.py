@@ -17,9 +17,11 @@ def _ago(as_of: datetime.date) -> Column:
 
 
 def in_windows(buckets: DataFrame, as_of: datetime.date, *spans: tuple[int, int]) -> DataFrame:
-    """The rows from some spans of days ago, ends included. The filter is on days, so that of a table laid out by day other folders are not read."""
-    day = lambda n: F.lit(as_of - datetime.timedelta(days=n))
-    return buckets.where(reduce(or_, [F.col("bucket_date").between(day(last), day(first)) for first, last in spans]))
+    """The rows from some spans of days ago, ends included. Of a table laid out by bucket_month or by bucket_date only the folders of the spans are read."""
+    ends = [(as_of - datetime.timedelta(days=last), as_of - datetime.timedelta(days=first)) for first, last in spans]
+    if "bucket_month" in buckets.columns:
+        buckets = buckets.where(reduce(or_, [F.col("bucket_month").between(F.lit(a.replace(day=1)), F.lit(b)) for a, b in ends]))
+    return buckets.where(reduce(or_, [F.col("bucket_date").between(F.lit(a), F.lit(b)) for a, b in ends]))
 
 
 def deltas(buckets: DataFrame, as_of: datetime.date, least_days: int = 30, entities: DataFrame | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def e2(spark, d):
 
 
 def day_store(spark, d):
-    """Buckets of part names laid out by day, and the names."""
+    """Buckets of part names laid out by month, and the names."""
     tables = TableSet(spark, scratch_path(spark, "days"))
     S.store_days(tables.change(), buckets(spark, d, "p_name").select("tenant", "entity", "bucket_date", "mentions")).commit()
     return tables.read(S.DAYS), tables.read(S.KEYS)

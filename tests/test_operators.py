@@ -348,7 +348,7 @@ def test_authors_meet_before_a_bucket_is_counted(spark):
     assert "author" not in dealt[0] and "author" in dealt[1]
 
 
-def test_windows_of_a_day_store_read_their_days_only(spark, tmp_path):
+def test_windows_of_a_day_store_read_their_months_only(spark, tmp_path):
     import datetime
 
     from signalmill.operators.growth import deltas
@@ -370,13 +370,13 @@ def test_windows_of_a_day_store_read_their_days_only(spark, tmp_path):
     for got in (deltas(days, as_of, entities=names), uplift_windows(days, as_of, names)):
         got.collect()
         plan = got._jdf.queryExecution().executedPlan().toString()
-        assert any("bucket_date" in p.split("]")[0] and " OR " in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
-    # Another content of one day, a day that loses its rows, and a new entity; files of other days stay.
-    change = tables.change()
-    kept = {tuple(p) for p in tables.manifest()["days"]["parts"] if p[0] not in (str(day(0)), str(day(1)))}
-    daystore.renew_days(change, spark.createDataFrame([(1, "new", day(0), 50)], kind), [day(0), day(1)]).commit()
-    now = spark.createDataFrame([r for r in rows if r[2] not in (day(0), day(1))] + [(1, "new", day(0), 50)], kind)
+        assert any("bucket_month" in p.split("]")[0] and " OR " in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
+    # Other contents of two months, one of which loses its rows, and a new entity; files of other months stay.
+    months = [datetime.date(2024, 5, 1), datetime.date(2024, 4, 1)]
+    kept = {tuple(p) for p in tables.manifest()["days"]["parts"] if p[0] not in map(str, months)}
+    daystore.renew_months(tables.change(), spark.createDataFrame([(1, "new", day(0), 50)], kind), months).commit()
+    now = spark.createDataFrame([r for r in rows if r[2].replace(day=1) not in months] + [(1, "new", day(0), 50)], kind)
     assert same(uplift_windows(tables.read("days"), as_of, tables.read("entities")), uplift_windows(now, as_of))
-    assert {tuple(p) for p in tables.manifest()["days"]["parts"]} - kept == {tuple(p) for p in tables.manifest()["days"]["parts"] if p[0] == str(day(0))}
+    assert {p[0] for p in tables.manifest()["days"]["parts"] if tuple(p) not in kept} == {"2024-05-01"}
     daystore.store_days(tables.change(), all_days.where("false")).commit()
     assert deltas(tables.read("days"), as_of, entities=tables.read("entities")).count() == 0
