@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,25 +200,49 @@ def tag_attributes(signals: DataFrame, pairs: DataFrame, vocab: DataFrame) -> Da
     return found.unionByName(bare.withColumn("attribute", F.lit(None).cast("string")))
 
 
-def _trigrams() -> Column:
-    """Trigrams of `text` in lower case; the text is bound once, not lowered again for every trigram."""
-    return F.expr("transform(array(lower(text)), t -> transform(sequence(1, length(t) - 2), i -> substring(t, i, 3)))[0]")
+def gram_counts(df: DataFrame, key: str, slice_rows: int = 200) -> DataFrame:
+    """(key, gram, c): trigrams of `text` in lower case, counted per key within slices of a batch; a key may have several rows of a gram.
+
+    Three code points of 21 bits are one integer, so a text's windows are cut and counted at
+    once. A column function would search each substring from the start of the text.
+    """
+
+    def counted(key_values: pa.Array, texts: list) -> pa.RecordBatch:
+        windows: dict = {}
+        for i, (k, t) in enumerate(zip(key_values.to_pylist(), texts)):
+            a = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            windows.setdefault(k, (i, []))[1].append(a[:-2] << 42 | a[1:-1] << 21 | a[2:])
+        found = [(i, *np.unique(np.concatenate(w), return_counts=True)) for i, w in windows.values()]
+        v = np.concatenate([v for _, v, _ in found])
+        s = (np.stack([v >> 42, v >> 21, v], axis=1) & 0x1FFFFF).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        keys = key_values.take(pa.array(np.repeat([i for i, _, _ in found], [len(v) for _, v, _ in found])))
+        return pa.RecordBatch.from_arrays([keys, pa.array([s[i : i + 3] for i in range(0, len(s), 3)], pa.string()), pa.array(np.concatenate([c for _, _, c in found]), pa.int64())], [key, "gram", "c"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, slice_rows):
+                part = b.slice(at, slice_rows)
+                yield counted(part.column(0), part.column(1).to_pylist())
+
+    text = df.where(F.length("text") >= 20).select(key, F.lower("text").alias("text")).where(F.length("text") > 2)
+    return text.mapInArrow(each, f"`{key}` {df.schema[key].dataType.simpleString()}, gram string, c long")
 
 
 def detect_language(df: DataFrame, profiles: DataFrame) -> DataFrame:
     """(signal_id, language) by the profile that shares most trigram weight with the text, ties to the lowest code.
 
     df (signal_id, text), profiles (language, gram, weight). Trigrams are counted per text
-    before they meet the profiles.
+    before they meet the profiles, which are written first, so that Spark knows their size.
     """
-    g = df.where(F.length("text") >= 20).select("signal_id", F.explode(_trigrams()).alias("gram")).groupBy("signal_id", "gram").agg(F.count("*").alias("c"))
-    s = g.join(profiles, "gram").groupBy("signal_id", "language").agg(F.sum(F.col("c") * F.col("weight")).alias("s"))
+    path = scratch_path(df.sparkSession, "profiles")
+    profiles.write.parquet(path)
+    s = gram_counts(df, "signal_id").join(df.sparkSession.read.parquet(path), "gram").groupBy("signal_id", "language").agg(F.sum(F.col("c") * F.col("weight")).alias("s"))
     return s.groupBy("signal_id").agg(F.min_by("language", F.struct(-F.round("s", 6), F.col("language"))).alias("language"))
 
 
 def language_profiles(df: DataFrame, most: int = 300) -> DataFrame:
     """Trigram profiles (language, gram, weight) of labelled texts: the most frequent grams with their shares."""
-    g = df.where(F.length("text") >= 20).select("language", F.explode(_trigrams()).alias("gram")).groupBy("language", "gram").agg(F.count("*").alias("c"))
+    g = gram_counts(df, "language").groupBy("language", "gram").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("language")
     g = g.withColumn("weight", F.col("c") / F.sum("c").over(w)).withColumn("n", F.row_number().over(w.orderBy(F.desc("c"), "gram")))
     return g.where(F.col("n") <= most).select("language", "gram", "weight")
