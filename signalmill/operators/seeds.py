@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import LANGUAGE_ALIASES, hashtag_variants, normalize_term, search_key, singularize
@@ -106,12 +106,34 @@ def recover_topics(items: DataFrame, payloads: DataFrame, snapshot: DataFrame) -
     return j.select("item_id", "title", F.coalesce("from_payload", "from_snapshot").alias("topic"))
 
 
+def _term_sets(df: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, ts): each key's distinct terms as one sorted array."""
+    t = df.select(key, F.explode(F.transform(terms, lambda x: F.lower(F.trim(x)))).alias("t")).where("t is not null")
+    return t.groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("ts"))
+
+
+def _term_pairs() -> Column:
+    rest = lambda x, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return F.inline(F.flatten(F.transform("ts", rest)))
+
+
 def attribute_runs(runs: DataFrame, queries: DataFrame) -> DataFrame:
-    """The query that shares most terms with a run's input, the lowest on ties; none without overlap."""
-    r = runs.select("run_id", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(F.trim(x))))).alias("t"))
-    q = queries.select("query_id", F.explode(F.array_distinct(F.transform("keywords", lambda x: F.lower(F.trim(x))))).alias("t"))
-    n = r.join(q, "t").groupBy("run_id", "query_id").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.min_by("query_id", F.struct(-F.col("n"), F.col("query_id"))).alias("query_id"))
-    return runs.select("run_id").join(n, "run_id", "left")
+    """The query that shares most terms with a run's input, the lowest on ties; none without overlap.
+
+    Runs of one set of terms have one answer, and of queries of one set the lowest can win, so
+    only distinct sets meet. They meet by pairs of terms, n (n - 1) / 2 of which are shared where
+    n terms are; where no pair is, the lowest query of any one term wins, so a term that all
+    sets have costs no more than others.
+    """
+    r = _term_sets(runs, "run_id", "terms")
+    q = _term_sets(queries, "query_id", "keywords").groupBy("ts").agg(F.min("query_id").alias("query_id"))
+    sets = r.select("ts").distinct()
+    lowest = q.select("query_id", F.explode("ts").alias("t")).groupBy("t").agg(F.min("query_id").alias("query_id"))
+    one = sets.select("ts", F.explode("ts").alias("t")).join(lowest, "t").groupBy("ts").agg(F.min("query_id").alias("one"))
+    shared = sets.select("ts", _term_pairs()).join(q.select("query_id", _term_pairs()), ["a", "b"]).groupBy("ts", "query_id").agg(F.count("*").alias("n"))
+    more = shared.groupBy("ts").agg(F.min_by("query_id", F.struct(-F.col("n"), F.col("query_id"))).alias("more"))
+    n = one.join(more, "ts", "left").select("ts", F.coalesce("more", "one").alias("query_id"))
+    return runs.select("run_id").join(r.join(n, "ts").select("run_id", "query_id"), "run_id", "left")
 
 
 def seed_yield(queries: DataFrame, runs: DataFrame, signals: DataFrame, links: DataFrame) -> DataFrame:
