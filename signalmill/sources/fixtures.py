@@ -15,11 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a join's larger side that one task sorts, and rows of a side that Spark may still broadcast.
+TASK_ROWS, SMALL_SIDE = 250_000, 2_000_000
+
+
+def dealt(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df dealt by key into tasks of some TASK_ROWS of its `rows` rows; as it is where Spark's own number of shuffle partitions does that."""
+    n = rows // TASK_ROWS + 1
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def signal_links(spark: SparkSession, sf_dir: str, entity: str = "p_brand") -> DataFrame:
-    """One row per signal-entity link: order lines as links, orders as signals, brands or part names as entities."""
+    """One row per signal-entity link: order lines as links, orders as signals, brands or part names as entities.
+
+    The number of tasks goes with the rows, which a count reads from the files' footers, so
+    that what a task sorts does not grow with the tables. Customers meet orders before lines do.
+    """
     line, orders, part, cust, nation = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer", "nation"))
-    j = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
-    j = j.join(cust, j.o_custkey == cust.c_custkey).join(nation, cust.c_nationkey == nation.n_nationkey)
+    lines, signals = line.count(), orders.count()
+    if cust.count() > SMALL_SIDE:
+        orders = dealt(orders, signals, "o_custkey")
+    o = orders.join(cust, orders.o_custkey == cust.c_custkey).join(nation, cust.c_nationkey == nation.n_nationkey)
+    if part.count() > SMALL_SIDE:
+        line = dealt(line, lines, "l_partkey")
+    j = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    j = dealt(j, lines, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.lit(1).alias("tenant"),
         F.col("o_orderkey").alias("signal_id"),
