@@ -20,18 +20,29 @@ def entity_signals(signals: DataFrame, links: DataFrame, entities: DataFrame) ->
     return signals.join(links, "signal_id").join(live_entities(entities).select("entity"), "entity")
 
 
-def day_buckets(links: DataFrame, distinct_signals: bool = False, by: tuple = ()) -> DataFrame:
-    """Per entity, platform, geography and day: mentions, authors, sum and median of positive engagement, first flag. `by` names keys beside these."""
+def day_buckets(links: DataFrame, distinct_signals: bool = False, by: tuple = (), tasks: int | None = None) -> DataFrame:
+    """Per entity, platform, geography and day: mentions, authors, sum and median of positive engagement, first flag. `by` names keys beside these.
+
+    Authors are counted by a mark on the first link of each in a bucket, so that no histogram
+    is kept by author. `tasks` is the number of tasks that links are dealt into by bucket and
+    author; None leaves it to Spark.
+    """
+    keys = [*by, *KEY]
+    rows = links.withColumn("bucket_date", F.col("posted_on"))
+    if tasks:
+        rows = rows.repartition(tasks, *keys, "author")
+    first = F.row_number().over(Window.partitionBy(*keys, "author").orderBy(F.lit(0))) == 1
+    rows = rows.withColumn("_new", first & (F.col("author") != ""))
     positive = F.when(F.col("engagement") > 0, F.col("engagement"))
     aggs = [
         (F.countDistinct("signal_id") if distinct_signals else F.count("*")).alias("mentions"),
-        F.countDistinct(F.when(F.col("author") != "", F.col("author"))).alias("unique_authors"),
+        F.count_if("_new").alias("unique_authors"),
         F.coalesce(F.sum(positive), F.lit(0.0)).alias("engagement_sum"),
         F.coalesce(F.percentile(positive, F.lit(0.5)), F.lit(0.0)).alias("engagement_median"),
     ]
     if "backfill_derived" in links.columns:
         aggs.append(F.min_by("backfill_derived", "signal_id").alias("backfill_derived"))
-    return links.withColumn("bucket_date", F.col("posted_on")).groupBy(*by, *KEY).agg(*aggs)
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def bucket_parts(links: DataFrame) -> DataFrame:

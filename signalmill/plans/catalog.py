@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.operators.buckets import day_buckets
-from signalmill.sources.fixtures import signal_links, table
+from signalmill.sources.fixtures import link_tasks, signal_links, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,8 +36,9 @@ def links(spark, d, entity="p_brand"):
     return signal_links(spark, d, entity)
 
 
-def buckets(spark, d, entity="p_brand"):
-    return day_buckets(links(spark, d, entity)).withColumn("tenant", F.lit(1))
+def buckets(spark, d, entity="p_brand", authors=False):
+    """Day buckets of all links; with `authors`, for readers of unique_authors, links are dealt into tasks by their rows."""
+    return day_buckets(links(spark, d, entity), tasks=link_tasks(spark, d) if authors else None).withColumn("tenant", F.lit(1))
 
 
 def entities(spark, d):

@@ -388,7 +388,7 @@ def a4(spark, d):
 
 @query("a5_upsert_buckets", f"{with_links()} SELECT entity, platform, geography, bucket_date, CASE WHEN bucket_date >= DATE '2000-01-01' THEN mentions + 100 ELSE mentions END AS mentions, unique_authors FROM buckets WHERE bucket_date < DATE '2000-06-01' OR bucket_date >= DATE '2000-01-01'")
 def a5(spark, d):
-    b = buckets(spark, d).select("entity", "platform", "geography", "bucket_date", "mentions", "unique_authors")
+    b = buckets(spark, d, authors=True).select("entity", "platform", "geography", "bucket_date", "mentions", "unique_authors")
     return K.upsert_buckets(b.where("bucket_date < '2000-06-01'"), b.where("bucket_date >= '2000-01-01'").withColumn("mentions", F.col("mentions") + 100))
 
 

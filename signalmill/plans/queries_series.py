@@ -15,7 +15,7 @@ from signalmill.operators import pairs as P
 from signalmill.plans.catalog import ENTITIES, INTEREST, SQL, VOCAB, buckets, core_vocab, entities, interest, links, query, rounded
 from signalmill.plans.lifecycle_sql import metrics_sql, weeks_sql
 from signalmill.sources import daystore as S
-from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, EVENT_LINKS_SQL, event_links, links_sql, table, with_links
+from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, EVENT_LINKS_SQL, event_links, link_tasks, links_sql, table, with_links
 from signalmill.sources.scratch import scratch_path
 from signalmill.sources.versions import TableSet
 
@@ -35,7 +35,7 @@ def d1(spark, d):
 
 @query("e1_day_buckets", f"{with_links()} SELECT entity, platform, geography, bucket_date, mentions, unique_authors, round(engagement_sum, 4) AS engagement_sum, round(engagement_median, 4) AS engagement_median FROM buckets")
 def e1(spark, d):
-    return rounded(B.day_buckets(links(spark, d)), "engagement_sum", "engagement_median", n=4)
+    return rounded(B.day_buckets(links(spark, d), tasks=link_tasks(spark, d)), "engagement_sum", "engagement_median", n=4)
 
 
 @query("e2_deltas", f"""{with_links("p_name")}, t AS (SELECT entity, coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 0 AND 29), 0) AS month, coalesce(sum(mentions) FILTER ({X} - bucket_date BETWEEN 30 AND 59), 0) AS prior_month,
@@ -113,7 +113,7 @@ breadth AS (SELECT entity, coalesce(sum(CASE WHEN a > 0 THEN -(a / t) * log2(a /
 
 @query("e9_source_breadth", f"{with_links()}, {_BREADTH} SELECT entity, round(entropy_bits, 6) AS entropy_bits, total_authors, round(entropy_bits, 9) >= 2.32 AND total_authors >= 10 AS breadth_pass FROM breadth")
 def e9(spark, d):
-    return rounded(G.source_breadth(buckets(spark, d), 2.32), "entropy_bits")
+    return rounded(G.source_breadth(buckets(spark, d, authors=True), 2.32), "entropy_bits")
 
 
 _SERIES = """dt AS (SELECT entity, bucket_date, sum(mentions) AS m FROM buckets GROUP BY ALL), sp AS (SELECT entity, max(bucket_date) AS l, min(bucket_date) AS f FROM dt GROUP BY entity),
@@ -171,17 +171,17 @@ SELECT h.entity, round(surge, 6) AS surge, round(p_value, 6) AS p_value, signifi
 
 @query("e13_gate", _gate_sql("p_name", _COUNTED))
 def e13(spark, d):
-    return rounded(G.gate(buckets(spark, d, "p_name")), "surge", "p_value", "entropy_bits")
+    return rounded(G.gate(buckets(spark, d, "p_name", authors=True)), "surge", "p_value", "entropy_bits")
 
 
 @query("e13_gate_hashed", _gate_sql("p_name", _HASHED))
 def e13h(spark, d):
-    return rounded(G.gate(buckets(spark, d, "p_name"), 20, test=G.permutation_test_sql), "surge", "p_value", "entropy_bits")
+    return rounded(G.gate(buckets(spark, d, "p_name", authors=True), 20, test=G.permutation_test_sql), "surge", "p_value", "entropy_bits")
 
 
 @query("e13_gate_breadth_only", f"{with_links()}, {_BREADTH} SELECT entity, CASE WHEN round(entropy_bits, 9) >= 2.32 AND total_authors >= 10 THEN 'pass' ELSE 'hold' END AS decision FROM breadth")
 def e13b(spark, d):
-    b = G.source_breadth(buckets(spark, d), 2.32).withColumn("significance_pass", F.lit(False))
+    b = G.source_breadth(buckets(spark, d, authors=True), 2.32).withColumn("significance_pass", F.lit(False))
     return G.gate_verdict(b, require_significance=False).select("entity", "decision")
 
 

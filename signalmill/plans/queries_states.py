@@ -61,7 +61,7 @@ def h2(spark, d):
 
 
 def gated(spark, d):
-    v = G.gate_verdict(G.source_breadth(buckets(spark, d), 2.32).withColumn("significance_pass", F.lit(True))).select("entity", "decision")
+    v = G.gate_verdict(G.source_breadth(buckets(spark, d, authors=True), 2.32).withColumn("significance_pass", F.lit(True))).select("entity", "decision")
     keep = table(spark, d, "part").groupBy(F.col("p_brand").alias("entity")).agg((F.max("p_size") % 2 == 0).alias("keep"))
     return H.apply_gate(states(spark, d), v, keep)
 

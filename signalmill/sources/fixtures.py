@@ -19,10 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS, SMALL_SIDE = 250_000, 2_000_000
 
 
-def dealt(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """df dealt by key into tasks of some TASK_ROWS of its `rows` rows; as it is where Spark's own number of shuffle partitions does that."""
+def tasks_of(spark: SparkSession, rows: int) -> int | None:
+    """How many tasks of some TASK_ROWS rows; None where Spark's own number of shuffle partitions does that."""
     n = rows // TASK_ROWS + 1
-    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df dealt by key into tasks of some TASK_ROWS of its `rows` rows."""
+    n = tasks_of(df.sparkSession, rows)
+    return df.repartition(n, key) if n else df
+
+
+def link_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """tasks_of() the rows of signal_links()."""
+    return tasks_of(spark, table(spark, sf_dir, "lineitem").count())
 
 
 def signal_links(spark: SparkSession, sf_dir: str, entity: str = "p_brand") -> DataFrame:
