@@ -76,6 +76,11 @@ def platforms_seen(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("entity", "geography").agg(F.array_sort(F.collect_set("platform")).alias("platforms"))
 
 
+def platform_days(buckets: DataFrame) -> DataFrame:
+    """Buckets added up over geographies, for readers of sums: a row per tenant, entity, platform and day, whatever the number of links."""
+    return buckets.groupBy("tenant", "entity", "platform", "bucket_date").agg(F.sum("mentions").alias("mentions"), F.sum(F.greatest("unique_authors", F.lit(0))).alias("unique_authors"))
+
+
 def daily_totals(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("entity", "bucket_date").agg(F.sum("mentions").alias("mentions"))
 

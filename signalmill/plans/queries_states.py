@@ -270,8 +270,19 @@ def f10(spark, d):
     return Y.avg_rank(o, "value", ["s"]).select("id", F.round("rank", 6).alias("rank"))
 
 
+def study_days(spark, d, authors=False):
+    """The days of part names that studies read several times, as a table written once, so that links are joined and counted once."""
+    days = B.platform_days(buckets(spark, d, "p_name", authors=authors))
+    days = days if authors else days.drop("unique_authors")
+    return spark.read.schema(days.schema).parquet(_staged(days, "days"))
+
+
+def flagged(days):
+    return Y.holdout(days).withColumn("flag", F.col("pre") % 2 == 0)
+
+
 def holdout(spark, d):
-    return Y.holdout(buckets(spark, d, "p_name")).withColumn("flag", F.col("pre") % 2 == 0)
+    return flagged(study_days(spark, d))
 
 
 @query("k1_holdout", f"{with_links('p_name')}, {_HOLD} SELECT entity, pre, post, round(ratio, 6) AS ratio, survived FROM ho")
@@ -314,13 +325,14 @@ md AS (SELECT predictor, median(x) AS mid FROM lg WHERE x IS NOT NULL GROUP BY p
 ra AS (SELECT predictor, avg(CASE WHEN grp = 0 THEN 1 ELSE 0 END) AS pass_rate FROM v GROUP BY predictor), {mw_sql('v', 'predictor')}
 SELECT mw.predictor, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, round(pass_rate, 6) AS pass_rate FROM mw JOIN ra ON mw.predictor = ra.predictor""")
 def k5(spark, d):
-    return rounded(Y.predictor_study(buckets(spark, d, "p_name")), "u", "z", "p", "pass_rate")
+    return rounded(Y.predictor_study(study_days(spark, d)), "u", "z", "p", "pass_rate")
 
 
 def cases(spark, d):
-    past = Y.before_cut(buckets(spark, d, "p_name"))
+    days = study_days(spark, d, authors=True)
+    past = Y.before_cut(days)
     t = G.permutation_test_sql(B.daily_series(past), 20)
-    return holdout(spark, d).join(t, "entity").join(G.source_breadth(past), "entity")
+    return flagged(days).join(t, "entity").join(G.source_breadth(past), "entity")
 
 
 _SWEEP = ", ".join(f"('{n}', {b}, {a}, {p}, {str(s).lower()}, {str(r).lower()})" for n, b, a, p, s, r in Y.VARIANTS)
