@@ -22,7 +22,7 @@ from signalmill.plans.queries_series import _BREADTH, _HASHED, _SERIES, _VOLUMES
 from signalmill.plans.queries_text import _SINGULAR
 from signalmill.sources import items as A
 from signalmill.sources import sinks as K
-from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, event_links, links_sql, table, with_links
+from signalmill.sources.fixtures import AS_OF, BUCKETS_SQL, event_links, links_sql, table, tasks_of, with_links
 from signalmill.sources.scratch import scratch_path as _shared
 from signalmill.sources.versions import TableSet
 from signalmill.streaming import jobs
@@ -714,16 +714,18 @@ def run_links(spark, d):
 
 
 def refreshed(spark, d):
-    """Tables after a stream of runs in two halves, each a batch of its own, from the states of a month before."""
-    every, r = run_links(spark, d), runs(spark, d).select("tenant", "run_id", "status")
+    """Tables after a stream of runs in two halves, each a batch of its own, from the states of a month before. Links land once, as a table that every step reads."""
+    made = run_links(spark, d).select("tenant", "run_id", "signal_id", "entity", "platform", "geography", "posted_on", "author", "engagement")
+    every, r = spark.read.schema(made.schema).parquet(_staged(made, "landed")), runs(spark, d).select("tenant", "run_id", "status")
     was = B.day_buckets(every.where("posted_on <= '2001-07-01'"), by=("tenant",))
     none = was.where("false").select("entity", "geography", F.lit("").alias("state"), F.col("bucket_date").alias("entered_on"))
     before = H.run_states(was, none, datetime.date(2001, 7, 1)).select(F.substring_index("entity", "|", 1).cast("int").alias("tenant"), "entity", "geography", "state", "entered_on")
     tables, src, ck = TableSet(spark, _shared(spark, "refreshed")), _shared(spark, "runs"), _shared(spark, "ck")
     tables.change().replace("prior", before, "tenant").commit()
+    tasks = tasks_of(spark, every.count())
     for half in ("run_id % 2 = 0", "run_id % 2 = 1"):
         r.where(half).coalesce(1).write.mode("append").parquet(src)
-        jobs.stream_refresh(jobs.read_stream(spark, src, r.schema), lambda s: every, tables, AS_OF, ck).awaitTermination()
+        jobs.stream_refresh(jobs.read_stream(spark, src, r.schema), lambda s: every, tables, AS_OF, ck, tasks).awaitTermination()
     return tables
 
 

@@ -199,7 +199,7 @@ def stream_states(daily: DataFrame, delay: str = "1 day") -> DataFrame:
     return good.withWatermark("_at", delay).groupBy("entity").applyInPandasWithState(each, STATE_OUT, kind, "append", "EventTimeTimeout")
 
 
-def stream_refresh(runs: DataFrame, links: Callable[[SparkSession], DataFrame], tables: TableSet, as_of: datetime.date, checkpoint: str) -> StreamingQuery:
+def stream_refresh(runs: DataFrame, links: Callable[[SparkSession], DataFrame], tables: TableSet, as_of: datetime.date, checkpoint: str, tasks: int | None = None) -> StreamingQuery:
     """What fresh succeeded runs touch, carried from signals to buckets, states and trends; the rest stays as it is.
 
     runs (tenant, run_id, status); links gives all landed links with tenant and run_id, and
@@ -207,7 +207,7 @@ def stream_refresh(runs: DataFrame, links: Callable[[SparkSession], DataFrame],
     evening before. Touched buckets (entity and day) are counted again from their links, touched
     entities get states and share-of-voice anew, and the tables of other tenants keep their
     files. Entities belong to one tenant. All of a batch changes in one step, and, as states
-    start from `prior`, refreshing an entity twice gives what one refresh gives.
+    start from `prior`, refreshing an entity twice gives what one refresh gives. `tasks` is that of day_buckets.
     """
 
     def take(batch: DataFrame, change: Change) -> None:
@@ -222,7 +222,7 @@ def stream_refresh(runs: DataFrame, links: Callable[[SparkSession], DataFrame],
         touched = spark.read.parquet(path)
         names = touched.select("tenant", "entity").distinct()
         keys = touched.withColumnRenamed("bucket_date", "posted_on")
-        again = day_buckets(every.join(keys, ["tenant", "entity", "posted_on"], "left_semi"), by=("tenant",))
+        again = day_buckets(every.join(keys, ["tenant", "entity", "posted_on"], "left_semi"), by=("tenant",), tasks=tasks)
 
         def put(name: str, new: DataFrame, same: list[str], gone: DataFrame) -> None:
             if name not in change.new:
