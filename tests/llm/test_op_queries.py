@@ -500,3 +500,13 @@ def test_run_deletes_what_finished_stages_stored(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         corpus_pipeline.run(spark, str(tmp_path))
     assert left() == ["own3", "s2"]
+
+
+def test_op2_gives_the_remaining_text(spark, tmp_path):
+    """The result held digests only, so what was cut could not be read from it."""
+    one, passage = "a line that stands once. ", "".join(f"word{i} " for i in range(80))
+    rows = [(1, "x" + one + passage + "end", "en", "s", 1), (2, passage, "en", "s", 1), (3, one, "en", "s", 1), (4, None, "en", "s", 1)]
+    save(spark.createDataFrame(rows, DOCS), tmp_path, "documents")
+    got = {r["doc_id"]: r for r in suffix.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {1: "x" + one + "end", 2: "", 3: one, 4: ""}
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got.values())
