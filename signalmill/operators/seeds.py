@@ -136,10 +136,16 @@ def attribute_runs(runs: DataFrame, queries: DataFrame) -> DataFrame:
     return runs.select("run_id").join(r.join(n, "ts").select("run_id", "query_id"), "run_id", "left")
 
 
-def seed_yield(queries: DataFrame, runs: DataFrame, signals: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct signals and entities of each query, and entities per keyword."""
+def seed_yield(queries: DataFrame, runs: DataFrame, signals: DataFrame, links: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Distinct signals and entities of each query, and entities per keyword.
+
+    A signal's entities meet where its links lie, and its first one (or none) counts the signal. With
+    `tasks`, rows are dealt into so many by query and entity before they are counted by query.
+    """
     s = runs.select("query_id", "run_id").join(signals.select("run_id", "signal_id"), "run_id").join(links.select("signal_id", "entity"), "signal_id", "left")
-    y = s.groupBy("query_id").agg(F.count_distinct("signal_id").alias("signals"), F.count_distinct("entity").alias("entities"))
+    s = s.groupBy("query_id", "signal_id").agg(F.collect_set("entity").alias("es")).select("query_id", F.posexplode_outer("es").alias("at", "entity"))
+    s = s.repartition(tasks, "query_id", "entity") if tasks else s
+    y = s.groupBy("query_id").agg(F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("signals"), F.count_distinct("entity").alias("entities"))
     k = F.greatest(F.size("keywords"), F.lit(1))
     out = queries.join(y, "query_id", "left").withColumn("signals", F.coalesce("signals", F.lit(0))).withColumn("entities", F.coalesce("entities", F.lit(0)))
     return out.select("query_id", "cohort", "signals", "entities", (F.col("entities") / k).alias("per_keyword"))

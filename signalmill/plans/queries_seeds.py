@@ -14,7 +14,7 @@ from signalmill.operators import seeds as S
 from signalmill.plans.catalog import ENTITIES, RUNS, SEEDS, SIGNALS, buckets, entities, events_as_signals, links, query, rounded, runs, seed_queries
 from signalmill.plans.queries_text import _SINGULAR
 from signalmill.sources import sinks as K
-from signalmill.sources.fixtures import links_sql, table, with_links
+from signalmill.sources.fixtures import link_tasks, links_sql, table, with_links
 from signalmill.sources.scratch import scratch_path
 from signalmill.sources.versions import TableSet
 
@@ -69,7 +69,7 @@ _YIELD = "y AS (SELECT q.query_id, cohort, watch_topic, q.geography, keywords, c
 def yields(spark, d):
     k = links(spark, d)
     sig = k.select("signal_id", F.col("signal_id").alias("run_id")).distinct()
-    return S.seed_yield(seed_queries(spark, d), runs(spark, d), sig, k)
+    return S.seed_yield(seed_queries(spark, d), runs(spark, d), sig, k, link_tasks(spark, d))
 
 
 @query("e28_seed_yield", f"WITH {SEEDS}, {RUNS}, {links_sql()}, {_YIELD} SELECT query_id, cohort, signals, entities, round(entities / 2, 6) AS per_keyword FROM y")
