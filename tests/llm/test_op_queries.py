@@ -510,3 +510,13 @@ def test_op2_gives_the_remaining_text(spark, tmp_path):
     got = {r["doc_id"]: r for r in suffix.op2_suffix_dedup(spark, str(tmp_path)).collect()}
     assert {i: r["text"] for i, r in got.items()} == {1: "x" + one + "end", 2: "", 3: one, 4: ""}
     assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got.values())
+
+
+def test_op2_marks_documents_that_lost_bytes(spark, tmp_path):
+    """The report read the result by the size of the input, as no column said which documents hold a copied passage."""
+    passage = "".join(f"word{i} " for i in range(80))
+    rows = [(1, "x " + passage + "end", "en", "s", 1), (2, passage, "en", "s", 1), (3, passage[:399], "en", "s", 1), (4, "one", "en", "s", 1), (5, None, "en", "s", 1)]
+    save(spark.createDataFrame(rows, DOCS), tmp_path, "documents")
+    got = suffix.op2_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["duplicated"] for r in got} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert all(r["duplicated"] == (r["n_removed"] > 0) for r in got)
