@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import remainder, table
+from signalmill.llm.common import remainder, small_batches, table
 
 WINDOW, STRIDE = 16, 8
 #: Hash buckets of words and of character n-grams, vector and state sizes.
@@ -307,6 +307,7 @@ def score(docs: DataFrame, net: Net, name: str = "score", text_col: str = "text"
     the rounding of single precision, which depends on the texts worked on together; an empty
     table gives no rows. Only the text goes through Python.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")
