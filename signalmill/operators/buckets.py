@@ -94,12 +94,13 @@ def daily_series(buckets: DataFrame, max_days: int = 180) -> DataFrame:
     return days.join(d, ["entity", "bucket_date"], "left").select("entity", "bucket_date", F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
-def attribute_buckets(attributed: DataFrame, signals: DataFrame, as_of: datetime.date, days: int = 365) -> DataFrame:
-    """Rows and distinct authors per category, attribute and day."""
+def attribute_buckets(attributed: DataFrame, signals: DataFrame, as_of: datetime.date, days: int = 365, tasks: int | None = None) -> DataFrame:
+    """Rows and distinct authors per category, attribute and day. With `tasks`, rows are dealt into so many by bucket and author before they are counted."""
     since = as_of - datetime.timedelta(days=days)
     s = signals.where((F.col("posted_on") >= F.lit(since)) & (F.col("posted_on") <= F.lit(as_of)))
-    j = attributed.join(s.select("signal_id", "posted_on", "author"), "signal_id")
-    return j.groupBy("category", "attribute", F.col("posted_on").alias("bucket_date")).agg(F.count("*").alias("mentions"), F.countDistinct("author").alias("unique_authors"))
+    j = attributed.join(s.select("signal_id", F.col("posted_on").alias("bucket_date"), "author"), "signal_id")
+    j = j.repartition(tasks, "category", "attribute", "bucket_date", "author") if tasks else j
+    return j.groupBy("category", "attribute", "bucket_date").agg(F.count("*").alias("mentions"), F.countDistinct("author").alias("unique_authors"))
 
 
 def total_mentions(entities: DataFrame, buckets: DataFrame) -> DataFrame:

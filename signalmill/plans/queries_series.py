@@ -344,7 +344,7 @@ _ATTR = f"attributed AS (SELECT DISTINCT signal_id, entity_type AS category, spl
 def attribute_buckets(spark, d):
     k = links(spark, d, "p_name")
     a = k.select("signal_id", F.col("entity_type").alias("category"), F.substring_index("entity", " ", 1).alias("attribute")).distinct()
-    return B.attribute_buckets(a, k.groupBy("signal_id").agg(F.min("posted_on").alias("posted_on"), F.min("author").alias("author")), AS_OF)
+    return B.attribute_buckets(a, k.groupBy("signal_id").agg(F.min("posted_on").alias("posted_on"), F.min("author").alias("author")), AS_OF, tasks=link_tasks(spark, d))
 
 
 @query("e22_attribute_buckets", f"WITH {links_sql('p_name')}, {_ATTR} SELECT * FROM abk")
